@@ -88,10 +88,11 @@ def spans_text(spans) -> F.Column:
 def span_digest(found: DataFrame, base: tuple[str, ...]) -> DataFrame:
     """doc_id, one count for each base kind, base_sha256 and spans."""
     of_base = F.filter("spans", lambda s: s["kind"].isin(*base))
-    counts = [
-        F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}")
-        for k in base
-    ]
+
+    def count(kind: str) -> F.Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [count(kind).alias(f"n_{kind}") for kind in base]
     return found.select(
         "doc_id",
         *counts,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +98,11 @@ class Scanner:
         return [(self.rules[k].kind, before(s), before(e)) for s, k, e in sorted(spans)]
 
 
+@lru_cache
+def compiled(rules: tuple[Rule, ...]) -> Scanner:
+    return Scanner(rules)
+
+
 def find_secrets(
     df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -107,7 +113,7 @@ def find_secrets(
     spans; an empty table gives an empty one.  No shuffle: texts never leave
     the task that read them.
     """
-    scanner = Scanner(rules)
+    scanner = compiled(rules)
     rows = picked(df, doc_id=id_col, text=text_col)
     schema = SCHEMA.format(id=rows.schema["doc_id"].dataType.simpleString())
 
