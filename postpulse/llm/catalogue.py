@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postpulse.llm import secrets
+from postpulse.llm import frames, packing, secrets
 from postpulse.llm.common import span_digest, table
 
 
@@ -15,8 +15,20 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(found, secrets.BASE_KINDS)
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.encode_and_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secret_scan": op1_secret_scan}
+    return {
+        "op1_secret_scan": op1_secret_scan,
+        "op4_best_fit_packing": op4_best_fit_packing,
+        "op9_token_files": op9_token_files,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

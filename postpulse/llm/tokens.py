@@ -24,6 +24,16 @@ ID_BYTES = 4
 END_ID = 0
 
 _CUT = re.compile(r" (?=\S)")
+#: Leading letters whose class every Unicode version agrees on, then the end or
+#: an ASCII non-letter.
+_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[\x00-@\[-`{-\x7f]|\Z)")
+
+
+def _byte_letters() -> list[str]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, the rest for U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
 def default_tokenizer() -> str:
@@ -33,37 +43,75 @@ def default_tokenizer() -> str:
 
 
 class ChunkEncoder:
-    """Encodes texts to little-endian ids; at most ``memo_size`` chunks are remembered."""
+    """Encodes texts to little-endian ids; each memo holds a bounded number of chunks.
 
-    def __init__(self, path: str, memo_size: int = 200_000, longest: int = 40):
+    A chunk that is new as a whole is cut once more after its leading letters:
+    a run of letters is one pre-token and ends where they end.  Such a run goes
+    to the library's model directly, anything else through its whole pipeline.
+    """
+
+    def __init__(self, path: str, words: int = 200_000, parts: int = 500_000, longest: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._memo: dict[str, bytes] = {}
-        self._memo_size, self._longest = memo_size, longest
-
-    def _library(self, chunks: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        self._model = self._tokenizer.model
+        self._words: dict[str, bytes] = {}
+        self._parts: dict[str, bytes] = {}
+        self._most, self._most_parts, self._longest = words, parts, longest
+        size = self._tokenizer.get_vocab_size()
+        self._id_bytes = [k.to_bytes(ID_BYTES, "little") for k in range(size)]
+        letters = _byte_letters()
+        self._space = letters[32]
+        self._table = {
+            k: "".join(letters[b] for b in chr(k).encode()) for k in range(128, 0x250)
+        }
+
+    def _library(self, chunk: str) -> bytes:
+        ids = self._tokenizer.encode(chunk, add_special_tokens=False).ids
+        return np.array(ids, dtype="<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of letters that follow a space."""
+        mapped = word if word.isascii() else word.translate(self._table)
+        table = self._id_bytes
+        return b"".join([table[t.id] for t in self._model.tokenize(self._space + mapped)])
 
     def encode(self, text: str) -> bytes:
         head, *rest = text.split(" ")
-        first = self._library([head])[0] if head else b""
-        try:
-            return first + b"".join(map(self._memo.__getitem__, rest))
-        except KeyError:
-            pass
-        if any(not p or p[0].isspace() for p in rest):
+        known = list(map(self._words.get, rest))
+        missing = [k for k, ids in enumerate(known) if ids is None]
+        if any(not rest[k] or rest[k][0].isspace() for k in missing):
             head, *rest = _CUT.split(text)
-            first = self._library([head])[0] if head else b""
-        memo = self._memo
-        new = [p for p in dict.fromkeys(rest) if p not in memo]
-        found = dict(zip(new, self._library([f" {p}" for p in new]), strict=True))
-        ids = first + b"".join([found[p] if p in found else memo[p] for p in rest])
-        if len(memo) + len(found) > self._memo_size:
-            memo.clear()
-        memo.update((p, b) for p, b in found.items() if len(p) <= self._longest)
+            known = list(map(self._words.get, rest))
+            missing = [k for k, ids in enumerate(known) if ids is None]
+        for k in missing:
+            known[k] = self._new(rest[k])
+        first = self._library(head) if head else b""
+        return first + b"".join(known)
+
+    def _new(self, chunk: str) -> bytes:
+        """Ids of a chunk that follows a space."""
+        found = _WORD.match(chunk)
+        at = found.end() if found else 0
+        word, tail = chunk[:at], chunk[at:] if at else f" {chunk}"
+        ids = b""
+        parts = self._parts
+        if word:
+            ids = parts.get(word)
+            if ids is None:
+                ids = self._word(word)
+                if len(parts) < self._most_parts and at <= self._longest:
+                    parts[word] = ids
+        if tail:
+            more = parts.get(tail)
+            if more is None:
+                more = self._library(tail)
+                if len(parts) < self._most_parts and len(tail) <= self._longest:
+                    parts[tail] = more
+            ids += more
+        if len(self._words) < self._most and len(chunk) <= self._longest:
+            self._words[chunk] = ids
         return ids
 
 
