@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postpulse.llm import frames, packing, secrets
+from postpulse.llm import frames, packing, secrets, simhash
 from postpulse.llm.common import span_digest, table
 
 
@@ -19,6 +19,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.encode_and_report(table(spark, sf_dir, "documents"))
 
@@ -27,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_simhash_groups": op5_simhash_groups,
         "op9_token_files": op9_token_files,
     }
 
