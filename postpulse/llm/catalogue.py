@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postpulse.llm import frames, packing, secrets, simhash
+from postpulse.llm import frames, mixing, packing, secrets, simhash
 from postpulse.llm.common import span_digest, table
 
 
@@ -24,6 +24,11 @@ def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.encode_and_report(table(spark, sf_dir, "documents"))
 
@@ -33,6 +38,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scan": op1_secret_scan,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_simhash_groups": op5_simhash_groups,
+        "op7_source_mix": op7_source_mix,
         "op9_token_files": op9_token_files,
     }
 
