@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postpulse.llm import frames, mixing, packing, secrets, simhash
+from postpulse.llm import frames, mixing, packing, secrets, simhash, toxicity
 from postpulse.llm.common import span_digest, table
 
 
@@ -29,6 +29,11 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_toxic_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.severity(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.encode_and_report(table(spark, sf_dir, "documents"))
 
@@ -39,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_simhash_groups": op5_simhash_groups,
         "op7_source_mix": op7_source_mix,
+        "op8_toxic_severity": op8_toxic_severity,
         "op9_token_files": op9_token_files,
     }
 
