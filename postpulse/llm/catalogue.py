@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postpulse.llm import frames, mixing, packing, secrets, simhash, toxicity
+from postpulse.llm import frames, mixing, packing, pii, secrets, simhash, toxicity
 from postpulse.llm.common import span_digest, table
 
 
@@ -24,6 +24,11 @@ def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    return span_digest(found, pii.BASE_KINDS)
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
@@ -43,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scan": op1_secret_scan,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_simhash_groups": op5_simhash_groups,
+        "op6_personal_data": op6_personal_data,
         "op7_source_mix": op7_source_mix,
         "op8_toxic_severity": op8_toxic_severity,
         "op9_token_files": op9_token_files,
