@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from postpulse.llm import frames, mixing, packing, pii, secrets, simhash, toxicity
+from postpulse.llm import frames, itq, mixing, packing, pii, secrets, simhash, toxicity
 from postpulse.llm.common import span_digest, table
 
 
@@ -43,6 +44,16 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.encode_and_report(table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = itq.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select(
+        F.col("id").alias("vec_id"),
+        "n_links",
+        "component_id",
+        (F.col("id") == F.col("component_id")).alias("kept"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -52,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_source_mix": op7_source_mix,
         "op8_toxic_severity": op8_toxic_severity,
         "op9_token_files": op9_token_files,
+        "op10_embedding_links": op10_embedding_links,
     }
 
 
