@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postpulse.llm import frames, itq, mixing, packing, pii, secrets, simhash, toxicity
+from postpulse.llm import forest, frames, itq, mixing, packing, pii, secrets, simhash, toxicity
 from postpulse.llm.common import span_digest, table
 
 
@@ -16,6 +16,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(found, secrets.BASE_KINDS)
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    found = forest.neighbours(vectors, F.col("id") % 20 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -57,6 +63,7 @@ def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op3_nearest_neighbours": op3_nearest_neighbours,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_simhash_groups": op5_simhash_groups,
         "op6_personal_data": op6_personal_data,
