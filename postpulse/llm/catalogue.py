@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postpulse.llm import forest, frames, itq, mixing, packing, pii, secrets, simhash, toxicity
+from postpulse.llm import (
+    forest,
+    frames,
+    itq,
+    lengths,
+    mixing,
+    packing,
+    pii,
+    secrets,
+    simhash,
+    toxicity,
+)
 from postpulse.llm.common import span_digest, table
 
 
@@ -16,6 +27,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(found, secrets.BASE_KINDS)
 
 
+def op2_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.cumulative(lengths.histogram(table(spark, sf_dir, "documents")))
+
+
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     found = forest.neighbours(vectors, F.col("id") % 20 == 0)
@@ -63,6 +78,7 @@ def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op2_token_lengths": op2_token_lengths,
         "op3_nearest_neighbours": op3_nearest_neighbours,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_simhash_groups": op5_simhash_groups,

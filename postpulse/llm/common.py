@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space, the only word separator the operators know.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -29,7 +30,9 @@ def picked(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def map_batches(
-    df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
+    df: DataFrame,
+    work: Callable[[pa.RecordBatch], pa.RecordBatch | None],
+    schema: str | T.StructType,
 ) -> DataFrame:
     """``work`` over each Arrow batch; it sees whole rows and no partition state."""
 

@@ -200,3 +200,18 @@ def mix(
         "target",
         (F.col("size") * times).alias("taken"),
     )
+
+
+def copies(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``df``, each as often as the mix takes it.
+
+    Rows that share an id (null included) share the largest number of copies.
+    """
+    taken = mix(df, id_col=id_col, **options)
+    times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0)
+    by_id = taken.groupBy(F.col("doc_id").alias("mixed_id")).agg(
+        F.max(times.cast("int")).alias("mixed_times")
+    )
+    both = df.join(by_id.where("mixed_times > 0"), df[id_col].eqNullSafe(F.col("mixed_id")))
+    copy = F.explode(F.sequence(F.lit(1), F.col("mixed_times"))).alias("mixed_copy")
+    return both.select(*[df[c] for c in df.columns], copy).drop("mixed_copy")

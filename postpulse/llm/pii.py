@@ -157,6 +157,52 @@ def _field_spans(
     return out
 
 
+def _text_spans(
+    texts: list[str], decoder: crf.Decoder, labels: tuple[str, ...]
+) -> list[list[tuple[int, int, str]]]:
+    order = {k: n for n, k in enumerate(BASE_KINDS + FIELD_KINDS)}
+    out = []
+    for low in range(0, len(texts), 500):
+        part = texts[low : low + 500]
+        runs = decoder.decode([_WORD.findall(t) for t in part])
+        for text, own in zip(part, runs, strict=True):
+            base = base_spans(text)
+            spans = base + _field_spans(text, own, labels, base)
+            out.append(sorted(spans, key=lambda s: (s[0], order[s[2]])))
+    return out
+
+
+def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """``text`` with each span's kind in angle brackets; overlapping spans count as one."""
+    parts, at = [], 0
+    for start, end, kind in spans:
+        if start >= at:
+            parts += [text[at:start], f"<{kind}>"]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
+
+
+def mask(df: DataFrame, field: crf.Field | None = None, text_col: str = "text") -> DataFrame:
+    """``df`` with all spans found in its texts masked; null texts stay null."""
+    model = field or trained_field()
+    place = df.columns.index(text_col)
+    held: list[crf.Decoder] = []
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if not held:
+            held.append(crf.Decoder(model))
+        texts = batch.column(place).to_pylist()
+        found = _text_spans([t or "" for t in texts], held[0], model.labels)
+        new = [
+            masked(t, own) if own else t for t, own in zip(texts, found, strict=True)
+        ]
+        columns = list(batch.columns)
+        columns[place] = pa.array(new, type=batch.schema.field(place).type)
+        return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return map_batches(df, work, df.schema)
+
+
 def find_personal_data(
     df: DataFrame,
     field: crf.Field | None = None,
@@ -170,7 +216,6 @@ def find_personal_data(
     span.  Null and empty texts have none.  No shuffle.
     """
     model = field or trained_field()
-    order = {k: n for n, k in enumerate(BASE_KINDS + FIELD_KINDS)}
     rows = picked(df, doc_id=id_col, text=text_col)
     id_kind = rows.schema["doc_id"].dataType.simpleString()
     held: list[crf.Decoder] = []
@@ -179,15 +224,8 @@ def find_personal_data(
         if not held:
             held.append(crf.Decoder(model))
         texts = [t or "" for t in batch.column(1).to_pylist()]
-        out = []
-        for low in range(0, len(texts), 500):
-            part = texts[low : low + 500]
-            runs = held[0].decode([_WORD.findall(t) for t in part])
-            for text, own in zip(part, runs, strict=True):
-                base = base_spans(text)
-                spans = base + _field_spans(text, own, model.labels, base)
-                spans.sort(key=lambda s: (s[0], order[s[2]]))
-                out.append([{"kind": k, "start": s, "end": e} for s, e, k in spans])
+        found = _text_spans(texts, held[0], model.labels)
+        out = [[{"kind": k, "start": s, "end": e} for s, e, k in own] for own in found]
         kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(out, type=pa.list_(kind))], names=["doc_id", "spans"]

@@ -187,7 +187,11 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def near_duplicates(
-    df: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame,
+    max_bits: int = MAX_BITS,
+    words: int = SHINGLE_WORDS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
     """doc_id, fp and component_id of every row of ``df``.
 
@@ -196,7 +200,7 @@ def near_duplicates(
     their component no name (null if it has no other).  Copies collapse to one
     fingerprint before any comparison; texts themselves are never shuffled.
     """
-    docs = materialized(fingerprints(df, id_col=id_col, text_col=text_col), "fingerprints")
+    docs = materialized(fingerprints(df, words, id_col, text_col), "fingerprints")
     classes = docs.groupBy("fp").agg(F.min("doc_id").alias("first"))
     classes = materialized(classes, "classes")
     linked = components(links(classes.select("fp"), max_bits))
@@ -212,6 +216,19 @@ def near_duplicates(
     )
 
 
+def first_of_each(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``df`` whose id is the smallest of their group, one for each id.
+
+    Rows with a null id belong to no group's choice and stay.  The anti-join
+    and the choice among repeated ids share one partitioning by id.
+    """
+    named = df.where(F.col(id_col).isNotNull())
+    found = near_duplicates(named, id_col=id_col, **options)
+    later = found.where("doc_id > component_id").select(F.col("doc_id").alias("later_id"))
+    kept = named.join(later, named[id_col] == F.col("later_id"), "left_anti")
+    return kept.dropDuplicates([id_col]).union(df.where(F.col(id_col).isNull()))
+
+
 def hex_digits(fp: str = "fp") -> F.Column:
     """The fingerprint as 16 lowercase hexadecimal digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
