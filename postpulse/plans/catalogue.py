@@ -1,11 +1,38 @@
-"""Registry of the posting-analytics queries."""
+"""Registry of the posting-analytics queries and their SQL equivalents."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+Query = Callable[[SparkSession, str], DataFrame]
 
-def oracle_sql() -> dict:
-    return {}
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with its SQL if there is any."""
+
+    def add(function: Query) -> Query:
+        _queries[function.__name__] = function
+        if sql is not None:
+            _sql[function.__name__] = sql
+        return function
+
+    return add
+
+
+def _load() -> None:
+    from postpulse.plans import boards, classify, issues, rosters, scalars  # noqa: F401
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_sql)
