@@ -156,9 +156,11 @@ def leave_one_out(
     )
 
 
-def chosen_point(grid: DataFrame, least_weak: int = CHOICE_WEAK) -> DataFrame:
+def chosen_point(
+    grid: DataFrame, least_weak: int = CHOICE_WEAK, accuracy: float = CHOICE_ACCURACY
+) -> DataFrame:
     """The grid point with most coverage among those accurate enough; ties: least support."""
-    fit = (F.col("weak_accuracy") >= CHOICE_ACCURACY) & (F.col("least_support") >= CHOICE_SUPPORT)
+    fit = (F.col("weak_accuracy") >= accuracy) & (F.col("least_support") >= CHOICE_SUPPORT)
     fit &= F.col("predicted_weak") >= least_weak
     order = [F.desc("coverage"), "least_support", "least_confidence"]
     return grid.where(fit).orderBy(*order).limit(1)

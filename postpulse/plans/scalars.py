@@ -1 +1,310 @@
-"""Queries."""
+"""Queries on scalar functions and filters, over literals and the text tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from postpulse.functions import lexicons as lex
+from postpulse.functions import text
+from postpulse.operators import filters
+from postpulse.plans import bindings as b
+from postpulse.plans.boards import PARTS, STEMS, norm_sql, places_sql
+from postpulse.plans.catalogue import query
+
+TITLES = [
+    (k, t)
+    for k, t in enumerate(
+        [
+            "Senior Data Engineer (Remote)",
+            "Principal Director, Platform",
+            "Junior Nurse - Chicago, IL",
+            "Work From Home: be your own boss!",
+            "Volunteer Services Manager",
+            "Volunteer Programme",
+            "Unpaid intern - Berlin",
+            "Staff Software Engineer",
+            "Head of Volunteer Engagement",
+            "Sr. Account Executive | Hybrid",
+            "Entry-level driver, Leeds",
+            "New Grad Machine Learning",
+            "Director of Volunteer Programs",
+            "Break free of the 9-5!",
+            "Apprentice Warehouse Operations",
+            "Manager",
+            "",
+            None,
+            "Développeur Java — Paris",
+            "Engineer II",
+            "Leadership Coach",
+            "Vice President, Sales",
+        ]
+    )
+]
+_T = b.values_cte("t", ("id", "title"), TITLES)
+
+
+def _titles(spark: SparkSession) -> DataFrame:
+    return b.text_frame(spark, TITLES, "id int, title string")
+
+
+def _first_sql(column: str, rules, default: str) -> str:
+    cases = " ".join(f"WHEN regexp_matches({column}, '{p}', 'i') THEN '{n}'" for n, p in rules)
+    return f"CASE {cases} ELSE '{default}' END"
+
+
+_PAD = f"' ' || {norm_sql('title')} || ' '"
+_AD = " OR ".join(f"contains({_PAD}, '{p}')" for p in lex.RECRUITMENT_PHRASES)
+_VOL = (
+    f"NOT regexp_matches({_PAD}, '{lex.VOLUNTEER_STAFF}') AND ("
+    + " OR ".join(f"contains({_PAD}, '{p}')" for p in lex.VOLUNTEER_PHRASES)
+    + ")"
+)
+
+
+@query(
+    b.with_ctes(
+        (),
+        f"SELECT id, {norm_sql('title')} AS norm,"
+        f" {_first_sql('coalesce(title, $$$$)', lex.SENIORITY, 'mid')} AS seniority,"
+        f" {_AD} AS recruitment_ad, {_VOL} AS volunteer FROM t",
+        (_T,),
+    )
+)
+def title_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _titles(spark).select(
+        "id",
+        text.normal_title("title").alias("norm"),
+        text.seniority("title").alias("seniority"),
+        text.is_recruitment_ad("title").alias("recruitment_ad"),
+        text.is_volunteer_listing("title").alias("volunteer"),
+    )
+
+
+_FAMILY = " ".join(
+    "WHEN " + " OR ".join(f"contains({_PAD}, '{k}')" for k in keys) + f" THEN '{f}'"
+    for f, keys in lex.TITLE_FAMILIES
+)
+
+
+@query(b.with_ctes((), f"SELECT id, CASE {_FAMILY} ELSE 'other' END AS family FROM t", (_T,)))
+def title_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _titles(spark).select("id", text.classify_title("title").alias("family"))
+
+
+@query(
+    b.with_ctes(
+        (),
+        f"""
+SELECT count(*) AS rows, count(*) FILTER (WHERE {_AD}) AS recruitment_ads,
+  count(*) FILTER (WHERE {_VOL}) AS volunteer_unpaid FROM t""",
+        (_T,),
+    )
+)
+def filter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _titles(spark).agg(*filters.rule_counts())
+
+
+@query(
+    b.with_ctes(
+        (),
+        f"""
+SELECT *, recruitment_ads + volunteer_unpaid AS not_jobs,
+  (recruitment_ads + volunteer_unpaid) / titles_read AS not_jobs_share
+FROM (SELECT id % 3 AS board, count(*) AS titles_read, count(*) FILTER (WHERE {_AD}) AS recruitment_ads,
+  count(*) FILTER (WHERE NOT ({_AD}) AND {_VOL}) AS volunteer_unpaid FROM t GROUP BY 1)""",
+        (_T,),
+    )
+)
+def data_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _titles(spark).withColumn("board", F.col("id") % 3)
+    return filters.exclusive_quality(rows, ["board"])
+
+
+WORKPLACES = [
+    (1, "Berlin", None),
+    (2, "Remote - US", None),
+    (3, "Hybrid remote", None),
+    (4, "New York (HQ)", "Hybrid"),
+    (5, "anywhere", "OnSite"),
+    (6, "work from home", "unknown"),
+    (7, None, "remote"),
+    (8, "distributed team", None),
+    (9, "premote", None),
+]
+
+
+@query(
+    b.with_ctes(
+        (),
+        "SELECT id, CASE WHEN lower(stated) IN ('remote', 'hybrid', 'onsite') THEN lower(stated) ELSE "
+        + _first_sql(
+            "coalesce(place, $$$$)", (("hybrid", lex.HYBRID), ("remote", lex.REMOTE)), "onsite"
+        )
+        + " END AS workplace FROM t",
+        (b.values_cte("t", ("id", "place", "stated"), WORKPLACES),),
+    )
+)
+def workplace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = b.text_frame(spark, WORKPLACES, "id int, place string, stated string")
+    return rows.select("id", text.workplace("place", F.col("stated")).alias("workplace"))
+
+
+SALARIES = [
+    (1, "Pay: $150,000 - $200,000 a year"),
+    (2, "£70k–£90k"),
+    (3, "€80.000 - €100.000"),
+    (4, "C$100,000 to C$120,000"),
+    (5, "120000-160000 USD"),
+    (6, "$90k-$100k or $90,000 to $150,000"),
+    (7, "1,000,000 to 2,000,000"),
+    (8, "500 to 900 people, 5,000 - 9,000"),
+    (9, "$120.5k - 140k"),
+    (10, "$200,000 - $150,000"),
+    (11, None),
+    (12, "A$80,000 — 95,000"),
+    (13, "10k-20k and £30k to £40k"),
+]
+
+
+@query()
+def salary_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = b.text_frame(spark, SALARIES, "id int, body string")
+    return rows.withColumn("s", text.salary("body")).select("id", "s.*")
+
+
+@query(
+    b.with_ctes(
+        ("titles",),
+        f"""
+SELECT board, stem, count(*) AS postings, count(DISTINCT tail) AS tails, count(DISTINCT norm) AS norms,
+  count(DISTINCT array_to_string({places_sql('location')}, ' ')) AS places
+FROM stemmed GROUP BY 1, 2""",
+        (PARTS, STEMS),
+    )
+)
+def stem_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = b.titles(spark, sf_dir).select(
+        "board",
+        text.title_stem("title").alias("stem"),
+        text.title_tail("title").alias("tail"),
+        text.normal_title("title").alias("norm"),
+        text.normal_place("location").alias("place"),
+    )
+    return rows.groupBy("board", "stem").agg(
+        F.count("*").alias("postings"),
+        F.count_distinct("tail").alias("tails"),
+        F.count_distinct("norm").alias("norms"),
+        F.count_distinct("place").alias("places"),
+    )
+
+
+@query(
+    """
+SELECT page_id, CASE WHEN token = '' OR length(token) > 100 OR token IN ("""
+    + ", ".join(f"'{t}'" for t in lex.NOT_A_TOKEN)
+    + """) OR NOT regexp_full_match(token, '[a-z0-9][a-z0-9._-]*') OR regexp_full_match(token, '\\d+')
+  THEN NULL ELSE token END AS path_token,
+  CASE WHEN sub = '' OR contains(sub, '.') OR sub IN ("""
+    + ", ".join(f"'{t}'" for t in lex.NOT_A_TOKEN)
+    + """) THEN NULL ELSE sub END AS host_token,
+  array_to_string(list_reverse(string_split(host, '.')), ',') || ')/' AS surt
+FROM (SELECT page_id, host, lower(regexp_extract(url, '^https?://[^/?#]+/+([^/?#]*)', 1)) AS token,
+    CASE WHEN ends_with(host, '.example.com') THEN host[:length(host) - 12] ELSE '' END AS sub
+  FROM (SELECT *, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host FROM pages))"""
+)
+def token_from_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = b.table(spark, sf_dir, "pages")
+    host = F.lower(F.try_parse_url("url", F.lit("HOST")))
+    return pages.select(
+        "page_id",
+        text.token_from_url("url").alias("path_token"),
+        text.token_from_url("url", token_from="subdomain", host="example.com").alias("host_token"),
+        text.surt_prefix(host).alias("surt"),
+    )
+
+
+@query(
+    r"""
+SELECT page_id, regexp_replace(regexp_replace(replace(replace(replace(replace(
+  regexp_replace(html, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'),
+  '[\s\x{00a0}\x{feff}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'),
+  '^ | $', '', 'g') AS body FROM pages"""
+)
+def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.table(spark, sf_dir, "pages").select("page_id", text.strip_html("html").alias("body"))
+
+
+MENTIONS = [
+    (1, "Python and PySpark, java not javascript", "Data Engineer"),
+    (2, "React to change; swift decisions", "Store Manager"),
+    (3, "React, Swift and Rust", "iOS Developer"),
+    (4, "see https://python.org or mail ruby@rails.io <b>php</b>", "Engineer"),
+    (5, "C++ / C# on .NET, Node.js, k8s", "Platform Architect"),
+    (6, "dbt and DBT; Power BI; LLMs", "analytics lead"),
+    (7, "we use SAP and Salesforce", "Accountant"),
+    (8, None, None),
+    (9, "érust et ruby", "software"),
+]
+
+
+def _mentions_sql() -> str:
+    strip = "regexp_replace(regexp_replace(coalesce({0}, ''), '" + lex.MARKUP + "', ' ', 'g'), '[^\\x00-\\x7F]', ' ', 'g')"
+    body, setting = strip.format("body"), strip.format("context")
+    technical = f"regexp_matches({setting}, '{lex.TECH_CONTEXT}', 'i')"
+    items = []
+    for label, pattern, guarded in lex.TECHNOLOGIES:
+        flag = "" if label in lex.CASE_SENSITIVE_TECHNOLOGIES else ", 'i'"
+        hit = f"regexp_matches({body}, '{pattern}'{flag})"
+        hit = f"{hit} AND {technical}" if guarded else hit
+        items.append(f"CASE WHEN {hit} THEN '{label}' END")
+    return f"SELECT id, array_to_string(list_filter([{', '.join(items)}], lambda x: x IS NOT NULL), ',') AS technologies FROM t"
+
+
+@query(
+    b.with_ctes((), _mentions_sql(), (b.values_cte("t", ("id", "body", "context"), MENTIONS),))
+)
+def tech_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = b.text_frame(spark, MENTIONS, "id int, body string, context string")
+    found = F.array_join(text.technologies("body", "context"), ",")
+    return rows.select("id", found.alias("technologies"))
+
+
+@query(
+    """
+SELECT doc_id, lang, source FROM documents
+WHERE (contains(lower(text), 'password') OR contains(lower(text), 'idiot') OR contains(lower(text), 'www'))
+  AND contains(lower(source), 'src1') AND lang IN ('en', 'de')"""
+)
+def filtered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as postings: text is the description, source the location, lang the workplace."""
+    docs = b.table(spark, sf_dir, "documents")
+    rows = docs.select(
+        "doc_id",
+        "lang",
+        "source",
+        F.lit(None).cast("string").alias("title"),
+        F.lit(None).cast("string").alias("department"),
+        F.lit(None).cast("string").alias("team"),
+        F.col("text").alias("description"),
+        F.col("source").alias("location"),
+        F.col("lang").alias("workplace"),
+    )
+    wanted = filters.PostingFilter(
+        keywords=("password", "idiot", "www"), location="src1", workplaces=("en", "de")
+    )
+    return rows.where(wanted.condition()).select("doc_id", "lang", "source")
+
+
+@query(
+    """
+SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+  floor(value / 7 * 100 + 0.5) / 100 AS scaled FROM events"""
+)
+def json_and_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = b.table(spark, sf_dir, "events")
+    return events.select(
+        "event_id",
+        F.from_json("props", "k bigint")["k"].alias("k"),
+        text.round_half_up(F.col("value") / 7, 2).alias("scaled"),
+    )
