@@ -256,7 +256,9 @@ def jobs(bodies: DataFrame, vendor: Vendor) -> DataFrame:
     if vendor.listing:
         parsed = F.from_json("body", f"{vendor.listing} {array}")[vendor.listing]
     else:
-        parsed = F.from_json("body", array)
+        # A lone object would be read as an array of one.
+        listed = F.ltrim("body").startswith("[")
+        parsed = F.when(listed, F.from_json("body", array))
     return bodies.select("company", F.explode(parsed).alias("job"))
 
 
