@@ -70,6 +70,8 @@ items 100 200 300 400
 row 1 2 3 4 5 6
 error 404 not found
 4111111111111111 and so on
+paid 4111 1111 1111 1111 call me
+or 5500 0000 0000 0004 and then some
 mail a.b12@mail.example.com there
 +1 (555) 012-3456 for now
 10.20.30.40 is up
