@@ -165,3 +165,31 @@ def interval(draws: DataFrame, low: float = 0.025, high: float = 0.975) -> DataF
     rows = placed.withColumn("n", n)
     pick = lambda q: F.max(F.when(F.col("place") == at(q), F.col("rate")))
     return rows.agg(pick(low).alias("low"), pick(0.5).alias("median"), pick(high).alias("high"))
+
+
+def _uniform(seed: int) -> Iterator[float]:
+    """The mulberry32 generator: 32-bit state, numbers in [0, 1)."""
+    mask, state = 0xFFFFFFFF, seed & 0xFFFFFFFF
+    while True:
+        state = (state + 0x6D2B79F5) & mask
+        mixed = (state ^ state >> 15) * (state | 1) & mask
+        mixed ^= mixed + ((mixed ^ mixed >> 7) * (mixed | 61) & mask) & mask
+        yield (mixed ^ mixed >> 14) / (mask + 1)
+
+
+def seeded_samples(lists: dict[str, list], wanted: int, seed: int) -> dict[str, list]:
+    """A Fisher-Yates sample of each list; one generator serves all, in order.
+
+    The order of draws makes this sequential.  It is for token lists that a
+    driver holds anyway; lists no longer than ``wanted`` draw nothing.
+    """
+    draws, found = _uniform(seed), {}
+    for name, items in lists.items():
+        pool = list(items)
+        if wanted and wanted < len(pool):
+            for k in range(len(pool) - 1, 0, -1):
+                other = int(next(draws) * (k + 1))
+                pool[k], pool[other] = pool[other], pool[k]
+            pool = pool[:wanted]
+        found[name] = pool
+    return found

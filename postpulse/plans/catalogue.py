@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from postpulse.plans import boards, classify, documents, issues, rosters, scalars  # noqa: F401
+    from postpulse.plans import boards, classify, documents, issues, readings, rosters, scalars  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

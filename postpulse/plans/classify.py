@@ -128,13 +128,13 @@ def prior_loo_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     b.with_ctes(
         ("families",),
         """
-SELECT * FROM loo WHERE weak_accuracy >= 0.60 AND least_support >= 5 AND predicted_weak >= 20
+SELECT * FROM loo WHERE weak_accuracy >= 0.40 AND least_support >= 5 AND predicted_weak >= 20
 ORDER BY coverage DESC, least_support, least_confidence LIMIT 1""",
         (COUNTS, _GRID, LOO),
     )
 )
 def prior_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return census.chosen_point(census.leave_one_out(b.families(spark, sf_dir)), least_weak=20, accuracy=0.6)
+    return census.chosen_point(census.leave_one_out(b.families(spark, sf_dir)), least_weak=20, accuracy=0.4)
 
 
 BOARD_FAMILY = """board_family AS (SELECT board, CASE WHEN junk_share >= 0.10 THEN 'junk_board'

@@ -144,3 +144,18 @@ def test_filters_with_null_columns(spark):
     )
     assert frame.where(filters.PostingFilter(keywords=("x",)).condition()).count() == 0
     assert frame.where(F.lit(True) & filters.PostingFilter().condition()).count() == 1
+
+
+def test_seeded_samples_share_one_generator():
+    lists = {"a": list(range(50)), "b": [1, 2], "c": list("uvwxyz")}
+    first = sampling.seeded_samples(lists, 4, 42)
+    assert first == sampling.seeded_samples(lists, 4, 42)
+    assert first["b"] == [1, 2] and len(set(first["a"])) == 4
+    assert sampling.seeded_samples({"c": lists["c"]}, 4, 42)["c"] != first["c"]
+
+
+def test_generator_is_mulberry32():
+    """Its well-known first numbers for seed 0."""
+    draws = sampling._uniform(0)
+    found = [round(next(draws) * 2**32) for _ in range(2)]
+    assert found == [1144304738, 1416247]

@@ -129,3 +129,47 @@ def test_report(spark):
     assert markdown_table(frame, {"n": "Name", "c": "Count", "r": "Ratio"}).endswith(
         "| a\\|b | 1,234 | – |"
     )
+
+
+def test_live_boards_retry_and_classify(spark):
+    """A local server stands in for a vendor: refusals are retried, verdicts follow replies."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from postpulse.sources import boards
+
+    asked: dict[str, int] = {}
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            name = self.path.strip("/")
+            asked[name] = asked.get(name, 0) + 1
+            code = {"gone": 404, "busy": 429}.get(name, 200)
+            if name == "shy" and asked[name] < 3:
+                code = 503
+            body = {"live": '[{"id": 1}]', "shy": "[]", "odd": '{"x": 1}'}.get(name, "")
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(body.encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        names = ["live", "shy", "gone", "busy", "odd"]
+        frame = spark.createDataFrame([("lever", n) for n in names], "source string, company string")
+        address = {"lever": f"http://127.0.0.1:{server.server_port}/{{}}"}
+        replies = boards.read_boards(frame, workers=1, endpoints=address, unit=0.01)
+        found = {r.company: (r.status, r.jobs) for r in boards.probed(replies).collect()}
+    finally:
+        server.shutdown()
+    assert found == {
+        "live": ("live", 1),
+        "shy": ("empty", 0),
+        "gone": ("dead", None),
+        "busy": ("blocked", None),
+        "odd": ("dead", None),
+    }
+    assert asked["busy"] == 4 and asked["gone"] == 1
