@@ -67,9 +67,14 @@ def climbing_technology(market: DataFrame, limit: int = 10) -> DataFrame:
     return market.where(fit).orderBy(F.desc("ratio"), "technology").limit(limit)
 
 
-def ranked_ramping(signals: DataFrame, limit: int = 20) -> DataFrame:
-    fit = (F.col("signal") == "ramping") & (F.col("opened_30d") >= RAMPING_OPENED)
-    fit &= F.col("baseline_30d") >= RAMPING_BASELINE
+def ranked_ramping(
+    signals: DataFrame,
+    limit: int = 20,
+    opened: int = RAMPING_OPENED,
+    baseline: float = RAMPING_BASELINE,
+) -> DataFrame:
+    fit = (F.col("signal") == "ramping") & (F.col("opened_30d") >= opened)
+    fit &= F.col("baseline_30d") >= baseline
     ratio = F.coalesce("ramp_ratio", F.lit(0.0))
     order = [ratio.desc(), F.desc("opened_30d"), "source", "company"]
     return signals.where(fit).orderBy(*order).limit(limit)
@@ -80,6 +85,21 @@ def ranked_new_boards(signals: DataFrame, limit: int = 15) -> DataFrame:
     return new.orderBy(F.desc("open_postings"), "source", "company").limit(limit)
 
 
+def ranked_new_functions(found: DataFrame, limit: int = 20) -> DataFrame:
+    """Boards by their largest new function; ``found`` is ranked within boards."""
+    lead = found.where(F.col("rank") == 1)
+    return lead.orderBy(F.desc("count"), "source", "company").limit(limit)
+
+
+def ranked_executive_openings(postings: DataFrame, as_of: str, limit: int = 15) -> DataFrame:
+    """Boards by executive openings of the last 90 days, future ones included."""
+    recent = postings.where(
+        (F.col("seniority") == "executive") & (F.col("posted_at") > days_before(as_of, 90))
+    )
+    counts = recent.groupBy("source", "company").agg(F.count("*").alias("executive_openings_90d"))
+    return counts.orderBy(F.desc("executive_openings_90d"), "source", "company").limit(limit)
+
+
 def breakdown(signals: DataFrame) -> DataFrame:
     return signals.groupBy("signal").agg(
         F.count("*").alias("boards"), F.sum("open_postings").alias("open_postings")

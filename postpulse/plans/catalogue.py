@@ -24,6 +24,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def sql_of(name: str) -> str:
+    """The SQL of a query registered before, to build another's on."""
+    return _sql[name]
+
+
 def _load() -> None:
     from postpulse.plans import boards, classify, documents, issues, readings, rosters, scalars  # noqa: F401
 

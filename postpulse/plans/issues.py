@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 
 from postpulse.operators import diff, market, signals
 from postpulse.plans import bindings as b
-from postpulse.plans.boards import SIGNALS, board_signals
+from postpulse.plans import catalogue
+from postpulse.plans.boards import SIGNALS, board_signals, signal_new_functions
 from postpulse.plans.catalogue import query
 
 NOW = f"TIMESTAMP '{b.AS_OF}'"
 LATER = f"TIMESTAMP '{b.LATER_AS_OF}'"
 SIGNALLED = f"signalled AS ({SIGNALS.format(as_of=b.AS_OF)})"
-# The ramping table needs larger boards than one date of orders gives.
-SIGNALLED_LATER = f"signalled AS ({SIGNALS.format(as_of=b.LATER_AS_OF)})"
-
 
 @query(
     b.with_ctes(
@@ -108,13 +106,14 @@ def signal_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     b.with_ctes(
         ("postings",),
         """
-SELECT * FROM signalled WHERE signal = 'ramping' AND opened_30d >= 10 AND baseline_30d >= 5
+SELECT * FROM signalled WHERE signal = 'ramping' AND opened_30d >= 3 AND baseline_30d >= 0.5
 ORDER BY coalesce(ramp_ratio, 0) DESC, opened_30d DESC, source, company LIMIT 20""",
         (SIGNALLED,),
     )
 )
 def ranked_ramping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return market.ranked_ramping(board_signals(spark, sf_dir))
+    # Boards of orders are smaller than the published floors ask.
+    return market.ranked_ramping(board_signals(spark, sf_dir), opened=3, baseline=0.5)
 
 
 @query(
@@ -130,6 +129,32 @@ def ranked_new_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.ranked_new_boards(board_signals(spark, sf_dir))
 
 
+@query(
+    b.with_ctes(
+        ("postings",),
+        """
+SELECT source, company, count(*) AS executive_openings_90d FROM postings
+WHERE status = 'F' AND posted_at > TIMESTAMP '1995-05-01' - INTERVAL 90 DAY
+GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 15""",
+    )
+)
+def ranked_executive_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = F.when(F.col("status") == "F", "executive").otherwise("mid")
+    rows = b.postings(spark, sf_dir).withColumn("seniority", level)
+    return market.ranked_executive_openings(rows, b.AS_OF)
+
+
+@query(
+    b.with_ctes(
+        (),
+        "SELECT * FROM found WHERE rank = 1 ORDER BY count DESC, source, company LIMIT 20",
+        (f"found AS ({catalogue.sql_of('signal_new_functions')})",),
+    )
+)
+def ranked_new_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return market.ranked_new_functions(signal_new_functions(spark, sf_dir))
+
+
 ISSUES = ("previous", "current", "unread_previous", "unread_current")
 CHANGES = """changes AS (
   SELECT source, company, prev_open, open, delta,
