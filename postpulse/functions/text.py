@@ -176,20 +176,33 @@ def title_parts(title: Column | str) -> Column:
     return F.filter(F.transform(pieces, normal_title), lambda p: p != "")
 
 
+def stem_of(parts: Column | str) -> Column:
+    """The first of at least two parts of a title."""
+    return F.when(F.size(_col(parts)) > 1, F.get(_col(parts), F.lit(0)))
+
+
+def tail_of(parts: Column | str) -> Column:
+    """All parts of a title but the first, joined; null without a second."""
+    own = _col(parts)
+    tail = F.array_join(F.slice(own, F.lit(2), F.greatest(F.size(own), F.lit(1))), " ")
+    return F.when(F.size(own) > 1, tail)
+
+
 def title_stem(title: Column | str) -> Column:
-    parts = title_parts(title)
-    return F.when(F.size(parts) > 1, F.get(parts, F.lit(0)))
+    return stem_of(title_parts(title))
 
 
 def title_tail(title: Column | str) -> Column:
-    parts = title_parts(title)
-    tail = F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(1))), " ")
-    return F.when(F.size(parts) > 1, tail)
+    return tail_of(title_parts(title))
 
 
 def fanout_verdict(title: Column | str, location: Column | str) -> Column:
     """Whether the varying part of a title names the posting's own place."""
-    tail, place = place_tokens(F.coalesce(title_tail(title), F.lit(""))), place_tokens(location)
+    return verdict_of(place_tokens(F.coalesce(title_tail(title), F.lit(""))), place_tokens(location))
+
+
+def verdict_of(tail: Column, place: Column) -> Column:
+    """The same from the words of the tail and of the place."""
     return (
         F.when(F.size(tail) == 0, "uninformative")
         .when(F.size(place) == 0, "unstated")

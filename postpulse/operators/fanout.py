@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postpulse.functions.text import (
-    fanout_verdict,
     normal_title,
     place_tokens,
-    title_stem,
-    title_tail,
+    stem_of,
+    tail_of,
+    title_parts,
+    verdict_of,
 )
 
 # Fixed values.
@@ -18,11 +19,26 @@ LEAST_TITLES = 5
 LEAST_BOARDS = 3
 
 
+def split_titles(rows: DataFrame) -> DataFrame:
+    """``rows`` with parts, norm, tail_words and place_words.
+
+    Columns of their own, so that each pattern runs once for a row however
+    often what it gives is used.
+    """
+    parts = rows.withColumns({"parts": title_parts("title"), "norm": normal_title("title")})
+    tail = F.coalesce(tail_of("parts"), F.lit(""))
+    return parts.withColumns(
+        {"tail_words": place_tokens(tail), "place_words": place_tokens("location")}
+    )
+
+
 def fanout_stems(rows: DataFrame, board: str = "board", least: int = LEAST_TITLES) -> DataFrame:
     """Stems that at least ``least`` distinct titles of a board share."""
-    stems = rows.select(
-        board, title_stem("title").alias("stem"), normal_title("title").alias("norm")
-    ).where(F.col("stem") != F.col("norm"))
+    parts = rows.select(
+        board, title_parts("title").alias("parts"), normal_title("title").alias("norm")
+    )
+    stems = parts.select(board, stem_of("parts").alias("stem"), "norm")
+    stems = stems.where(F.col("stem") != F.col("norm"))
     return (
         stems.groupBy(board, "stem", "norm")
         .agg(F.count("*").alias("n"))
@@ -40,14 +56,13 @@ def fanout_boards(rows: DataFrame, board: str = "board") -> DataFrame:
 
 def token_support(rows: DataFrame, board: str = "board") -> DataFrame:
     """token, in_places and in_titles: on how many boards a word occurs in either."""
-    place = rows.select(board, F.explode(place_tokens("location")).alias("token"))
-    tail = rows.select(
-        board, F.explode(place_tokens(F.coalesce(title_tail("title"), F.lit("")))).alias("token")
-    )
-    tagged = place.distinct().withColumn("kind", F.lit("place")).unionByName(
-        tail.distinct().withColumn("kind", F.lit("title"))
+    sides = F.array(
+        F.struct(F.lit("place").alias("kind"), F.col("place_words").alias("words")),
+        F.struct(F.lit("title").alias("kind"), F.col("tail_words").alias("words")),
     )
-    return tagged.groupBy("token").agg(
+    split = split_titles(rows).select(board, F.explode(sides).alias("s"))
+    tagged = split.select(board, F.col("s.kind").alias("kind"), F.explode("s.words").alias("token"))
+    return tagged.distinct().groupBy("token").agg(
         F.count_if(F.col("kind") == "place").alias("in_places"),
         F.count_if(F.col("kind") == "title").alias("in_titles"),
     )
@@ -74,12 +89,12 @@ def verified_rows(rows: DataFrame, places: DataFrame, board: str = "board") -> D
     be of any size; only postings of fan-out stems take part.
     """
     stems = fanout_stems(rows, board).select(F.col(board).alias("_b"), F.col("stem").alias("_s"))
-    named = rows.select(
+    named = split_titles(rows).select(
         board,
         "pos",
-        title_stem("title").alias("stem"),
-        place_tokens(F.coalesce(title_tail("title"), F.lit(""))).alias("words"),
-        fanout_verdict("title", "location").alias("verdict"),
+        stem_of("parts").alias("stem"),
+        F.col("tail_words").alias("words"),
+        verdict_of(F.col("tail_words"), F.col("place_words")).alias("verdict"),
     )
     kept = named.join(stems, (F.col(board) == F.col("_b")) & (F.col("stem") == F.col("_s")))
     kept = kept.drop("_b", "_s")

@@ -184,10 +184,11 @@ FROM stemmed GROUP BY 1, 2""",
     )
 )
 def stem_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = b.titles(spark, sf_dir).select(
+    parts = b.titles(spark, sf_dir).withColumn("parts", text.title_parts("title"))
+    rows = parts.select(
         "board",
-        text.title_stem("title").alias("stem"),
-        text.title_tail("title").alias("tail"),
+        text.stem_of("parts").alias("stem"),
+        text.tail_of("parts").alias("tail"),
         text.normal_title("title").alias("norm"),
         text.normal_place("location").alias("place"),
     )
