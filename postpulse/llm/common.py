@@ -51,7 +51,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(found)
@@ -68,10 +68,12 @@ def materialized(df: DataFrame, label: str) -> DataFrame:
     It cuts the lineage: a lost executor costs the tasks that ran there, not
     the stages before the table.
     """
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
+    return written(df, fresh_path(df.sparkSession, label))
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postpulse.llm.common import materialized
+from postpulse.llm.common import drop_path, fresh_path, written
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -23,14 +23,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     smaller ones, to the smallest node it sees; rounds grow with the logarithm
     of a component's size.  Both steps are partially aggregated minima and an
     equi-join that adaptive execution may split, so a hub is no single task's
-    burden, and each round is a table in the shared folder.
+    burden, and each round is a table in the shared folder, which goes once the
+    next is written.
     """
+    spark = edges.sparkSession
     a, b = edges.columns
-    current = materialized(
+    path = fresh_path(spark, "edges")
+    current = written(
         edges.where(F.col(a) != F.col(b))
         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .distinct(),
-        "edges",
+        path,
     )
     before = _signature(current)
     for _ in range(max_rounds):
@@ -45,7 +48,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .distinct()
         )
-        large = materialized(large, "large-star")
+        between = fresh_path(spark, "large-star")
+        large = written(large, between)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         least = least.select(F.col("u").alias("k"), "m")
         small = (
@@ -53,9 +57,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .where("v <> m")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
         )
-        current = materialized(
-            small.union(least.select("k", "m")).distinct().toDF("u", "v"), "small-star"
-        )
+        done, path = path, fresh_path(spark, "small-star")
+        current = written(small.union(least.select("k", "m")).distinct().toDF("u", "v"), path)
+        for old in (done, between):
+            drop_path(spark, old)
         after = _signature(current)
         if after == before:
             break
