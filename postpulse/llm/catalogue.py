@@ -90,5 +90,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: All pairs, which is fine for a few hundred vectors and too slow for many.
+OP10_SQL = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+  ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+reach AS (SELECT vec_id, vec_id AS other FROM embeddings
+  UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links, c.component_id,
+  e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY 1) c USING (vec_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it gives a query's very rows; the others are tested by brute force."""
+    return {"op10_embedding_links": OP10_SQL}

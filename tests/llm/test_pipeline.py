@@ -59,3 +59,15 @@ def test_every_operator_has_a_query(spark, sf_dir):
 @pytest.mark.parametrize("name", list(queries()))
 def test_queries_run_whole(spark, sf_dir, name):
     assert queries()[name](spark, sf_dir).count() > 0
+
+
+def test_embedding_links_match_sql(spark, sf_dir):
+    from tests.compare import canonical, connection
+
+    from postpulse.llm.catalogue import oracle_sql
+
+    frame = queries()["op10_embedding_links"](spark, sf_dir)
+    answer = connection(sf_dir).execute(oracle_sql()["op10_embedding_links"])
+    columns = [c[0] for c in answer.description]
+    found = canonical(frame.columns, [tuple(r) for r in frame.collect()])
+    assert found == canonical(columns, answer.fetchall())
