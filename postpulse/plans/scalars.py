@@ -167,7 +167,30 @@ SALARIES = [
 ]
 
 
-@query()
+def _amount_sql(text: str) -> str:
+    return (
+        f"CASE WHEN regexp_matches({text}, '[kK]$') THEN"
+        f" floor(CAST(regexp_replace({text}, '\\s*[kK]$', '') AS DOUBLE) * 1000 + 0.5)::BIGINT"
+        f" ELSE TRY_CAST(regexp_replace({text}, '[,.\\s]', '', 'g') AS BIGINT) END"
+    )
+
+
+_GROUPS = ", ".join(
+    f"regexp_extract_all(body, '{lex.SALARY_RANGE}', {k}) AS g{k}" for k in range(1, 5)
+)
+_CURRENCY = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in lex.CURRENCIES.items())
+SALARY_SQL = f"""
+SELECT t.id, low AS salary_min, high AS salary_max, CASE symbol {_CURRENCY} END AS salary_currency
+FROM t LEFT JOIN (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY high - low DESC, k) AS n FROM (
+    SELECT id, k, {_amount_sql("g2[k]")} AS low, {_amount_sql("g4[k]")} AS high,
+      coalesce(nullif(g1[k], ''), g3[k]) AS symbol
+    FROM (SELECT *, unnest(range(1, len(g2) + 1)) AS k FROM (SELECT id, {_GROUPS} FROM t)))
+  WHERE low >= {lex.SALARY_LEAST} AND high > low AND high <= {lex.SALARY_MOST}) s
+ON s.id = t.id AND s.n = 1"""
+
+
+@query(b.with_ctes((), SALARY_SQL, (b.values_cte("t", ("id", "body"), SALARIES),)))
 def salary_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = b.text_frame(spark, SALARIES, "id int, body string")
     return rows.withColumn("s", text.salary("body")).select("id", "s.*")
