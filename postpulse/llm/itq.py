@@ -28,6 +28,9 @@ FIT_ROWS = 10_000
 ROTATIONS = 2
 CODE_BITS = 64
 SUBSTRING_BITS = 16
+#: Stored rows that a task compares at a time; fuller buckets are split.
+BLOCK_ROWS = 4096
+SALT_BITS = 20
 
 
 @dataclass(frozen=True)
@@ -114,94 +117,191 @@ def _postings(rows: DataFrame, codes: Codes) -> DataFrame:
     return rows.mapInArrow(run, f"key long, probe boolean, id long, {fields}")
 
 
-def _candidates(rows: DataFrame, codes: Codes, most_bits: int) -> DataFrame:
-    """a < b: pairs that meet in a table and differ in at most ``most_bits`` bits in all.
+def _salted(postings: DataFrame) -> DataFrame:
+    """``postings`` with crowded buckets split into blocks of some ``BLOCK_ROWS`` stored rows.
 
-    A pair is reported by the first table in which it meets, once.
+    A stored row goes to one block of its bucket, lookups to all of them.
+    Crowded buckets number at most the stored rows over ``BLOCK_ROWS``, which
+    bounds what is broadcast.
     """
-    n_codes, tables = len(codes.rotations), CODE_BITS // SUBSTRING_BITS
-    lowest = np.uint64((1 << SUBSTRING_BITS) - 1)
-
-    def meets(left: np.ndarray, right: np.ndarray, number: int) -> np.ndarray:
-        c, t = divmod(number, tables)
-        sub = (left[:, c] ^ right[:, c]) >> np.uint64(SUBSTRING_BITS * t)
-        return np.bitwise_count(sub & lowest) <= 1
-
-    def pairs(key: int, stored: tuple, looked: tuple) -> Iterator[np.ndarray]:
-        (ids, own), (others, code) = stored, looked
-        number = key >> SUBSTRING_BITS
-        step = max(1, (1 << 20) // max(1, len(others)))
-        for low in range(0, len(ids), step):
-            block = own[low : low + step]
-            bits = sum(
-                np.bitwise_count(block[:, None, k] ^ code[None, :, k]).astype(np.int16)
-                for k in range(n_codes)
-            )
-            i, j = np.nonzero((bits <= most_bits) & (ids[low : low + step, None] < others[None, :]))
-            if not len(i):
-                continue
-            left, right = block[i], code[j]
-            fresh = np.ones(len(i), dtype=bool)
-            for earlier in range(number):
-                fresh &= ~meets(left, right, earlier)
-            if fresh.any():
-                yield np.column_stack([ids[low + i[fresh]], others[j[fresh]]])
+    stored = postings.where(~F.col("probe")).groupBy("key").agg(F.count("*").alias("n"))
+    crowded = stored.where(F.col("n") > BLOCK_ROWS).select(
+        F.col("key").alias("crowded"), F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks")
+    )
+    joined = postings.join(F.broadcast(crowded), F.col("key") == F.col("crowded"), "left")
+    blocks = F.coalesce("blocks", F.lit(1))
+    own = F.array(F.pmod(F.xxhash64("id"), blocks))
+    salts = F.when(F.col("probe"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(own)
+    rest = [c for c in postings.columns if c != "key"]
+    rows = joined.select("key", F.explode(salts).alias("salt"), *rest)
+    key = F.shiftleft("key", SALT_BITS).bitwiseOR(F.col("salt"))
+    return rows.withColumn("key", key).drop("salt")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, list[pa.Array]]]:
+    """Runs of rows with one key and side; the input is sorted by both."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy()
+        probe = batch.column(1).to_numpy(zero_copy_only=False)
+        change = (np.diff(keys) != 0) | (np.diff(probe.astype(np.int8)) != 0)
+        edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(keys)]
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            part = batch.slice(low, high - low)
+            yield int(keys[low]), bool(probe[low]), part.columns[2:]
+
+
+def _plausible(
+    number: int, ids: np.ndarray, own: np.ndarray, others: np.ndarray, code: np.ndarray, most: int
+) -> np.ndarray:
+    """Which stored rows (by row) and lookups (by column) are a pair to check here.
+
+    The smaller id is the stored one, the codes differ in at most ``most`` bits
+    in all, and no earlier table brings the two together.
+    """
+    tables = CODE_BITS // SUBSTRING_BITS
+    bits = sum(
+        np.bitwise_count(own[:, None, k] ^ code[None, :, k]).astype(np.int16)
+        for k in range(own.shape[1])
+    )
+    pairs = (bits <= most) & (ids[:, None] < others[None, :])
+    i, j = np.nonzero(pairs)
+    if len(i) and number:
+        lowest = np.uint64((1 << SUBSTRING_BITS) - 1)
+        met = np.zeros(len(i), dtype=bool)
+        for earlier in range(number):
+            c, t = divmod(earlier, tables)
+            sub = (own[i, c] ^ code[j, c]) >> np.uint64(SUBSTRING_BITS * t)
+            met |= np.bitwise_count(sub & lowest) <= 1
+        pairs[i[met], j[met]] = False
+    return pairs
+
+
+def _members(rows: DataFrame, codes: Codes, most_bits: int) -> DataFrame:
+    """key, probe, id: in each block, the rows that have somebody to be checked against."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-
-        def groups(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            keys = columns[0]
-            if not len(keys):
-                return
-            edges = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1, append=keys[-1] + 1))
-            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if high - low < 2:
-                    continue
-                probe, ids = columns[1][low:high], columns[2][low:high]
-                code = np.column_stack([c[low:high] for c in columns[3:]]).view(np.uint64)
-                if probe.all():
-                    continue
-                stored, looked = (ids[~probe], code[~probe]), (ids[probe], code[probe])
-                for found in pairs(int(keys[low]), stored, looked):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())],
-                        names=["a", "b"],
-                    )
+        now, ids, own, found = None, [], [], None
+
+        def members(key: int, probe: bool, kept: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(kept), key)),
+                    pa.array(np.full(len(kept), probe)),
+                    pa.array(kept),
+                ],
+                names=["key", "probe", "id"],
+            )
 
-        for batch in batches:
-            if not batch.num_rows:
+        for key, probe, columns in _blocks(batches):
+            if key != now:
+                if found is not None and found.any():
+                    yield members(now, False, ids[0][found])
+                now, ids, own, found = key, [], [], None
+            part = columns[0].to_numpy()
+            code = np.column_stack([c.to_numpy() for c in columns[1:]]).view(np.uint64)
+            if not probe:
+                ids.append(part)
+                own.append(code)
                 continue
-            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            cut = int(np.searchsorted(held[0], held[0][-1]))
-            yield from groups([c[:cut] for c in held])
-            held = [c[cut:] for c in held]
-        if held is not None:
-            yield from groups(held)
-
-    runs = _postings(rows, codes).repartition("key").sortWithinPartitions("key")
-    return runs.mapInArrow(run, "a long, b long")
-
+            if not ids:
+                continue
+            if found is None:
+                ids, own = [np.concatenate(ids)], [np.concatenate(own)]
+                found = np.zeros(len(ids[0]), dtype=bool)
+            step = max(1, (1 << 21) // len(ids[0]))
+            for low in range(0, len(part), step):
+                looked, theirs = part[low : low + step], code[low : low + step]
+                number = key >> (SUBSTRING_BITS + SALT_BITS)
+                pairs = _plausible(number, ids[0], own[0], looked, theirs, most_bits)
+                found |= pairs.any(axis=1)
+                some = pairs.any(axis=0)
+                if some.any():
+                    yield members(key, True, looked[some])
+        if found is not None and found.any():
+            yield members(now, False, ids[0][found])
+
+    runs = _salted(_postings(rows, codes)).repartition("key").sortWithinPartitions("key", "probe")
+    return runs.mapInArrow(run, "key long, probe boolean, id long")
+
+
+def _joined_up(links: np.ndarray, ids: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Edges (two columns) that connect what ``links`` connects, one less than its nodes."""
+    rows, columns = ids.copy(), others.copy()
+    top = np.iinfo(np.int64).max
+    while True:
+        new_columns = np.minimum(columns, np.where(links, rows[:, None], top).min(axis=0))
+        new_rows = np.minimum(rows, np.where(links, new_columns[None, :], top).min(axis=1))
+        if (new_rows == rows).all() and (new_columns == columns).all():
+            break
+        rows, columns = new_rows, new_columns
+    edges = np.concatenate([np.column_stack([ids, rows]), np.column_stack([others, columns])])
+    return edges[edges[:, 0] != edges[:, 1]]
+
+
+def _links(
+    members: DataFrame, classes: DataFrame, codes: Codes, most_bits: int, cosine: float
+) -> DataFrame:
+    """a, b, n: with b null, n of a's links; else an edge of the link graph's components.
 
-def _confirmed(candidates: DataFrame, rows: DataFrame, cosine: float, width: int) -> DataFrame:
-    """The candidates whose original vectors reach ``cosine``."""
+    Cosines are taken block by block between original vectors; a block reports
+    sums and a spanning forest, never its pairs, so a group of near copies
+    costs rows in proportion to its size.
+    """
+    width = codes.rotations[0].shape[0]
+
+    def report(sums: np.ndarray, ids: np.ndarray, edges: np.ndarray) -> pa.RecordBatch:
+        some = sums > 0
+        nodes, ends = edges[:, 0], edges[:, 1]
+        missing = np.concatenate([np.ones(int(some.sum()), bool), np.zeros(len(ends), bool)])
+        b = np.concatenate([np.zeros(int(some.sum()), np.int64), ends])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([ids[some], nodes])),
+                pa.array(b, mask=missing),
+                pa.array(np.concatenate([sums[some], np.zeros(len(ends), np.int64)])),
+            ],
+            names=["a", "b", "n"],
+        )
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, ready = None, [], None
+        for key, probe, columns in _blocks(batches):
+            if key != now:
+                now, held, ready = key, [], None
+            vectors = matrix(columns[2], width)
+            norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+            part = (
+                columns[0].to_numpy(),
+                columns[1].to_numpy(),
+                codes.encode(vectors),
+                vectors / norms,
+            )
+            if not probe:
+                held.append(part)
                 continue
-            left, right = matrix(batch.column(2), width), matrix(batch.column(3), width)
-            norms = np.linalg.norm(left, axis=1) * np.linalg.norm(right, axis=1)
-            value = np.einsum("ij,ij->i", left, right) / norms
-            yield batch.select([0, 1]).filter(pa.array(value >= cosine))
-
-    left = rows.select(F.col("id").alias("a_id"), F.col("embedding").alias("va"))
-    right = rows.select(F.col("id").alias("b_id"), F.col("embedding").alias("vb"))
-    both = candidates.join(left, F.col("a") == F.col("a_id")).join(
-        right, F.col("b") == F.col("b_id")
-    )
-    return both.select("a", "b", "va", "vb").mapInArrow(work, "a long, b long")
+            if not held:
+                continue
+            if ready is None:
+                ready = [np.concatenate(x) for x in zip(*held, strict=True)]
+            ids, sizes, own, unit = ready
+            step = max(1, (1 << 21) // len(ids))
+            for low in range(0, len(part[0]), step):
+                others, counts, code, points = (x[low : low + step] for x in part)
+                number = key >> (SUBSTRING_BITS + SALT_BITS)
+                found = _plausible(number, ids, own, others, code, most_bits)
+                found &= unit @ points.T >= cosine
+                if found.any():
+                    edges = _joined_up(found, ids, others)
+                    yield report(found @ counts, ids, edges)
+                    yield report(found.T @ sizes, others, edges[:0])
+
+    vectors = classes.select(F.col("id").alias("of"), "n", "embedding")
+    rows = members.join(vectors, F.col("id") == F.col("of"))
+    rows = rows.select("key", "probe", "id", "n", "embedding")
+    runs = rows.repartition("key").sortWithinPartitions("key", "probe")
+    return runs.mapInArrow(run, "a long, b long, n long")
 
 
 def near_duplicates(
@@ -225,20 +325,16 @@ def near_duplicates(
     classes = able.groupBy("embedding").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     classes = materialized(classes, "classes")
     if not width:
-        found = spark.createDataFrame([], "a long, b long")
+        found = spark.createDataFrame([], "a long, b long, n long")
     else:
         codes = learn(sample_rows(classes, FIT_ROWS, width))
         most = plausible_bits(cosine, ROTATIONS * min(width, CODE_BITS))
-        plausible = _candidates(classes.select("id", "embedding"), codes, most)
-        found = materialized(_confirmed(plausible, classes, cosine, width), "links")
-    sizes = classes.select(F.col("id").alias("of"), "n")
-    both = found.union(found.select("b", "a")).toDF("id", "other")
+        members = _members(classes.select("id", "embedding"), codes, most)
+        found = materialized(_links(members, classes, codes, most, cosine), "links")
     degrees = (
-        both.join(sizes, F.col("other") == F.col("of"))
-        .groupBy("id")
-        .agg(F.sum("n").alias("others"))
+        found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
     )
-    linked = components(found)
+    linked = components(found.where("b is not null").select("a", "b"))
     facts = (
         classes.join(degrees.toDF("d_id", "others"), F.col("id") == F.col("d_id"), "left")
         .join(linked, F.col("id") == F.col("node"), "left")
