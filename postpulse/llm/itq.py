@@ -11,7 +11,7 @@ whole codes leave plausible is decided by the cosine of the original vectors.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -138,18 +138,25 @@ def _salted(postings: DataFrame) -> DataFrame:
     return rows.withColumn("key", key).drop("salt")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, list[pa.Array]]]:
-    """Runs of rows with one key and side; the input is sorted by both."""
+def _blocks(
+    batches: Iterator[pa.RecordBatch], arrays: Callable[[pa.RecordBatch], list[np.ndarray]]
+) -> Iterator[tuple[int, bool, list[np.ndarray]]]:
+    """Runs of rows with one key and side, as slices of what ``arrays`` makes of a batch.
+
+    The input is sorted by both.  A batch is converted once, as most runs are short.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
         keys = batch.column(0).to_numpy()
         probe = batch.column(1).to_numpy(zero_copy_only=False)
+        columns = arrays(batch)
         change = (np.diff(keys) != 0) | (np.diff(probe.astype(np.int8)) != 0)
         edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(keys)]
-        for low, high in zip(edges[:-1], edges[1:], strict=True):
-            part = batch.slice(low, high - low)
-            yield int(keys[low]), bool(probe[low]), part.columns[2:]
+        firsts = np.array(edges[:-1])
+        runs = zip(edges[:-1], edges[1:], keys[firsts].tolist(), probe[firsts].tolist(), strict=True)
+        for low, high, key, side in runs:
+            yield key, side, [c[low:high] for c in columns]
 
 
 def _plausible(
@@ -194,13 +201,15 @@ def _members(rows: DataFrame, codes: Codes, most_bits: int) -> DataFrame:
                 names=["key", "probe", "id"],
             )
 
-        for key, probe, columns in _blocks(batches):
+        def arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
+            code = np.column_stack([c.to_numpy() for c in batch.columns[3:]]).view(np.uint64)
+            return [batch.column(2).to_numpy(), code]
+
+        for key, probe, (part, code) in _blocks(batches, arrays):
             if key != now:
                 if found is not None and found.any():
                     yield members(now, False, ids[0][found])
                 now, ids, own, found = key, [], [], None
-            part = columns[0].to_numpy()
-            code = np.column_stack([c.to_numpy() for c in columns[1:]]).view(np.uint64)
             if not probe:
                 ids.append(part)
                 own.append(code)
@@ -267,17 +276,15 @@ def _links(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, ready = None, [], None
-        for key, probe, columns in _blocks(batches):
+        def arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
+            vectors = matrix(batch.column(4), width)
+            unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+            ids, sizes = (batch.column(k).to_numpy() for k in (2, 3))
+            return [ids, sizes, codes.encode(vectors), unit]
+
+        for key, probe, part in _blocks(batches, arrays):
             if key != now:
                 now, held, ready = key, [], None
-            vectors = matrix(columns[2], width)
-            norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-            part = (
-                columns[0].to_numpy(),
-                columns[1].to_numpy(),
-                codes.encode(vectors),
-                vectors / norms,
-            )
             if not probe:
                 held.append(part)
                 continue
