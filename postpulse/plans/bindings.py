@@ -102,8 +102,9 @@ FAMILIES = {
 def families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles with a family by part type, on boards that specialise.
 
-    Two thirds of a board's titles that are not its speciality are left out, so
-    that modes stand out; junk stays on every fifth board only.
+    Eleven twelfths of a board's titles that are not its speciality are left out,
+    so that modes stand out; junk stays on every fifth board only.  The SQL of the
+    same name leaves out the same rows.
     """
     base = titles(spark, sf_dir)
     table_ = F.create_map(*[F.lit(x) for p in FAMILIES.items() for x in p])
