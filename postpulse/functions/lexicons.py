@@ -142,28 +142,294 @@ TOKEN_SUFFIXES = (
     "company international"
 ).split()
 
-#: A small default; the full industry lexicon is a parameter of ``classify_token``.
-#: (family, key, mode, blockers) in order of precedence.
+#: Industry keys of tokens as (family, key, mode, blockers), in order of precedence.
 TOKEN_KEYS = (
     ("healthcare", "veterinar", "sub", ()),
     ("healthcare", "vet", "end", ()),
     ("healthcare", "hospice", "sub", ()),
+    ("healthcare", "dentist", "sub", ()),
     ("healthcare", "dental", "sub", ()),
+    ("healthcare", "orthodon", "sub", ()),
+    ("healthcare", "pediatric", "sub", ()),
+    ("healthcare", "oncology", "sub", ()),
+    ("healthcare", "surgical", "sub", ()),
+    ("healthcare", "surgery", "sub", ()),
+    ("healthcare", "nursing", "sub", ()),
     ("healthcare", "hospital", "sub", ()),
-    ("healthcare", "care", "sub", ("careers", "career", "daycare", "childcare")),
-    ("engineering", "robotics", "sub", ()),
+    ("healthcare", "clinic", "sub", ()),
+    ("healthcare", "pharmac", "sub", ()),
+    ("healthcare", "psychiatr", "sub", ()),
+    ("healthcare", "medical", "sub", ()),
+    ("healthcare", "healthcare", "sub", ()),
+    ("healthcare", "homehealth", "sub", ()),
+    ("healthcare", "care", "sub", ("career", "careers", "daycare", "childcare")),
+    ("healthcare", "health", "sub", ()),
+    ("fitness_wellness", "crossfit", "sub", ()),
+    ("fitness_wellness", "fitness", "sub", ()),
+    ("fitness_wellness", "pilates", "sub", ()),
+    ("fitness_wellness", "yoga", "sub", ()),
+    ("fitness_wellness", "wellness", "sub", ()),
+    ("fitness_wellness", "gym", "sub", ("energym",)),
+    ("education", "childcare", "sub", ()),
+    ("education", "montessori", "sub", ()),
+    ("education", "preschool", "sub", ()),
+    ("education", "daycare", "sub", ()),
+    ("education", "charterschool", "sub", ()),
+    ("education", "school", "sub", ()),
+    ("education", "academy", "sub", ()),
+    ("education", "tutor", "sub", ()),
+    ("education", "universit", "sub", ()),
+    ("education", "college", "sub", ()),
+    ("education", "campus", "sub", ()),
+    ("education", "education", "sub", ()),
+    ("retail_food", "restaurant", "sub", ()),
+    ("retail_food", "coffee", "sub", ()),
+    ("retail_food", "pizza", "sub", ()),
+    ("retail_food", "burger", "sub", ()),
+    ("retail_food", "brewing", "sub", ()),
+    ("retail_food", "brewery", "sub", ()),
+    ("retail_food", "bakery", "sub", ()),
+    ("retail_food", "grocery", "sub", ()),
+    ("retail_food", "foods", "sub", ()),
+    ("retail_food", "retail", "sub", ()),
+    ("retail_food", "salon", "sub", ()),
+    ("skilled_trades", "plumbing", "sub", ()),
+    ("skilled_trades", "hvac", "sub", ()),
+    ("skilled_trades", "roofing", "sub", ()),
+    ("skilled_trades", "landscap", "sub", ()),
+    ("skilled_trades", "restoration", "sub", ()),
+    ("skilled_trades", "construction", "sub", ()),
+    ("skilled_trades", "contractor", "sub", ()),
+    ("logistics", "logistics", "sub", ()),
+    ("logistics", "freight", "sub", ()),
+    ("logistics", "trucking", "sub", ()),
+    ("logistics", "courier", "sub", ()),
+    ("logistics", "warehouse", "sub", ()),
+    ("corporate", "staffing", "sub", ()),
+    ("corporate", "recruit", "sub", ()),
+    ("corporate", "insurance", "sub", ()),
+    ("corporate", "mortgage", "sub", ()),
+    ("corporate", "realestate", "sub", ()),
+    ("corporate", "realty", "sub", ()),
+    ("corporate", "wealth", "sub", ()),
+    ("corporate", "accounting", "sub", ()),
+    ("corporate", "financial", "sub", ()),
+    ("corporate", "capital", "sub", ()),
+    ("corporate", "bank", "sub", ("burbank", "bankok")),
+    ("corporate", "attorney", "sub", ()),
+    ("corporate", "consulting", "sub", ()),
+    ("corporate", "law", "sub", ("malawi", "delaware", "claw", "lawn", "lawson", "lawrence")),
+    ("corporate", "legal", "sub", ()),
     ("engineering", "software", "sub", ()),
+    ("engineering", "robotics", "sub", ()),
+    ("engineering", "cybersec", "sub", ()),
+    ("engineering", "technologies", "sub", ()),
+    ("engineering", "labs", "sub", ()),
 )
 
-#: A small default; the full title lexicon is a parameter of ``classify_title``.
-#: (family, keys) in order of precedence; keys match the padded normalised title.
+#: Fixed values: (family, keys) in order of precedence; keys match the padded normalised title.
+#: A key with a space has its punctuation folded, as titles have; others stay as they are.
 TITLE_FAMILIES = (
-    ("recruitment_ad", ("work from home", "be your own boss")),
-    ("volunteer", ("volunteer",)),
-    ("engineering", ("software", "engineer", "developer", "devops")),
-    ("data", ("data scientist", "analytics", "machine learning")),
-    ("sales", ("account executive", "sales")),
-    ("healthcare", ("nurse", "physician", "therapist")),
-    ("operations", ("operations", "warehouse", "driver")),
-    ("generic", ("manager", "associate", "specialist")),
+    ("recruitment_ad", RECRUITMENT_PHRASES),
+    ("volunteer", VOLUNTEER_PHRASES),
+    (
+        "ai_gig_work",
+        (
+            "ai trainer", "ai training", "ai tutor", "annotator",
+        ),
+    ),
+    (
+        "engineering",
+        (
+            "software engineer", "software developer", "backend", "back end", "back-end",
+            "frontend", "front end", "front-end", "full stack", "fullstack", "full-stack", "devops",
+            "site reliability", " sre", "platform engineer", "data engineer", "machine learning",
+            " ml ", "ai engineer", "data scientist", "security engineer", "qa engineer",
+            "test engineer", "automation engineer", "mobile engineer", "ios engineer",
+            "android engineer", "ios developer", "android developer", "web developer", "programmer",
+            "software architect", "solutions architect", "cloud engineer",
+            "infrastructure engineer", "systems engineer", "network engineer", "firmware",
+            "embedded", "developer advocate", "engineering manager", "staff engineer",
+            "principal engineer", "senior engineer", "software qa", "sdet",
+            "database administrator", "data analyst", "analytics engineer", "application engineer",
+            "integration engineer", "api engineer", "laravel", "react", "angular", "vue ",
+            "node js", "nodejs", "python", "golang", " java ", "javascript", "typescript",
+            "ruby on rails", " rails ", " php ", " net ", "kotlin", "salesforce", "sharepoint",
+            "servicenow", "engineering lead", "technical lead", "tech lead", "lead engineer",
+            "lead developer", "product engineer", "principal software", "staff software",
+            "software qa", "sre ", "devsecops", "data platform", "bioinformatic", "computer vision",
+            "nlp ", "llm ", "cybersecurity", "cyber security", "penetration test", "blockchain",
+            "smart contract", "game developer", "unity developer", "unreal",
+            "technical program manager", "technical writer", "solution engineer",
+            "forward deployed",
+        ),
+    ),
+    (
+        "engineering_nonsoftware",
+        (
+            "electrical engineer", "mechanical engineer", "civil engineer", "structural engineer",
+            "chemical engineer", "industrial engineer", "manufacturing engineer",
+            "process engineer", "quality engineer", "environmental engineer", "geotechnical",
+            "petroleum engineer", "mining engineer", "aerospace engineer", "field engineer",
+            "service engineer", "maintenance engineer", "project engineer", "design engineer",
+            "packaging engineer", "facilities engineer", "sales engineer", "stationary engineer",
+            "building engineer", "controls engineer", "safety engineer", "engineering technician",
+            "cad ", "drafter", "surveyor", "architect ", "estimator",
+        ),
+    ),
+    (
+        "healthcare",
+        (
+            "nurse", " rn ", "rn ", "lpn", "cna ", "certified nursing", "physician", "clinician",
+            "clinical", "therapist", "therapy", "caregiver", "care giver", "home health", "hha",
+            "medical assistant", "pharmac", "dental", "dentist", "radiolog", "phlebotom",
+            "sonograph", "respiratory", "surgical tech", "patient care", "behavioral health",
+            "social worker", "psychiatr", "psycholog", "veterinar", "paramedic", "emt", "midwife",
+            "optometr", "occupational health", "speech language", "dietitian", "nursing", "band 5",
+            "band 6", "band 7", "band 8", "locum", "radiographer", "echocardiograph",
+            "cardiac physiologist", "biomedical scientist", "audiologist", "dosimetrist",
+            "vascular scientist", "accident emergency", "medical secretary", "histolog",
+            "haematolog", "medical receptionist", "medical director", "medical officer",
+            "telehealth", "dialysis", "podiatr", "gynecolog", "gynaecolog", "endocrinolog",
+            "oncolog", "cardiolog", "dermatolog", "rheumatolog", "urolog", "anesthesiolog",
+            "anaesthet", "patholog", "orthopaed", "direct support professional", "direct care",
+            "bcba", "support worker",
+        ),
+    ),
+    (
+        "fitness_wellness",
+        (
+            "fitness instructor", "group fitness", "yoga instructor", "pilates", "barre ", "zumba",
+            "spin instructor",
+        ),
+    ),
+    (
+        "education",
+        (
+            "tutor", "teacher", "teaching", "instructor", "educator", "paraprofessional",
+            "professor", "lecturer", "curriculum", "substitute", "preschool", "childcare",
+            "child care", "school psycholog", "principal ", "academic",
+        ),
+    ),
+    (
+        "skilled_trades",
+        (
+            "technician", "electrician", "plumber", "hvac", "welder", "mechanic", "machinist",
+            "maintenance", "installer", "carpenter", "construction", "foreman", "lineman",
+            "millwright", "field service", "laborer", "painter", "roofer",
+        ),
+    ),
+    (
+        "logistics",
+        (
+            "driver", "cdl", "warehouse", "forklift", "delivery", "courier", "picker", "packer",
+            "dispatcher", "logistics", "supply chain", "fulfillment", "material handler", "loader",
+            "shipping", "freight", "yard ",
+        ),
+    ),
+    (
+        "retail_food",
+        (
+            "sales associate", "cashier", "store manager", "retail", "barista", "cook", "server ",
+            "waiter", "waitress", "bartender", "restaurant", "shift lead", "shift supervisor",
+            "busser", "dishwasher", "host/hostess", "crew member", "team member", "stocker",
+            "merchandiser", "housekeep", "janitor", "custodian", "security officer",
+            "security guard", "front desk", "concierge", "valet", "kitchen",
+        ),
+    ),
+    (
+        "events",
+        (
+            "conference", "event manager", "event operations", "event producer",
+            "event coordinator", "event organiser", "event executive", "event planner",
+            "event specialist", "events ",
+        ),
+    ),
+    (
+        "media_production",
+        (
+            "journalist", "videograph", "photograph", "animator", "camera operator",
+            "motion graphics", "audio engineer", "story desk", "video editor", "content editor",
+            "copy editor", "managing editor", "video producer",
+        ),
+    ),
+    (
+        "sales_marketing",
+        (
+            "account executive", "sales", "business development", "bdr", "sdr", "marketing",
+            "growth", "account manager", "customer success", "partnerships", "brand ",
+            "content strategist", "seo", "demand generation", "revenue operations",
+            "solutions consultant", "pre-sales", "copywriter", "communications", "public relations",
+        ),
+    ),
+    (
+        "product_design",
+        (
+            "product manager", "product owner", "designer", " ux", "ux ", " ui", "user experience",
+            "user research", "product design", "graphic design", "creative director",
+            "art director", "illustrator", "motion design",
+        ),
+    ),
+    (
+        "corporate",
+        (
+            "accountant", "accounting", "finance", "controller", "auditor", "tax ", "payroll",
+            "recruiter", "talent acquisition", "human resources", " hr ", "people operations",
+            "legal", "counsel", "paralegal", "compliance", "procurement", "office manager",
+            "attorney", "lawyer", "litigation", "ediscovery", "e discovery", "document review",
+            "law clerk", "investigator", "executive assistant", "administrative assistant",
+            "operations manager", "project manager", "program manager", "business analyst",
+            "consultant", "strategy", "chief ", "president", "vice president", "director of",
+            "coordinator", "specialist", "analyst",
+        ),
+    ),
+    (
+        "support",
+        (
+            "customer support", "customer service", "support engineer", "technical support",
+            "help desk", "helpdesk", "call center", "contact center", "client services",
+        ),
+    ),
+    (
+        "fitness_wellness",
+        (
+            "personal trainer", "personal training", "fitness", "kids club", "gym ",
+            "membership advisor", "member experience", "spa ", "yoga", "pilates", "wellness",
+            "massage",
+        ),
+    ),
+    (
+        "retail_food_generic",
+        (
+            "assistant manager", "general manager", "store associate", "service associate",
+            "sales representative", "seasonal", "product guide", "car detailer",
+        ),
+    ),
+    (
+        "non_english",
+        (
+            "h f", "temps plein", "temps partiel", "vendeur", "vendeuse", "auxiliaire de vie",
+            "aide a domicile", "chargé", "charge de", "responsable", "stage ", "alternance",
+            "conseiller", "assistante", "technicien", "ingénieur", "ingenieur", "consultor",
+            "comercial", "vaga", "analista", "gerente", "auxiliar", "estagi", "agente di",
+            "commercio", "addetto", "impiegat", "operaio", "stagista", "gestor", "atendimento",
+            "desenvolvedor", "ventas", "asesor", "mitarbeiter", "praktikum", "ausbildung",
+            "werkstudent", "medewerker", "stagiair", "ind pendant", "ceptionniste", "pr pos",
+            "t cnico", "seguran a", "chauffeur",
+        ),
+    ),
+    (
+        "engineering",
+        (
+            "engineer", "developer", "programmer", " devops", "software",
+        ),
+    ),
+    (
+        "generic",
+        (
+            "associate", "coordinator", "specialist", "assistant", "manager", "supervisor",
+            "representative", "lead", "intern", "apprentice", "trainee", "clerk", "agent",
+            "officer", "administrator", "operator", "attendant", "aide", "advisor", "adviser",
+        ),
+    ),
 )

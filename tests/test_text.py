@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from postpulse.functions import lexicons as lex
 from postpulse.functions import text
 
 
@@ -127,3 +128,54 @@ def test_wilson(spark):
     rows = frame.select(text.wilson(F.col("k"), F.col("n")).alias("w")).collect()
     assert tuple(rows[0].w) == (0.0, 1.0)
     assert rows[1].w.low == pytest.approx(0.5655, abs=1e-3) and rows[1].w.high == 1.0
+
+
+@pytest.mark.parametrize(
+    ("title", "family"),
+    [
+        ("Break free of the 9-5!", "recruitment_ad"),
+        ("German Language Specialist (Freelance AI Trainer Project)", "ai_gig_work"),
+        ("Group Fitness Instructor", "fitness_wellness"),
+        ("Maintenance Engineer", "engineering_nonsoftware"),
+        ("RN - Night Shift", "healthcare"),
+        ("Substitute Teacher", "education"),
+        ("Conference Room AV Technician", "skilled_trades"),
+        ("Event Producer", "events"),
+        ("Video Editor", "media_production"),
+        ("Trial Attorney", "corporate"),
+        ("Help Desk", "support"),
+        ("Commercial·e terrain indépendant", "non_english"),
+        ("Engineer II", "engineering"),
+        ("Supervisor", "generic"),
+        ("Blacksmith", "other"),
+    ],
+)
+def test_title_lexicon_is_whole(spark, title, family):
+    assert value(spark, text.classify_title("t"), t=title) == family
+    assert (value(spark, text.title_key("t"), t=title) or {"family": "other"})["family"] == family
+
+
+@pytest.mark.parametrize(
+    ("token", "family", "key"),
+    [
+        ("thomasvillechildcare", "education", "childcare"),
+        ("australianenergymarketoperator", None, None),
+        ("irongym", "fitness_wellness", "gym"),
+        ("burbankpizza", "retail_food", "pizza"),
+        ("delawareclaw", None, None),
+        ("parnalllaw", "corporate", "law"),
+        ("springhealth", "healthcare", "health"),
+        ("acmetrucking", "logistics", "trucking"),
+        ("cityvetinc", "healthcare", "vet"),
+    ],
+)
+def test_token_lexicon_is_whole(spark, token, family, key):
+    found = value(spark, text.classify_token("t"), t=token)
+    assert (found["family"] if found else None, found["key"] if found else None) == (family, key)
+
+
+def test_lexicon_sizes():
+    assert len(lex.TITLE_FAMILIES) == 22
+    assert len({f for f, _ in lex.TITLE_FAMILIES}) == 20
+    assert sum(len(keys) for _, keys in lex.TITLE_FAMILIES) == 511
+    assert len(lex.TOKEN_KEYS) == 81
