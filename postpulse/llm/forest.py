@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postpulse.llm.common import materialized, picked
-from postpulse.llm.vectors import dimension, matrix, sample_rows, usable
+from postpulse.llm.vectors import lengths, matrix, sample_rows, usable
 
 #: Vectors that the splits are fitted on at most; every vector is indexed.
 FIT_ROWS = 10_000
@@ -170,18 +171,33 @@ def neighbours(
     """query_id, rank, id and score of the ``k`` nearest found of every query row.
 
     ``is_query`` is a condition on column ``id``.  Vectors that are null or
-    zero, hold null or non-finite components or are not of the commonest
-    length take no part, nor do null ids.  Ids are taken to be distinct.
+    zero or hold null or non-finite components take no part, nor do null ids.
+    Neighbours have the query's length; each length has a forest of its own.
+    Ids are taken to be distinct.
     """
     rows = picked(df, id=id_col, embedding=vector_col)
     rows = rows.where(F.col("id").isNotNull() & usable())
-    width = dimension(rows)
-    rows = rows.where(F.size("embedding") == width)
     rows = materialized(rows.withColumn("id", F.col("id").cast("long")), "vectors")
-    spark = df.sparkSession
-    schema = "query_id long, rank int, id long, score double"
-    if not width:
-        return spark.createDataFrame([], schema)
+    found = [
+        _of_length(rows.where(F.size("embedding") == width), is_query, k, trees, depth, coverage, width)
+        for width, _ in lengths(rows)
+    ]
+    if not found:
+        schema = "query_id long, rank int, id long, score double"
+        return df.sparkSession.createDataFrame([], schema)
+    return reduce(DataFrame.union, found)
+
+
+def _of_length(
+    rows: DataFrame,
+    is_query: F.Column,
+    k: int,
+    trees: int,
+    depth: int,
+    coverage: float,
+    width: int,
+) -> DataFrame:
+    """``neighbours`` among ``rows`` (columns id, embedding), all vectors of length ``width``."""
     squares = F.aggregate(
         "embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")
     )

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from postpulse.llm.common import materialized, picked
 from postpulse.llm.graph import components
-from postpulse.llm.vectors import dimension, matrix, sample_rows, usable
+from postpulse.llm.vectors import lengths, matrix, sample_rows, usable
 
 #: Vectors that the rotations are learned from at most.
 FIT_ROWS = 10_000
@@ -51,11 +51,19 @@ class Codes:
         return np.column_stack(out).astype(np.uint64)
 
 
+def one_code(width: int, rotations: int = ROTATIONS) -> Codes:
+    """The same code for every vector, so that every pair is checked."""
+    return Codes(np.zeros(width), (np.zeros((width, 1)),) * rotations)
+
+
 def learn(sample: np.ndarray, rotations: int = ROTATIONS, rounds: int = 40, seed: int = 5) -> Codes:
-    """PCA, then for each rotation alternate between codes and the best rotation to them."""
+    """PCA, then for each rotation alternate between codes and the best rotation to them.
+
+    Too few vectors teach nothing (centred, two near ones are opposites) and get one code.
+    """
     width = sample.shape[1]
-    if not len(sample):
-        return Codes(np.zeros(width), (np.eye(width, min(width, CODE_BITS)),) * rotations)
+    if len(sample) < min(2 * width, BLOCK_ROWS):
+        return one_code(width, rotations)
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     centre = unit.mean(axis=0)
     _, vectors = np.linalg.eigh(np.cov((unit - centre).T).reshape(width, width))
@@ -319,25 +327,27 @@ def near_duplicates(
 ) -> DataFrame:
     """id, n_links and component_id of every row.
 
-    Vectors that are null or zero, hold null or non-finite components, or are
-    not of the commonest length link with nothing.  Equal vectors collapse to
-    one class first (its smallest id, its size), so copies are counted, never
-    paired.  Ids are taken to be distinct; a null id keeps its row, unlinked.
+    Vectors that are null or zero or hold null or non-finite components link
+    with nothing, others with vectors of their own length.  Each length has an
+    index of its own; of a length that is not the commonest, up to
+    ``BLOCK_ROWS`` different vectors are all compared.  Equal vectors collapse
+    to one class first (its smallest id, its size), so copies are counted,
+    never paired.  Ids are taken to be distinct; a null id keeps its row,
+    unlinked.
     """
     spark = df.sparkSession
     rows = materialized(picked(df, id=id_col, embedding=vector_col), "vectors")
     able = rows.where(F.col("id").isNotNull() & usable())
-    width = dimension(able)
-    able = able.where(F.size("embedding") == width)
     classes = able.groupBy("embedding").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     classes = materialized(classes, "classes")
-    if not width:
-        found = spark.createDataFrame([], "a long, b long, n long")
-    else:
-        codes = learn(sample_rows(classes, FIT_ROWS, width))
+    found = spark.createDataFrame([], "a long, b long, n long")
+    for place, (width, n) in enumerate(lengths(classes)):
+        own = classes.where(F.size("embedding") == width)
+        few = place > 0 and n <= BLOCK_ROWS
+        codes = one_code(width) if few else learn(sample_rows(own, FIT_ROWS, width))
         most = plausible_bits(cosine, ROTATIONS * min(width, CODE_BITS))
-        members = _members(classes.select("id", "embedding"), codes, most)
-        found = materialized(_links(members, classes, codes, most, cosine), "links")
+        members = _members(own.select("id", "embedding"), codes, most)
+        found = found.union(materialized(_links(members, own, codes, most, cosine), "links"))
     degrees = (
         found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
     )
@@ -354,7 +364,7 @@ def near_duplicates(
     linked_rows = able.join(facts, F.col("embedding") == F.col("vector")).select(
         "id", "n_links", "component_id"
     )
-    fine = F.col("id").isNotNull() & usable() & (F.size("embedding") == width)
+    fine = F.col("id").isNotNull() & usable()
     others = rows.where(~F.coalesce(fine, F.lit(False)))
     return linked_rows.union(
         others.select("id", F.lit(0).cast("long"), F.col("id").alias("component_id"))

@@ -15,11 +15,11 @@ def usable(column: str = "embedding") -> F.Column:
     return c.isNotNull() & fine & F.exists(c, lambda x: x != 0)
 
 
-def dimension(df: DataFrame, column: str = "embedding") -> int:
-    """The commonest length of the vectors (ties: the longest); 0 without any."""
+def lengths(df: DataFrame, column: str = "embedding") -> list[tuple[int, int]]:
+    """(length, rows) of each length with two vectors at least, commonest first (ties: the longest)."""
     sizes = df.groupBy(F.size(column).alias("d")).agg(F.count("*").alias("n"))
-    top = sizes.orderBy(F.desc("n"), F.desc("d")).first()
-    return int(top["d"]) if top else 0
+    found = sizes.where("n > 1").orderBy(F.desc("n"), F.desc("d")).collect()
+    return [(int(r["d"]), int(r["n"])) for r in found]
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:

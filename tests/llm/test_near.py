@@ -200,3 +200,49 @@ def test_fewer_candidates_than_wanted(spark):
     rows = [(k, [float(k), 1.0]) for k in range(4)]
     found = forest.neighbours(vectors(spark, rows), F.col("id") == 0, k=20).collect()
     assert sorted(r.id for r in found) == [1, 2, 3]
+
+
+def mixed_lengths():
+    """More vectors of length 12 than of 8, 3 and 2, and one of length 5."""
+    draw = np.random.default_rng(4)
+    near = lambda n, width: (draw.normal(size=width) + draw.normal(scale=0.05, size=(n, width))).tolist()
+    return [*near_set(10, 6, 12), *near(9, 8), *near_set(4, 3, 8), *near(2, 3), [1.0, 2.0], [1.0, 2.1], [1.0] * 5]
+
+
+def test_embedding_links_of_every_length(spark):
+    rows = mixed_lengths()
+    found = {r.id: r for r in itq.near_duplicates(vectors(spark, enumerate(rows))).collect()}
+    unit = [np.float32(v).astype(np.float64) for v in rows]
+    unit = [v / np.linalg.norm(v) for v in unit]
+    union, links = Union(len(rows)), np.zeros(len(rows), dtype=int)
+    for a, x in enumerate(unit):
+        for b, y in enumerate(unit):
+            if a != b and len(x) == len(y) and x @ y >= 0.95:
+                links[a] += 1
+                union.join(a, b)
+    others = [k for k, v in enumerate(rows) if len(v) != 12]
+    assert links[others].sum() >= 9 * 8 + 4
+    assert len(found) == len(rows)
+    for k in others:
+        assert (found[k].n_links, found[k].component_id) == (links[k], union.find(k))
+
+
+def test_links_of_two_vectors(spark):
+    one = np.random.default_rng(6).normal(size=64).tolist()
+    rows = [(0, one), (1, [one[0] + 0.2, *one[1:]])]
+    found = itq.near_duplicates(vectors(spark, rows)).collect()
+    assert sorted((r.id, r.n_links, r.component_id) for r in found) == [(0, 1, 0), (1, 1, 0)]
+
+
+def test_neighbours_of_every_length(spark):
+    from pyspark.sql import functions as F
+
+    rows = mixed_lengths()
+    found = forest.neighbours(vectors(spark, enumerate(rows)), F.col("id") >= 0, k=5).collect()
+    exact = [np.float32(v).astype(np.float64) for v in rows]
+    for query, x in enumerate(exact):
+        scores = {k: y @ x for k, y in enumerate(exact) if k != query and len(y) == len(x)}
+        best = sorted(scores, key=lambda k: (-scores[k], k))[:5]
+        own = sorted((r for r in found if r.query_id == query), key=lambda r: r.rank)
+        assert [r.rank for r in own] == list(range(1, len(best) + 1))
+        assert np.allclose([r.score for r in own], [scores[k] for k in best])
