@@ -166,15 +166,17 @@ class Decoder:
         self._classes = {EDGE: 0}
         self._left = [field.left.get(EDGE, self._none)]
         self._right = [field.right.get(EDGE, self._none)]
-        self._forms: dict[str, int] = {}
+        self._forms: dict[str | tuple[str, ...], int] = {}
         self._own: list[np.ndarray] = []
         self._class_of: list[int] = []
         self._words: dict[str, int] = {}
         self._most = memo
 
     def _form(self, word: str) -> int:
-        form = shape(word[:64])
-        found = self._forms.get(form)
+        form = shape(word)
+        # A long shape is held by its features, which are short and all that counts.
+        held = form if len(form) <= 64 else features(form)
+        found = self._forms.get(held)
         if found is None:
             own = [self._field.own.get(f, self._none) for f in features(form)]
             name = shape_class(form)
@@ -182,7 +184,7 @@ class Decoder:
                 self._classes[name] = len(self._classes)
                 self._left.append(self._field.left.get(name, self._none))
                 self._right.append(self._field.right.get(name, self._none))
-            found = self._forms[form] = len(self._own)
+            found = self._forms[held] = len(self._own)
             self._own.append(np.sum(own, axis=0))
             self._class_of.append(self._classes[name])
         if len(self._words) < self._most and len(word) <= 40:

@@ -232,3 +232,14 @@ def test_fit_is_as_near_as_a_full_search(pairs, budget, exact):
     for size, spare in zip(lengths.tolist(), (counts - base).tolist(), strict=True):
         sums = {s + k * size for s in sums for k in range(spare + 1)}
     assert total == max(s for s in sums if s <= budget)
+
+
+def test_long_words_count_whole():
+    decoder = crf.Decoder(pii.trained_field())
+    letters = decoder._form("a" * 64)
+    assert decoder._form("a" * 65) == letters
+    assert decoder._form("a" * 64 + "12345") != letters
+    assert decoder._form("a" * 64 + "12345") == decoder._form("a12345")
+    mixed = "aB" * 40
+    assert decoder._form(mixed + "12345") != decoder._form(mixed)
+    assert all(len(k) <= 64 for k in decoder._forms)
