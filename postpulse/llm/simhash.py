@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from postpulse.llm.common import map_batches, materialized, picked
 from postpulse.llm.graph import components
@@ -200,6 +201,17 @@ def near_duplicates(
     their component no name (null if it has no other).  Copies collapse to one
     fingerprint before any comparison; texts themselves are never shuffled.
     """
+    return _grouped(df, max_bits, words, id_col, text_col).drop("component")
+
+
+def _grouped(
+    df: DataFrame,
+    max_bits: int = MAX_BITS,
+    words: int = SHINGLE_WORDS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """``near_duplicates`` with the component's smallest fingerprint, which no other has."""
     docs = materialized(fingerprints(df, words, id_col, text_col), "fingerprints")
     classes = docs.groupBy("fp").agg(F.min("doc_id").alias("first"))
     classes = materialized(classes, "classes")
@@ -210,23 +222,59 @@ def near_duplicates(
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     smallest = smallest.select(F.col("component").alias("of"), "component_id")
     of_class = named.join(smallest, F.col("component") == F.col("of"))
-    of_class = of_class.select(F.col("fp").alias("same_fp"), "component_id")
+    of_class = of_class.select(F.col("fp").alias("same_fp"), "component", "component_id")
     return docs.join(of_class, F.col("fp") == F.col("same_fp")).select(
-        "doc_id", "fp", "component_id"
+        "doc_id", "fp", "component", "component_id"
     )
 
 
-def first_of_each(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of their group, one for each id.
+def _with_print(df: DataFrame, text_col: str, words: int) -> DataFrame:
+    """``df`` and its texts' fingerprints in column ``_fp``."""
+    place = df.columns.index(text_col)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(place).cast(pa.binary()).to_pylist()
+        found = np.array([fingerprint(t or b"", words) for t in texts], dtype=np.uint64)
+        columns = [*batch.columns, pa.array(found.view(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "_fp"])
+
+    return map_batches(df, work, StructType([*df.schema.fields, StructField("_fp", LongType())]))
+
+
+def first_of_each(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = SHINGLE_WORDS,
+    **options,
+) -> DataFrame:
+    """Of each group one row with its smallest id.
 
     Rows with a null id belong to no group's choice and stay.  The anti-join
-    and the choice among repeated ids share one partitioning by id.
+    and the choice among repeated rows share one partitioning by id.  Only ids
+    with several fingerprints, if any, are decided row by row: there a group
+    keeps its smallest fingerprint of that id.
     """
     named = df.where(F.col(id_col).isNotNull())
-    found = near_duplicates(named, id_col=id_col, **options)
-    later = found.where("doc_id > component_id").select(F.col("doc_id").alias("later_id"))
-    kept = named.join(later, named[id_col] == F.col("later_id"), "left_anti")
-    return kept.dropDuplicates([id_col]).union(df.where(F.col(id_col).isNull()))
+    found = _grouped(named, words=words, id_col=id_col, text_col=text_col, **options)
+    found = materialized(found, "groups")
+    several = found.groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high"))
+    reused = materialized(several.where("low <> high").select("doc_id"), "reused")
+    later = found.where("doc_id > component_id").select("doc_id")
+    mixed = not reused.isEmpty()
+    away = (later.union(reused) if mixed else later).toDF("_id")
+    same_id = named[id_col] == F.col("_id")
+    kept = named.join(away, same_id, "left_anti").dropDuplicates([id_col])
+    if mixed:
+        own = found.join(reused, "doc_id", "left_semi").where("doc_id = component_id")
+        own = own.groupBy("doc_id", "component").agg(F.min("fp").alias("_chosen"))
+        own = own.select(F.col("doc_id").alias("_id"), "_chosen")
+        rows = named.join(reused.toDF("_id"), same_id, "left_semi")
+        rows = _with_print(rows, text_col, words)
+        chosen = (F.col(id_col) == F.col("_id")) & (F.col("_fp") == F.col("_chosen"))
+        rows = rows.join(own, chosen, "left_semi").dropDuplicates([id_col, "_fp"])
+        kept = kept.union(rows.drop("_fp"))
+    return kept.union(df.where(F.col(id_col).isNull()))
 
 
 def hex_digits(fp: str = "fp") -> F.Column:

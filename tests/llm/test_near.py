@@ -246,3 +246,13 @@ def test_neighbours_of_every_length(spark):
         own = sorted((r for r in found if r.query_id == query), key=lambda r: r.rank)
         assert [r.rank for r in own] == list(range(1, len(best) + 1))
         assert np.allclose([r.score for r in own], [scores[k] for k in best])
+
+
+def test_reused_ids_lose_no_text(spark):
+    a, b, c = ("one two three four five", "quite another text than that", "and a third one again")
+    rows = [(3, a), (5, a), (5, b), (5, b), (7, c), (7, c), (8, c), (9, a), (9, b), (None, a)]
+    kept = simhash.first_of_each(make(spark, rows)).collect()
+    assert sorted(((r.doc_id or 0), r.text) for r in kept) == [(0, a), (3, a), (5, b), (7, c)]
+    frame = make(spark, [(1, a), (1, b), (1, b), (2, b)])
+    kept = simhash.first_of_each(frame).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, a), (1, b)]
