@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,12 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postpulse.llm.common import map_batches, picked
+from postpulse.llm.common import map_batches, materialized, picked
 
 #: Labelled documents that a fit may see at most, toxic and other.
 MAX_TOXIC, MAX_OTHER = 2_000, 4_000
-#: Distinct words of a labelled document that go into the fit at most.
-MAX_WORDS = 4_000
 #: Features kept at most: those most peculiar to toxic documents.
 MAX_FEATURES = 8_192
 #: Toxic documents are graded by how many different peculiar words they hold:
@@ -101,6 +100,40 @@ def _fit(
     return parameters[:n_features], cuts
 
 
+def _features_of(words: Iterable[str]) -> set[str]:
+    return {f for w in words for f in word_features(w)}
+
+
+def _encoded(words: Counter, column: dict[str, int], peculiar: set[str]) -> tuple[Counter, int]:
+    """Occurrences by column, and how many different words have a peculiar feature."""
+    tally: Counter = Counter()
+    hits = 0
+    for word, n in words.items():
+        own = word_features(word)
+        hits += any(f in peculiar for f in own)
+        for f in own:
+            if f in column:
+                tally[column[f]] += n
+    return tally, hits
+
+
+def _model(names: list[str], rows: list[tuple[list[int], list[int], int, int]]) -> Model:
+    """A model from (columns in order, occurrences, hits, toxic 0 or 1) of each document."""
+    columns = [np.array(c, dtype=np.int64) for c, _, _, _ in rows]
+    values = [np.log1p(n) for _, n, _, _ in rows]
+    grades = [
+        1 + int(np.searchsorted(GRADE_BOUNDS, hits, side="right")) if flag else 0
+        for _, _, hits, flag in rows
+    ]
+    weights, cuts = _fit(columns, values, np.array(grades), len(names))
+    kept = {f: float(w) for f, w in zip(names, weights, strict=True) if abs(w) > 1e-6}
+    return Model(kept, tuple(float(c) for c in cuts))
+
+
+def _harmless() -> Model:
+    return Model({}, tuple(20.0 + k for k in range(GRADES - 1)))
+
+
 def train(examples: list[tuple[list[str], int]]) -> Model:
     """A model from (words of a document, toxic 0 or 1) pairs.
 
@@ -111,10 +144,10 @@ def train(examples: list[tuple[list[str], int]]) -> Model:
     counts = [Counter(words) for words, _ in examples]
     toxic = np.array([t for _, t in examples], dtype=bool)
     if not toxic.any() or toxic.all():
-        return Model({}, tuple(20.0 + k for k in range(GRADES - 1)))
+        return _harmless()
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     for words, flag in zip(counts, toxic, strict=True):
-        seen[int(flag)].update({f for w in words for f in word_features(w)})
+        seen[int(flag)].update(_features_of(words))
     n_toxic, n_other = int(toxic.sum()), int((~toxic).sum())
     lift = {
         f: np.log((n + 0.1) / (n_toxic + 0.2)) - np.log((seen[0][f] + 0.1) / (n_other + 0.2))
@@ -127,31 +160,19 @@ def train(examples: list[tuple[list[str], int]]) -> Model:
     names = [f for _, f in ranked[:MAX_FEATURES]]
     column = {f: k for k, f in enumerate(names)}
     peculiar = {f for f in names if not seen[0][f]}
-    rows, values, grades = [], [], []
+    rows = []
     for words, flag in zip(counts, toxic, strict=True):
-        tally: Counter = Counter()
-        hits = 0
-        for word, n in words.items():
-            own = word_features(word)
-            hits += any(f in peculiar for f in own)
-            for f in own:
-                if f in column:
-                    tally[column[f]] += n
-        rows.append(np.array(sorted(tally), dtype=np.int64))
-        values.append(np.log1p([tally[k] for k in sorted(tally)]))
-        grades.append(1 + int(np.searchsorted(GRADE_BOUNDS, hits, side="right")) if flag else 0)
-    weights, cuts = _fit(rows, values, np.array(grades), len(names))
-    kept = {f: float(w) for f, w in zip(names, weights, strict=True) if abs(w) > 1e-6}
-    return Model(kept, tuple(float(c) for c in cuts))
+        tally, hits = _encoded(words, column, peculiar)
+        rows.append((sorted(tally), [tally[k] for k in sorted(tally)], hits, int(flag)))
+    return _model(names, rows)
 
 
-def labelled_words(
+def labelled_texts(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text"
-) -> list[tuple[list[str], int]]:
-    """Words of a bounded sample of labelled documents, the same in every run.
+) -> DataFrame:
+    """text and toxic of a bounded sample of labelled documents, the same in every run.
 
-    Per class the ids with the smallest hashes are taken; only distinct words
-    (with their repeats up to 20) leave the executors.
+    Per class the ids with the smallest hashes are taken, their texts whole.
     """
     marks = labels.select(F.col("doc_id").alias("of"), "toxic").where("toxic in (0, 1)")
     marks = marks.groupBy("of").agg(F.max("toxic").alias("toxic"))
@@ -161,23 +182,58 @@ def labelled_words(
     ).union(marks.where("toxic = 0").orderBy("h", "of").limit(MAX_OTHER))
     rows = picked(docs, doc_id=id_col, text=text_col)
     rows = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("of"))
+    return rows.select("text", F.col("toxic").cast("int").alias("toxic"))
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for text in batch.column(0).to_pylist():
-            words = Counter(chunk_words(text or ""))
-            chosen = sorted(words, key=lambda w: (-words[w], w))[:MAX_WORDS]
-            out.append(" ".join(w for w in chosen for _ in range(min(words[w], 20))))
+
+def _ranked(texts: DataFrame, n_toxic: int, n_other: int) -> list[tuple[str, bool]]:
+    """``train``'s features and whether no other document has them, counted on the executors."""
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        for text, flag in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            seen[flag].update(_features_of(set(chunk_words(text or ""))))
+        names = list(seen[1].keys() | seen[0].keys())
         return pa.RecordBatch.from_arrays(
-            [pa.array(out, type=pa.string()), batch.column(1)], names=["words", "toxic"]
+            [pa.array(names, type=pa.string())]
+            + [pa.array([seen[k][f] for f in names], type=pa.int64()) for k in (1, 0)],
+            names=["f", "toxic", "other"],
         )
 
-    found = map_batches(rows.select("text", F.col("toxic").cast("int")), work, "words string, toxic int")
-    return sorted((r["words"].split(), r["toxic"]) for r in found.collect())
+    counts = map_batches(texts, count, "f string, toxic long, other long")
+    counts = counts.groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    lift = F.log((F.col("toxic") + 0.1) / (n_toxic + 0.2)) - F.log(
+        (F.col("other") + 0.1) / (n_other + 0.2)
+    )
+    ranked = counts.where("toxic >= 2").withColumn("lift", lift).where(F.col("lift") > np.log(4))
+    best = ranked.orderBy(F.desc(F.col("toxic") * F.col("lift")), "f").limit(MAX_FEATURES)
+    return [(r["f"], r["other"] == 0) for r in best.select("f", "other").collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, **columns: str) -> Model:
-    return train(labelled_words(docs, labels, **columns))
+    """``train`` on labelled documents; only kept features leave the executors."""
+    texts = materialized(labelled_texts(docs, labels, **columns), "labelled")
+    sizes = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    if len(sizes) < 2:
+        return _harmless()
+    found = _ranked(texts, sizes[1], sizes[0])
+    names = [f for f, _ in found]
+    column = {f: k for k, f in enumerate(names)}
+    peculiar = {f for f, alone in found if alone}
+
+    def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = [_encoded(Counter(chunk_words(t or "")), column, peculiar) for t in batch.column(0).to_pylist()]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([sorted(t) for t, _ in out], type=pa.list_(pa.int64())),
+                pa.array([[t[k] for k in sorted(t)] for t, _ in out], type=pa.list_(pa.int64())),
+                pa.array([h for _, h in out], type=pa.int64()),
+                batch.column(1),
+            ],
+            names=["columns", "n", "hits", "toxic"],
+        )
+
+    fields = "columns array<long>, n array<long>, hits long, toxic int"
+    return _model(names, sorted(tuple(r) for r in map_batches(texts, encode, fields).collect()))
 
 
 class _Scorer:

@@ -243,3 +243,18 @@ def test_long_words_count_whole():
     mixed = "aB" * 40
     assert decoder._form(mixed + "12345") != decoder._form(mixed)
     assert all(len(k) <= 64 for k in decoder._forms)
+
+
+def test_fit_reads_whole_labelled_texts(spark):
+    """Rare words of a document with more than 4,000 others count, and so do all repeats."""
+    filler = lambda k: " ".join(f"{w} {w}" for w in (f"w{'abcdefghij'[k]}" + "".join(
+        "abcdefghij"[int(d)] for d in f"{n:04d}") for n in range(4_200)))
+    rows = [(k, f"{filler(k)} " + ("zznastyfool " + "vilescum " * 30 if k % 2 else "zzplain")) for k in range(8)]
+    docs = make(spark, rows)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(8)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert "=zznastyfool" in model.weights
+    whole = toxicity.train(sorted((toxicity.chunk_words(t), k % 2) for k, t in rows))
+    assert model.weights.keys() == whole.weights.keys()
+    assert np.allclose([model.weights[f] for f in whole.weights], list(whole.weights.values()))
+    assert np.allclose(model.cuts, whole.cuts)
