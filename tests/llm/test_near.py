@@ -256,3 +256,22 @@ def test_reused_ids_lose_no_text(spark):
     frame = make(spark, [(1, a), (1, b), (1, b), (2, b)])
     kept = simhash.first_of_each(frame).collect()
     assert sorted((r.doc_id, r.text) for r in kept) == [(1, a), (1, b)]
+
+
+def test_recall_beyond_the_floor(spark):
+    """Above some 3,225 vectors the default coverage rules, not the least number of candidates."""
+    from pyspark.sql import functions as F
+
+    n = 4500
+    assert forest.LEAST_CANDIDATES / n < forest.COVERAGE
+    plain = [np.float32(v).tolist() for v in np.random.default_rng(9).normal(size=(n, 64))]
+    found = forest.neighbours(vectors(spark, enumerate(plain)), F.col("id") % 100 == 0).collect()
+    x = np.array(plain, dtype=np.float64)
+    hits = 0
+    for query in range(0, n, 100):
+        scores = x @ x[query]
+        scores[query] = -np.inf
+        best = set(np.argsort(-scores, kind="stable")[:20].tolist())
+        hits += len(best & {r.id for r in found if r.query_id == query})
+    print("recall", hits / (n // 100 * 20))
+    assert hits / (n // 100 * 20) >= 0.9
