@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postpulse.llm.common import materialized
+
 
 def usable(column: str = "embedding") -> F.Column:
     """Holds for vectors without null or non-finite components that are not all zero."""
@@ -34,3 +36,10 @@ def sample_rows(df: DataFrame, most: int, width: int) -> np.ndarray:
     if not kept.num_rows:
         return np.zeros((0, width))
     return matrix(kept["embedding"].combine_chunks(), width)
+
+
+def one_each(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """Of rows (id, embedding) that share an id the smallest vector, and whether any do."""
+    if rows.groupBy("id").count().where("count > 1").isEmpty():
+        return rows, False
+    return materialized(rows.groupBy("id").agg(F.min("embedding").alias("embedding")), "items"), True
