@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,3 +70,20 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select("v").distinct().select("v", F.col("v").alias("component"))
     return current.union(roots).toDF("node", "component")
+
+
+def joined_up(links: np.ndarray, ids: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Edges (two columns) that connect what ``links`` connects, one less than its nodes.
+
+    ``links`` has a row for each of ``ids`` and a column for each of ``others``.
+    """
+    rows, columns = ids.copy(), others.copy()
+    top = np.iinfo(ids.dtype).max
+    while True:
+        new_columns = np.minimum(columns, np.where(links, rows[:, None], top).min(axis=0))
+        new_rows = np.minimum(rows, np.where(links, new_columns[None, :], top).min(axis=1))
+        if (new_rows == rows).all() and (new_columns == columns).all():
+            break
+        rows, columns = new_rows, new_columns
+    edges = np.concatenate([np.column_stack([ids, rows]), np.column_stack([others, columns])])
+    return edges[edges[:, 0] != edges[:, 1]]

@@ -2,7 +2,8 @@
 
 Iterative quantisation turns principal components into balanced binary codes:
 a rotation is learned so that the signs stay as close to the projections as
-they can.  Codes from several rotations are cut into short substrings, each
+they can.  A code has 64 bits; vectors with fewer components take them from
+several rotations.  Two codes are cut into short substrings, each
 with a table of its own; near vectors differ in at most one bit of some
 substring with high probability, so each vector is stored once for each table
 and looked up under its substring and all one-bit changes of it.  What two
@@ -20,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postpulse.llm.common import materialized, picked
-from postpulse.llm.graph import components
-from postpulse.llm.vectors import lengths, matrix, sample_rows, usable
+from postpulse.llm.graph import components, joined_up
+from postpulse.llm.vectors import lengths, matrix, one_each, sample_rows, usable
 
 #: Vectors that the rotations are learned from at most.
 FIT_ROWS = 10_000
-ROTATIONS = 2
+N_CODES = 2
 CODE_BITS = 64
 SUBSTRING_BITS = 16
 #: Stored rows that a task compares at a time; fuller buckets are split.
@@ -35,50 +36,47 @@ SALT_BITS = 20
 
 @dataclass(frozen=True)
 class Codes:
-    """Each rotation maps a centred unit vector to the signs of its columns."""
+    """Each matrix maps a centred unit vector to the 64 signs of its columns."""
 
     centre: np.ndarray
-    rotations: tuple[np.ndarray, ...]
+    signs: tuple[np.ndarray, ...]
 
     def encode(self, vectors: np.ndarray) -> np.ndarray:
-        """One unsigned 64-bit code for each rotation, by column."""
+        """One unsigned 64-bit number for each code, by column."""
         unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True) - self.centre
         out = []
-        for rotation in self.rotations:
-            bits = np.zeros((len(vectors), CODE_BITS), dtype=np.uint8)
-            bits[:, : rotation.shape[1]] = unit @ rotation > 0
+        for columns in self.signs:
+            bits = (unit @ columns > 0).view(np.uint8)
             out.append(np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0])
         return np.column_stack(out).astype(np.uint64)
 
 
-def one_code(width: int, rotations: int = ROTATIONS) -> Codes:
-    """The same code for every vector, so that every pair is checked."""
-    return Codes(np.zeros(width), (np.zeros((width, 1)),) * rotations)
+def learn(sample: np.ndarray, n_codes: int = N_CODES, rounds: int = 40, seed: int = 5) -> Codes:
+    """PCA, then for each rotation alternate between signs and the best rotation to them.
 
-
-def learn(sample: np.ndarray, rotations: int = ROTATIONS, rounds: int = 40, seed: int = 5) -> Codes:
-    """PCA, then for each rotation alternate between codes and the best rotation to them.
-
-    Too few vectors teach nothing (centred, two near ones are opposites) and get one code.
+    The centre is drawn to the origin by as many vectors as there are
+    components, since few vectors say little about it (centred by their own
+    mean, two near ones are opposites).
     """
     width = sample.shape[1]
-    if len(sample) < min(2 * width, BLOCK_ROWS):
-        return one_code(width, rotations)
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    centre = unit.mean(axis=0)
-    _, vectors = np.linalg.eigh(np.cov((unit - centre).T).reshape(width, width))
+    centre = unit.sum(axis=0) / (len(unit) + width)
+    _, vectors = np.linalg.eigh((unit - centre).T @ (unit - centre))
     basis = vectors[:, ::-1][:, :CODE_BITS]
     projected = (unit - centre) @ basis
     draw = np.random.default_rng(seed)
-    found = []
-    for _ in range(rotations):
+
+    def rotation() -> np.ndarray:
         turn, _ = np.linalg.qr(draw.normal(size=(basis.shape[1],) * 2))
         for _ in range(rounds):
             signs = np.where(projected @ turn > 0, 1.0, -1.0)
             left, _, right = np.linalg.svd(projected.T @ signs)
             turn = left @ right
-        found.append(basis @ turn)
-    return Codes(centre, tuple(found))
+        return basis @ turn
+
+    each = -(-CODE_BITS // basis.shape[1])
+    found = [np.column_stack([rotation() for _ in range(each)]) for _ in range(n_codes)]
+    return Codes(centre, tuple(columns[:, :CODE_BITS] for columns in found))
 
 
 def plausible_bits(cosine: float, bits: int) -> int:
@@ -89,7 +87,7 @@ def plausible_bits(cosine: float, bits: int) -> int:
 
 def _postings(rows: DataFrame, codes: Codes) -> DataFrame:
     """key, probe, id, c0..: each row stored once and looked up 1 + bits times for each table."""
-    n_codes, width = len(codes.rotations), codes.rotations[0].shape[0]
+    n_codes, width = len(codes.signs), len(codes.centre)
     tables = CODE_BITS // SUBSTRING_BITS
     flips = np.array([0, *(1 << k for k in range(SUBSTRING_BITS))], dtype=np.int64)
 
@@ -129,8 +127,8 @@ def _salted(postings: DataFrame) -> DataFrame:
     """``postings`` with crowded buckets split into blocks of some ``BLOCK_ROWS`` stored rows.
 
     A stored row goes to one block of its bucket, lookups to all of them.
-    Crowded buckets number at most the stored rows over ``BLOCK_ROWS``, which
-    bounds what is broadcast.
+    Buckets are numbered by code, table and substring, some 524,000 in all
+    whatever the rows, which bounds the crowded ones that are broadcast.
     """
     stored = postings.where(~F.col("probe")).groupBy("key").agg(F.count("*").alias("n"))
     crowded = stored.where(F.col("n") > BLOCK_ROWS).select(
@@ -243,20 +241,6 @@ def _members(rows: DataFrame, codes: Codes, most_bits: int) -> DataFrame:
     return runs.mapInArrow(run, "key long, probe boolean, id long")
 
 
-def _joined_up(links: np.ndarray, ids: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Edges (two columns) that connect what ``links`` connects, one less than its nodes."""
-    rows, columns = ids.copy(), others.copy()
-    top = np.iinfo(np.int64).max
-    while True:
-        new_columns = np.minimum(columns, np.where(links, rows[:, None], top).min(axis=0))
-        new_rows = np.minimum(rows, np.where(links, new_columns[None, :], top).min(axis=1))
-        if (new_rows == rows).all() and (new_columns == columns).all():
-            break
-        rows, columns = new_rows, new_columns
-    edges = np.concatenate([np.column_stack([ids, rows]), np.column_stack([others, columns])])
-    return edges[edges[:, 0] != edges[:, 1]]
-
-
 def _links(
     members: DataFrame, classes: DataFrame, codes: Codes, most_bits: int, cosine: float
 ) -> DataFrame:
@@ -266,7 +250,7 @@ def _links(
     sums and a spanning forest, never its pairs, so a group of near copies
     costs rows in proportion to its size.
     """
-    width = codes.rotations[0].shape[0]
+    width = len(codes.centre)
 
     def report(sums: np.ndarray, ids: np.ndarray, edges: np.ndarray) -> pa.RecordBatch:
         some = sums > 0
@@ -284,6 +268,7 @@ def _links(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, ready = None, [], None
+
         def arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
             vectors = matrix(batch.column(4), width)
             unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -308,7 +293,7 @@ def _links(
                 found = _plausible(number, ids, own, others, code, most_bits)
                 found &= unit @ points.T >= cosine
                 if found.any():
-                    edges = _joined_up(found, ids, others)
+                    edges = joined_up(found, ids, others)
                     yield report(found @ counts, ids, edges)
                     yield report(found.T @ sizes, others, edges[:0])
 
@@ -328,24 +313,22 @@ def near_duplicates(
     """id, n_links and component_id of every row.
 
     Vectors that are null or zero or hold null or non-finite components link
-    with nothing, others with vectors of their own length.  Each length has an
-    index of its own; of a length that is not the commonest, up to
-    ``BLOCK_ROWS`` different vectors are all compared.  Equal vectors collapse
-    to one class first (its smallest id, its size), so copies are counted,
-    never paired.  Ids are taken to be distinct; a null id keeps its row,
-    unlinked.
+    with nothing, others with vectors of their own length; each length has an
+    index of its own.  Equal vectors collapse to one class first (its smallest
+    id, its size), so copies are counted, never paired.  Rows that share an id
+    are one item, of the smallest of their usable vectors, and get its figures.
+    A null id keeps its row, unlinked; an empty table gives no rows.
     """
     spark = df.sparkSession
     rows = materialized(picked(df, id=id_col, embedding=vector_col), "vectors")
-    able = rows.where(F.col("id").isNotNull() & usable())
+    able, reused = one_each(rows.where(F.col("id").isNotNull() & usable()))
     classes = able.groupBy("embedding").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     classes = materialized(classes, "classes")
+    most = plausible_bits(cosine, N_CODES * CODE_BITS)
     found = spark.createDataFrame([], "a long, b long, n long")
-    for place, (width, n) in enumerate(lengths(classes)):
+    for width, _ in lengths(classes):
         own = classes.where(F.size("embedding") == width)
-        few = place > 0 and n <= BLOCK_ROWS
-        codes = one_code(width) if few else learn(sample_rows(own, FIT_ROWS, width))
-        most = plausible_bits(cosine, ROTATIONS * min(width, CODE_BITS))
+        codes = learn(sample_rows(own, FIT_ROWS, width))
         members = _members(own.select("id", "embedding"), codes, most)
         found = found.union(materialized(_links(members, own, codes, most, cosine), "links"))
     degrees = (
@@ -361,11 +344,16 @@ def near_duplicates(
             F.coalesce("component", "id").alias("component_id"),
         )
     )
-    linked_rows = able.join(facts, F.col("embedding") == F.col("vector")).select(
+    items = able.join(facts, F.col("embedding") == F.col("vector")).select(
         "id", "n_links", "component_id"
     )
-    fine = F.col("id").isNotNull() & usable()
-    others = rows.where(~F.coalesce(fine, F.lit(False)))
-    return linked_rows.union(
+    fine = F.coalesce(F.col("id").isNotNull() & usable(), F.lit(False))
+    others = rows.where(~fine)
+    if reused:
+        own = items.withColumnRenamed("id", "of")
+        return rows.join(own, F.col("id") == F.col("of"), "left").select(
+            "id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")
+        )
+    return items.union(
         others.select("id", F.lit(0).cast("long"), F.col("id").alias("component_id"))
     )
