@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,14 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def unused_name(df: DataFrame, base: str) -> str:
+    """``base``, with underscores behind it until no column of ``df`` has the name."""
+    taken = {c.lower() for c in df.columns}
+    while base in taken:
+        base += "_"
+    return base
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
@@ -66,9 +75,28 @@ def materialized(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again.
 
     It cuts the lineage: a lost executor costs the tasks that ran there, not
-    the stages before the table.
+    the stages before the table.  Results read from it; ``cleared`` deletes it.
+    """
+    path = fresh_path(df.sparkSession, label)
+    _intermediate.append(path)
+    return written(df, path)
+
+
+_intermediate: list[str] = []
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving the intermediate tables written inside.
+
+    Write what you need of the results before.
     """
-    return written(df, fresh_path(df.sparkSession, label))
+    before = len(_intermediate)
+    try:
+        yield
+    finally:
+        while len(_intermediate) > before:
+            drop_path(spark, _intermediate.pop())
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
