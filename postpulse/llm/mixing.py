@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postpulse.llm.common import materialized, picked
+from postpulse.llm.common import materialized, picked, unused_name
 
 #: Weights by the source's place in code-point order, repeating; null comes last.
 WEIGHTS = (1, 2, 3)
@@ -102,38 +102,25 @@ def fit_budget(
     return takes
 
 
-def mix(
-    df: DataFrame,
-    weights: tuple[int, ...] = WEIGHTS,
-    max_copies: int = MAX_COPIES,
-    seed: int = 7,
-    id_col: str = "doc_id",
-    source_col: str = "source",
-    text_col: str = "text",
-) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken of every row of ``df``.
+def _place(
+    seed: int, id_col: F.Column, source_col: F.Column, text_col: F.Column
+) -> dict[str, F.Column]:
+    """What decides about a row: its source's key, size, seeded order and slice."""
+    order = F.xxhash64(F.lit(seed), id_col, text_col)
+    return {
+        "key": F.coalesce(F.concat(F.lit("="), source_col.cast("string")), F.lit("null")),
+        "size": word_count(text_col),
+        "order": order,
+        "slice": F.pmod(F.shiftright(order, 20), F.lit(SLICES)).cast("int"),
+    }
 
-    A source whose budget is b times its words gives all its documents
-    floor(b) times; the rest of its budget is fitted on the histogram of its
-    document lengths, and within a length seeded hashes of the ids choose.
-    Null texts have size 0 and are never taken; a null source is a source of
-    its own; an empty table gives no rows.  Documents meet their source's
-    figures on (source, length, slice), so no source is one task's burden.
+
+def _quotas(docs: DataFrame, weights: tuple[int, ...], max_copies: int) -> DataFrame:
+    """q_key, q_size, q_slice, source_size, target, copies and quota of each slice of ``docs``.
+
+    ``docs`` has key, source, size and slice.  All documents of a slice are
+    taken ``copies`` times and the first ``quota`` of them once more.
     """
-    rows = picked(df, doc_id=id_col, source=source_col, text=text_col)
-    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    docs = materialized(
-        rows.select(
-            "doc_id",
-            "source",
-            key.alias("key"),
-            word_count("text").alias("size"),
-            order.alias("order"),
-            F.pmod(F.shiftright(order, 20), F.lit(SLICES)).cast("int").alias("slice"),
-        ),
-        "sizes",
-    )
     slices = docs.groupBy("key", "source", "size", "slice").agg(F.count("*").alias("n"))
     slices = materialized(slices, "slices")
     totals = slices.groupBy("key", "source").agg(
@@ -169,7 +156,7 @@ def mix(
     )
     before = F.coalesce(F.sum("n").over(earlier), F.lit(0))
     quota = F.greatest(F.lit(0), F.least("n", F.col("extra") - F.col("before")))
-    quotas = (
+    return (
         slices.withColumn("before", before)
         .join(plans, (F.col("key") == F.col("p_key")) & (F.col("size") == F.col("p_size")))
         .select(
@@ -182,6 +169,32 @@ def mix(
             quota.alias("quota"),
         )
     )
+
+
+def mix(
+    df: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    max_copies: int = MAX_COPIES,
+    seed: int = 7,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+    text_col: str = "text",
+) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken of every row of ``df``.
+
+    A source whose budget is b times its words gives all its documents
+    floor(b) times; the rest of its budget is fitted on the histogram of its
+    document lengths, and within a length seeded hashes of id and text choose.
+    Null and empty texts have size 0 and are never taken; a null source is a
+    source of its own; null and repeated ids are rows like any other, each
+    counted by itself; an empty table gives no rows; other columns are
+    ignored.  Documents meet their source's figures on (source, length,
+    slice), so no source is one task's burden.
+    """
+    rows = picked(df, doc_id=id_col, source=source_col, text=text_col)
+    place = _place(seed, F.col("doc_id"), F.col("source"), F.col("text"))
+    docs = materialized(rows.withColumns(place).drop("text"), "sizes")
+    quotas = _quotas(docs, weights, max_copies)
     ranked = docs.withColumn(
         "n_here",
         F.row_number().over(Window.partitionBy("key", "size", "slice").orderBy("order", "doc_id")),
@@ -202,16 +215,35 @@ def mix(
     )
 
 
-def copies(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``df``, each as often as the mix takes it.
+def copies(
+    df: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    max_copies: int = MAX_COPIES,
+    seed: int = 7,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+    text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``df`` with all their columns, each as often as ``mix`` takes it.
 
-    Rows that share an id (null included) share the largest number of copies.
+    Rows are taken one by one, whether or not they share an id; columns may
+    have any names.
     """
-    taken = mix(df, id_col=id_col, **options)
-    times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0)
-    by_id = taken.groupBy(F.col("doc_id").alias("mixed_id")).agg(
-        F.max(times.cast("int")).alias("mixed_times")
+    place = _place(seed, df[id_col], df[source_col], df[text_col])
+    docs = df.select(*[c.alias(n) for n, c in place.items()], df[source_col].alias("source"))
+    quotas = _quotas(docs, weights, max_copies)
+    own = {n: unused_name(df, n) for n in (*place, "n_here", "times")}
+    wanted = {n: unused_name(df, n) for n in ("q_key", "q_size", "q_slice", "copies", "quota")}
+    quotas = quotas.select(*[F.col(n).alias(new) for n, new in wanted.items()])
+    rows = df.withColumns({own[n]: c for n, c in place.items()})
+    first = Window.partitionBy(own["key"], own["size"], own["slice"]).orderBy(own["order"], id_col)
+    rows = rows.withColumn(own["n_here"], F.row_number().over(first))
+    same = (
+        (F.col(own["key"]) == F.col(wanted["q_key"]))
+        & (F.col(own["size"]) == F.col(wanted["q_size"]))
+        & (F.col(own["slice"]) == F.col(wanted["q_slice"]))
     )
-    both = df.join(by_id.where("mixed_times > 0"), df[id_col].eqNullSafe(F.col("mixed_id")))
-    copy = F.explode(F.sequence(F.lit(1), F.col("mixed_times"))).alias("mixed_copy")
-    return both.select(*[df[c] for c in df.columns], copy).drop("mixed_copy")
+    times = F.col(wanted["copies"]) + (F.col(own["n_here"]) <= F.col(wanted["quota"])).cast("long")
+    taken = rows.join(quotas, same).where((F.col(own["size"]) > 0) & (times > 0))
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), times)).alias(own["times"])
+    return taken.select(*df.columns, copy).drop(own["times"])
