@@ -19,7 +19,7 @@ from postpulse.llm import (
     simhash,
     toxicity,
 )
-from postpulse.llm.common import span_digest, table
+from postpulse.llm.common import span_digest, spans_text, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,8 @@ def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
-    return span_digest(found, pii.BASE_KINDS)
+    by_field = spans_text(F.col("field_spans")).alias("field_spans")
+    return span_digest(found, pii.BASE_KINDS, by_field)
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,8 +118,8 @@ def spans_text(spans) -> F.Column:
     )
 
 
-def span_digest(found: DataFrame, base: tuple[str, ...]) -> DataFrame:
-    """doc_id, one count for each base kind, base_sha256 and spans."""
+def span_digest(found: DataFrame, base: tuple[str, ...], *more: F.Column) -> DataFrame:
+    """doc_id, one count for each base kind, base_sha256, spans and ``more``."""
     of_base = F.filter("spans", lambda s: s["kind"].isin(*base))
 
     def count(kind: str) -> F.Column:
@@ -131,4 +131,5 @@ def span_digest(found: DataFrame, base: tuple[str, ...]) -> DataFrame:
         *counts,
         F.sha2(spans_text(of_base), 256).alias("base_sha256"),
         spans_text(F.col("spans")).alias("spans"),
+        *more,
     )

@@ -5,26 +5,41 @@ from __future__ import annotations
 import random
 import re
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 
 #: Ends of a text count as neighbours of this class and as label 0.
 EDGE = "<>"
+#: What may stand around a word without being part of it.
+EDGES = ".,;:!?\"'<>[]"
 
 _RUNS = re.compile(r"(.)\1*")
+_DIGITS = re.compile("9+")
 
 
 def shape(word: str) -> str:
-    """Letters to x, capitals to X (runs collapsed), digits to 9 (runs up to 4), the rest kept."""
+    """Letters to x, capitals to X, digits to 9, the rest kept; runs are collapsed.
+
+    Runs of up to four digits keep their length; five nines stand for 5 to 11
+    and six for more.
+    """
     marks = "".join(
         "9" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c for c in word
     )
-    return _RUNS.sub(lambda m: m[0][:4] if m[1] == "9" else m[1], marks)
+    return _RUNS.sub(_collapsed, marks)
+
+
+def _collapsed(run: re.Match) -> str:
+    size = len(run[0])
+    if run[1] != "9":
+        return run[1]
+    return "9" * (size if size <= 4 else 5 if size < 12 else 6)
 
 
 def shape_class(form: str) -> str:
     """A coarse class for what neighbours see."""
-    bare = form.strip(".,;:!?")
+    bare = form.strip(EDGES)
     if not bare:
         return "punct"
     if "@" in bare:
@@ -38,15 +53,18 @@ def shape_class(form: str) -> str:
 
 def features(form: str) -> tuple[str, ...]:
     digits = form.count("9")
-    bare = form.strip(".,;:!?")
+    bare = form.strip(EDGES)
+    skeleton = _DIGITS.sub("9", bare)
     return (
-        f"s={form[:24]}",
-        f"b={bare[:24]}",
+        f"b={bare}",
         f"c={shape_class(form)}",
         f"n={min(digits, 12)}",
+        f"r={max(map(len, _DIGITS.findall(bare)), default=0)}",
         f"l={form[0]}",
         f"z={bare[-1:]}",
-        f"k={''.join(sorted(set(bare)))[:12]}",
+        f"k={''.join(sorted(set(bare)))}",
+        f"t={skeleton}",
+        *sorted({f"2={a}{b}" for a, b in pairwise(f"^{skeleton}$")}),
     )
 
 
@@ -61,9 +79,15 @@ class Field:
     moves: np.ndarray
 
     @property
-    def safe_margin(self) -> float:
-        """Label 0 ahead by more than this in a word's own score is label 0 in the best path."""
-        return 2 * float(self.moves.max() - self.moves.min())
+    def safe_margins(self) -> np.ndarray:
+        """Label 0 ahead of every other label by more than this in a word's score is best for it.
+
+        It is what the moves to a label and from it can make up for at most,
+        whatever the labels around.
+        """
+        to = (self.moves - self.moves[:, :1]).max(axis=0)
+        off = (self.moves - self.moves[:1]).max(axis=1)
+        return (to + off)[1:]
 
 
 def varied(lines: list[tuple[list[str], list[str]]], times: int, seed: int) -> list:
@@ -88,8 +112,8 @@ def train(examples: list[tuple[list[str], list[str]]], steps: int = 200) -> Fiel
     labels = ("O", *sorted({x for _, own in examples for x in own} - {"O"}))
     number = {x: k for k, x in enumerate(labels)}
     size, longest = len(labels), max(len(w) for w, _ in examples)
-    columns: dict[str, int] = {}
-    index = np.zeros((len(examples), longest, 9), dtype=np.int64)
+    columns: dict[str, int] = {"": 0}  # column 0 fills up words with fewer features
+    index = np.zeros((len(examples), longest, 0), dtype=np.int64)
     gold = np.zeros((len(examples), longest), dtype=np.int64)
     inside = np.zeros((len(examples), longest), dtype=bool)
     for k, (words, own) in enumerate(examples):
@@ -97,7 +121,10 @@ def train(examples: list[tuple[list[str], list[str]]], steps: int = 200) -> Fiel
         classes = [EDGE, *map(shape_class, forms), EDGE]
         for t, form in enumerate(forms):
             names = (*features(form), f"<{classes[t]}", f">{classes[t + 2]}")
-            index[k, t] = [columns.setdefault(f, len(columns)) for f in names]
+            at = [columns.setdefault(f, len(columns)) for f in names]
+            if len(at) > index.shape[2]:
+                index = np.pad(index, ((0, 0), (0, 0), (0, len(at) - index.shape[2])))
+            index[k, t, : len(at)] = at
             gold[k, t], inside[k, t] = number[own[t]], True
     weights, moves = np.zeros((len(columns), size)), np.zeros((size, size))
     slow = [np.zeros_like(weights), np.zeros_like(moves)]
@@ -131,6 +158,7 @@ def train(examples: list[tuple[list[str], list[str]]], steps: int = 200) -> Fiel
                 g_moves += np.exp(pair - total[:, None, None])[here].sum(axis=0)
             else:
                 g_moves[0] += np.exp(ahead[0] + back[0] - total[:, None]).sum(axis=0)
+        g_weights[0] = 0
         ends = np.exp(ahead[-1] + moves[:, 0] - total[:, None]).sum(axis=0)
         g_moves[:, 0] += ends
         np.add.at(g_moves, (gold[at, last], 0), -1)
@@ -141,8 +169,8 @@ def train(examples: list[tuple[list[str], list[str]]], steps: int = 200) -> Fiel
             value -= (
                 0.1 * (slow[k] / (1 - 0.9**step)) / (np.sqrt(fast[k] / (1 - 0.99**step)) + 1e-8)
             )
-    pick = lambda mark: {f[1:]: weights[c] for f, c in columns.items() if f[0] == mark}
-    own = {f: weights[c] for f, c in columns.items() if f[0] not in "<>"}
+    pick = lambda mark: {f[1:]: weights[c] for f, c in columns.items() if f.startswith(mark)}
+    own = {f: weights[c] for f, c in columns.items() if f and f[0] not in "<>"}
     return Field(labels, own, pick("<"), pick(">"), moves)
 
 
@@ -154,39 +182,49 @@ def _fold(values: np.ndarray, axis: int) -> np.ndarray:
 class Decoder:
     """Viterbi over many texts at once.
 
-    Words whose own score puts label 0 ahead by the safe margin are label 0 in
+    Words whose score puts label 0 ahead by the safe margins are label 0 in
     every best path, so the chain falls apart there without loss; only the
-    runs between are decoded, side by side, longest first.
+    runs between are decoded, side by side, longest first.  Whether a word
+    keeps that margin follows from its shape and the classes next to it, so
+    that is looked up and only the other words are scored.
     """
 
     def __init__(self, field: Field, memo: int = 300_000):
         self._field = field
-        size = len(field.labels)
-        self._none = np.zeros(size)
-        self._classes = {EDGE: 0}
-        self._left = [field.left.get(EDGE, self._none)]
-        self._right = [field.right.get(EDGE, self._none)]
-        self._forms: dict[str | tuple[str, ...], int] = {}
+        self._none = np.zeros(len(field.labels))
+        self._margins = field.safe_margins
+        # Class 0 stands for the ends of a text, the last for classes never trained on.
+        names = [EDGE, *sorted((field.left.keys() | field.right.keys()) - {EDGE}), ""]
+        self._classes = {name: k for k, name in enumerate(names)}
+        self._left = np.array([field.left.get(n, self._none) for n in names])
+        self._right = np.array([field.right.get(n, self._none) for n in names])
+        self._around = (self._left[:, None] + self._right[None]).reshape(-1, len(field.labels))
+        self._forms: dict[str, int] = {}
+        self._kinds: dict[tuple, int] = {}
         self._own: list[np.ndarray] = []
         self._class_of: list[int] = []
+        self._opens: list[np.ndarray] = []
         self._words: dict[str, int] = {}
         self._most = memo
 
     def _form(self, word: str) -> int:
         form = shape(word)
-        # A long shape is held by its features, which are short and all that counts.
-        held = form if len(form) <= 64 else features(form)
-        found = self._forms.get(held)
+        found = self._forms.get(form)
         if found is None:
-            own = [self._field.own.get(f, self._none) for f in features(form)]
-            name = shape_class(form)
-            if name not in self._classes:
-                self._classes[name] = len(self._classes)
-                self._left.append(self._field.left.get(name, self._none))
-                self._right.append(self._field.right.get(name, self._none))
-            found = self._forms[held] = len(self._own)
-            self._own.append(np.sum(own, axis=0))
-            self._class_of.append(self._classes[name])
+            # Only features with weights count, so what is held does not grow with the texts.
+            known = tuple(f for f in features(form) if f in self._field.own)
+            kind = self._classes.get(shape_class(form), len(self._classes) - 1)
+            found = self._kinds.get((known, kind))
+            if found is None:
+                own = sum((self._field.own[f] for f in known), self._none)
+                found = self._kinds[known, kind] = len(self._own)
+                self._own.append(own)
+                self._class_of.append(kind)
+                scores = own + self._around
+                opens = (scores[:, :1] - scores[:, 1:] <= self._margins).any(axis=1)
+                self._opens.append(opens.reshape(len(self._left), -1))
+            if len(self._forms) < self._most and len(form) <= 40:
+                self._forms[form] = found
         if len(self._words) < self._most and len(word) <= 40:
             self._words[word] = found
         return found
@@ -207,26 +245,17 @@ class Decoder:
         form = np.array(forms, dtype=np.int64)
         begins = np.concatenate([[0], np.cumsum(sizes)])
         kinds = np.array(self._class_of, dtype=np.int64)[form]
-        first = begins[:-1][sizes > 0]
-        end = begins[1:][sizes > 0] - 1
         before, after = np.roll(kinds, 1), np.roll(kinds, -1)
-        before[first] = 0
-        after[end] = 0
-        scores = np.array(self._own)[form]
-        scores += np.array(self._left)[before]
-        scores += np.array(self._right)[after]
-        open_ = scores[:, 0] - scores[:, 1:].max(axis=1) <= self._field.safe_margin
-        starts = open_.copy()
-        starts[1:] &= ~open_[:-1]
-        starts[first] |= open_[first]
-        at = np.flatnonzero(starts)
+        before[begins[:-1][sizes > 0]] = 0
+        after[begins[1:][sizes > 0] - 1] = 0
+        at = np.flatnonzero(np.array(self._opens)[form, before, after])
         if not len(at):
             return found
-        stops = open_.copy()
-        stops[:-1] &= ~open_[1:]
-        stops[end] |= open_[end]
-        lengths = np.flatnonzero(stops) - at + 1
-        labels = np.zeros(len(form), dtype=np.int64)
+        owner = np.searchsorted(begins, at, side="right") - 1
+        scores = np.array(self._own)[form[at]] + self._left[before[at]] + self._right[after[at]]
+        starts = np.flatnonzero((np.diff(at, prepend=-2) != 1) | (np.diff(owner, prepend=-1) != 0))
+        lengths = np.diff(starts, append=len(at))
+        labels = np.zeros(len(at), dtype=np.int64)
         order = np.argsort(-lengths, kind="stable")
         low = 0
         while low < len(order):
@@ -234,21 +263,18 @@ class Decoder:
             width = int(lengths[order[low]])
             high = low + max(1, (1 << 18) // width)
             rows = order[low:high]
-            self._viterbi(scores, at[rows], lengths[rows], labels)
+            self._viterbi(scores, starts[rows], lengths[rows], labels)
             low = high
         marked = np.flatnonzero(labels)
         if len(marked):
-            owner = np.searchsorted(begins, marked, side="right") - 1
-            fresh = (np.diff(marked, prepend=-2) != 1) | (np.diff(labels[marked], prepend=-1) != 0)
-            fresh |= np.diff(owner, prepend=-1) != 0
-            heads = np.flatnonzero(fresh)
+            place, doc, label = at[marked], owner[marked], labels[marked]
+            fresh = (np.diff(place, prepend=-2) != 1) | (np.diff(label, prepend=-1) != 0)
+            heads = np.flatnonzero(fresh | (np.diff(doc, prepend=-1) != 0))
             tails = np.append(heads[1:], len(marked)) - 1
             for h, t in zip(heads.tolist(), tails.tolist(), strict=True):
-                doc = int(owner[h])
-                base = int(begins[doc])
-                found[doc].append(
-                    (int(marked[h]) - base, int(marked[t]) - base + 1, int(labels[marked[h]]))
-                )
+                base = int(begins[doc[h]])
+                run = (int(place[h]) - base, int(place[t]) - base + 1, int(label[h]))
+                found[int(doc[h])].append(run)
         return found
 
     def _viterbi(
