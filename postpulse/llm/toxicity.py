@@ -16,12 +16,18 @@ from postpulse.llm.common import map_batches, materialized, picked
 
 #: Labelled documents that a fit may see at most, toxic and other.
 MAX_TOXIC, MAX_OTHER = 2_000, 4_000
-#: Features kept at most: those most peculiar to toxic documents.
-MAX_FEATURES = 8_192
-#: Toxic documents are graded by how many different peculiar words they hold:
-#: 1 below the first bound, 2 below the second, else 3.  Others are grade 0.
-GRADE_BOUNDS = (3, 7)
+#: Grade 0 is for documents that are not toxic.  Labels say no more than that,
+#: so toxic ones are graded 1 to 3 by the scores of models that did not see
+#: them.  Bounds lie between what other documents reach (0) and the median of
+#: the toxic ones (1).
+GRADE_BOUNDS = (0.4, 0.8)
 GRADES = len(GRADE_BOUNDS) + 2
+#: Share of the other documents whose left-out scores stay below the level 0.
+USUAL = 0.999
+#: Parts of the labelled documents; each is scored by a model of the others.
+FOLDS = 3
+#: Weight of the squared feature weights in the loss.
+RIDGE = 0.05
 
 _WORDS = re.compile(r"[^\W\d_]+")
 _STEMS = (4, 5, 6)
@@ -54,80 +60,144 @@ class Model:
         return np.diff(edges, axis=0).T
 
 
-def _fit(
-    rows: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, n_features: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and cuts by Adam on the penalised likelihood; deterministic."""
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    column = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    value = np.concatenate(values) if values else np.zeros(0)
-    share = np.cumsum(np.bincount(grades, minlength=GRADES))[:-1] / len(grades)
-    share = np.clip(share, 1e-4, 1 - 1e-4)
-    start = np.log(share / (1 - share))
-    start = np.maximum.accumulate(start + 1e-3 * np.arange(len(start)))
-    parameters = np.concatenate(
-        [np.zeros(n_features), start[:1], np.log(np.maximum(np.diff(start), 1e-3))]
-    )
-    first, second = np.zeros_like(parameters), np.zeros_like(parameters)
-    logistic = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    at = np.arange(len(grades))
-    for step in range(1, 401):
-        weights, raw = parameters[:n_features], parameters[n_features:]
-        cuts = np.concatenate([raw[:1], raw[0] + np.cumsum(np.exp(raw[1:]))])
-        scores = np.bincount(owner, value * weights[column], minlength=len(grades))
-        below = logistic(cuts[None, :] - scores[:, None])
-        edges = np.column_stack([np.zeros(len(grades)), below, np.ones(len(grades))])
+def _logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+@dataclass(frozen=True)
+class _Sample:
+    """Graded documents as (document, feature, value) triples.
+
+    Toxic and other documents weigh the same in all, however many they are.
+    A model's parameters are one vector: feature weights, the first cut and
+    the logarithms of the steps to the others, which keeps cuts in order.
+    """
+
+    owner: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+    grades: np.ndarray
+    weight: np.ndarray
+    n_features: int
+    n_grades: int
+
+    @classmethod
+    def of(cls, rows, values, grades, n_features: int, n_grades: int) -> _Sample:
+        grades = np.asarray(grades)
+        toxic = grades > 0
+        sizes = np.maximum(np.bincount(toxic, minlength=2), 1)
+        owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        column = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
+        value = np.concatenate([np.zeros(0), *values])
+        weight = len(grades) / 2 / sizes[toxic.astype(np.int64)]
+        return cls(owner, column, value, grades, weight, n_features, n_grades)
+
+    def cuts(self, parameters: np.ndarray) -> np.ndarray:
+        raw = parameters[self.n_features :]
+        return np.concatenate([raw[:1], raw[0] + np.cumsum(np.exp(raw[1:]))])
+
+    def start(self) -> np.ndarray:
+        """No weights, and the cuts that give the grades' shares."""
+        weight = np.bincount(self.grades, self.weight, minlength=self.n_grades)
+        share = np.cumsum(weight)[:-1] / weight.sum()
+        share = np.clip(share, 1e-4, 1 - 1e-4)
+        cuts = np.log(share / (1 - share))
+        cuts = np.maximum.accumulate(cuts + 1e-3 * np.arange(len(cuts)))
+        steps = np.log(np.maximum(np.diff(cuts), 1e-3))
+        return np.concatenate([np.zeros(self.n_features), cuts[:1], steps])
+
+    def loss(self, parameters: np.ndarray) -> tuple[float, np.ndarray]:
+        """Penalised negative log-likelihood per document, and its gradient."""
+        n, at = len(self.grades), np.arange(len(self.grades))
+        weights, raw = parameters[: self.n_features], parameters[self.n_features :]
+        scores = np.bincount(self.owner, self.value * weights[self.column], minlength=n)
+        below = _logistic(self.cuts(parameters)[None, :] - scores[:, None])
+        edges = np.column_stack([np.zeros(n), below, np.ones(n)])
         slope = edges * (1 - edges)
-        p = np.maximum(edges[at, grades + 1] - edges[at, grades], 1e-9)
-        high, low = slope[at, grades + 1] / p, slope[at, grades] / p
-        by_score = high - low
-        g_weights = np.bincount(column, by_score[owner] * value, minlength=n_features)
-        g_cuts = np.zeros(len(cuts) + 2)
-        np.add.at(g_cuts, grades + 1, -high)
-        np.add.at(g_cuts, grades, low)
-        g_cuts = g_cuts[1:-1]
-        tail = np.cumsum(g_cuts[::-1])[::-1]
+        p = np.maximum(edges[at, self.grades + 1] - edges[at, self.grades], 1e-9)
+        over = self.weight / p
+        high, low = slope[at, self.grades + 1] * over, slope[at, self.grades] * over
+        by_score = (high - low)[self.owner] * self.value
+        g_weights = np.bincount(self.column, by_score, minlength=self.n_features)
+        g_cuts = np.zeros(self.n_grades + 1)
+        np.add.at(g_cuts, self.grades + 1, -high)
+        np.add.at(g_cuts, self.grades, low)
+        tail = np.cumsum(g_cuts[1:-1][::-1])[::-1]
         g_raw = np.concatenate([tail[:1], tail[1:] * np.exp(raw[1:])])
-        gradient = np.concatenate([g_weights + 0.05 * weights, g_raw]) / len(grades)
+        total = RIDGE / 2 * float(weights @ weights) - float(self.weight @ np.log(p))
+        return total / n, np.concatenate([g_weights + RIDGE * weights, g_raw]) / n
+
+
+def _fitted(sample: _Sample, steps: int = 400) -> np.ndarray:
+    """Parameters by Adam, the last quarter of the steps smaller; deterministic."""
+    parameters = sample.start()
+    first, second = np.zeros_like(parameters), np.zeros_like(parameters)
+    for step in range(1, steps + 1):
+        _, gradient = sample.loss(parameters)
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
-        rate = 0.1 if step <= 300 else 0.02
+        rate = 0.1 if 4 * step <= 3 * steps else 0.02
         parameters -= (
             rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
         )
-    raw = parameters[n_features:]
-    cuts = np.concatenate([raw[:1], raw[0] + np.cumsum(np.exp(raw[1:]))])
-    return parameters[:n_features], cuts
+    return parameters
+
+
+def folds(toxic: np.ndarray) -> np.ndarray:
+    """The fold of each document: toxic ones and others are dealt out in turn."""
+    place = np.where(toxic, np.cumsum(toxic), np.cumsum(~toxic))
+    return place % FOLDS
+
+
+def left_out_scores(
+    rows: list[np.ndarray], values: list[np.ndarray], toxic: np.ndarray, n_features: int
+) -> np.ndarray:
+    """Each document's score by a two-grade model of the other folds."""
+    scores, own_fold = np.zeros(len(rows)), folds(toxic)
+    for fold in range(FOLDS):
+        seen = np.flatnonzero(own_fold != fold).tolist()
+        own, flags = [rows[k] for k in seen], toxic[seen].astype(np.int64)
+        sample = _Sample.of(own, [values[k] for k in seen], flags, n_features, 2)
+        weights = _fitted(sample, 150)[:n_features]
+        for k in np.flatnonzero(own_fold == fold).tolist():
+            scores[k] = weights[rows[k]] @ values[k]
+    return scores
+
+
+def graded(
+    rows: list[np.ndarray], values: list[np.ndarray], toxic: np.ndarray, n_features: int
+) -> np.ndarray:
+    """0 for documents that are not toxic, else 1 to 3 by left-out score and ``GRADE_BOUNDS``."""
+    scores = left_out_scores(rows, values, toxic, n_features)
+    low, high = np.quantile(scores[~toxic], USUAL), np.median(scores[toxic])
+    bounds = low + max(high - low, 0.0) * np.array(GRADE_BOUNDS)
+    return np.where(toxic, 1 + np.searchsorted(bounds, scores), 0)
 
 
 def _features_of(words: Iterable[str]) -> set[str]:
     return {f for w in words for f in word_features(w)}
 
 
-def _encoded(words: Counter, column: dict[str, int], peculiar: set[str]) -> tuple[Counter, int]:
-    """Occurrences by column, and how many different words have a peculiar feature."""
+def _encoded(words: Counter, column: dict[str, int]) -> Counter:
+    """Occurrences by column."""
     tally: Counter = Counter()
-    hits = 0
     for word, n in words.items():
-        own = word_features(word)
-        hits += any(f in peculiar for f in own)
-        for f in own:
+        for f in word_features(word):
             if f in column:
                 tally[column[f]] += n
-    return tally, hits
+    return tally
 
 
-def _model(names: list[str], rows: list[tuple[list[int], list[int], int, int]]) -> Model:
-    """A model from (columns in order, occurrences, hits, toxic 0 or 1) of each document."""
-    columns = [np.array(c, dtype=np.int64) for c, _, _, _ in rows]
-    values = [np.log1p(n) for _, n, _, _ in rows]
-    grades = [
-        1 + int(np.searchsorted(GRADE_BOUNDS, hits, side="right")) if flag else 0
-        for _, _, hits, flag in rows
-    ]
-    weights, cuts = _fit(columns, values, np.array(grades), len(names))
-    kept = {f: float(w) for f, w in zip(names, weights, strict=True) if abs(w) > 1e-6}
-    return Model(kept, tuple(float(c) for c in cuts))
+def _model(names: list[str], rows: list[tuple[list[int], list[int], int]]) -> Model:
+    """A model from (columns in order, occurrences, toxic 0 or 1) of each document."""
+    columns = [np.array(c, dtype=np.int64) for c, _, _ in rows]
+    values = [np.log1p(n) for _, n, _ in rows]
+    toxic = np.array([flag for _, _, flag in rows], dtype=bool)
+    grades = graded(columns, values, toxic, len(names))
+    sample = _Sample.of(columns, values, grades, len(names), GRADES)
+    parameters = _fitted(sample)
+    kept = {f: float(w) for f, w in zip(names, parameters, strict=False) if abs(w) > 1e-6}
+    return Model(kept, tuple(float(c) for c in sample.cuts(parameters)))
 
 
 def _harmless() -> Model:
@@ -154,16 +224,12 @@ def train(examples: list[tuple[list[str], int]]) -> Model:
         for f, n in seen[1].items()
         if n >= 2
     }
-    ranked = sorted(
-        ((seen[1][f] * x, f) for f, x in lift.items() if x > np.log(4)), key=lambda p: (-p[0], p[1])
-    )
-    names = [f for _, f in ranked[:MAX_FEATURES]]
+    names = sorted(f for f, x in lift.items() if x > np.log(4))
     column = {f: k for k, f in enumerate(names)}
-    peculiar = {f for f in names if not seen[0][f]}
     rows = []
     for words, flag in zip(counts, toxic, strict=True):
-        tally, hits = _encoded(words, column, peculiar)
-        rows.append((sorted(tally), [tally[k] for k in sorted(tally)], hits, int(flag)))
+        tally = _encoded(words, column)
+        rows.append((sorted(tally), [tally[k] for k in sorted(tally)], int(flag)))
     return _model(names, rows)
 
 
@@ -185,8 +251,11 @@ def labelled_texts(
     return rows.select("text", F.col("toxic").cast("int").alias("toxic"))
 
 
-def _ranked(texts: DataFrame, n_toxic: int, n_other: int) -> list[tuple[str, bool]]:
-    """``train``'s features and whether no other document has them, counted on the executors."""
+def _peculiar(texts: DataFrame, n_toxic: int, n_other: int) -> list[str]:
+    """``train``'s features, counted on the executors.
+
+    What the bounded number of toxic documents have in common bounds them.
+    """
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -204,35 +273,36 @@ def _ranked(texts: DataFrame, n_toxic: int, n_other: int) -> list[tuple[str, boo
     lift = F.log((F.col("toxic") + 0.1) / (n_toxic + 0.2)) - F.log(
         (F.col("other") + 0.1) / (n_other + 0.2)
     )
-    ranked = counts.where("toxic >= 2").withColumn("lift", lift).where(F.col("lift") > np.log(4))
-    best = ranked.orderBy(F.desc(F.col("toxic") * F.col("lift")), "f").limit(MAX_FEATURES)
-    return [(r["f"], r["other"] == 0) for r in best.select("f", "other").collect()]
+    kept = counts.where("toxic >= 2").where(lift > np.log(4)).select("f")
+    return sorted(r["f"] for r in kept.collect())
 
 
 def fit(docs: DataFrame, labels: DataFrame, **columns: str) -> Model:
-    """``train`` on labelled documents; only kept features leave the executors."""
+    """``train`` on labelled documents; only kept features leave the executors.
+
+    Labels other than 0 and 1 and null ids teach nothing, a repeated label
+    counts once (1 wins), and of rows that share an id each teaches; null texts
+    are empty.  Texts are read whole, whatever their length.
+    """
     texts = materialized(labelled_texts(docs, labels, **columns), "labelled")
     sizes = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return _harmless()
-    found = _ranked(texts, sizes[1], sizes[0])
-    names = [f for f, _ in found]
+    names = _peculiar(texts, sizes[1], sizes[0])
     column = {f: k for k, f in enumerate(names)}
-    peculiar = {f for f, alone in found if alone}
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [_encoded(Counter(chunk_words(t or "")), column, peculiar) for t in batch.column(0).to_pylist()]
+        out = [_encoded(Counter(chunk_words(t or "")), column) for t in batch.column(0).to_pylist()]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([sorted(t) for t, _ in out], type=pa.list_(pa.int64())),
-                pa.array([[t[k] for k in sorted(t)] for t, _ in out], type=pa.list_(pa.int64())),
-                pa.array([h for _, h in out], type=pa.int64()),
+                pa.array([sorted(t) for t in out], type=pa.list_(pa.int64())),
+                pa.array([[t[k] for k in sorted(t)] for t in out], type=pa.list_(pa.int64())),
                 batch.column(1),
             ],
-            names=["columns", "n", "hits", "toxic"],
+            names=["columns", "n", "toxic"],
         )
 
-    fields = "columns array<long>, n array<long>, hits long, toxic int"
+    fields = "columns array<long>, n array<long>, toxic int"
     return _model(names, sorted(tuple(r) for r in map_batches(texts, encode, fields).collect()))
 
 
@@ -276,8 +346,9 @@ def severity(
     """doc_id, severity (expected grade), grade (likeliest), p_toxic and toxic.
 
     ``toxic`` holds where grades above 0 are likelier than not.  Null and
-    empty texts score 0.  One narrow pass over whole texts; the model travels
-    with the tasks (``MAX_FEATURES`` bounds it).
+    empty texts score 0; repeated rows and ids are scored each for itself, an
+    empty table gives an empty one, other columns are ignored.  One narrow
+    pass over whole texts; the model travels with the tasks.
     """
     rows = picked(df, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -305,7 +376,10 @@ def severity(
 
 
 def without_toxic(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that are not toxic, with all their columns, in one narrow pass."""
+    """The rows of ``df`` that are not toxic, with all their columns, in one narrow pass.
+
+    Null and empty texts stay; rows are judged one by one, whatever their ids.
+    """
     place = df.columns.index(text_col)
     held: list[_Scorer] = []
 
