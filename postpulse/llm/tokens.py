@@ -9,6 +9,7 @@ only new ones go through the library.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -42,6 +43,26 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def cuttable(tokenizer: dict) -> bool:
+    """Whether a tokenizer's texts may be cut before spaces: plain byte-level BPE, nothing around it.
+
+    Added tokens are looked for in whole texts first, so none may hold a space.
+    """
+    before = tokenizer.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex") is True
+    return (
+        plain
+        and not before.get("add_prefix_space")
+        and not any(tokenizer.get(k) for k in ("normalizer", "truncation", "padding"))
+        and (tokenizer.get("model") or {}).get("type") == "BPE"
+        and not (tokenizer["model"].get("dropout") or tokenizer["model"].get("ignore_merges"))
+        and not any(
+            " " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"]
+            for t in tokenizer.get("added_tokens") or ()
+        )
+    )
+
+
 class ChunkEncoder:
     """Encodes texts to little-endian ids; each memo holds a bounded number of chunks.
 
@@ -55,6 +76,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        if not cuttable(json.loads(self._tokenizer.to_str())):
+            raise ValueError(f"{path}: chunks of its texts may not encode as the whole texts do")
         self._model = self._tokenizer.model
         self._words: dict[str, bytes] = {}
         self._parts: dict[str, bytes] = {}

@@ -52,29 +52,100 @@ def test_files_round_trip(spark, documents, corpus):
         start += len(ids) // 4
 
 
+def bytes_for(df, files: int) -> int:
+    """``file_bytes`` that make an input ask for so many files."""
+    return -(-int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // files)
+
+
 def test_wanted_documents_only(spark, documents, corpus, tmp_path):
     path = str(tmp_path / "ids")
-    frames.write_ids(documents, path, file_bytes=40_000)
-    assert len(list((tmp_path / "ids").glob("shard=*"))) > 1
+    frames.write_ids(documents, path, file_bytes=bytes_for(documents.select("doc_id", "text"), 9))
+    assert len(list((tmp_path / "ids").glob("part-*"))) > 1
     rows = frames.read_ids(spark, path, wanted=[3, 5, 99_999]).collect()
     assert {r.doc_id: bytes(r.ids) for r in rows} == {k: ended(corpus[k][1]) for k in (3, 5)}
 
 
-def test_file_layout():
-    builder = frames.FileBuilder(frame_ids=4)
+def test_files_are_plain_zstandard(spark, documents, corpus, tmp_path, monkeypatch):
+    """Any decompressor reads them: data, then the index, in the order of ids over all files."""
+    import zstandard
+
+    size = bytes_for(documents.select("doc_id", "text"), 9)
+    frames.write_ids(documents, str(tmp_path / "ids"), file_bytes=size)
+    found = b""
+    for path in sorted((tmp_path / "ids").glob("part-*")):
+        content = path.read_bytes()
+        reader = frames.FileReader(content)
+        stream = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content), read_across_frames=True)
+        plain = stream.read()
+        assert plain.endswith(reader.index.tobytes())
+        found += plain[: len(plain) - reader.index.nbytes]
+        assert sum(e[0] for e in reader._entries) < len(content)
+    assert found == b"".join(ended(t) for _, t in corpus)
+
+
+@pytest.mark.parametrize("frame_ids", [1, 4, 1000])
+def test_file_layout(frame_ids):
+    """Chunks with seams between them; a reader opens only the frames of what it wants."""
+    builder = frames.FileBuilder(frame_ids=frame_ids)
+    content = b""
     for doc in range(5):
         builder.add(doc, bytes(range(doc * 4, doc * 4 + 12)))
-    content = builder.finish()
+        if doc in (1, 3):
+            content += builder.chunk()
+            assert content[-1] == frames.LAST
+    content += builder.finish()
     assert content[-4:] == frames.SEEKABLE_MAGIC.to_bytes(4, "little")
     reader = frames.FileReader(io.BytesIO(content))
-    assert len(set(reader.index["frame"].tolist())) == 5
-    assert [d for d, _ in reader.documents({1, 4})] == [1, 4]
+    assert len(set(reader.index["frame"].tolist())) == {1: 5, 4: 3, 1000: 3}[frame_ids]
+    assert list(reader.documents({1, 4})) == [(d, bytes(range(d * 4, d * 4 + 12))) for d in (1, 4)]
+    assert [d for d, _ in reader.documents()] == list(range(5))
+    if frame_ids == 1:
+        opened = []
+        reader.frame = lambda k, ahead=0: opened.append(k) or frames.FileReader.frame(reader, k, ahead)
+        assert [d for d, _ in reader.documents({2})] == [2]
+        assert opened == [int(reader.index["frame"][2])]
     broken = bytearray(content)
     broken[6] ^= 0xFF
     with pytest.raises(Exception, match="."):
         list(frames.FileReader(bytes(broken)).documents())
 
 
+def test_larger_inputs_ask_for_more_files(documents):
+    assert frames._file_count(documents, frames.FILE_BYTES) is None
+    assert frames._file_count(documents, bytes_for(documents, 9)) == 9
+
+
+def test_one_id_may_fill_many_files(spark, tmp_path):
+    """Equal rows of one id are dealt to several tasks and keep their order."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(0, 4000, 1, 4).select(F.lit(7).alias("doc_id"), F.lit("a b c").alias("text"))
+    path = str(tmp_path / "ids")
+    frames.write_ids(rows, path, file_bytes=bytes_for(rows, 9))
+    assert len([p for p in (tmp_path / "ids").glob("part-*") if p.stat().st_size]) > 1
+    found = frames.ids_report(spark, path).orderBy("start").collect()
+    assert [r.start for r in found] == list(range(0, 16_000, 4)) and {r.n_tokens for r in found} == {4}
+
+
+def test_other_tokenizers_are_refused(tmp_path):
+    import json
+
+    plain = json.loads(LIBRARY.to_str())
+    assert tokens.cuttable(plain)
+    for change in (
+        {"pre_tokenizer": {"type": "Whitespace"}},
+        {"pre_tokenizer": {**plain["pre_tokenizer"], "add_prefix_space": True}},
+        {"normalizer": {"type": "NFC"}},
+        {"pre_tokenizer": None},
+        {"added_tokens": [{**plain["added_tokens"][0], "content": "a b"}]},
+    ):
+        assert not tokens.cuttable({**plain, **change})
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps({**plain, "normalizer": {"type": "Lowercase"}}))
+    with pytest.raises(ValueError, match="chunks"):
+        tokens.ChunkEncoder(str(path))
+
+
 def test_no_documents(no_documents):
     assert frames.encode_and_report(no_documents).count() == 0
     assert packing.pack_documents(no_documents).count() == 0
