@@ -67,8 +67,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_given: list[str] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/postpulse/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; ``cleared`` deletes what was given out inside it."""
+    _given.append(f"{shared_dir(spark)}/postpulse/{label}-{uuid.uuid4().hex}")
+    return _given[-1]
 
 
 def materialized(df: DataFrame, label: str) -> DataFrame:
@@ -77,26 +82,21 @@ def materialized(df: DataFrame, label: str) -> DataFrame:
     It cuts the lineage: a lost executor costs the tasks that ran there, not
     the stages before the table.  Results read from it; ``cleared`` deletes it.
     """
-    path = fresh_path(df.sparkSession, label)
-    _intermediate.append(path)
-    return written(df, path)
-
-
-_intermediate: list[str] = []
+    return written(df, fresh_path(df.sparkSession, label))
 
 
 @contextmanager
 def cleared(spark: SparkSession) -> Iterator[None]:
-    """Deletes on leaving the intermediate tables written inside.
+    """Deletes on leaving all tables and files written to fresh paths inside.
 
     Write what you need of the results before.
     """
-    before = len(_intermediate)
+    before = len(_given)
     try:
         yield
     finally:
-        while len(_intermediate) > before:
-            drop_path(spark, _intermediate.pop())
+        while len(_given) > before:
+            drop_path(spark, _given.pop())
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
