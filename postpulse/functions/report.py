@@ -45,3 +45,16 @@ def issue_report(day: str, stats: DataFrame, tables: dict[str, tuple[DataFrame,
     for title, (rows, columns) in tables.items():
         parts += ["", f"## {title}", "", markdown_table(rows, columns)]
     return "\n".join(parts) + "\n"
+
+
+_NUMBERS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight")
+
+
+def count_word(n: int) -> str:
+    """Numbers up to eight as words."""
+    return _NUMBERS[n] if 0 <= n < len(_NUMBERS) else str(n)
+
+
+def list_phrase(names: list[str]) -> str:
+    """``a, b and c``."""
+    return " and ".join(filter(None, [", ".join(names[:-1]), *names[-1:]]))

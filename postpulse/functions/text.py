@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -320,30 +322,53 @@ def classify_token(token: Column | str, keys=lex.TOKEN_KEYS) -> Column:
     return found.otherwise(F.lit(None).cast(kind))
 
 
+def title_needle(key: str) -> str:
+    """What is looked for in a padded title: with a space inside, the key with its marks as spaces."""
+    return re.sub("[^a-z0-9]+", " ", key) if " " in key else key.strip()
+
+
 def classify_title(title: Column | str, families=lex.TITLE_FAMILIES) -> Column:
     """The first family with a key inside the padded normalised title, else ``other``.
 
-    One alternation for each family keeps the expression small however many keys.
+    One alternation for each block keeps the expression small however many keys.
     """
     padded = padded_title(title)
     found = F.when(F.lit(False), F.lit(None).cast("string"))
     for family, keys in families:
-        pattern = "|".join(rf"\Q{k}\E" for k in keys)
-        found = found.when(padded.rlike(pattern), F.lit(family))
+        found = found.when(padded.rlike(_block_pattern(keys)), F.lit(family))
     return found.otherwise(F.lit("other"))
 
 
+def _block_pattern(keys) -> str:
+    return "|".join(rf"\Q{title_needle(k)}\E" for k in keys)
+
+
 def title_key(title: Column | str, families=lex.TITLE_FAMILIES) -> Column:
-    """struct(family, key) of the first key that fires, for audits."""
+    """struct(family, key, weak): the first key that fires, weak if it is a single word.
+
+    An alternation finds the block; only that block's keys are then gone
+    through, from a literal table.
+    """
     padded = padded_title(title)
-    table = F.array(
-        *[
-            F.struct(F.lit(f).alias("family"), F.lit(k).alias("key"))
-            for f, keys in families
+    fields = "family:string,key:string,weak:boolean,needle:string"
+    nothing = F.lit(None).cast(f"struct<{fields}>")
+    found = F.when(F.lit(False), nothing)
+    for family, keys in families:
+        facts = [
+            {"family": family, "key": k, "weak": " " not in k.strip(), "needle": title_needle(k)}
             for k in keys
         ]
+        # A foldable expression: the optimizer makes one literal of it.
+        table = F.from_json(F.lit(json.dumps(facts)), f"array<struct<{fields}>>")
+        first = F.get(F.filter(table, lambda r: F.contains(padded, r["needle"])), F.lit(0))
+        found = found.when(padded.rlike(_block_pattern(keys)), first)
+    other = F.struct(
+        F.lit("other").alias("family"),
+        F.lit(None).cast("string").alias("key"),
+        F.lit(False).alias("weak"),
+        F.lit(None).cast("string").alias("needle"),
     )
-    return F.get(F.filter(table, lambda r: F.contains(padded, r["key"])), F.lit(0))
+    return F.coalesce(found.otherwise(nothing), other).dropFields("needle")
 
 
 def round_half_up(value: Column, digits: int) -> Column:
@@ -363,3 +388,11 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> Column:
     return F.struct(
         F.coalesce(low, F.lit(0.0)).alias("low"), F.coalesce(high, F.lit(1.0)).alias("high")
     )
+
+
+def escape_html(text: Column | str) -> Column:
+    """The five characters that mean something in HTML as entities; null as the empty string."""
+    out = F.coalesce(_col(text), F.lit(""))
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(char), F.lit(entity))
+    return out

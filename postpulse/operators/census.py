@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postpulse.functions.text import wilson
+from postpulse.functions import lexicons as lex
+from postpulse.functions.text import title_key, wilson
+from postpulse.operators.ranking import with_place
 
 # Fixed values.
 NO_ROLE = ("recruitment_ad", "volunteer", "generic", "other", "non_english")
@@ -21,20 +23,31 @@ def is_role(family: Column) -> Column:
     return ~family.isin(*NO_ROLE)
 
 
+def classified(titles: DataFrame, title: str = "title", families=lex.TITLE_FAMILIES) -> DataFrame:
+    """``titles`` with family, key and weak of each title; null titles are ``other``.
+
+    Boards post the same titles over and over, so each distinct one is
+    classified once and the answers are joined back.
+    """
+    facts = titles.select(F.col(title).alias("_title")).distinct()
+    facts = facts.withColumn("_fact", title_key("_title", families))
+    joined = titles.join(facts, F.col(title).eqNullSafe(F.col("_title")))
+    names = ("family", "key", "weak")
+    return joined.withColumns({n: F.col(f"_fact.{n}") for n in names}).drop("_title", "_fact")
+
+
 def head_and_tail(boards: DataFrame, head: int, step: int, size: str = "postings") -> DataFrame:
     """The ``head`` largest boards, every ``step``-th of the rest, and the tail's weight.
 
     Weight is tail boards over sampled tail boards, 1 for the head.
     """
-    order = Window.orderBy(F.desc(size), "board")
-    ranked = boards.withColumn("place", F.row_number().over(order) - 1)
+    total = boards.count()
     rest = F.col("place") - head
     stratum = F.when(rest < 0, "head").when(rest % step == 0, "tail")
-    every = Window.partitionBy()
-    tail_total = F.count_if(rest >= 0).over(every)
-    tail_taken = F.count_if(stratum == "tail").over(every)
-    weight = F.when(stratum == "head", 1.0).otherwise(tail_total / F.nullif(tail_taken, F.lit(0)))
-    rows = ranked.withColumns({"stratum": stratum, "weight": weight})
+    tail = max(total - head, 0)
+    tail_weight = tail / -(-tail // step) if tail else None
+    weight = F.when(stratum == "head", 1.0).otherwise(F.lit(tail_weight).cast("double"))
+    rows = with_place(boards, size).withColumns({"stratum": stratum, "weight": weight})
     return rows.where(F.col("stratum").isNotNull()).drop("place")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postpulse.functions.text import normal_place, normal_title
+from postpulse.functions.text import normal_place, normal_title, round_half_up
 
 
 def keyed(rows: DataFrame, board: str = "board") -> DataFrame:
@@ -25,19 +25,22 @@ def dedupe_rows(
     """
     found = keyed(rows)
     mergeable = (F.col("norm_title") != "") & (F.col("norm_place") != "")
-    # Rows that never merge stay out of the window, so they form no hot group.
-    copies = Window.partitionBy(board, "norm_title", "norm_place")
-    merged = found.where(mergeable).withColumns(
+    # Rows that never merge have a key of their own, so they form no hot group.
+    found = found.withColumn("_alone", F.when(~mergeable, F.monotonically_increasing_id()))
+    keys = [board, "norm_title", "norm_place", "_alone"]
+    if apply:
+        # Copies go before they are shuffled: a partial aggregation keeps the first of each.
+        first = F.min_by(F.struct(*rows.columns), position)
+        kept = found.groupBy(*keys).agg(first.alias("_row"), (F.count("*") - 1).alias("duplicates_merged"))
+        own = [F.col(f"_row.{c}").alias(c) for c in rows.columns]
+        return kept.select(*own, "norm_title", "norm_place", F.lit(1).alias("copy_number"), "duplicates_merged")
+    copies = Window.partitionBy(*keys)
+    return found.withColumns(
         {
             "copy_number": F.row_number().over(copies.orderBy(position)),
             "duplicates_merged": F.count("*").over(copies) - 1,
         }
-    )
-    alone = found.where(~mergeable).withColumns(
-        {"copy_number": F.lit(1), "duplicates_merged": F.lit(0).cast("long")}
-    )
-    every = merged.unionByName(alone)
-    return every.where("copy_number = 1") if apply else every
+    ).drop("_alone")
 
 
 def repeats_by_title(rows: DataFrame, board: str = "board") -> DataFrame:
@@ -101,6 +104,20 @@ def analyse_boards(rows: DataFrame, board: str = "board") -> DataFrame:
     )
 
 
+def repeat_totals(rows: DataFrame, limit: int, board: str = "board") -> DataFrame:
+    """One row about the ``limit`` boards with most repeats: sums, and rates over their postings."""
+    worst = rank_by_repeats(rows, limit, board).select(F.col(board).alias("_b"))
+    found = analyse_boards(rows.join(worst, F.col(board) == F.col("_b"), "left_semi"), board)
+    names = [c for c in found.columns if c != board]
+    sums = found.agg(F.count("*").alias("boards"), *[F.sum(n).alias(n) for n in names])
+    parts = ("repeated", "same_location", "distinct_location", "unstated")
+    rates = {
+        f"{n}_rate": round_half_up(F.try_divide(F.col(f"{n}_extra"), F.col("postings")), 4)
+        for n in parts
+    }
+    return sums.withColumns(rates)
+
+
 def rank_by_repeats(rows: DataFrame, limit: int, board: str = "board") -> DataFrame:
     """The boards with most postings beyond one for each title; ties by name."""
     extra = F.count("*") - F.count_distinct("norm_title")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postpulse.functions.text import round_half_up
+
 KEYS = ("source", "company")
 
 # What counts as a ramp between two days.
@@ -131,3 +135,45 @@ def issue_to_issue(issues: DataFrame) -> DataFrame:
             "delta": F.col("open") - F.lag("open").over(order),
         }
     )
+
+
+#: The ranked tables that two issues are compared by where one has no roster.
+TABLES = ("ramping", "new_boards", "new_functions", "executive_openings")
+
+
+def compared(
+    previous: dict[str, DataFrame], current: dict[str, DataFrame], limit: int = 15
+) -> tuple[str, DataFrame]:
+    """What changed between two issues, and on what basis.
+
+    An issue has its frames by name: roster and unread, and the ranked
+    ``TABLES``.  With both rosters the basis is ``roster`` and the rows are
+    ``change_lists``; else it is ``top_lists`` and the rows tell for each table
+    which companies entered or left it.
+    """
+    if previous.get("roster") is not None and current.get("roster") is not None:
+        none = current["roster"].limit(0)
+        changes = board_changes(
+            previous["roster"],
+            current["roster"],
+            previous.get("unread", none),
+            current.get("unread", none),
+        )
+        return "roster", change_lists(changes, limit)
+    found = [
+        list_entries(previous[name], current[name]).select(F.lit(name).alias("table"), "change", *KEYS)
+        for name in TABLES
+        if name in previous and name in current
+    ]
+    return "top_lists", reduce(DataFrame.unionByName, found)
+
+
+def by_change(signals: DataFrame) -> DataFrame:
+    """Day signals with the largest change first, whatever its direction."""
+    return signals.orderBy(F.desc(F.abs("delta")), *KEYS)
+
+
+def hours_between(earlier: Column, later: Column) -> Column:
+    """Hours from one instant to another, to one digit."""
+    seconds = F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))
+    return round_half_up(seconds / 3.6e9, 1)

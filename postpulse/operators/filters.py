@@ -89,6 +89,12 @@ def exclusive_quality(postings: DataFrame, keys: Iterable[str]) -> DataFrame:
     return counts.withColumns({"not_jobs": bad, "not_jobs_share": bad / F.col("titles_read")})
 
 
+def worst_quality(quality: DataFrame, limit: int, *ties: str) -> DataFrame:
+    """Boards with any listing that is no job: largest share first, then most of them."""
+    some = quality.where("not_jobs > 0")
+    return some.orderBy(F.desc("not_jobs_share"), F.desc("not_jobs"), *ties).limit(limit)
+
+
 def listing_stale_fields(
     listing: DataFrame, fields: Iterable[str], roster_text: str, providers: Iterable[str]
 ) -> DataFrame:

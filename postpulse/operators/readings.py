@@ -44,11 +44,14 @@ def free_prices(events: Column) -> Column:
 def audit_queue(hits: DataFrame, cached: DataFrame, most: int = 12) -> DataFrame:
     """What to read for a key audit: all cached boards, and of the others ``most`` a key.
 
-    Places within a key follow ``pos``; larger boards come first in the queue.
+    Of a key's other boards the first by ``pos`` are taken; ``place`` is a
+    board's turn within its key: larger boards come first, then by name.
     """
     known = cached.select(F.col("board").alias("_b")).distinct().withColumn("cached", F.lit(True))
     joined = hits.join(known, F.col("board") == F.col("_b"), "left").drop("_b")
     joined = joined.withColumn("cached", F.coalesce("cached", F.lit(False)))
     place = F.row_number().over(Window.partitionBy("key", "cached").orderBy("pos"))
     rows = joined.withColumn("place", place)
-    return rows.where(F.col("cached") | (F.col("place") <= most)).drop("place")
+    rows = rows.where(F.col("cached") | (F.col("place") <= most))
+    turn = Window.partitionBy("key").orderBy(F.desc("postings"), "board")
+    return rows.withColumn("place", F.row_number().over(turn))

@@ -54,8 +54,12 @@ def rules_for(text: str, agent: str) -> tuple[tuple[bool, str], ...] | None:
     return None
 
 
-def verdict(text: str | None, path: str, agent: str) -> tuple[bool, str, str | None]:
-    """(allowed, reason, rule): the longest matching pattern decides, allow on a tie."""
+def verdict(text: str | None, path: str | None, agent: str) -> tuple[bool, str, str | None]:
+    """(allowed, reason, rule): the longest matching pattern decides, allow on a tie.
+
+    A null path is the root.
+    """
+    path = path or "/"
     if text is None:
         return True, "no file", None
     rules = rules_for(text, agent)
@@ -74,10 +78,10 @@ def robots_verdicts(rows: DataFrame, agent: str) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            text = frame["robots"].where(frame["robots"].notna(), None)
-            found = [verdict(x, p, agent) for x, p in zip(text, frame["path"], strict=True)]
+            text, path = (frame[c].where(frame[c].notna(), None) for c in ("robots", "path"))
+            found = [verdict(x, p, agent) for x, p in zip(text, path, strict=True)]
             names = ["allowed", "reason", "rule"]
-            yield frame.assign(**dict(zip(names, zip(*found, strict=True), strict=True)))
+            yield frame.assign(**{n: [f[k] for f in found] for k, n in enumerate(names)})
 
     return rows.mapInPandas(run, f"{schema}, allowed boolean, reason string, rule string")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postpulse.functions.text import round_half_up
@@ -68,8 +68,6 @@ def coverage_summary(probes: DataFrame, by: str = "provider") -> DataFrame:
 
 def upper_median(rows: DataFrame, value: str, by: str) -> DataFrame:
     """by and median: the value at index floor(n / 2) of the ascending order."""
-    from pyspark.sql import Window
-
     counts = rows.groupBy(by, value).agg(F.count("*").alias("n"))
     order = Window.partitionBy(by).orderBy(value)
     total = F.sum("n").over(Window.partitionBy(by))
@@ -162,3 +160,46 @@ def cross_hits(probes: DataFrame) -> DataFrame:
         F.count("*").alias("tried"), F.count_if(F.col("status") == "live").alias("hits")
     )
     return counts.withColumn("hit_rate", round_half_up(F.col("hits") / F.col("tried"), 4))
+
+
+def boards_to_read(
+    roster: DataFrame,
+    most: int,
+    providers: tuple[str, ...] = (),
+    with_empty: bool = False,
+    with_unverified: bool = False,
+) -> DataFrame:
+    """Of each provider the ``most`` largest boards: live by postings, then empty, then unverified.
+
+    ``roster`` has provider, token, status and open_postings; ``place`` is the
+    turn within the provider, ties by token.
+    """
+    wanted = ["live", *["empty"] * with_empty, *["unverified"] * with_unverified]
+    rows = roster.where(F.col("status").isin(*wanted))
+    if providers:
+        rows = rows.where(F.col("provider").isin(*providers))
+    group = F.array_position(F.array(*map(F.lit, wanted)), F.col("status"))
+    order = Window.partitionBy("provider").orderBy(group, F.desc("open_postings"), "token")
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
+def reprobed(latest: DataFrame, again: DataFrame, statuses: tuple[str, ...]) -> DataFrame:
+    """``latest`` with the boards of ``statuses`` as a later, slower run found them.
+
+    Both have provider, token, run, jobs and status; a board the later run
+    could not settle keeps what was known.
+    """
+    keys = ("provider", "token")
+    asked = latest.where(F.col("status").isin(*statuses)).select(*keys)
+    answered = again.join(asked, list(keys), "left_semi").where(~F.col("status").isin("error", "blocked"))
+    return layered(latest.unionByName(answered.select(*latest.columns)), keys, "run")
+
+
+def board_search(boards: DataFrame, text: str) -> DataFrame:
+    """Boards whose token holds ``text``, whatever the case; all for an empty text."""
+    return boards.where(F.lower("token").contains(text.strip().lower()))
+
+
+def roster_order(boards: DataFrame) -> DataFrame:
+    """Live boards, most postings first, then by token."""
+    return boards.where(F.col("status") == "live").orderBy(F.desc("open_postings"), "token")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from postpulse.operators.ranking import with_place
+
 # Strata as (name, least postings, boards to sample; None: census).
 STRATA = (
     ("500+", 500, None),
@@ -55,20 +57,57 @@ def every_kth(boards: DataFrame, plan: DataFrame, strata=STRATA, size: str = "po
     """Evenly spaced boards of each stratum, by size: places floor(i x n / target).
 
     Place p is taken iff some i has floor(i n / t) = p, which a board decides
-    from its own place: ceil(p t / n) x n / t must still floor to p.
+    from its own place: ceil(p t / n) x n / t must still floor to p.  Strata
+    are ranges of size, so a place within one is the place in all less the
+    boards of the strata above.
     """
-    order = Window.partitionBy("stratum").orderBy(F.desc(size), "board")
     placed = boards.withColumn("stratum", stratum(F.col(size), strata))
-    placed = placed.withColumn("place", F.row_number().over(order) - 1)
-    figures = plan.select(F.col("stratum").alias("_s"), F.col("boards").alias("n"), "target")
+    placed = with_place(placed.where(F.col("stratum").isNotNull()), size)
+    rank = F.when(F.lit(False), F.lit(None).cast("int"))
+    for number, (name, _, _) in enumerate(strata):
+        rank = rank.when(F.col("stratum") == name, number)
+    # One row for each stratum.
+    above = Window.orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)
+    figures = plan.select(
+        F.col("stratum").alias("_s"),
+        F.col("boards").alias("n"),
+        "target",
+        F.coalesce(F.sum("boards").over(above), F.lit(0)).alias("_above"),
+    )
     joined = placed.join(figures, F.col("stratum") == F.col("_s"))
+    joined = joined.withColumn("place", F.col("place") - F.col("_above")).drop("_above")
     first = F.ceil(F.col("place") * F.col("target") / F.col("n"))
     taken = (first < F.col("target")) & (F.floor(first * F.col("n") / F.col("target")) == F.col("place"))
     return joined.where(taken).drop("_s", "n", "target", "place")
 
 
-def stratum_rates(results: DataFrame) -> DataFrame:
-    """Ratio estimate of each stratum: duplicate postings over postings read."""
+def drawn_boards(sample: DataFrame, plan: DataFrame) -> list[dict]:
+    """``bootstrap_draws``'s strata: sampled boards one by one, a census as its sums.
+
+    Only sampled strata, whose sizes the plan bounds, reach the driver.
+    """
+    figures = {r["stratum"]: r for r in plan.collect()}
+    whole = [n for n, r in figures.items() if r["census"]]
+    sums = sample.where(F.col("stratum").isin(*whole)).groupBy("stratum")
+    sums = sums.agg(F.sum("postings").alias("postings"), F.sum("extra").alias("extra"))
+    read = {r["stratum"]: [(r["postings"], r["extra"])] for r in sums.collect()}
+    rest = sample.where(~F.col("stratum").isin(*whole)).orderBy(F.desc("postings"), "board")
+    for row in rest.select("stratum", "postings", "extra").collect():
+        read.setdefault(row["stratum"], []).append((row["postings"], row["extra"]))
+    return [
+        {"name": n, "weight": r["weight"], "census": r["census"], "boards": read.get(n, [])}
+        for n, r in figures.items()
+    ]
+
+
+def stratum_rates(results: DataFrame, planned: DataFrame | None = None) -> DataFrame:
+    """Ratio estimate of each stratum: duplicate postings over postings read.
+
+    With ``planned`` boards (stratum and, where a board was not read, reason)
+    failures are counted too.
+    """
+    if planned is not None:
+        return _with_failures(stratum_rates(results), planned)
     return results.groupBy("stratum").agg(
         F.count("*").alias("boards_read"),
         F.sum("postings").alias("postings_read"),
@@ -78,6 +117,24 @@ def stratum_rates(results: DataFrame) -> DataFrame:
     )
 
 
+def _with_failures(rates: DataFrame, planned: DataFrame) -> DataFrame:
+    counts = planned.groupBy(F.col("stratum").alias("_s"), "reason").agg(F.count("*").alias("n"))
+    failed = counts.groupBy("_s").agg(
+        F.sum("n").alias("planned"),
+        F.coalesce(F.sum(F.when(F.col("reason").isNotNull(), F.col("n"))), F.lit(0)).alias("failed"),
+        F.array_sort(
+            F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("reason", "n")))
+        ).alias("reasons"),
+    )
+    return failed.join(rates, F.col("stratum") == F.col("_s"), "left").select(
+        F.col("_s").alias("stratum"),
+        "planned",
+        "failed",
+        "reasons",
+        *[c for c in rates.columns if c != "stratum"],
+    )
+
+
 def combined_rate(rates: DataFrame, plan: DataFrame) -> DataFrame:
     """Weighted rate; weights are renormalised over the strata that answered."""
     weights = plan.select(F.col("stratum").alias("_s"), "weight")
@@ -122,8 +179,9 @@ def bootstrap_draws(
     """iteration and rate: resampled weighted rates, the same as one sequential loop gives.
 
     ``strata`` lists name, weight, census and boards [(postings, extra)] in
-    order: a documented sample plan, hundreds of boards.  A resample draws as
-    many boards as a sampled stratum has; censuses draw nothing.  Every
+    order: a documented sample plan, hundreds of boards; a census may come as
+    one pair of sums.  A resample draws as many boards as a sampled stratum
+    has; censuses draw nothing.  Every
     iteration consumes the same number of draws, so each starts at a known
     state and iterations run anywhere.
     """
@@ -167,14 +225,18 @@ def interval(draws: DataFrame, low: float = 0.025, high: float = 0.975) -> DataF
     return rows.agg(pick(low).alias("low"), pick(0.5).alias("median"), pick(high).alias("high"))
 
 
+# The steps of the mulberry32 generator.
+_STEP, _FIRST, _SECOND, _THIRD, _SET = 0x6D2B79F5, 15, 7, 14, 61
+
+
 def _uniform(seed: int) -> Iterator[float]:
     """The mulberry32 generator: 32-bit state, numbers in [0, 1)."""
     mask, state = 0xFFFFFFFF, seed & 0xFFFFFFFF
     while True:
-        state = (state + 0x6D2B79F5) & mask
-        mixed = (state ^ state >> 15) * (state | 1) & mask
-        mixed ^= mixed + ((mixed ^ mixed >> 7) * (mixed | 61) & mask) & mask
-        yield (mixed ^ mixed >> 14) / (mask + 1)
+        state = (state + _STEP) & mask
+        mixed = (state ^ state >> _FIRST) * (state | 1) & mask
+        mixed ^= mixed + ((mixed ^ mixed >> _SECOND) * (mixed | _SET) & mask) & mask
+        yield (mixed ^ mixed >> _THIRD) / (mask + 1)
 
 
 def seeded_samples(lists: dict[str, list], wanted: int, seed: int) -> dict[str, list]:

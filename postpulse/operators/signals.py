@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postpulse.functions import lexicons as lex
-from postpulse.functions.text import round_half_up
+from postpulse.functions.text import round_half_up, technologies
 
 # The thresholds of the labels.
 RAMP_LEAST_OPENED = 3
@@ -21,6 +21,7 @@ NEW_FUNCTION_HISTORY = 5
 NEW_FUNCTION_ROLES = 2
 NEW_FUNCTION_DEPARTMENTS = 25
 STEADY_LEAST = 1
+TOP_DEPARTMENTS, TOP_TITLES, TOP_TECHNOLOGIES = 5, 5, 12
 
 KEYS = ("source", "company")
 
@@ -52,8 +53,13 @@ def signal_label(
     )
 
 
-def company_signal(postings: DataFrame, as_of: str, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """One row for each board: windows, baseline, ratio and label.
+def company_signal(
+    postings: DataFrame,
+    as_of: str,
+    keys: tuple[str, ...] = KEYS,
+    more: tuple[Column, ...] = (),
+) -> DataFrame:
+    """One row for each board: windows, baseline, ratio and label, then ``more`` aggregates.
 
     ``postings`` has the keys and ``posted_at`` (null if undated).  The ratio is
     the last 30 days against half of the 60 before; null without a baseline.
@@ -68,6 +74,7 @@ def company_signal(postings: DataFrame, as_of: str, keys: tuple[str, ...] = KEYS
         F.count_if(within(posted, as_of, 90, 30)).alias("opened_prior"),
         F.min("posted_at").alias("oldest_posting_at"),
         F.max("posted_at").alias("newest_posting_at"),
+        F.struct(F.lit(0).alias("nothing"), *more).alias("more"),
     )
     baseline = F.col("opened_prior") / F.lit(2.0)
     ratio = round_half_up(F.when(F.col("opened_prior") > 0, F.col("opened_30d") / baseline), 2)
@@ -90,7 +97,8 @@ def company_signal(postings: DataFrame, as_of: str, keys: tuple[str, ...] = KEYS
         ratio.alias("ramp_ratio"),
         "oldest_posting_at",
         "newest_posting_at",
-    )
+        "more.*",
+    ).drop("nothing")
 
 
 def new_functions(
@@ -156,8 +164,79 @@ def technology_counts(
 
 
 def as_arrays(ranked: DataFrame, name: str, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Ranked rows folded into one array of (name, count) for each board, for sinks."""
+    """Ranked rows folded into one array of (name, count) for each board."""
     items = F.array_sort(F.collect_list(F.struct("rank", "name", "count")))
     folded = ranked.groupBy(*keys).agg(items.alias("items"))
     pairs = F.transform("items", lambda i: F.struct(i["name"].alias("name"), i["count"].alias("count")))
     return folded.select(*keys, pairs.alias(name))
+
+
+def signal_records(
+    postings: DataFrame,
+    as_of: str,
+    keys: tuple[str, ...] = KEYS,
+    use_description: bool = False,
+    top_departments: int = TOP_DEPARTMENTS,
+    top_technologies: int = TOP_TECHNOLOGIES,
+) -> DataFrame:
+    """A board's whole record: its signal, counts and four ranked arrays of (name, count).
+
+    ``postings`` has title, department, team, description, workplace, seniority
+    and salary_min besides.  Technologies are read in title, team and
+    department of the last 90 days, in descriptions only if asked.  Every array
+    is ranked in a window of its board and holds a few entries; boards without
+    any have an empty one.
+    """
+    recent = F.col("posted_at") > days_before(as_of, 90)
+    more = (
+        F.count_if(recent & (F.col("seniority") == "executive")).alias("executive_openings_90d"),
+        F.count_if(F.col("workplace") == "remote").alias("remote_postings"),
+        F.count_if(F.col("salary_min").isNotNull()).alias("postings_with_salary"),
+    )
+    record = company_signal(postings, as_of, keys, more)
+    where = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("title", "team", "department")])
+    text = F.concat_ws(" ", where, F.coalesce("description", F.lit(""))) if use_description else where
+    named = technology_counts(postings, technologies(text, where), as_of, keys)
+    order = Window.partitionBy(*keys).orderBy(F.desc("count"), "name")
+    named = named.withColumnRenamed("technology", "name").withColumn("rank", F.row_number().over(order))
+    arrays = {
+        "new_functions": new_functions(postings, as_of, keys),
+        "top_departments": top_counts(postings, "department", top_departments, keys),
+        "top_titles": top_counts(postings, "title", TOP_TITLES, keys),
+        "tech_signals": named.where(F.col("rank") <= top_technologies),
+    }
+    for name, ranked in arrays.items():
+        record = record.join(as_arrays(ranked, name, keys), list(keys), "left")
+        empty = F.array().cast("array<struct<name:string,count:bigint>>")
+        record = record.withColumn(name, F.coalesce(name, empty))
+    return record
+
+
+def delivered(records: DataFrame, signals: tuple[str, ...] = (), least_open: int = 0) -> DataFrame:
+    """Records with enough open postings and one of the wanted signals (none wanted: any)."""
+    keep = F.col("open_postings") >= least_open
+    if signals:
+        keep &= F.col("signal").isin(*signals)
+    return records.where(keep)
+
+
+def preview(postings: DataFrame, as_of: str, boards: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """The ``boards`` largest boards of each source: their signal and the share of dated postings."""
+    record = company_signal(postings, as_of, keys)
+    order = Window.partitionBy(keys[0]).orderBy(F.desc("open_postings"), *keys[1:])
+    ranked = record.withColumn("place", F.row_number().over(order)).where(F.col("place") <= boards)
+    share = round_half_up(F.col("postings_dated") * 100.0 / F.col("open_postings"), 1)
+    return ranked.withColumn("dated_pct", share)
+
+
+def real_departments(postings: DataFrame) -> DataFrame:
+    """Postings whose department is stated and neither a place nor a cost-centre code."""
+    named = F.coalesce("department", F.lit("")) != ""
+    return postings.where(
+        named & ~F.col("department").rlike(lex.PLACE_LIKE) & ~F.col("department").rlike(lex.CODE_LIKE)
+    )
+
+
+def by_recent_openings(records: DataFrame) -> DataFrame:
+    """The full market list: recent openings first, then by company and source."""
+    return records.orderBy(F.desc("opened_30d"), "company", "source")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postpulse.operators.census import classified
+
 AS_OF = "1995-05-01"
 EARLIER = "1995-03-15"
 LATER_AS_OF = "1997-06-01"
@@ -22,13 +24,24 @@ def text_frame(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
     return spark.createDataFrame(rows, names)
 
 
+def literal(v) -> str:
+    if v is None:
+        return "NULL"
+    return str(v) if isinstance(v, int | float) else "'" + v.replace("'", "''") + "'"
+
+
+def values_row(row: tuple) -> str:
+    return "(" + ", ".join(map(literal, row)) + ")"
+
+
 def values_cte(name: str, columns: tuple[str, ...], rows: list[tuple]) -> str:
     """Literal rows as a common table expression."""
-    quote = lambda v: (
-        "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-    )
-    body = ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows)
-    return f"{name}({', '.join(columns)}) AS (VALUES {body})"
+    return f"{name}({', '.join(columns)}) AS (VALUES {', '.join(map(values_row, rows))})"
+
+
+def pick(place, values: list | tuple) -> F.Column:
+    """The value at ``place`` of a literal list, counted from 0."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (place + 1).cast("int"))
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,45 +101,102 @@ def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# The last family plays the generic titles, the one before it junk.
-FAMILIES = {
-    "STANDARD": "engineering",
-    "MEDIUM": "data",
-    "LARGE": "sales",
-    "SMALL": "healthcare",
-    "PROMO": "volunteer",
-    "ECONOMY": "generic",
-}
-
-
-def families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles with a family by part type, on boards that specialise.
-
-    Eleven twelfths of a board's titles that are not its speciality are left out,
-    so that modes stand out; junk stays on every fifth board only.  The SQL of the
-    same name leaves out the same rows.
+# Invented titles with what a classification should say: title, family, key that
+# fires, whether that key is one word, and seniority.  Six of a kind in a row;
+# then six generic ones, six that are no jobs, and six that nothing fires on.
+ROLES = (
+    ("Senior Data Engineer", "engineering", "data engineer", False, "senior"),
+    ("Python Developer", "engineering", "python", True, "mid"),
+    ("DevOps Engineer II", "engineering", "devops", True, "mid"),
+    ("Sr. Firmware Engineer", "engineering", "firmware", True, "senior"),
+    ("Machine Learning Lead", "engineering", "machine learning", False, "senior"),
+    ("QA Engineer Intern", "engineering", "qa engineer", False, "intern"),
+    ("Account Executive", "sales_marketing", "account executive", False, "mid"),
+    ("Sales Director", "sales_marketing", "sales", True, "executive"),
+    ("Business Development Manager", "sales_marketing", "business development", False, "senior"),
+    ("Inside Sales Associate", "retail_food", "sales associate", False, "junior"),
+    ("Head of Partnerships", "sales_marketing", "partnerships", True, "executive"),
+    ("Regional Sales Manager", "sales_marketing", "sales", True, "senior"),
+    ("Registered Nurse", "healthcare", "nurse", True, "mid"),
+    ("Physical Therapist", "healthcare", "therapist", True, "mid"),
+    ("Dental Hygienist", "healthcare", "dental", True, "mid"),
+    ("Veterinary Technician", "healthcare", "veterinar", True, "mid"),
+    ("Chief Medical Officer", "healthcare", "medical officer", False, "executive"),
+    ("Junior Pharmacist", "healthcare", "pharmac", True, "junior"),
+    ("Staff Accountant", "corporate", "accountant", True, "principal"),
+    ("Financial Analyst", "corporate", "analyst", True, "mid"),
+    ("Payroll Clerk", "corporate", "payroll", True, "mid"),
+    ("VP Finance", "corporate", "finance", True, "executive"),
+    ("Tax Associate", "corporate", "tax ", True, "junior"),
+    ("Controller", "corporate", "controller", True, "mid"),
+    ("Electrician", "skilled_trades", "electrician", True, "mid"),
+    ("HVAC Technician", "skilled_trades", "technician", True, "mid"),
+    ("Plumber Apprentice", "skilled_trades", "plumber", True, "intern"),
+    ("Welder", "skilled_trades", "welder", True, "mid"),
+    ("Maintenance Lead", "skilled_trades", "maintenance", True, "senior"),
+    ("Truck Driver", "logistics", "driver", True, "mid"),
+    ("Math Teacher", "education", "teacher", True, "mid"),
+    ("Teaching Assistant", "education", "teaching", True, "mid"),
+    ("Principal Curriculum Designer", "education", "curriculum", True, "principal"),
+    ("School Counselor", "corporate", "counsel", True, "mid"),
+    ("Preschool Lead Teacher", "education", "teacher", True, "senior"),
+    ("Substitute Teacher", "education", "teacher", True, "mid"),
+    ("Manager", "generic", "manager", True, "senior"),
+    ("Associate", "generic", "associate", True, "junior"),
+    ("Team Lead", "generic", "lead", True, "senior"),
+    ("Territory Manager", "generic", "manager", True, "senior"),
+    ("Agent", "generic", "agent", True, "mid"),
+    ("Junior Trainee", "generic", "trainee", True, "junior"),
+    ("Volunteer", "volunteer", "volunteer", True, "mid"),
+    ("Be Your Own Boss!", "recruitment_ad", "be your own boss", False, "mid"),
+    ("Work From Home Opportunity", "recruitment_ad", "work from home", False, "mid"),
+    ("Volunteer Programme", "volunteer", "volunteer", True, "mid"),
+    ("Unpaid Internship", "volunteer", "unpaid intern", False, "intern"),
+    ("Volunteer Services Manager", "volunteer", "volunteer", True, "senior"),
+    ("Zymurgist", "other", None, False, "mid"),
+    ("Falconer", "other", None, False, "mid"),
+    ("Beekeeper", "other", None, False, "mid"),
+    ("", "other", None, False, "mid"),
+    ("Cheesemonger", "other", None, False, "mid"),
+    (None, "other", None, False, "mid"),
+)
+ROLE_COLUMNS = ("role", "stated", "family", "key", "weak", "seniority")
+_KINDS, _EACH, _GENERIC, _NO_JOBS = 6, 6, 36, 42
+
+
+def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as titled postings of 40 boards that specialise, some of them wholly.
+
+    ``role`` is the title's place in ``ROLES``; some titles name a city besides.
     """
-    base = titles(spark, sf_dir)
-    table_ = F.create_map(*[F.lit(x) for p in FAMILIES.items() for x in p])
-    number = F.substring("board", 2, 3).cast("int")
-    names = F.array(*map(F.lit, ["engineering", "data", "sales", "healthcare"]))
-    special = F.element_at(names, (number % 4 + 1).cast("int"))
-    rows = base.select(
-        "board",
-        "pos",
-        "title",
-        table_[F.col("p_type")].alias("family"),
-        (F.col("pos") % 4 == 0).alias("weak"),
-        special.alias("special"),
-        number.alias("number"),
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"
     )
-    junk = F.col("family") == "volunteer"
-    keep = (
-        F.when(junk, F.col("number") % 5 == 0)
-        .when(F.col("family") == F.col("special"), True)
-        .otherwise(F.col("pos") % 12 == 0)
+    number, part = F.col("l_suppkey") % 40, F.col("l_partkey")
+    mark = (F.col("l_orderkey") + F.col("l_linenumber")) % 10
+    own = F.when(number % 3 == 0, 9).otherwise(6)
+    role = (
+        F.when(mark < own, (number % _KINDS) * _EACH + part % _EACH)
+        .when((part % 4 == 0) & (number % 5 == 0), _NO_JOBS + F.floor(part / 4) % 6)
+        .when(part % 4 <= 1, _GENERIC + F.floor(part / 4) % 6)
+        .otherwise(F.floor(part / 4) % len(ROLES))
     )
-    return rows.where(keep).select("board", "pos", "title", "family", "weak")
+    titled = pick(F.col("role"), [r[0] for r in ROLES])
+    city = F.concat("stated", F.lit(" (Zz"), F.col("l_partkey") % 7, F.lit(")"))
+    return lines.select("*", role.cast("long").alias("role")).select(
+        "*", titled.alias("stated")
+    ).select(
+        F.concat(F.lit("t"), number).alias("board"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"),
+        "role",
+        F.when(F.col("l_orderkey") % 5 == 1, city).otherwise(F.col("stated")).alias("title"),
+    )
+
+
+def families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``roles`` with what the title lexicon makes of them."""
+    rows = classified(roles(spark, sf_dir))
+    return rows.select("board", "pos", "title", "family", "weak")
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,7 +255,6 @@ def board_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_FAMILY_CASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FAMILIES.items())
 _SNAPSHOT = """
 SELECT 'p' || (o_custkey % 3) AS source, 'c' || o_custkey AS company, count(*) AS open,
   CASE WHEN count(*) FILTER (WHERE o_orderdate > TIMESTAMP '{day}' - INTERVAL 30 DAY) >= 2
@@ -212,13 +281,21 @@ SELECT 't' || (l_suppkey % 40) AS board, l_orderkey * 8 + l_linenumber AS pos,
     WHEN l_orderkey % 3 = 0 THEN 'City' || (p_partkey % 25) ELSE 'City' || s_nationkey END AS location,
   p_name, p_type
 FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey""",
-    "families": f"""
-SELECT board, pos, title, family, weak FROM (
-  SELECT board, pos, title, CASE p_type {_FAMILY_CASE} END AS family, pos % 4 = 0 AS weak,
-    CAST(substr(board, 2) AS INTEGER) AS number FROM titles)
-WHERE CASE WHEN family = 'volunteer' THEN number % 5 = 0
-  WHEN family = (['engineering', 'data', 'sales', 'healthcare'])[number % 4 + 1] THEN true
-  ELSE pos % 12 = 0 END""",
+    "role_facts": "SELECT * FROM (VALUES "
+    + ", ".join(values_row((k, *r)) for k, r in enumerate(ROLES))
+    + f") r({', '.join(ROLE_COLUMNS)})",
+    "roles": """
+SELECT board, pos, place AS role,
+  CASE WHEN l_orderkey % 5 = 1 THEN stated || ' (Zz' || (l_partkey % 7) || ')' ELSE stated END AS title
+FROM (SELECT *, 't' || (l_suppkey % 40) AS board, l_orderkey * 8 + l_linenumber AS pos,
+    CASE WHEN (l_orderkey + l_linenumber) % 10 < CASE WHEN l_suppkey % 40 % 3 = 0 THEN 9 ELSE 6 END
+        THEN l_suppkey % 40 % 6 * 6 + l_partkey % 6
+      WHEN l_partkey % 4 = 0 AND l_suppkey % 40 % 5 = 0 THEN 42 + l_partkey // 4 % 6
+      WHEN l_partkey % 4 <= 1 THEN 36 + l_partkey // 4 % 6
+      ELSE l_partkey // 4 % 54 END AS place FROM lineitem)
+JOIN role_facts ON role = place""",
+    "families": """
+SELECT board, pos, title, family, weak FROM roles JOIN role_facts USING (role)""",
     "probes": """
 SELECT 'v' || (l_partkey % 6) AS provider, 'k' || l_partkey AS token,
   l_linenumber::BIGINT * 1000000000 + l_orderkey AS run,
@@ -236,7 +313,7 @@ SELECT 'c' || o_custkey AS board, count(*) AS postings,
   count(*) FILTER (WHERE o_orderstatus = 'F') AS extra FROM orders GROUP BY 1""",
 }
 
-NEEDS = {"families": ("titles",)}
+NEEDS = {"roles": ("role_facts",), "families": ("role_facts", "roles")}
 
 
 def with_ctes(names: tuple[str, ...], body: str, more: tuple[str, ...] = ()) -> str:

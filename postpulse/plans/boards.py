@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postpulse.functions.lexicons import LOCATION_NOISE
+from postpulse.functions.text import seniority
 from postpulse.operators import dedupe, fanout, signals
 from postpulse.plans import bindings as b
 from postpulse.plans.catalogue import query
@@ -70,8 +71,7 @@ SELECT source, company, CAST(rank AS INTEGER) AS rank, name, count FROM (
     FROM (SELECT source, company,
         CASE WHEN name <> '' AND NOT regexp_matches(name, ',\\s*(?:[A-Z]{{2}}|[A-Z][a-z]+)\\s*$|\\b(?:remote|onsite|hybrid)\\b') THEN name END AS name,
         count(*) AS count, min(posted_at) AS oldest
-      FROM (SELECT source, company, posted_at, {_LATE} AS name FROM postings
-        WHERE posted_at <= TIMESTAMP '1995-05-01') GROUP BY ALL)
+      FROM (SELECT source, company, posted_at, {_LATE} AS name FROM postings WHERE posted_at IS NOT NULL) GROUP BY ALL)
     WINDOW w AS (PARTITION BY source, company))
   WHERE history >= 5 AND first <= TIMESTAMP '1995-03-17' AND departments <= 25 AND name IS NOT NULL
     AND oldest > TIMESTAMP '1995-03-17' AND count >= 2) WHERE rank <= 5""",
@@ -81,7 +81,6 @@ def signal_new_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = F.col("posted_at") > F.lit("1995-04-01").cast("timestamp_ntz")
     name = F.when(late, F.concat_ws(" ", "department", "status")).otherwise(F.col("department"))
     rows = b.postings(spark, sf_dir).withColumn("department", name)
-    rows = rows.where(F.col("posted_at") <= F.lit(b.AS_OF).cast("timestamp_ntz"))
     return signals.new_functions(rows, b.AS_OF)
 
 
@@ -169,6 +168,29 @@ def analyse_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.analyse_boards(b.titles(spark, sf_dir))
 
 
+@query(
+    b.with_ctes(
+        ("titles",),
+        """
+SELECT *, floor(repeated_extra / postings * 10000 + 0.5) / 10000 AS repeated_rate,
+  floor(same_location_extra / postings * 10000 + 0.5) / 10000 AS same_location_rate,
+  floor(distinct_location_extra / postings * 10000 + 0.5) / 10000 AS distinct_location_rate,
+  floor(unstated_extra / postings * 10000 + 0.5) / 10000 AS unstated_rate
+FROM (SELECT count(*) AS boards, sum(t.postings)::BIGINT AS postings, sum(r.repeated_titles)::BIGINT AS repeated_titles,
+    sum(r.extra)::BIGINT AS repeated_extra, sum(r.same_location)::BIGINT AS same_location_extra,
+    sum(r.distinct_location)::BIGINT AS distinct_location_extra, sum(r.unstated)::BIGINT AS unstated_extra
+  FROM (SELECT board, count(*) AS postings FROM normed WHERE norm_title <> '' GROUP BY 1
+      HAVING count(*) > count(DISTINCT norm_title)
+      ORDER BY count(*) - count(DISTINCT norm_title) DESC, board LIMIT 12) t
+  JOIN (SELECT board, count(*) AS repeated_titles, sum(extra) AS extra, sum(same_location) AS same_location,
+      sum(distinct_location) AS distinct_location, sum(unstated) AS unstated FROM repeats GROUP BY 1) r USING (board))""",
+        (NORMED, REPEATS),
+    )
+)
+def repeat_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.repeat_totals(b.titles(spark, sf_dir), 12)
+
+
 @query(
     b.with_ctes(
         ("titles",),
@@ -200,7 +222,7 @@ FANOUT = """fanout AS (
 
 @query(b.with_ctes(("titles",), "SELECT * FROM fanout", (PARTS, STEMS, FANOUT)))
 def fanout_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fanout.fanout_stems(b.titles(spark, sf_dir))
+    return fanout.fanout_stems(fanout.split_titles(b.titles(spark, sf_dir)))
 
 
 @query(
@@ -211,7 +233,7 @@ def fanout_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def fanout_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fanout.fanout_boards(b.titles(spark, sf_dir))
+    return fanout.fanout_boards(fanout.split_titles(b.titles(spark, sf_dir)))
 
 
 SUPPORT = f"""support AS (
@@ -225,18 +247,62 @@ _GEO = (PARTS, STEMS, FANOUT, SUPPORT, GAZETTEER)
 
 @query(b.with_ctes(("titles",), "SELECT token, in_places, in_titles FROM gaz", _GEO))
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fanout.gazetteer(fanout.token_support(b.titles(spark, sf_dir)))
+    return fanout.gazetteer(fanout.token_support(fanout.split_titles(b.titles(spark, sf_dir))))
+
+
+# Parts by size as boards: brands stand in the field, types in titles, and the
+# smaller brands in the titles of every board but in the field of few.
+DISPUTED = """support AS (
+  SELECT token, count(DISTINCT CASE WHEN kind = 'p' THEN board END) AS in_places,
+    count(DISTINCT CASE WHEN kind = 't' THEN board END) AS in_titles
+  FROM (SELECT p_size AS board, 'p' AS kind,
+      CASE WHEN p_size <= 8 THEN 'town' || substr(p_brand, 7) ELSE 'city' || substr(p_brand, 7) END AS token
+    FROM part UNION ALL SELECT p_size, 't', 'town' || substr(p_brand, 7) FROM part
+    UNION ALL SELECT p_size, 't', 'city' || substr(p_brand, 7) FROM part WHERE p_size % 2 = 0) GROUP BY 1)"""
+
+
+def _disputed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.substring("p_brand", 7, 9)
+    town, city = F.concat(F.lit("Town"), number), F.concat(F.lit("City"), number)
+    title = F.when(F.col("p_size") % 2 == 0, F.concat_ws(" - ", F.lit("Cook"), town, city))
+    rows = b.table(spark, sf_dir, "part").select(
+        F.concat(F.lit("b"), "p_size").alias("board"),
+        title.otherwise(F.concat_ws(" - ", F.lit("Cook"), town)).alias("title"),
+        F.when(F.col("p_size") <= 8, town).otherwise(city).alias("location"),
+    )
+    return fanout.token_support(fanout.split_titles(rows))
 
 
 @query(
     b.with_ctes(
-        ("titles",),
+        (),
         "SELECT * FROM support WHERE in_places >= 3 AND in_places < in_titles",
-        _GEO,
+        (DISPUTED,),
     )
 )
 def gazetteer_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fanout.rejected_tokens(fanout.token_support(b.titles(spark, sf_dir)))
+    return fanout.rejected_tokens(_disputed(spark, sf_dir))
+
+
+@query(
+    b.with_ctes(
+        (),
+        """
+SELECT *, (SELECT list(token ORDER BY in_titles DESC, in_places DESC, token)[:20] FROM support
+    WHERE in_places >= 3 AND in_places >= in_titles AND in_titles > 0) AS disputed_words,
+  (SELECT list(token ORDER BY in_titles DESC, in_places DESC, token)[:20] FROM support
+    WHERE in_places >= 3 AND in_places < in_titles) AS rejected_words
+FROM (SELECT count(*) FILTER (WHERE in_places >= 3) AS loose,
+    count(*) FILTER (WHERE in_places >= 3 AND in_places >= in_titles) AS tight,
+    count(*) FILTER (WHERE in_places >= 3 AND in_places >= in_titles AND in_titles > 0) AS disputed,
+    count(*) FILTER (WHERE in_places >= 3 AND in_places < in_titles) AS rejected,
+    floor(count(*) FILTER (WHERE in_places >= 3 AND in_places >= in_titles)
+      / count(*) FILTER (WHERE in_places >= 3) * 10000 + 0.5) / 10000 AS recall FROM support)""",
+        (DISPUTED,),
+    )
+)
+def gazetteer_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fanout.gazetteer_comparison(_disputed(spark, sf_dir))
 
 
 VERIFIED = f"""verified AS (
@@ -264,9 +330,25 @@ VERDICTS = """verdicts AS (
 
 
 def _stems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = b.titles(spark, sf_dir)
-    places = fanout.gazetteer(fanout.token_support(rows))
-    return fanout.stem_verdicts(fanout.verified_rows(rows, places))
+    split = fanout.staged(fanout.split_titles(b.titles(spark, sf_dir)))
+    places = fanout.gazetteer(fanout.token_support(split))
+    return fanout.stem_verdicts(fanout.verified_rows(split, places))
+
+
+@query(
+    b.with_ctes(
+        ("titles",),
+        f"""
+SELECT tail, hit FROM (SELECT tail, hit, row_number() OVER (PARTITION BY tail ORDER BY turn) AS n
+  FROM (SELECT DISTINCT tail, unnest(string_split(tail, ' ')) AS hit,
+      unnest(range(1, len(string_split(tail, ' ')) + 1)) AS turn FROM stemmed WHERE tail IS NOT NULL)
+  WHERE hit IN (SELECT token FROM gaz)) WHERE n = 1""",
+        _GEO,
+    )
+)
+def gazetteer_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split = fanout.staged(fanout.split_titles(b.titles(spark, sf_dir)))
+    return fanout.first_known_place(split, fanout.gazetteer(fanout.token_support(split)))
 
 
 @query(b.with_ctes(("titles",), "SELECT * FROM verdicts", (*_GEO, VERIFIED, VERDICTS)))
@@ -293,3 +375,149 @@ FROM verdicts GROUP BY 1""",
 )
 def fanout_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fanout.fanout_bounds(_stems(spark, sf_dir))
+
+
+# Postings with titles, texts and pay: what a whole record is made of.
+BODIES = (
+    ("", ""),
+    ("We run Kubernetes, Kafka and Java.", "Java,Kubernetes,Kafka"),
+    ("Java and Java again, Terraform too.", "Java,Terraform"),
+    ("No tools at all.", ""),
+)
+FULL = (
+    "full_postings AS (SELECT p.*, r.stated AS title, r.seniority, x.technologies,"
+    " CASE WHEN o_orderkey % 4 = 1 THEN 'remote' ELSE 'onsite' END AS workplace,"
+    " CASE WHEN o_totalprice > 200000 THEN 1 END AS salary_min"
+    " FROM postings p JOIN orders ON o_orderkey = p.pos JOIN role_facts r ON r.role = p.pos % 54"
+    " JOIN bodies x ON x.place = p.pos % 4)"
+)
+_BODIES = b.values_cte("bodies", ("place", "technologies"), [(k, x[1]) for k, x in enumerate(BODIES)])
+
+
+def full_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("pos")
+    orders = b.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("_k"), F.when(F.col("o_totalprice") > 200_000, 1).alias("salary_min")
+    )
+    title = b.pick(key % len(b.ROLES), [r[0] for r in b.ROLES])
+    return b.postings(spark, sf_dir).join(orders, key == F.col("_k")).withColumns(
+        {
+            "title": title,
+            "seniority": seniority(title),
+            "team": F.lit(None).cast("string"),
+            "description": b.pick(key % len(BODIES), [x[0] for x in BODIES]),
+            "workplace": F.when(key % 4 == 1, "remote").otherwise("onsite"),
+        }
+    )
+
+
+def _listed(name: str) -> F.Column:
+    pair = F.transform(name, lambda i: F.concat(i["name"], F.lit(":"), i["count"]))
+    return F.array_join(pair, ",").alias(name)
+
+
+def _top_sql(value: str, most: int) -> str:
+    """name:count of a board's commonest values, as one string."""
+    return f"""(SELECT source, company, string_agg(name || ':' || n, ',' ORDER BY n DESC, name) AS items FROM (
+      SELECT source, company, {value} AS name, count(*) AS n,
+        row_number() OVER (PARTITION BY source, company ORDER BY count(*) DESC, {value}) AS place
+      FROM full_postings WHERE {value} <> '' GROUP BY 1, 2, 3) WHERE place <= {most} GROUP BY 1, 2)"""
+
+
+RECORD = f"""record AS (
+  SELECT s.*, e.executive_openings_90d, e.remote_postings, e.postings_with_salary,
+    coalesce(d.items, '') AS top_departments, coalesce(t.items, '') AS top_titles,
+    coalesce(k.items, '') AS tech_signals
+  FROM ({SIGNALS.format(as_of=b.AS_OF)}) s
+  JOIN (SELECT source, company,
+      count(*) FILTER (WHERE seniority = 'executive' AND posted_at > TIMESTAMP '{b.AS_OF}' - INTERVAL 90 DAY) AS executive_openings_90d,
+      count(*) FILTER (WHERE workplace = 'remote') AS remote_postings, count(salary_min) AS postings_with_salary
+    FROM full_postings GROUP BY 1, 2) e USING (source, company)
+  LEFT JOIN {_top_sql('department', 5)} d USING (source, company)
+  LEFT JOIN {_top_sql('title', 5)} t USING (source, company)
+  LEFT JOIN (SELECT source, company, string_agg(name || ':' || n, ',' ORDER BY n DESC, name) AS items FROM (
+      SELECT source, company, name, count(*) AS n,
+        row_number() OVER (PARTITION BY source, company ORDER BY count(*) DESC, name) AS place
+      FROM (SELECT DISTINCT source, company, pos, unnest(list_concat(
+            CASE WHEN technologies = '' THEN []::VARCHAR[] ELSE string_split(technologies, ',') END,
+            CASE WHEN title = 'Python Developer' THEN ['Python'] ELSE []::VARCHAR[] END)) AS name
+          FROM full_postings WHERE posted_at > TIMESTAMP '{b.AS_OF}' - INTERVAL 90 DAY)
+      GROUP BY 1, 2, 3) WHERE place <= 12 GROUP BY 1, 2) k USING (source, company))"""
+_RECORD = (_BODIES, FULL, RECORD)
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = signals.signal_records(full_postings(spark, sf_dir), b.AS_OF, use_description=True)
+    return found.select(
+        "source", "company", "signal", "open_postings", "postings_dated", "opened_7d", "opened_30d",
+        "opened_90d", "baseline_30d", "ramp_ratio",
+        F.col("oldest_posting_at").cast("date").alias("oldest_posting"),
+        F.col("newest_posting_at").cast("date").alias("newest_posting"),
+        "executive_openings_90d", "remote_postings", "postings_with_salary",
+        *[_listed(c) for c in ("top_departments", "top_titles", "tech_signals")],
+    )
+
+
+@query(b.with_ctes(("postings", "role_facts"), "SELECT * FROM record", _RECORD))
+def signal_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _records(spark, sf_dir)
+
+
+@query(
+    b.with_ctes(
+        ("postings", "role_facts"),
+        "SELECT * FROM record WHERE open_postings >= 100 AND signal IN ('steady', 'ramping')",
+        _RECORD,
+    )
+)
+def signals_delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.delivered(_records(spark, sf_dir), ("steady", "ramping"), 100)
+
+
+@query(
+    b.with_ctes(
+        ("postings", "role_facts"),
+        f"""
+SELECT source, company, count(*) AS technologies, sum(n)::BIGINT AS mentions FROM (
+  SELECT source, company, 'Python' AS name, count(*) AS n FROM full_postings
+  WHERE title = 'Python Developer' AND posted_at > TIMESTAMP '{b.AS_OF}' - INTERVAL 90 DAY GROUP BY ALL)
+GROUP BY 1, 2""",
+        (_BODIES, FULL),
+    )
+)
+def signal_titles_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without descriptions technologies come from titles, teams and departments alone."""
+    found = signals.signal_records(full_postings(spark, sf_dir), b.AS_OF)
+    rows = found.select("source", "company", F.explode("tech_signals").alias("t"))
+    return rows.groupBy("source", "company").agg(
+        F.count("*").alias("technologies"), F.sum("t.count").alias("mentions")
+    )
+
+
+@query(
+    b.with_ctes(
+        ("postings",),
+        f"""
+SELECT source, company, signal, open_postings, CAST(place AS INTEGER) AS place,
+  floor(postings_dated * 100.0::DOUBLE / open_postings * 10 + 0.5) / 10 AS dated_pct
+FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY open_postings DESC, company) AS place
+  FROM ({SIGNALS.format(as_of=b.AS_OF)})) WHERE place <= 15""",
+    )
+)
+def signal_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = signals.preview(b.postings(spark, sf_dir), b.AS_OF, 15)
+    return found.select("source", "company", "signal", "open_postings", "place", "dated_pct")
+
+
+@query(
+    """
+SELECT name, count(*) AS postings FROM (SELECT CASE o_orderkey % 5 WHEN 0 THEN 'Sales - 4711' WHEN 1 THEN '0815 - Ops'
+    WHEN 2 THEN 'Berlin, DE' WHEN 3 THEN 'Data' ELSE NULL END AS name FROM orders) WHERE name = 'Data' GROUP BY 1"""
+)
+def department_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["Sales - 4711", "0815 - Ops", "Berlin, DE", "Data", None]
+    rows = b.table(spark, sf_dir, "orders").select(
+        b.pick(F.col("o_orderkey") % 5, names).alias("department")
+    )
+    real = signals.real_departments(rows)
+    return real.groupBy(F.col("department").alias("name")).agg(F.count("*").alias("postings"))

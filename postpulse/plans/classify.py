@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postpulse.functions import lexicons as lex
 from postpulse.functions.text import classify_token, without_suffixes
 from postpulse.operators import census
 from postpulse.plans import bindings as b
@@ -128,13 +127,13 @@ def prior_loo_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     b.with_ctes(
         ("families",),
         """
-SELECT * FROM loo WHERE weak_accuracy >= 0.40 AND least_support >= 5 AND predicted_weak >= 20
+SELECT * FROM loo WHERE weak_accuracy >= 0.90 AND least_support >= 5 AND predicted_weak >= 500
 ORDER BY coverage DESC, least_support, least_confidence LIMIT 1""",
         (COUNTS, _GRID, LOO),
     )
 )
 def prior_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return census.chosen_point(census.leave_one_out(b.families(spark, sf_dir)), least_weak=20, accuracy=0.4)
+    return census.chosen_point(census.leave_one_out(b.families(spark, sf_dir)))
 
 
 BOARD_FAMILY = """board_family AS (SELECT board, CASE WHEN junk_share >= 0.10 THEN 'junk_board'
@@ -198,48 +197,69 @@ def key_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return census.key_audit(hits)
 
 
+# What a token may end in after its number and an x: the words that stay and the
+# endings that go; then the industry, the key that fires and its mode.
 TOKENS = [
-    (t,)
-    for t in (
-        "bondvet cityvetinc lansingpetvet svetness fivetran vet careers acmecareers freedomcare "
-        "daycarecenter daycare-care hospitalgroupllc roboticsco software1234 acmeinc99 usco inccorp "
-        "petvet123jobs carecareers dentalcareus jobs veterinaryus softwarecareers a1 ukglobalholdings"
-    ).split()
+    ("bondvet", "", "healthcare", "vet", "end"),
+    ("lansingpetvet", "inc", "healthcare", "vet", "end"),
+    ("svetness", "", None, None, None),
+    ("fivetran", "-jobs", None, None, None),
+    ("dental", "careus", "healthcare", "dental", "sub"),
+    ("freedomcare", "", "healthcare", "care", "sub"),
+    ("", "careers", None, None, None),
+    ("daycarecenter", "", "education", "daycare", "sub"),
+    ("hospital", "groupllc", "healthcare", "hospital", "sub"),
+    ("robotics", "co", "engineering", "robotics", "sub"),
+    ("software", "1234", "engineering", "software", "sub"),
+    ("acme", "inc99", None, None, None),
+    ("petvet", "123jobs", "healthcare", "vet", "end"),
+    ("software", "careers", "engineering", "software", "sub"),
+    ("lawnmower", "ukglobalholdings", None, None, None),
+    ("smithlaw", "", "corporate", "law", "sub"),
+    ("burbank", "-usa", None, None, None),
+    ("first-bank", "_ltd", "corporate", "bank", "sub"),
 ]
-_SUFFIX = "|".join(lex.TOKEN_SUFFIXES)
+_KEPT = {"first-bank": "firstbank", "": "", "dental": "dentalcare"}
+_TOKEN_FACTS = b.values_cte(
+    "facts",
+    ("place", "word", "ending", "kept", "family", "key", "mode"),
+    [(k, t[0], t[1], _KEPT.get(t[0], t[0]), *t[2:]) for k, t in enumerate(TOKENS)],
+)
+_TOKEN = "'b' || c_custkey || 'x' || word || ending"
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.col("c_custkey") % len(TOKENS)
+    word, ending = (b.pick(place, [t[k] for t in TOKENS]) for k in (0, 1))
+    token = F.concat(F.lit("b"), "c_custkey", F.lit("x"), word, ending)
+    return b.table(spark, sf_dir, "customer").select(token.alias("token"))
 
 
 @query(
     b.with_ctes(
         (),
-        # One step at a time, as the suffixes are tried in order after the digits.
-        """
-SELECT token, t AS stripped FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY step DESC) AS n
-  FROM steps) WHERE n = 1""",
-        (
-            b.values_cte("tokens", ("token",), TOKENS),
-            "suffixes(pos, s) AS (VALUES "
-            + ", ".join(f"({k}, '{s}')" for k, s in enumerate(lex.TOKEN_SUFFIXES))
-            + ")",
-            """steps AS (WITH RECURSIVE r(token, t, step) AS (
-  SELECT token, regexp_replace(regexp_replace(lower(token), '[^a-z0-9]', '', 'g'), '[0-9]+$', ''), 0 FROM tokens
-  UNION ALL
-  SELECT token, regexp_replace(t[:length(t) - length(s)], '[0-9]+$', ''), step + 1
-  FROM (SELECT r.*, (SELECT s FROM suffixes WHERE ends_with(t, s) AND length(t) > length(s) + 2
-      ORDER BY pos LIMIT 1) AS s FROM r) WHERE s IS NOT NULL)
-  SELECT * FROM r)""",
-        ),
+        f"""
+SELECT {_TOKEN} AS token, 'b' || c_custkey || 'x' || kept AS stripped
+FROM customer JOIN facts ON place = c_custkey % {len(TOKENS)}""",
+        (_TOKEN_FACTS,),
     )
 )
 def token_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = b.text_frame(spark, TOKENS, "token string")
-    return tokens.select("token", without_suffixes("token").alias("stripped"))
+    return _tokens(spark, sf_dir).select("token", without_suffixes("token").alias("stripped"))
 
 
-@query()
+@query(
+    b.with_ctes(
+        (),
+        f"""
+SELECT {_TOKEN} AS token, family, key, mode
+FROM customer JOIN facts ON place = c_custkey % {len(TOKENS)}""",
+        (_TOKEN_FACTS,),
+    )
+)
 def token_industry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = b.text_frame(spark, TOKENS, "token string")
-    return tokens.withColumn("c", classify_token("token")).select("token", "c.*")
+    rows = _tokens(spark, sf_dir).withColumn("c", classify_token("token"))
+    return rows.select("token", "c.*")
 
 
 @query(
@@ -257,4 +277,4 @@ def lexicon_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     families = (("jewel", ("ring",)), ("machine", ("gear", "bolt")))
     parts = b.table(spark, sf_dir, "part").select(F.col("p_name").alias("title"))
     keyed = parts.withColumn("k", title_key("title", families)).select("title", "k.*")
-    return census.lexicon_audit(keyed)
+    return census.lexicon_audit(keyed.where("key is not null"))

@@ -1,15 +1,16 @@
-"""Queries on raw documents: vendor bodies and robots files, from literals."""
+"""Queries on raw documents: vendor bodies and robots files."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from postpulse.operators.robots import robots_verdicts
 from postpulse.plans import bindings as b
 from postpulse.plans.catalogue import query
 from postpulse.sources.vendors import all_postings
 
-# Invented boards in each vendor's shape.
+# Invented boards in each vendor's shape, for tests.
 BODIES = [
     (
         "greenhouse",
@@ -63,21 +64,103 @@ BODIES = [
 ]
 
 ROBOTS = [
-    (1, None, "/json"),
-    (2, "User-agent: *\nDisallow: /json\nAllow: /json/public", "/json/public/1"),
-    (3, "User-agent: *\nDisallow: /json", "/json?x=1"),
-    (4, "User-agent: botty\nDisallow: /\n\nUser-agent: *\nDisallow:", "/a"),
-    (5, "User-agent: other\nUser-agent: *\nDisallow: /*.json$", "/a.json.json"),
-    (6, "User-agent: *\nDisallow: /a*b$ # none", "/axxbx"),
+    None,
+    "User-agent: *\nDisallow: /fr",
+    "User-agent: botty\nDisallow: /\n\nUser-agent: *\nDisallow:",
+    "User-agent: other\nUser-agent: *\nDisallow: /*?page=",
+    "User-agent: other\nDisallow: /",
+    "User-agent: *\nDisallow: /en\nAllow: /en/2",
 ]
 
 
-@query()
-def vendor_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_postings(b.text_frame(spark, BODIES, "source string, company string, body string"))
+@query(
+    b.with_ctes(
+        (),
+        r"""
+SELECT page_id, rule IS NULL OR starts_with(rule, '/en/2') AS allowed,
+  CASE WHEN file = 0 THEN 'no file' WHEN file = 4 THEN 'no group' WHEN rule IS NULL THEN 'no rule'
+    WHEN rule = '/en/2' THEN 'allow' ELSE 'disallow' END AS reason, rule
+FROM (SELECT page_id, file, CASE WHEN file = 1 AND starts_with(path, '/fr') THEN '/fr' WHEN file = 2 THEN '/'
+    WHEN file = 3 AND contains(path, '?page=') THEN '/*?page='
+    WHEN file = 5 AND starts_with(path, '/en/2') THEN '/en/2'
+    WHEN file = 5 AND starts_with(path, '/en') THEN '/en' END AS rule
+  FROM (SELECT page_id, page_id % 6 AS file, regexp_extract(url, '^[a-z]+://[^/]+([^#]*)', 1) AS path FROM pages))""",
+    )
+)
+def robots_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.regexp_extract("url", r"^[a-z]+://[^/]+([^#]*)", 1)
+    rows = b.table(spark, sf_dir, "pages").select(
+        "page_id", b.pick(F.col("page_id") % len(ROBOTS), ROBOTS).alias("robots"), path.alias("path")
+    )
+    return robots_verdicts(rows, "botty/1.0").select("page_id", "allowed", "reason", "rule")
 
 
-@query()
-def robots_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = b.text_frame(spark, ROBOTS, "id int, robots string, path string")
-    return robots_verdicts(rows, "botty/1.0").select("id", "allowed", "reason", "rule")
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as boards of three vendors, in the JSON that each of them serves."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    key = F.col("o_orderkey")
+    orders = b.table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("b"), F.col("o_custkey") % 30).alias("company"),
+        (F.col("o_custkey") % 3).alias("vendor"),
+        key.alias("id"),
+        b.pick(key % len(b.ROLES), [r[0] for r in b.ROLES]).alias("title"),
+        F.concat(F.lit("City"), key % 25).alias("city"),
+        day.alias("day"),
+        (F.unix_timestamp("o_orderdate") * 1000).alias("ms"),
+        F.col("o_orderpriority").alias("dept"),
+        F.when(key % 3 == 0, "Pay $150,000 - $200,000").otherwise("<p>Fair &amp; square</p>").alias("text"),
+        b.pick(key % 3, ["Hybrid", None, "Remote"]).alias("kind"),
+    )
+    url = F.concat(F.lit("https://x.example/"), "id")
+    green = F.struct(
+        "id", "title", url.alias("absolute_url"), F.struct(F.col("city").alias("name")).alias("location"),
+        F.array(F.struct(F.col("dept").alias("name"))).alias("departments"),
+        F.col("day").alias("first_published"), F.col("text").alias("content"),
+    )
+    ash = F.struct(
+        F.concat(F.lit("a"), "id").alias("id"), "title", url.alias("jobUrl"), F.col("city").alias("location"),
+        F.col("kind").alias("workplaceType"), F.col("day").alias("publishedAt"),
+        F.col("dept").alias("department"), F.col("text").alias("descriptionHtml"),
+    )
+    lever = F.struct(
+        F.concat(F.lit("l"), "id").alias("id"), F.col("title").alias("text"), url.alias("hostedUrl"),
+        F.col("ms").alias("createdAt"), F.col("text").alias("description"),
+        F.struct(F.lit("").alias("location"), F.col("dept").alias("team")).alias("categories"),
+    )
+    boards = orders.groupBy("vendor", "company").agg(
+        *[F.collect_list(job).alias(name) for name, job in (("green", green), ("ash", ash), ("lever", lever))]
+    )
+    vendor = F.col("vendor")
+    jobs = F.when(vendor == 0, F.to_json("green")).otherwise(F.to_json("ash"))
+    body = F.when(vendor == 2, F.to_json("lever")).otherwise(F.concat(F.lit('{"jobs": '), jobs, F.lit("}")))
+    source = b.pick(vendor, ["greenhouse", "ashby", "lever"])
+    return boards.select(source.alias("source"), "company", body.alias("body"))
+
+
+@query(
+    b.with_ctes(
+        ("role_facts",),
+        """
+SELECT source, company, CASE vendor WHEN 0 THEN '' WHEN 1 THEN 'a' ELSE 'l' END || o_orderkey AS job_id,
+  coalesce(stated, '') AS title, 'https://x.example/' || o_orderkey AS url,
+  CASE WHEN vendor < 2 THEN 'City' || (o_orderkey % 25) END AS location,
+  CASE WHEN vendor = 1 AND o_orderkey % 3 = 0 THEN 'hybrid' WHEN vendor = 1 AND o_orderkey % 3 = 2 THEN 'remote'
+    WHEN vendor = 0 AND stated = 'Work From Home Opportunity' THEN 'remote' ELSE 'onsite' END AS workplace,
+  CASE WHEN vendor < 2 THEN o_orderpriority END AS department,
+  CASE WHEN vendor = 2 THEN o_orderpriority END AS team,
+  CAST(o_orderdate AS DATE) AS posted, CASE WHEN o_orderkey % 3 = 0 THEN 150000 END AS salary_min,
+  CASE WHEN o_orderkey % 3 = 0 THEN 200000 END AS salary_max,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'USD' END AS salary_currency, seniority,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'Pay $150,000 - $200,000' ELSE 'Fair & square' END AS description
+FROM (SELECT *, o_custkey % 3 AS vendor, 'b' || (o_custkey % 30) AS company,
+    (['greenhouse', 'ashby', 'lever'])[o_custkey % 3 + 1] AS source FROM orders)
+JOIN role_facts ON role = o_orderkey % 54""",
+    )
+)
+def vendor_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = all_postings(_bodies(spark, sf_dir))
+    return rows.select(
+        "source", "company", "job_id", "title", "url", "location", "workplace", "department", "team",
+        F.col("posted_at").cast("date").alias("posted"), "salary_min", "salary_max", "salary_currency",
+        "seniority", "description",
+    )

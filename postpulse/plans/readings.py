@@ -93,7 +93,8 @@ def listing_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-SELECT key, board, pos, postings, cached FROM (
+SELECT key, board, pos, postings, cached,
+  CAST(row_number() OVER (PARTITION BY key ORDER BY postings DESC, board) AS INTEGER) AS place FROM (
   SELECT *, row_number() OVER (PARTITION BY key, cached ORDER BY pos) AS place FROM (
     SELECT p_type AS key, 'k' || p_partkey AS board, p_partkey AS pos, p_size AS postings,
       p_partkey % 7 = 0 AS cached FROM part))

@@ -117,7 +117,7 @@ def coverage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ours(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = b.table(spark, sf_dir, "customer")
     token = F.lower(F.replace("c_name", F.lit("#"), F.lit("-")))
-    rows = customers.where(F.col("c_custkey") % 3 != 0)
+    rows = customers.where("c_acctbal > 1000")
     return rows.select(
         F.concat(F.lit("m"), F.col("c_nationkey") % 4).alias("provider"), token.alias("token")
     )
@@ -127,7 +127,7 @@ def _theirs(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = b.table(spark, sf_dir, "customer")
     token = F.lower(F.replace("c_name", F.lit("#"), F.lit("-")))
     moved = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("jobs."), token)).otherwise(token)
-    rows = customers.where(F.col("c_custkey") % 2 == 0)
+    rows = customers.where("c_acctbal < 5000")
     return rows.select(
         F.concat(F.lit("m"), F.col("c_nationkey") % 4).alias("provider"),
         moved.alias("token"),
@@ -136,10 +136,10 @@ def _theirs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OURS = """ours AS (SELECT 'm' || (c_nationkey % 4) AS provider, lower(replace(c_name, '#', '-')) AS token
-  FROM customer WHERE c_custkey % 3 <> 0)"""
+  FROM customer WHERE c_acctbal > 1000)"""
 THEIRS = """theirs AS (SELECT 'm' || (c_nationkey % 4) AS provider,
   CASE WHEN c_custkey % 5 = 0 THEN 'jobs.' ELSE '' END || lower(replace(c_name, '#', '-')) AS token,
-  c_name AS company FROM customer WHERE c_custkey % 2 = 0)"""
+  c_name AS company FROM customer WHERE c_acctbal < 5000)"""
 
 
 @query(
@@ -276,16 +276,64 @@ def concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sample plan is a few hundred boards by construction; only it is collected."""
+    """Censuses count as sums; only the sampled boards, ninety at most, are collected."""
     boards, plan = _plan(spark, sf_dir)
-    figures = {r["stratum"]: r for r in plan.collect()}
-    read: dict[str, list] = {}
-    sample = sampling.every_kth(boards, plan, STRATA).orderBy(F.desc("postings"), "board")
-    for row in sample.collect():
-        read.setdefault(row["stratum"], []).append((row["postings"], row["extra"]))
-    strata = [
-        {"weight": figures[n]["weight"], "census": figures[n]["census"], "boards": read.get(n, [])}
-        for n, _, _ in STRATA
-        if n in figures
-    ]
+    strata = sampling.drawn_boards(sampling.every_kth(boards, plan, STRATA), plan)
+    order = [n for n, _, _ in STRATA]
+    strata.sort(key=lambda s: order.index(s["name"]))
     return sampling.interval(sampling.bootstrap_draws(spark, strata))
+
+
+_BOARDS = """boards AS (SELECT provider, token, status, jobs AS open_postings FROM layered)"""
+
+
+@query(
+    b.with_ctes(
+        ("probes",),
+        """
+SELECT provider, token, status, open_postings, CAST(place AS INTEGER) AS place FROM (
+  SELECT *, row_number() OVER (PARTITION BY provider ORDER BY CASE status WHEN 'live' THEN 1 ELSE 2 END,
+    open_postings DESC, token) AS place FROM boards
+  WHERE status IN ('live', 'empty') AND provider IN ('v0', 'v2', 'v3')) WHERE place <= 40""",
+        (*_CTES, _BOARDS),
+    )
+)
+def boards_to_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _layered(spark, sf_dir).withColumnRenamed("jobs", "open_postings")
+    found = roster.boards_to_read(rows, 40, ("v0", "v2", "v3"), with_empty=True)
+    return found.select("provider", "token", "status", "open_postings", "place")
+
+
+@query(
+    b.with_ctes(
+        ("probes",),
+        """
+SELECT provider, token, run, jobs, status FROM (SELECT *, row_number() OVER (PARTITION BY provider, token
+  ORDER BY run DESC) AS n FROM (SELECT * FROM layered UNION ALL
+    SELECT provider, token, run + 10000000000, 7, 'live' FROM layered WHERE status IN ('error', 'blocked')
+      AND length(token) % 2 = 0)) WHERE n = 1""",
+        _CTES,
+    )
+)
+def reprobe_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    latest = _layered(spark, sf_dir)
+    odd = F.length("token") % 2 == 1
+    again = latest.withColumns(
+        {
+            "run": F.col("run") + 10_000_000_000,
+            "jobs": F.when(odd, 0).otherwise(7).cast("long"),
+            "status": F.when(odd, "blocked").otherwise("live"),
+        }
+    )
+    found = roster.reprobed(latest, again, ("error", "blocked"))
+    return found.select("provider", "token", "run", "jobs", "status")
+
+
+@query(
+    b.with_ctes(
+        ("probes",), "SELECT count(*) AS hits FROM boards WHERE contains(token, 'k1')", (*_CTES, _BOARDS)
+    )
+)
+def board_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = roster.board_search(_layered(spark, sf_dir), " K1 ")
+    return found.agg(F.count("*").alias("hits"))

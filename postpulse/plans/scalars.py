@@ -1,4 +1,4 @@
-"""Queries on scalar functions and filters, over literals and the text tables."""
+"""Queries on scalar functions and filters, over titles and the text tables."""
 
 from __future__ import annotations
 
@@ -8,72 +8,27 @@ from pyspark.sql import functions as F
 from postpulse.functions import lexicons as lex
 from postpulse.functions import text
 from postpulse.operators import filters
+from postpulse.operators.census import classified
 from postpulse.plans import bindings as b
 from postpulse.plans.boards import PARTS, STEMS, norm_sql, places_sql
 from postpulse.plans.catalogue import query
 
-TITLES = [
-    (k, t)
-    for k, t in enumerate(
-        [
-            "Senior Data Engineer (Remote)",
-            "Principal Director, Platform",
-            "Junior Nurse - Chicago, IL",
-            "Work From Home: be your own boss!",
-            "Volunteer Services Manager",
-            "Volunteer Programme",
-            "Unpaid intern - Berlin",
-            "Staff Software Engineer",
-            "Head of Volunteer Engagement",
-            "Sr. Account Executive | Hybrid",
-            "Entry-level driver, Leeds",
-            "New Grad Machine Learning",
-            "Director of Volunteer Programs",
-            "Break free of the 9-5!",
-            "Apprentice Warehouse Operations",
-            "Manager",
-            "",
-            None,
-            "Développeur Java — Paris",
-            "Engineer II",
-            "Leadership Coach",
-            "Vice President, Sales",
-        ]
-    )
-]
-_T = b.values_cte("t", ("id", "title"), TITLES)
-
-
-def _titles(spark: SparkSession) -> DataFrame:
-    return b.text_frame(spark, TITLES, "id int, title string")
-
-
-def _first_sql(column: str, rules, default: str) -> str:
-    cases = " ".join(f"WHEN regexp_matches({column}, '{p}', 'i') THEN '{n}'" for n, p in rules)
-    return f"CASE {cases} ELSE '{default}' END"
-
-
-_PAD = f"' ' || {norm_sql('title')} || ' '"
-_AD = " OR ".join(f"contains({_PAD}, '{p}')" for p in lex.RECRUITMENT_PHRASES)
-_VOL = (
-    f"NOT regexp_matches({_PAD}, '{lex.VOLUNTEER_STAFF}') AND ("
-    + " OR ".join(f"contains({_PAD}, '{p}')" for p in lex.VOLUNTEER_PHRASES)
-    + ")"
-)
+_ROLES = ("roles",)
+# What the facts of a title say; staff for volunteers are no volunteers.
+_AD = "family = 'recruitment_ad'"
+_VOL = "(family = 'volunteer' AND stated <> 'Volunteer Services Manager')"
 
 
 @query(
     b.with_ctes(
-        (),
-        f"SELECT id, {norm_sql('title')} AS norm,"
-        f" {_first_sql('coalesce(title, $$$$)', lex.SENIORITY, 'mid')} AS seniority,"
-        f" {_AD} AS recruitment_ad, {_VOL} AS volunteer FROM t",
-        (_T,),
+        _ROLES,
+        f"SELECT pos, {norm_sql('title')} AS norm, seniority, {_AD} AS recruitment_ad, {_VOL} AS volunteer"
+        " FROM roles JOIN role_facts USING (role)",
     )
 )
 def title_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _titles(spark).select(
-        "id",
+    return b.roles(spark, sf_dir).select(
+        "pos",
         text.normal_title("title").alias("norm"),
         text.seniority("title").alias("seniority"),
         text.is_recruitment_ad("title").alias("recruitment_ad"),
@@ -81,119 +36,123 @@ def title_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_FAMILY = " ".join(
-    "WHEN " + " OR ".join(f"contains({_PAD}, '{k}')" for k in keys) + f" THEN '{f}'"
-    for f, keys in lex.TITLE_FAMILIES
-)
+@query(b.with_ctes(_ROLES, "SELECT pos, family FROM roles JOIN role_facts USING (role)"))
+def title_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.roles(spark, sf_dir).select("pos", text.classify_title("title").alias("family"))
 
 
-@query(b.with_ctes((), f"SELECT id, CASE {_FAMILY} ELSE 'other' END AS family FROM t", (_T,)))
-def title_family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _titles(spark).select("id", text.classify_title("title").alias("family"))
+@query(b.with_ctes(_ROLES, "SELECT pos, family, key, weak FROM roles JOIN role_facts USING (role)"))
+def title_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classified(b.roles(spark, sf_dir)).select("pos", "family", "key", "weak")
 
 
 @query(
     b.with_ctes(
-        (),
+        _ROLES,
         f"""
 SELECT count(*) AS rows, count(*) FILTER (WHERE {_AD}) AS recruitment_ads,
-  count(*) FILTER (WHERE {_VOL}) AS volunteer_unpaid FROM t""",
-        (_T,),
+  count(*) FILTER (WHERE {_VOL}) AS volunteer_unpaid FROM roles JOIN role_facts USING (role)""",
     )
 )
 def filter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _titles(spark).agg(*filters.rule_counts())
+    return b.roles(spark, sf_dir).agg(*filters.rule_counts())
+
+
+QUALITY = f"""quality AS (
+  SELECT *, recruitment_ads + volunteer_unpaid AS not_jobs,
+    (recruitment_ads + volunteer_unpaid) / titles_read AS not_jobs_share
+  FROM (SELECT board, count(*) AS titles_read, count(*) FILTER (WHERE {_AD}) AS recruitment_ads,
+    count(*) FILTER (WHERE {_VOL}) AS volunteer_unpaid FROM roles JOIN role_facts USING (role) GROUP BY 1))"""
+
+
+@query(b.with_ctes(_ROLES, "SELECT * FROM quality", (QUALITY,)))
+def data_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.exclusive_quality(b.roles(spark, sf_dir), ["board"])
 
 
 @query(
     b.with_ctes(
-        (),
-        f"""
-SELECT *, recruitment_ads + volunteer_unpaid AS not_jobs,
-  (recruitment_ads + volunteer_unpaid) / titles_read AS not_jobs_share
-FROM (SELECT id % 3 AS board, count(*) AS titles_read, count(*) FILTER (WHERE {_AD}) AS recruitment_ads,
-  count(*) FILTER (WHERE NOT ({_AD}) AND {_VOL}) AS volunteer_unpaid FROM t GROUP BY 1)""",
-        (_T,),
+        _ROLES,
+        "SELECT * FROM quality WHERE not_jobs > 0 ORDER BY not_jobs_share DESC, not_jobs DESC, board LIMIT 10",
+        (QUALITY,),
     )
 )
-def data_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _titles(spark).withColumn("board", F.col("id") % 3)
-    return filters.exclusive_quality(rows, ["board"])
+def quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quality = filters.exclusive_quality(b.roles(spark, sf_dir), ["board"])
+    return filters.worst_quality(quality, 10, "board")
+
+
+def _of_documents(spark: SparkSession, sf_dir: str, every: int) -> DataFrame:
+    """Documents with ``place``, their turn among ``every`` literals."""
+    docs = b.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.withColumn("place", F.col("doc_id") % every)
 
 
+# Place, stated workplace, and what it comes to.
 WORKPLACES = [
-    (1, "Berlin", None),
-    (2, "Remote - US", None),
-    (3, "Hybrid remote", None),
-    (4, "New York (HQ)", "Hybrid"),
-    (5, "anywhere", "OnSite"),
-    (6, "work from home", "unknown"),
-    (7, None, "remote"),
-    (8, "distributed team", None),
-    (9, "premote", None),
+    ("Berlin", None, "onsite"),
+    ("Remote - US", None, "remote"),
+    ("Hybrid remote", None, "hybrid"),
+    ("New York (HQ)", "Hybrid", "hybrid"),
+    ("anywhere", "OnSite", "onsite"),
+    ("work from home", "unknown", "remote"),
+    (None, "remote", "remote"),
+    ("distributed team", None, "remote"),
+    ("premote", None, "onsite"),
 ]
 
 
 @query(
     b.with_ctes(
         (),
-        "SELECT id, CASE WHEN lower(stated) IN ('remote', 'hybrid', 'onsite') THEN lower(stated) ELSE "
-        + _first_sql(
-            "coalesce(place, $$$$)", (("hybrid", lex.HYBRID), ("remote", lex.REMOTE)), "onsite"
-        )
-        + " END AS workplace FROM t",
-        (b.values_cte("t", ("id", "place", "stated"), WORKPLACES),),
+        f"SELECT doc_id, workplace FROM documents JOIN t ON place = doc_id % {len(WORKPLACES)}",
+        (b.values_cte("t", ("place", "workplace"), [(k, w[2]) for k, w in enumerate(WORKPLACES)]),),
     )
 )
 def workplace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = b.text_frame(spark, WORKPLACES, "id int, place string, stated string")
-    return rows.select("id", text.workplace("place", F.col("stated")).alias("workplace"))
+    rows = _of_documents(spark, sf_dir, len(WORKPLACES))
+    place, stated = (b.pick(F.col("place"), [w[k] for w in WORKPLACES]) for k in (0, 1))
+    return rows.select("doc_id", text.workplace(place, stated).alias("workplace"))
 
 
+# What a text may end in, and the salary it states.
 SALARIES = [
-    (1, "Pay: $150,000 - $200,000 a year"),
-    (2, "£70k–£90k"),
-    (3, "€80.000 - €100.000"),
-    (4, "C$100,000 to C$120,000"),
-    (5, "120000-160000 USD"),
-    (6, "$90k-$100k or $90,000 to $150,000"),
-    (7, "1,000,000 to 2,000,000"),
-    (8, "500 to 900 people, 5,000 - 9,000"),
-    (9, "$120.5k - 140k"),
-    (10, "$200,000 - $150,000"),
-    (11, None),
-    (12, "A$80,000 — 95,000"),
-    (13, "10k-20k and £30k to £40k"),
+    ("Pay: $150,000 - $200,000 a year", 150_000, 200_000, "USD"),
+    ("£70k–£90k", 70_000, 90_000, "GBP"),
+    ("€80.000 - €100.000", 80_000, 100_000, "EUR"),
+    ("C$100,000 to C$120,000", 100_000, 120_000, "CAD"),
+    ("120000-160000 USD", None, None, None),
+    ("$90k-$100k or $90,000 to $150,000", 90_000, 150_000, "USD"),
+    ("1,000,000 to 2,000,000", 1_000_000, 2_000_000, None),
+    ("500 to 900 people, 5,000 - 9,000", None, None, None),
+    ("$120.5k - 140k", 120_500, 140_000, "USD"),
+    ("$200,000 - $150,000", None, None, None),
+    ("", None, None, None),
+    ("A$80,000 — 95,000", 80_000, 95_000, "AUD"),
+    ("10k-20k and £30k to £40k", 10_000, 20_000, None),
 ]
 
 
-def _amount_sql(text: str) -> str:
-    return (
-        f"CASE WHEN regexp_matches({text}, '[kK]$') THEN"
-        f" floor(CAST(regexp_replace({text}, '\\s*[kK]$', '') AS DOUBLE) * 1000 + 0.5)::BIGINT"
-        f" ELSE TRY_CAST(regexp_replace({text}, '[,.\\s]', '', 'g') AS BIGINT) END"
+@query(
+    b.with_ctes(
+        (),
+        f"""
+SELECT doc_id, salary_min, salary_max, salary_currency
+FROM documents JOIN t ON place = doc_id % {len(SALARIES)}""",
+        (
+            b.values_cte(
+                "t",
+                ("place", "salary_min", "salary_max", "salary_currency"),
+                [(k, *r[1:]) for k, r in enumerate(SALARIES)],
+            ),
+        ),
     )
-
-
-_GROUPS = ", ".join(
-    f"regexp_extract_all(body, '{lex.SALARY_RANGE}', {k}) AS g{k}" for k in range(1, 5)
 )
-_CURRENCY = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in lex.CURRENCIES.items())
-SALARY_SQL = f"""
-SELECT t.id, low AS salary_min, high AS salary_max, CASE symbol {_CURRENCY} END AS salary_currency
-FROM t LEFT JOIN (
-  SELECT *, row_number() OVER (PARTITION BY id ORDER BY high - low DESC, k) AS n FROM (
-    SELECT id, k, {_amount_sql("g2[k]")} AS low, {_amount_sql("g4[k]")} AS high,
-      coalesce(nullif(g1[k], ''), g3[k]) AS symbol
-    FROM (SELECT *, unnest(range(1, len(g2) + 1)) AS k FROM (SELECT id, {_GROUPS} FROM t)))
-  WHERE low >= {lex.SALARY_LEAST} AND high > low AND high <= {lex.SALARY_MOST}) s
-ON s.id = t.id AND s.n = 1"""
-
-
-@query(b.with_ctes((), SALARY_SQL, (b.values_cte("t", ("id", "body"), SALARIES),)))
 def salary_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = b.text_frame(spark, SALARIES, "id int, body string")
-    return rows.withColumn("s", text.salary("body")).select("id", "s.*")
+    rows = _of_documents(spark, sf_dir, len(SALARIES))
+    ending = b.pick(F.col("place"), [r[0] for r in SALARIES])
+    body = F.concat_ws(" ; ", "text", ending)
+    return rows.withColumn("s", text.salary(body)).select("doc_id", "s.*")
 
 
 @query(
@@ -259,39 +218,41 @@ def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.table(spark, sf_dir, "pages").select("page_id", text.strip_html("html").alias("body"))
 
 
+# What a text may end in, the title it stands under, and the technologies that count.
 MENTIONS = [
-    (1, "Python and PySpark, java not javascript", "Data Engineer"),
-    (2, "React to change; swift decisions", "Store Manager"),
-    (3, "React, Swift and Rust", "iOS Developer"),
-    (4, "see https://python.org or mail ruby@rails.io <b>php</b>", "Engineer"),
-    (5, "C++ / C# on .NET, Node.js, k8s", "Platform Architect"),
-    (6, "dbt and DBT; Power BI; LLMs", "analytics lead"),
-    (7, "we use SAP and Salesforce", "Accountant"),
-    (8, None, None),
-    (9, "érust et ruby", "software"),
+    ("Python and PySpark, java not javascript", "Data Engineer", "Python,JavaScript,Java"),
+    ("React to change; swift decisions", "Store Manager", ""),
+    ("React, Swift and Rust", "iOS Developer", "React,Rust,Swift"),
+    ("see https://python.org or mail ruby@rails.io <b>php</b>", "Engineer", "PHP"),
+    ("C++ / C# on .NET, Node.js, k8s", "Platform Architect", "Node.js,.NET,C#,C++,Kubernetes"),
+    ("dbt and DBT; Power BI; LLMs", "analytics lead", "dbt,Power BI,LLM"),
+    ("we use SAP and Salesforce", "Accountant", "Salesforce"),
+    ("", None, ""),
+    ("érust et ruby", "software", "Rust,Ruby"),
 ]
 
 
-def _mentions_sql() -> str:
-    strip = "regexp_replace(regexp_replace(coalesce({0}, ''), '" + lex.MARKUP + "', ' ', 'g'), '[^\\x00-\\x7F]', ' ', 'g')"
-    body, setting = strip.format("body"), strip.format("context")
-    technical = f"regexp_matches({setting}, '{lex.TECH_CONTEXT}', 'i')"
-    items = []
-    for label, pattern, guarded in lex.TECHNOLOGIES:
-        flag = "" if label in lex.CASE_SENSITIVE_TECHNOLOGIES else ", 'i'"
-        hit = f"regexp_matches({body}, '{pattern}'{flag})"
-        hit = f"{hit} AND {technical}" if guarded else hit
-        items.append(f"CASE WHEN {hit} THEN '{label}' END")
-    return f"SELECT id, array_to_string(list_filter([{', '.join(items)}], lambda x: x IS NOT NULL), ',') AS technologies FROM t"
+@query(
+    b.with_ctes(
+        (),
+        f"SELECT doc_id, technologies FROM documents JOIN t ON place = doc_id % {len(MENTIONS)}",
+        (b.values_cte("t", ("place", "technologies"), [(k, m[2]) for k, m in enumerate(MENTIONS)]),),
+    )
+)
+def tech_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _of_documents(spark, sf_dir, len(MENTIONS))
+    ending, context = (b.pick(F.col("place"), [m[k] for m in MENTIONS]) for k in (0, 1))
+    found = text.technologies(F.concat_ws(" ; ", "text", ending), context)
+    return rows.select("doc_id", F.array_join(found, ",").alias("technologies"))
 
 
 @query(
-    b.with_ctes((), _mentions_sql(), (b.values_cte("t", ("id", "body", "context"), MENTIONS),))
+    """
+SELECT page_id, replace(replace(replace(replace(replace(coalesce(url, ''), '&', '&amp;'), '<', '&lt;'),
+  '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') AS escaped FROM pages"""
 )
-def tech_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = b.text_frame(spark, MENTIONS, "id int, body string, context string")
-    found = F.array_join(text.technologies("body", "context"), ",")
-    return rows.select("id", found.alias("technologies"))
+def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.table(spark, sf_dir, "pages").select("page_id", text.escape_html("url").alias("escaped"))
 
 
 @query(

@@ -63,7 +63,10 @@ def read_boards(
     endpoints: dict[str, str] = ENDPOINTS,
     unit: float = 1.0,
 ) -> DataFrame:
-    """Replies for (source, company) pairs; write them down before using them twice."""
+    """Replies for (source, company) pairs; write them down before using them twice.
+
+    Boards of unknown sources and boards without a name are left out.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -78,6 +81,7 @@ def read_boards(
             yield out
 
     known = boards.select("source", "company").where(F.col("source").isin(*endpoints))
+    known = known.where(F.coalesce("company", F.lit("")) != "")
     return known.repartition(workers).mapInPandas(run, REPLY)
 
 

@@ -2,6 +2,15 @@
 
 from __future__ import annotations
 
+import gzip
+import json
+import time
+import urllib.parse
+import urllib.request
+import zlib
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,3 +64,164 @@ def newest_captures(captures: DataFrame, wanted: int = 3, most: int = 10) -> Dat
     good = rows.where(F.col("status") == "200")
     ranked = good.withColumn("n", F.row_number().over(newest))
     return ranked.where(F.col("n") <= wanted).drop("n")
+
+
+def payloads(records_: DataFrame) -> DataFrame:
+    """``records_`` (a binary column ``content``, gzip or plain) with headers and body.
+
+    A gzip record is undone whole; one that does not parse has neither.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [record_parts(c) for c in frame["content"]]
+            yield frame.assign(headers=[f[0] for f in found], body=[f[1] for f in found])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records_.schema)
+    return records_.mapInPandas(run, f"{schema}, headers string, body string")
+
+
+def record_parts(content: bytes | None) -> tuple[str | None, str | None]:
+    """(headers, body) of one archived record: the parts between and after two blank lines."""
+    try:
+        raw = bytes(content or b"")
+        raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+    except (OSError, EOFError, zlib.error):
+        return None, None
+    parts = raw.decode("utf-8", "replace").split("\r\n\r\n", 2)
+    return (parts[1], parts[2]) if len(parts) == 3 else (None, None)
+
+
+def fetch_range(
+    url: str, start: int | None = None, end: int | None = None, attempts: int = 5, unit: float = 1.5
+) -> bytes | None:
+    """Bytes ``start`` to ``end`` (inclusive) of a URL, or all; None if there is no such page."""
+    request = urllib.request.Request(url)
+    if start is not None:
+        request.add_header("Range", f"bytes={start}-{end}")
+    for attempt in range(attempts):
+        try:
+            with urllib.request.urlopen(request, timeout=120) as reply:
+                return reply.read()
+        except OSError as error:
+            if getattr(error, "code", None) == 404:
+                return None
+            if attempt + 1 == attempts:
+                raise
+            time.sleep(unit * 2**attempt)
+    return None
+
+
+def size_of(url: str) -> int:
+    """The length of a URL's content; 0 if it is not there or does not say."""
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, method="HEAD"), timeout=60) as reply:
+            return int(reply.headers.get("Content-Length") or 0)
+    except OSError:
+        return 0
+
+
+def index_range(
+    read: Callable[[int, int], bytes], size: int, prefix: str, probe: int = 1 << 16, scan: int = 1 << 20
+) -> list[str]:
+    """Lines of a sorted text whose key starts with ``prefix``, and the line before them.
+
+    ``read`` gives the bytes from a place to another (exclusive).  A binary
+    search reads ``probe`` bytes a step, then ``scan`` bytes at a time until
+    the keys have passed the prefix.
+    """
+
+    def first_line(at: int) -> tuple[int, bytes] | None:
+        """Place and text of the first line that begins at ``at`` or later."""
+        width = probe
+        while at < size:
+            part = read(at, min(size, at + width))
+            skip = 0 if at == 0 else part.find(b"\n") + 1
+            if at and not skip:
+                at += len(part)
+                continue
+            stop = part.find(b"\n", skip)
+            if stop >= 0 or at + len(part) >= size:
+                line = part[skip:] if stop < 0 else part[skip:stop]
+                return (at + skip, line) if line else None
+            width *= 2
+        return None
+
+    wanted = prefix.encode()
+    low, high = 0, size
+    while high - low > probe:
+        middle = (low + high) // 2
+        found = first_line(middle)
+        if found is None or found[1] >= wanted:
+            high = middle
+        else:
+            low = found[0]
+    out, before, rest, at = [], None, b"", low
+    while at < size:
+        part = rest + read(at, min(size, at + scan))
+        at = min(size, at + scan)
+        lines = part.split(b"\n")
+        rest = b"" if at >= size else lines.pop()
+        for line in filter(None, lines):
+            if line.startswith(wanted):
+                out.append(line)
+            elif line < wanted:
+                before = line
+            else:
+                at = size
+                break
+    return [x.decode() for x in ([before] if before is not None else []) + out]
+
+
+def index_pages(
+    spark: SparkSession, crawls: list[str], hosts: list[str], api: str, workers: int = 4
+) -> DataFrame:
+    """crawl, host and page of every page that a crawl index has for each host.
+
+    ``api`` is the address with ``{crawl}`` in it.  Page counts are asked where
+    tasks run; a host whose count fails has none, so that it cannot end a sweep.
+    """
+    pairs = [(c, h) for c in crawls for h in hosts]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            counts = []
+            for crawl, host in zip(frame["crawl"], frame["host"], strict=True):
+                query = urllib.parse.urlencode(
+                    {"url": f"{host}/*", "output": "json", "showNumPages": "true"}
+                )
+                try:
+                    body = fetch_range(f"{api.format(crawl=crawl)}?{query}")
+                    counts.append(int(json.loads(body or b"{}").get("pages") or 0))
+                except (OSError, ValueError):
+                    counts.append(0)
+            yield frame.assign(pages=counts)
+
+    asked = spark.createDataFrame(pairs, "crawl string, host string").repartition(workers)
+    counted = asked.mapInPandas(run, "crawl string, host string, pages long")
+    numbers = F.sequence(F.lit(0).cast("long"), F.col("pages") - 1)
+    return counted.where("pages > 0").select("crawl", "host", F.explode(numbers).alias("page"))
+
+
+def page_urls(pages: DataFrame, api: str) -> DataFrame:
+    """``pages`` with one row for each URL that they list; lines that do not parse are dropped."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for crawl, host, page in frame[["crawl", "host", "page"]].itertuples(index=False):
+                query = urllib.parse.urlencode(
+                    {"url": f"{host}/*", "output": "json", "fl": "url", "page": page}
+                )
+                try:
+                    body = fetch_range(f"{api.format(crawl=crawl)}?{query}") or b""
+                except OSError:
+                    body = b""
+                for line in body.decode("utf-8", "replace").splitlines():
+                    try:
+                        rows.append((crawl, host, page, str(json.loads(line)["url"])))
+                    except (ValueError, KeyError, TypeError):
+                        continue
+            yield pd.DataFrame(rows, columns=["crawl", "host", "page", "url"])
+
+    return pages.mapInPandas(run, "crawl string, host string, page long, url string")

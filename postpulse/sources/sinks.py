@@ -62,3 +62,14 @@ def budget_shares(available: dict[str, int], most: int) -> dict[str, int]:
         shares[name] = min(available[name], share)
         pushed += shares[name]
     return shares
+
+
+def save_tokens(tokens: DataFrame, path: str) -> None:
+    """Add a harvest's (provider, token) pairs to the checkpoint; what it holds stays."""
+    append_new(tokens.select("provider", "token").distinct(), path, ["provider", "token"])
+
+
+def saved_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """All pairs of the checkpoint, each once, in order; none before the first harvest."""
+    like = spark.createDataFrame([], "provider string, token string")
+    return existing(spark, path, like).distinct().orderBy("provider", "token")

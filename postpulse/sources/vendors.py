@@ -276,8 +276,16 @@ def _struct(schema: str) -> str:
     return ",".join(fields)
 
 
-def normalise(bodies: DataFrame, name: str) -> DataFrame:
-    """Posting rows of one vendor's boards, in the schema ``POSTING``."""
+#: The fields that the public feed leaves out.
+FEED_DROPS = ("company_url", "description")
+
+
+def normalise(bodies: DataFrame, name: str, feed: bool = False) -> DataFrame:
+    """Posting rows of one vendor's boards, in the schema ``POSTING``.
+
+    The feed's form has no ``FEED_DROPS`` and takes the publication date as the
+    last change where the vendor's form would prefer another one (ashby).
+    """
     vendor = VENDORS[name]
     before, after = vendor.board_url.split("{}")
     fields = {
@@ -286,22 +294,28 @@ def normalise(bodies: DataFrame, name: str) -> DataFrame:
         "company_url": F.concat(F.lit(before), F.col("company"), F.lit(after)),
         **vendor.fields(F.col("job")),
     }
+    if feed and name == "ashby":
+        fields["updated_at"] = fields["posted_at"]
     kinds = {"posted_at": "timestamp", "updated_at": "timestamp"}
     kinds |= {"salary_min": "bigint", "salary_max": "bigint"}
     return jobs(bodies, vendor).select(
         *[
             fields.get(c, F.lit(None)).cast(kinds.get(c, "string")).alias(c)
             for c in POSTING
+            if not (feed and c in FEED_DROPS)
         ]
     )
 
 
-def all_postings(bodies: DataFrame) -> DataFrame:
-    """Postings of every known vendor; ``bodies`` has source, company and body.
+def all_postings(
+    bodies: DataFrame, vendors: tuple[str, ...] = (), feed: bool = False
+) -> DataFrame:
+    """Postings of the named vendors (none named: all); ``bodies`` has source, company and body.
 
     Each branch filters on the source, so a partitioned input prunes.
     """
-    parts = [normalise(bodies.where(F.col("source") == n), n) for n in VENDORS]
+    names = vendors or tuple(VENDORS)
+    parts = [normalise(bodies.where(F.col("source") == n), n, feed) for n in names]
     return reduce(DataFrame.unionByName, parts)
 
 

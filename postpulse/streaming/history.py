@@ -60,3 +60,21 @@ def board_signals(stream_batch: DataFrame, as_of: str) -> DataFrame:
     from postpulse.operators.signals import company_signal
 
     return company_signal(stream_batch, as_of)
+
+
+def signal_stream(
+    stream: DataFrame, as_of: str, table_path: str, checkpoint: str
+) -> DataStreamWriter:
+    """A writer of the signals of each micro-batch's boards, as soon as they are read.
+
+    A file of the stream holds whole boards, so no state crosses batches.
+    """
+
+    def write(batch: DataFrame, _: int) -> None:
+        board_signals(batch, as_of).write.mode("append").parquet(table_path)
+
+    return (
+        stream.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+    )

@@ -5,8 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from postpulse.operators import dedupe, diff, fanout, filters, robots, roster, sampling
-from postpulse.plans.documents import ROBOTS
+from postpulse.operators import dedupe, diff, fanout, filters, ranking, robots, roster, sampling
 
 ROWS = "board string, pos long, title string, location string"
 
@@ -43,7 +42,7 @@ def test_fanout_bounds_bracket(spark):
     frame = rows(spark, *items)
     places = spark.createDataFrame([("city2",)], "token string")
     row = fanout.fanout_bounds(
-        fanout.stem_verdicts(fanout.verified_rows(frame, places))
+        fanout.stem_verdicts(fanout.verified_rows(fanout.split_titles(frame), places))
     ).first()
     assert row.lower == 4 and row.upper == 5 and row.postings == 8
 
@@ -123,10 +122,23 @@ def test_rule_counters_are_independent_of_filters(spark):
     assert seen.get == {"rows": 3, "recruitment_ads": 1, "volunteer_unpaid": 1}
 
 
+ROBOTS = [
+    (1, None, "/json"),
+    (2, "User-agent: *\nDisallow: /json\nAllow: /json/public", "/json/public/1"),
+    (3, "User-agent: *\nDisallow: /json", "/json?x=1"),
+    (4, "User-agent: botty\nDisallow: /\n\nUser-agent: *\nDisallow:", "/a"),
+    (5, "User-agent: other\nUser-agent: *\nDisallow: /*.json$", "/a.json.json"),
+    (6, "User-agent: *\nDisallow: /a*b$ # none", "/axxbx"),
+]
+
+
 def test_robots(spark):
     frame = spark.createDataFrame(ROBOTS, "id int, robots string, path string")
     found = {r.id: r.allowed for r in robots.robots_verdicts(frame, "botty/1.0").collect()}
     assert found == {1: True, 2: True, 3: False, 4: False, 5: False, 6: True}
+    assert robots.robots_verdicts(frame.limit(0), "botty/1.0").count() == 0
+    rootless = spark.createDataFrame([(7, "User-agent: *\nDisallow: /$", None)], frame.schema)
+    assert not robots.robots_verdicts(rootless, "botty/1.0").first().allowed
     merged = "User-agent: a\nDisallow: /x\nUser-agent: a\nDisallow: /y"
     assert not robots.verdict(merged, "/y", "a")[0] and not robots.verdict(merged, "/x", "a")[0]
 
@@ -159,3 +171,79 @@ def test_generator_is_mulberry32():
     draws = sampling._uniform(0)
     found = [round(next(draws) * 2**32) for _ in range(2)]
     assert found == [1144304738, 1416247]
+
+
+def test_audit_ladder(spark):
+    rows = [(False, True, 0, 0), (True, True, 2, 1), (True, False, 0, 0), (True, True, 0, 0), (True, False, 2, 0), (True, True, 2, 0)]
+    frame = spark.createDataFrame(rows, "allowed boolean, present boolean, archived long, banned long")
+    status = robots.audit_status(*map(F.col, ("allowed", "present", "archived", "banned")))
+    found = [r.s for r in frame.select(status.alias("s")).collect()]
+    assert found == ["STOP-LIVE", "STOP-ARCHIVE", "OK-NEVER-SERVED", "UNVERIFIED", "OK-NO-LIVE-FILE", "OK"]
+
+
+def test_places_are_those_of_the_whole_order(spark, monkeypatch):
+    """Many equal sizes, repeated names, null sizes; ranges of a few rows each."""
+    draw = np.random.default_rng(1)
+    items = [(f"b{k % 700:03d}", None if k % 97 == 0 else int(draw.integers(1, 6))) for k in range(1000)]
+    frame = spark.createDataFrame(items, "board string, postings int")
+    for bounds in (ranking.BOUNDS, 3):
+        monkeypatch.setattr(ranking, "BOUNDS", bounds)
+        rows = ranking.with_place(frame, "postings").collect()
+        assert sorted(r.place for r in rows) == list(range(1000))
+        wanted = sorted(items, key=lambda i: (-(i[1] or -1), i[0]))
+        assert [(r.board, r.postings) for r in sorted(rows, key=lambda r: r.place)] == wanted
+    assert ranking.with_place(frame.limit(0), "postings").count() == 0
+
+
+def test_census_strata_count_as_sums(spark):
+    strata = (("big", 50, None), ("small", 1, 3))
+    boards = spark.createDataFrame([(f"c{k}", k + 1, k % 4) for k in range(60)], "board string, postings long, extra long")
+    plan = sampling.strata_plan(boards, strata)
+    sample = sampling.every_kth(boards, plan, strata)
+    found = {s["name"]: s for s in sampling.drawn_boards(sample, plan)}
+    assert found["big"]["boards"] == [(sum(range(50, 61)), sum(k % 4 for k in range(49, 60)))]
+    assert len(found["small"]["boards"]) == 3
+    planned = sample.withColumn("reason", F.when(F.col("postings") > 58, "timeout"))
+    rates = {r.stratum: r for r in sampling.stratum_rates(sample.where("postings <= 58"), planned).collect()}
+    assert (rates["big"].planned, rates["big"].failed, rates["big"].boards_read) == (11, 2, 9)
+    assert [tuple(x) for x in rates["big"].reasons] == [("timeout", 2)] and rates["small"].failed == 0
+
+
+def test_issues_without_a_roster_compare_their_tables(spark):
+    named = lambda *c: spark.createDataFrame([("s", x) for x in c], "source string, company string")
+    full = {"roster": issue(spark, ("a", 5, "steady")), "ramping": named("a", "b")}
+    later = {"roster": issue(spark, ("a", 9, "steady")), "ramping": named("b", "c")}
+    basis, rows = diff.compared(full, later)
+    assert basis == "roster" and [(r["class"], r.delta) for r in rows.collect()] == [("grew", 4)]
+    basis, rows = diff.compared({"ramping": full["ramping"]}, later)
+    assert basis == "top_lists"
+    assert {(r.table, r.change, r.company) for r in rows.collect()} == {("ramping", "entered", "c"), ("ramping", "left", "a")}
+
+
+def test_change_order_and_hours(spark):
+    frame = spark.createDataFrame([("s", "a", 3), ("s", "b", -9), ("s", "c", 4)], "source string, company string, delta int")
+    assert [r.company for r in diff.by_change(frame).collect()] == ["b", "c", "a"]
+    times = spark.createDataFrame([("2026-01-01 00:00:00", "2026-01-02 01:20:00")], "a string, b string")
+    hours = diff.hours_between(F.col("a").cast("timestamp"), F.col("b").cast("timestamp"))
+    assert times.select(hours.alias("h")).first().h == 25.3
+
+
+def test_valid_postings_need_a_title_and_an_id(spark):
+    rows = [("t", "1"), ("", "2"), (None, "3"), ("t", ""), ("t", None)]
+    frame = spark.createDataFrame(rows, "title string, job_id string")
+    assert [tuple(r) for r in filters.valid_postings(frame).collect()] == [("t", "1")]
+
+
+def test_roster_order(spark):
+    rows = [("v", "b", "live", 3), ("v", "a", "live", 3), ("v", "c", "empty", 0), ("v", "d", "live", 9)]
+    frame = spark.createDataFrame(rows, "provider string, token string, status string, open_postings long")
+    assert [r.token for r in roster.roster_order(frame).collect()] == ["d", "a", "b"]
+    asked = roster.boards_to_read(frame, 10, with_empty=True).orderBy("place").collect()
+    assert [r.token for r in asked] == ["d", "a", "b", "c"]
+
+
+def test_free_prices(spark):
+    from postpulse.operators import readings
+
+    frame = spark.sql("SELECT map('x', named_struct('free', 1.0, 'flat', 2.0), 'y', named_struct('free', null, 'flat', 3.0)) AS e")
+    assert frame.select(readings.free_prices(F.col("e")).alias("p")).first().p == {"x": 1, "y": 3}

@@ -173,3 +173,147 @@ def test_live_boards_retry_and_classify(spark):
         "odd": ("dead", None),
     }
     assert asked["busy"] == 4 and asked["gone"] == 1
+
+
+def test_feed_form_and_chosen_vendors(spark):
+    frame = spark.createDataFrame(BODIES, "source string, company string, body string")
+    rows = vendors.all_postings(frame, ("ashby", "lever"), feed=True)
+    assert not set(vendors.FEED_DROPS) & set(rows.columns)
+    found = {r.source: r for r in rows.collect()}
+    assert set(found) == {"ashby", "lever"} and found["ashby"].updated_at == found["ashby"].posted_at
+
+
+def test_archived_records_are_unpacked(spark):
+    import gzip
+
+    plain = b"WARC/1.0\r\na: b\r\n\r\nHTTP/1.1 200 OK\r\nc: d\r\n\r\nUser-agent: *\r\n\r\nrest"
+    rows = [(1, gzip.compress(plain)), (2, plain), (3, gzip.compress(plain)[:20]), (4, None), (5, b"short")]
+    frame = spark.createDataFrame([(k, None if c is None else bytearray(c)) for k, c in rows], "id int, content binary")
+    found = {r.id: (r.headers, r.body) for r in crawl.payloads(frame).collect()}
+    assert found[1] == found[2] == ("HTTP/1.1 200 OK\r\nc: d", "User-agent: *\r\n\r\nrest")
+    assert found[3] == found[4] == found[5] == (None, None)
+
+
+@pytest.mark.parametrize("probe", [16, 64, 4096])
+def test_range_search_reads_little_and_finds_all(probe):
+    keys = sorted(f"com,host{k:04d})/{j} {k}" for k in range(300) for j in range(k % 3 + 1))
+    text = ("\n".join(keys) + "\n").encode()
+    asked = []
+
+    def read(low, high):
+        asked.append(high - low)
+        return text[low:high]
+
+    for prefix in ("com,host0000", "com,host0123", "com,host0299", "com,host01", "com,zzz", "com,aaa"):
+        asked.clear()
+        found = crawl.index_range(read, len(text), prefix, probe=probe, scan=256)
+        wanted = [k for k in keys if k.startswith(prefix)]
+        before = [k for k in keys if k < prefix][-1:]
+        assert found == before + wanted
+        if probe < 4096 and len(wanted) < 5:
+            assert sum(asked) < len(text) / 2
+
+
+@pytest.fixture(scope="module")
+def index_server():
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from urllib.parse import parse_qs, urlparse
+
+    class Handler(BaseHTTPRequestHandler):
+        def log_message(self, *args):
+            pass
+
+        def _reply(self, body: bytes, status: int = 200):
+            self.send_response(status)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            if self.command == "GET":
+                self.wfile.write(body)
+
+        def do_GET(self):
+            asked = urlparse(self.path)
+            query = {k: v[0] for k, v in parse_qs(asked.query).items()}
+            if asked.path == "/bytes":
+                span = self.headers.get("Range")
+                low, high = (int(x) for x in span.split("=")[1].split("-")) if span else (0, 9)
+                self._reply(b"0123456789"[low : high + 1], 206 if span else 200)
+            elif asked.path == "/c1-index" and "showNumPages" in query:
+                self._reply(b'{"pages": 2}' if query["url"] == "a.example/*" else b"nonsense")
+            elif asked.path == "/c1-index":
+                self._reply(f'{{"url": "https://a.example/t{query["page"]}"}}\nnot json\n'.encode())
+            else:
+                self._reply(b"", 404)
+
+        do_HEAD = do_GET
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_ranged_reads(index_server):
+    assert crawl.fetch_range(f"{index_server}/bytes", 2, 4) == b"234"
+    assert crawl.fetch_range(f"{index_server}/bytes") == b"0123456789"
+    assert crawl.fetch_range(f"{index_server}/none") is None
+    assert crawl.size_of(f"{index_server}/bytes") == 10 and crawl.size_of(f"{index_server}/none") == 0
+
+
+def test_index_pages_survive_a_host_that_fails(spark, index_server):
+    api = f"{index_server}/{{crawl}}-index"
+    pages = crawl.index_pages(spark, ["c1"], ["a.example", "b.example"], api, workers=2)
+    found = crawl.page_urls(pages, api).orderBy("page").collect()
+    assert [(r.host, r.page, r.url) for r in found] == [
+        ("a.example", 0, "https://a.example/t0"), ("a.example", 1, "https://a.example/t1")]
+
+
+def test_token_checkpoint_unites_harvests(spark, tmp_path):
+    path = str(tmp_path / "tokens")
+    assert sinks.saved_tokens(spark, path).count() == 0
+    for rows in ([("v", "b"), ("v", "a"), ("v", "a")], [("v", "b"), ("u", "z")]):
+        sinks.save_tokens(spark.createDataFrame(rows, "provider string, token string"), path)
+    assert [tuple(r) for r in sinks.saved_tokens(spark, path).collect()] == [("u", "z"), ("v", "a"), ("v", "b")]
+
+
+def test_manifest_and_widened_readings(spark):
+    rows = spark.createDataFrame([("b", "x", 1), ("a", "y", 2)], "p string, t string, j int")
+    row = sinks.manifest(rows, "2026-01-01", "live", 3).first()
+    assert tuple(row) == ("2026-01-01", 2, ["a", "b"], False, "live")
+    wide = sinks.widened(rows, spark.createDataFrame([("c", 4)], "p string, gone int"))
+    assert wide.columns == ["p", "t", "j", "gone"] and wide.count() == 3
+
+
+def test_remote_tokens_and_sitemaps(spark, tmp_path):
+    urls = ["https://x.example/Acme/1", "https://x.example/acme/2", "https://y.example/", None]
+    spark.createDataFrame([(u, 1) for u in urls], "url string, other int").write.parquet(str(tmp_path / "u"))
+    found = files.parquet_tokens(spark, str(tmp_path / "u"), r"x\.example/([^/]+)/")
+    assert [tuple(r) for r in found.collect()] == [("acme", 2)]
+    (tmp_path / "s.xml").write_text("<urlset><url><loc> https://a/1 </loc></url>\n<url><loc>https://a/2</loc></url></urlset>")
+    rows = files.sitemap_locations(spark, str(tmp_path / "s.xml")).collect()
+    assert [r.location for r in rows] == ["https://a/1", "https://a/2"]
+
+
+def test_boards_without_a_name_are_not_asked(spark):
+    from postpulse.sources import boards
+
+    frame = spark.createDataFrame([("lever", None), ("lever", ""), ("none", "x")], "source string, company string")
+    assert boards.read_boards(frame).count() == 0
+
+
+def test_signals_of_a_stream(spark, tmp_path):
+    lines = [json.dumps({"source": "s", "company": c, "posted_at": f"2026-01-{d:02d} 00:00:00"}) for c in "ab" for d in (3, 20)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.json").write_text("\n".join(lines))
+    stream = spark.readStream.schema("source string, company string, posted_at timestamp_ntz").json(str(tmp_path / "in"))
+    query = history.signal_stream(stream, "2026-01-31", str(tmp_path / "out"), str(tmp_path / "cp")).start()
+    query.awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {(r.company, r.open_postings, r.opened_30d, r.signal) for r in found} == {("a", 2, 2, "new_board"), ("b", 2, 2, "new_board")}
+
+
+def test_phrases():
+    from postpulse.functions.report import count_word, list_phrase
+
+    assert [count_word(k) for k in (0, 7, 9)] == ["zero", "seven", "9"]
+    assert [list_phrase(x) for x in ([], ["a"], ["a", "b"], ["a", "b", "c"])] == ["", "a", "a and b", "a, b and c"]
