@@ -218,19 +218,23 @@ def technologies(text: Column | str, context: Column | str | None = None) -> Col
 
     Ambiguous ones count only if ``context`` (a title, say) is technical.
     """
-    body = ascii_words(F.regexp_replace(F.coalesce(_col(text), F.lit("")), lex.MARKUP, " "))
-    setting = body
-    if context is not None:
-        setting = ascii_words(
-            F.regexp_replace(F.coalesce(_col(context), F.lit("")), lex.MARKUP, " ")
-        )
-    technical = setting.rlike(f"(?i){lex.TECH_CONTEXT}")
-    found = []
-    for label, pattern, guarded in lex.TECHNOLOGIES:
-        flag = "" if label in lex.CASE_SENSITIVE_TECHNOLOGIES else "(?i)"
-        hit = body.rlike(f"{flag}{pattern}")
-        found.append(F.when(hit & technical if guarded else hit, F.lit(label)))
-    return F.array_compact(F.array(*found))
+    def plain(c: Column | str) -> Column:
+        return ascii_words(F.regexp_replace(F.coalesce(_col(c), F.lit("")), lex.MARKUP, " "))
+
+    body = plain(text)
+    sides = F.struct(body.alias("body"), (body if context is None else plain(context)).alias("setting"))
+
+    def found(r: Column) -> Column:
+        technical = r["setting"].rlike(f"(?i){lex.TECH_CONTEXT}")
+        labels = []
+        for label, pattern, guarded in lex.TECHNOLOGIES:
+            flag = "" if label in lex.CASE_SENSITIVE_TECHNOLOGIES else "(?i)"
+            hit = r["body"].rlike(f"{flag}{pattern}")
+            labels.append(F.when(hit & technical if guarded else hit, F.lit(label)))
+        return F.array_compact(F.array(*labels))
+
+    # An array of one: both texts are stripped once, however many patterns read them.
+    return F.get(F.transform(F.array(sides), found), F.lit(0))
 
 
 def token_from_url(
@@ -350,25 +354,23 @@ def title_key(title: Column | str, families=lex.TITLE_FAMILIES) -> Column:
     through, from a literal table.
     """
     padded = padded_title(title)
+    block = F.when(F.lit(False), F.lit(0))
+    facts = []
+    for number, (family, keys) in enumerate(families):
+        block = block.when(padded.rlike(_block_pattern(keys)), number)
+        facts.append(
+            [
+                {"family": family, "key": k, "weak": " " not in k.strip(), "needle": title_needle(k)}
+                for k in keys
+            ]
+        )
+    facts.append([{"family": "other", "key": None, "weak": False, "needle": ""}])
+    # A foldable expression: the optimizer makes one literal of it.
     fields = "family:string,key:string,weak:boolean,needle:string"
-    nothing = F.lit(None).cast(f"struct<{fields}>")
-    found = F.when(F.lit(False), nothing)
-    for family, keys in families:
-        facts = [
-            {"family": family, "key": k, "weak": " " not in k.strip(), "needle": title_needle(k)}
-            for k in keys
-        ]
-        # A foldable expression: the optimizer makes one literal of it.
-        table = F.from_json(F.lit(json.dumps(facts)), f"array<struct<{fields}>>")
-        first = F.get(F.filter(table, lambda r: F.contains(padded, r["needle"])), F.lit(0))
-        found = found.when(padded.rlike(_block_pattern(keys)), first)
-    other = F.struct(
-        F.lit("other").alias("family"),
-        F.lit(None).cast("string").alias("key"),
-        F.lit(False).alias("weak"),
-        F.lit(None).cast("string").alias("needle"),
-    )
-    return F.coalesce(found.otherwise(nothing), other).dropFields("needle")
+    table = F.from_json(F.lit(json.dumps(facts)), f"array<array<struct<{fields}>>>")
+    own = F.get(table, block.otherwise(len(families)))
+    first = F.get(F.filter(own, lambda r: F.contains(padded, r["needle"])), F.lit(0))
+    return first.dropFields("needle")
 
 
 def round_half_up(value: Column, digits: int) -> Column:

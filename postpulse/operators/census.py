@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from postpulse.functions import lexicons as lex
 from postpulse.functions.text import title_key, wilson
 from postpulse.operators.ranking import with_place
+from postpulse.operators.staging import staged
 
 # Fixed values.
 NO_ROLE = ("recruitment_ad", "volunteer", "generic", "other", "non_english")
@@ -31,6 +32,9 @@ def classified(titles: DataFrame, title: str = "title", families=lex.TITLE_FAMIL
     """
     facts = titles.select(F.col(title).alias("_title")).distinct()
     facts = facts.withColumn("_fact", title_key("_title", families))
+    # Written down: else a filter on the family would be inferred for every row
+    # of ``titles`` through the join, and classify each of them again.
+    facts = staged(facts)
     joined = titles.join(facts, F.col(title).eqNullSafe(F.col("_title")))
     names = ("family", "key", "weak")
     return joined.withColumns({n: F.col(f"_fact.{n}") for n in names}).drop("_title", "_fact")

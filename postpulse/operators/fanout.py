@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,17 +39,6 @@ def split_titles(rows: DataFrame, board: str = "board") -> DataFrame:
     )
 
 
-def staged(split: DataFrame) -> DataFrame:
-    """``split`` written down once in the checkpoint folder, cutting its lineage."""
-    context = split.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = split.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and context.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="shared-"))
-    return split.checkpoint()
-
-
 def fanout_stems(split: DataFrame, board: str = "board", least: int = LEAST_TITLES) -> DataFrame:
     """Stems that at least ``least`` distinct titles of a board share, from ``split_titles``."""
     return (

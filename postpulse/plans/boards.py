@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from postpulse.functions.lexicons import LOCATION_NOISE
 from postpulse.functions.text import seniority
 from postpulse.operators import dedupe, fanout, signals
+from postpulse.operators.staging import staged
 from postpulse.plans import bindings as b
 from postpulse.plans.catalogue import query
 
@@ -330,7 +331,7 @@ VERDICTS = """verdicts AS (
 
 
 def _stems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = fanout.staged(fanout.split_titles(b.titles(spark, sf_dir)))
+    split = staged(fanout.split_titles(b.titles(spark, sf_dir)))
     places = fanout.gazetteer(fanout.token_support(split))
     return fanout.stem_verdicts(fanout.verified_rows(split, places))
 
@@ -347,7 +348,7 @@ SELECT tail, hit FROM (SELECT tail, hit, row_number() OVER (PARTITION BY tail OR
     )
 )
 def gazetteer_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = fanout.staged(fanout.split_titles(b.titles(spark, sf_dir)))
+    split = staged(fanout.split_titles(b.titles(spark, sf_dir)))
     return fanout.first_known_place(split, fanout.gazetteer(fanout.token_support(split)))
 
 

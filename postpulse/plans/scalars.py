@@ -38,7 +38,7 @@ def title_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(b.with_ctes(_ROLES, "SELECT pos, family FROM roles JOIN role_facts USING (role)"))
 def title_family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.roles(spark, sf_dir).select("pos", text.classify_title("title").alias("family"))
+    return classified(b.roles(spark, sf_dir)).select("pos", "family")
 
 
 @query(b.with_ctes(_ROLES, "SELECT pos, family, key, weak FROM roles JOIN role_facts USING (role)"))
