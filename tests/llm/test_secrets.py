@@ -94,3 +94,26 @@ def test_more_kinds_are_added(spark):
 
 def test_empty_table(no_documents):
     assert secrets.find_secrets(no_documents).count() == 0
+
+
+PIECES = [
+    "-----BEGIN ", "RSA ", "PRIVATE KEY", "-----", "eyJ", "eyJhbGciOi", ".", "abc_-9", "J9" * 12, "bearer", "Bearer ", " ",
+    "x" * 23, "~=/", "ftp", "://", "user", ":", "p%40", "@", "host.io", "é", "\n", "BEGIN",
+]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=14).map("".join), max_size=6))
+def test_more_kinds_match_re(texts):
+    """Leftmost, longest, not overlapping within a kind; what fails its check still uses up its text."""
+    found = secrets.compiled(secrets.RULES).scan([t.encode() for t in texts])
+    kinds = [r.kind for r in secrets.RULES]
+    for text, own in zip(texts, found, strict=True):
+        wanted = [
+            (m.start(), kinds.index(rule.kind), m.end())
+            for rule in secrets.MORE_RULES
+            for m in re.finditer(rule.pattern, text, re.ASCII)
+            if not rule.check or re.fullmatch(rule.check, m[0])
+        ]
+        extra = [s for s in own if s[0] not in secrets.BASE_KINDS]
+        assert extra == [(kinds[k], s, e) for s, k, e in sorted(wanted)]
