@@ -45,9 +45,10 @@ VOLUNTEER_STAFF = (
 
 # Words that say nothing about a place.
 LOCATION_NOISE = (
-    "remote hybrid onsite on site usa us united states america or and the of in at area greater "
-    "metro region multiple locations location various flexible anywhere office based"
-).split()
+    "remote", "hybrid", "onsite", "on", "site", "usa", "us", "united", "states", "america", "or",
+    "and", "the", "of", "in", "at", "area", "greater", "metro", "region", "multiple", "locations",
+    "location", "various", "flexible", "anywhere", "office", "based",
+)
 
 # Technologies as (label, pattern, needs a technical title or team).
 TECH_CONTEXT = (
@@ -130,17 +131,18 @@ CODE_LIKE = r"\s-\s*\d+\s*$|^\s*\d{2,}\s*-\s"
 
 # Path segments and host labels that are routes, never company tokens.
 NOT_A_TOKEN = (
-    "embed api v1 v0 jobs job static assets favicon.ico robots.txt sitemap.xml error 404 "
-    "index.html apply search postings boards company companies auth login signup j oauth account "
-    "settings terms privacy www app help support blog status mail cdn static1 docs developer "
-    "developers admin dashboard go get my"
-).split()
+    "embed", "api", "v1", "v0", "jobs", "job", "static", "assets", "favicon.ico", "robots.txt",
+    "sitemap.xml", "error", "404", "index.html", "apply", "search", "postings", "boards", "company",
+    "companies", "auth", "login", "signup", "j", "oauth", "account", "settings", "terms", "privacy",
+    "www", "app", "help", "support", "blog", "status", "mail", "cdn", "static1", "docs",
+    "developer", "developers", "admin", "dashboard", "go", "get", "my",
+)
 
 # Corporate endings of tokens, tried in this order.
 TOKEN_SUFFIXES = (
-    "careers career jobs job inc llc llp ltd limited corp co group usa us uk global holdings "
-    "company international"
-).split()
+    "careers", "career", "jobs", "job", "inc", "llc", "llp", "ltd", "limited", "corp", "co",
+    "group", "usa", "us", "uk", "global", "holdings", "company", "international",
+)
 
 #: Industry keys of tokens as (family, key, mode, blockers), in order of precedence.
 TOKEN_KEYS = (

@@ -7,9 +7,9 @@ import math
 import duckdb
 
 TABLES = (
-    "region nation customer supplier part orders lineitem events documents embeddings pages "
-    "benchmark labels conversations"
-).split()
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+)
 
 
 def connection(sf_dir: str) -> duckdb.DuckDBPyConnection:
