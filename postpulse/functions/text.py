@@ -213,6 +213,20 @@ def verdict_of(tail: Column, place: Column) -> Column:
     )
 
 
+def leading_word(pattern: str) -> str:
+    """Letters that every match of a pattern begins with; the empty string if none are certain."""
+    depth = 0
+    for char in pattern.replace("\\\\", "").replace("\\(", "").replace("\\)", ""):
+        depth += (char in "([") - (char in ")]")
+        if char == "|" and not depth:
+            return ""
+    found = re.match(r"\\b([a-z]+)", pattern)
+    if not found:
+        return ""
+    optional = pattern[found.end() : found.end() + 1] in ("?", "*", "{")
+    return found[1][:-1] if optional else found[1]
+
+
 def technologies(text: Column | str, context: Column | str | None = None) -> Column:
     """Labels of the technologies a text mentions, in list order.
 
@@ -222,7 +236,8 @@ def technologies(text: Column | str, context: Column | str | None = None) -> Col
         return ascii_words(F.regexp_replace(F.coalesce(_col(c), F.lit("")), lex.MARKUP, " "))
 
     body = plain(text)
-    sides = F.struct(body.alias("body"), (body if context is None else plain(context)).alias("setting"))
+    setting = body if context is None else plain(context)
+    sides = F.struct(body.alias("body"), F.lower(body).alias("low"), setting.alias("setting"))
 
     def found(r: Column) -> Column:
         technical = r["setting"].rlike(f"(?i){lex.TECH_CONTEXT}")
@@ -230,6 +245,9 @@ def technologies(text: Column | str, context: Column | str | None = None) -> Col
         for label, pattern, guarded in lex.TECHNOLOGIES:
             flag = "" if label in lex.CASE_SENSITIVE_TECHNOLOGIES else "(?i)"
             hit = r["body"].rlike(f"{flag}{pattern}")
+            # A plain search for the first word spares most patterns.
+            if word := leading_word(pattern):
+                hit = F.contains(r["low"], F.lit(word)) & hit
             labels.append(F.when(hit & technical if guarded else hit, F.lit(label)))
         return F.array_compact(F.array(*labels))
 

@@ -179,3 +179,15 @@ def test_lexicon_sizes():
     assert len({f for f, _ in lex.TITLE_FAMILIES}) == 20
     assert sum(len(keys) for _, keys in lex.TITLE_FAMILIES) == 511
     assert len(lex.TOKEN_KEYS) == 81
+
+
+def test_leading_words_begin_every_match():
+    import re
+
+    assert text.leading_word(r"\breact(?:\.js)?\b") == "react"
+    assert text.leading_word(r"\bpower ?bi\b") == "power" and text.leading_word(r"\bllms?\b") == "llm"
+    assert text.leading_word(r"\bc#|\bc sharp\b") == "" and text.leading_word(r"\b(?:aws|gcp)\b") == ""
+    words = "python react.js c++ node.js nodejs power bi powerbi spring boot swiftui mongodb c# sap llms k8s vue.js"
+    for _, pattern, _ in lex.TECHNOLOGIES:
+        for found in re.finditer(pattern, words):
+            assert found[0].startswith(text.leading_word(pattern))
