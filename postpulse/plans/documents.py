@@ -148,8 +148,8 @@ SELECT source, company, CASE vendor WHEN 0 THEN '' WHEN 1 THEN 'a' ELSE 'l' END
     WHEN vendor = 0 AND stated = 'Work From Home Opportunity' THEN 'remote' ELSE 'onsite' END AS workplace,
   CASE WHEN vendor < 2 THEN o_orderpriority END AS department,
   CASE WHEN vendor = 2 THEN o_orderpriority END AS team,
-  CAST(o_orderdate AS DATE) AS posted, CASE WHEN o_orderkey % 3 = 0 THEN 150000 END AS salary_min,
-  CASE WHEN o_orderkey % 3 = 0 THEN 200000 END AS salary_max,
+  CAST(o_orderdate AS DATE) AS posted, CASE WHEN o_orderkey % 3 = 0 THEN 150000::BIGINT END AS salary_min,
+  CASE WHEN o_orderkey % 3 = 0 THEN 200000::BIGINT END AS salary_max,
   CASE WHEN o_orderkey % 3 = 0 THEN 'USD' END AS salary_currency, seniority,
   CASE WHEN o_orderkey % 3 = 0 THEN 'Pay $150,000 - $200,000' ELSE 'Fair & square' END AS description
 FROM (SELECT *, o_custkey % 3 AS vendor, 'b' || (o_custkey % 30) AS company,

@@ -137,7 +137,7 @@ SALARIES = [
     b.with_ctes(
         (),
         f"""
-SELECT doc_id, salary_min, salary_max, salary_currency
+SELECT doc_id, salary_min::BIGINT AS salary_min, salary_max::BIGINT AS salary_max, salary_currency
 FROM documents JOIN t ON place = doc_id % {len(SALARIES)}""",
         (
             b.values_cte(
