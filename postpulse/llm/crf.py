@@ -189,7 +189,7 @@ class Decoder:
     that is looked up and only the other words are scored.
     """
 
-    def __init__(self, field: Field, memo: int = 300_000):
+    def __init__(self, field: Field, memo: int = 150_000):
         self._field = field
         self._none = np.zeros(len(field.labels))
         self._margins = field.safe_margins

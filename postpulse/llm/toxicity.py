@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +26,8 @@ GRADES = len(GRADE_BOUNDS) + 2
 USUAL = 0.999
 #: Parts of the labelled documents; each is scored by a model of the others.
 FOLDS = 3
+#: Documents whose features a task counts at a time.
+COUNTED = 200
 #: Weight of the squared feature weights in the loss.
 RIDGE = 0.05
 
@@ -257,18 +259,20 @@ def _peculiar(texts: DataFrame, n_toxic: int, n_other: int) -> list[str]:
     What the bounded number of toxic documents have in common bounds them.
     """
 
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        for text, flag in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            seen[flag].update(_features_of(set(chunk_words(text or ""))))
-        names = list(seen[1].keys() | seen[0].keys())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(names, type=pa.string())]
-            + [pa.array([seen[k][f] for f in names], type=pa.int64()) for k in (1, 0)],
-            names=["f", "toxic", "other"],
-        )
-
-    counts = map_batches(texts, count, "f string, toxic long, other long")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = (b.slice(low, COUNTED) for b in batches for low in range(0, b.num_rows, COUNTED))
+        for part in parts:
+            seen: tuple[Counter, Counter] = (Counter(), Counter())
+            for text, flag in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                seen[flag].update(_features_of(set(chunk_words(text or ""))))
+            names = list(seen[1].keys() | seen[0].keys())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, type=pa.string())]
+                + [pa.array([seen[k][f] for f in names], type=pa.int64()) for k in (1, 0)],
+                names=["f", "toxic", "other"],
+            )
+
+    counts = texts.mapInArrow(count, "f string, toxic long, other long")
     counts = counts.groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     lift = F.log((F.col("toxic") + 0.1) / (n_toxic + 0.2)) - F.log(
         (F.col("other") + 0.1) / (n_other + 0.2)
@@ -309,7 +313,7 @@ def fit(docs: DataFrame, labels: DataFrame, **columns: str) -> Model:
 class _Scorer:
     """Scores texts; remembers what a bounded number of chunks contribute."""
 
-    def __init__(self, model: Model, memo: int = 300_000):
+    def __init__(self, model: Model, memo: int = 150_000):
         self._names = list(model.weights)
         self._column = {f: k for k, f in enumerate(self._names)}
         self._weights = np.array([model.weights[f] for f in self._names])
