@@ -76,13 +76,13 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return _given[-1]
 
 
-def materialized(df: DataFrame, label: str) -> DataFrame:
+def materialized(df: DataFrame, label: str, **options: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again.
 
     It cuts the lineage: a lost executor costs the tasks that ran there, not
     the stages before the table.  Results read from it; ``cleared`` deletes it.
     """
-    return written(df, fresh_path(df.sparkSession, label))
+    return written(df, fresh_path(df.sparkSession, label), **options)
 
 
 @contextmanager
@@ -99,8 +99,8 @@ def cleared(spark: SparkSession) -> Iterator[None]:
             drop_path(spark, _given.pop())
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+def written(df: DataFrame, path: str, **options: str) -> DataFrame:
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

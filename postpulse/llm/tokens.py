@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -63,25 +64,31 @@ def cuttable(tokenizer: dict) -> bool:
     )
 
 
+#: Bytes of a worker's memory that remembered chunks may take, and what each takes besides its characters.
+MEMO_BYTES, ENTRY_BYTES = 48 << 20, 240
+
+
 class ChunkEncoder:
-    """Encodes texts to little-endian ids; each memo holds a bounded number of chunks.
+    """Encodes texts to little-endian ids; remembered chunks take at most ``room`` bytes.
 
     A chunk that is new as a whole is cut once more after its leading letters:
     a run of letters is one pre-token and ends where they end.  Such a run goes
     to the library's model directly, anything else through its whole pipeline.
+    ``plain`` takes the strings of special tokens as ordinary text.
     """
 
-    def __init__(self, path: str, words: int = 200_000, parts: int = 500_000, longest: int = 40):
+    def __init__(self, path: str, plain: bool = False, room: int = MEMO_BYTES, longest: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         if not cuttable(json.loads(self._tokenizer.to_str())):
             raise ValueError(f"{path}: chunks of its texts may not encode as the whole texts do")
+        self._tokenizer.encode_special_tokens = plain
         self._model = self._tokenizer.model
         self._words: dict[str, bytes] = {}
         self._parts: dict[str, bytes] = {}
-        self._most, self._most_parts, self._longest = words, parts, longest
+        self._room, self._longest = room, longest
         size = self._tokenizer.get_vocab_size()
         self._id_bytes = [k.to_bytes(ID_BYTES, "little") for k in range(size)]
         letters = _byte_letters()
@@ -113,39 +120,52 @@ class ChunkEncoder:
         first = self._library(head) if head else b""
         return first + b"".join(known)
 
+    def _keep(self, memo: dict[str, bytes], chunk: str, ids: bytes) -> None:
+        if self._room > 0 and len(chunk) <= self._longest:
+            memo[chunk] = ids
+            self._room -= ENTRY_BYTES + len(chunk) + len(ids)
+
+    def _part(self, part: str, encode: Callable[[str], bytes]) -> bytes:
+        ids = self._parts.get(part)
+        if ids is None:
+            ids = encode(part)
+            self._keep(self._parts, part, ids)
+        return ids
+
     def _new(self, chunk: str) -> bytes:
         """Ids of a chunk that follows a space."""
         found = _WORD.match(chunk)
         at = found.end() if found else 0
         word, tail = chunk[:at], chunk[at:] if at else f" {chunk}"
-        ids = b""
-        parts = self._parts
-        if word:
-            ids = parts.get(word)
-            if ids is None:
-                ids = self._word(word)
-                if len(parts) < self._most_parts and at <= self._longest:
-                    parts[word] = ids
+        ids = self._part(word, self._word) if word else b""
         if tail:
-            more = parts.get(tail)
-            if more is None:
-                more = self._library(tail)
-                if len(parts) < self._most_parts and len(tail) <= self._longest:
-                    parts[tail] = more
-            ids += more
-        if len(self._words) < self._most and len(chunk) <= self._longest:
-            self._words[chunk] = ids
+            ids += self._part(tail, self._library)
+        self._keep(self._words, chunk, ids)
         return ids
 
 
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[tuple[str, bool], ChunkEncoder] = {}
+
+
+def encoder(path: str, plain: bool = False) -> ChunkEncoder:
+    """One for each worker: its memo outlives a task, and goes when another vocabulary is asked for."""
+    key = (path, plain)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = ChunkEncoder(path, plain)
+    return _encoders[key]
+
 
+def byte_table(path: str) -> list[bytes]:
+    """The bytes that each id of a byte-level tokenizer stands for."""
+    from tokenizers import Tokenizer
 
-def encoder(path: str) -> ChunkEncoder:
-    """One for each worker and vocabulary: the memo outlives a task."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    ids = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
+    letters = {letter: bytes([k]) for k, letter in enumerate(_byte_letters())}
+    found = [b""] * (max(ids.values()) + 1)
+    for entry, k in ids.items():
+        found[k] = b"".join([letters.get(x) or x.encode() for x in entry])
+    return found
 
 
 def token_counts(

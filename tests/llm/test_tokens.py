@@ -38,7 +38,7 @@ def test_chunks_encode_as_the_whole_text(text):
 
 
 def test_full_memo_changes_nothing(corpus):
-    small = tokens.ChunkEncoder(tokens.default_tokenizer(), words=3, parts=3)
+    small = tokens.ChunkEncoder(tokens.default_tokenizer(), room=600)
     for _, text in corpus:
         assert small.encode(text or "") == whole(text)
 
