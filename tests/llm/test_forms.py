@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from postpulse.llm import align, catalogue, chat, infill
+from postpulse.llm import align, catalogue, chat, infill, tokens
 from postpulse.llm.tokens import default_tokenizer
 from tests.compare import canonical, connection
 from tests.llm.conftest import CLASHING, make
@@ -157,6 +157,25 @@ def brute_alignment(rows):
 TEXTS = ["▁", "a▁b", "<|endoftext|> x <s></s><0x0A>", "日本語 の", "😀😀 x", "a  b   c", " \n\t ", "ﬁ①", "\x00", "naïve café"]
 
 
+def test_ranks_encode_as_the_library():
+    tokens.check_ranks(default_tokenizer())
+    library, ranked = Tokenizer.from_file(default_tokenizer()), tokens.ranked_encoder(default_tokenizer())
+    library.encode_special_tokens = True
+    points = [c for c in range(1, 0x110000, 41) if not 0xD800 <= c <= 0xDFFF]
+    texts = [f"a{chr(c)}1{chr(c)} {chr(c)}! {chr(c)}'s" for c in points] + TEXTS
+    assert [x.ids for x in library.encode_batch(texts, add_special_tokens=False)] == [
+        ranked.encode_ordinary(t) for t in texts
+    ]
+
+
+@pytest.mark.parametrize("room", [24 << 20, 300, 0])
+def test_words_encode_as_whole_texts(corpus, room):
+    pieces = align.PieceEncoder(align.default_pieces(), room)
+    texts = [t or "" for _, t in corpus] + TEXTS + ["a b a b c", " a", "a ", "  ", "a\n b", "\t a"]
+    for some in (texts, texts[::-1]):
+        assert [x.tolist() for x in pieces.encode(some)] == [pieces.model.encode(t) for t in some]
+
+
 @pytest.mark.parametrize("frequent", [align.FREQUENT, 40, 1])
 def test_alignment(spark, corpus, frequent):
     rows = [*corpus, *corpus[:4], (None, corpus[0][1]), (None, None), *[(900 + k, t) for k, t in enumerate(TEXTS)]]
