@@ -10,8 +10,6 @@ what belongs to each document.
 from __future__ import annotations
 
 import hashlib
-import re
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -47,57 +45,15 @@ def piece_table(model) -> list[bytes]:
     return found
 
 
-class PieceEncoder:
-    """Ids of a sentencepiece model, which takes each distinct word of a slice once.
-
-    Where no piece holds a space behind another character, a text may be cut
-    before single spaces: every cut is a piece's start.  Texts with other
-    spaces (two in a row, at an end) go through the model whole, as do all
-    texts of other models.  Remembered words take at most ``room`` bytes.
-    """
-
-    def __init__(self, path: str, room: int = 24 << 20):
-        from sentencepiece import SentencePieceProcessor
-
-        self.model = SentencePieceProcessor(model_file=path)
-        pieces = (self.model.id_to_piece(k) for k in range(self.model.vocab_size()))
-        self._cuttable = not any(re.search("[^▁]▁", p) for p in pieces)
-        self._known: dict[str, bytes] = {}
-        self._room = room
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [t.split(" ") if self._cuttable else [""] for t in texts]
-        whole = [k for k, w in enumerate(words) if "" in w]
-        for k in whole:
-            words[k] = []
-        new = list({w: None for each in words for w in each if w not in self._known})
-        found = self._encoded([*new, *[texts[k] for k in whole]])
-        fresh = dict(zip(new, found, strict=False))
-        for word, ids in fresh.items():
-            if self._room > 0 and len(word) <= 40:
-                self._known[word] = ids
-                self._room -= 200 + len(word) + len(ids)
-        # Words that were not kept are this slice's own.
-        fresh = {w: ids for w, ids in fresh.items() if w not in self._known}
-        known, own = self._known.get, fresh.get
-        joined = [
-            b"".join([known(w) or own(w) for w in each] if fresh else map(known, each)) for each in words
-        ]
-        for k, ids in zip(whole, found[len(new) :], strict=True):
-            joined[k] = ids
-        return [np.frombuffer(x, dtype="<u4") for x in joined]
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [array("I", ids).tobytes() for ids in self.model.encode(texts, num_threads=1)]
-
-
 class Aligner:
     """Both tokenizers and, for each id, its bytes and the text of its number."""
 
     def __init__(self, byte_level: str, pieces: str):
+        from sentencepiece import SentencePieceProcessor
+
         self._a = ranked_encoder(byte_level)
-        self._b = PieceEncoder(pieces)
-        self.a_bytes, self.b_bytes = byte_table(byte_level), piece_table(self._b.model)
+        self._b = SentencePieceProcessor(model_file=pieces)
+        self.a_bytes, self.b_bytes = byte_table(byte_level), piece_table(self._b)
         self.a_lengths, self.b_lengths = (
             np.array([len(x) for x in t], dtype=np.int64) for t in (self.a_bytes, self.b_bytes)
         )
@@ -107,15 +63,14 @@ class Aligner:
         none = np.zeros(0, dtype=np.uint32)
         a_bytes, b_bytes = self.a_bytes, self.b_bytes
         found = []
-        for text, b in zip(texts, self._b.encode([t or "" for t in texts]), strict=True):
+        for text, b in zip(texts, self._b.encode([t or "" for t in texts], num_threads=1), strict=True):
             if not text:
                 found.append((none, none))
                 continue
-            a = self._a.encode_ordinary(f" {text}")
-            asked = f" {text}".encode()
+            a, asked = self._a.encode_ordinary(f" {text}"), f" {text}".encode()
             same = b"".join([a_bytes[k] for k in a]) == asked
-            if same and b"".join([b_bytes[k] for k in b.tolist()]) == asked:
-                found.append((np.array(a, dtype=np.uint32), b))
+            if same and b"".join([b_bytes[k] for k in b]) == asked:
+                found.append((np.array(a, dtype=np.uint32), np.array(b, dtype=np.uint32)))
             else:
                 found.append((none, none))
         return found

@@ -168,14 +168,6 @@ def test_ranks_encode_as_the_library():
     ]
 
 
-@pytest.mark.parametrize("room", [24 << 20, 300, 0])
-def test_words_encode_as_whole_texts(corpus, room):
-    pieces = align.PieceEncoder(align.default_pieces(), room)
-    texts = [t or "" for _, t in corpus] + TEXTS + ["a b a b c", " a", "a ", "  ", "a\n b", "\t a"]
-    for some in (texts, texts[::-1]):
-        assert [x.tolist() for x in pieces.encode(some)] == [pieces.model.encode(t) for t in some]
-
-
 @pytest.mark.parametrize("frequent", [align.FREQUENT, 40, 1])
 def test_alignment(spark, corpus, frequent):
     rows = [*corpus, *corpus[:4], (None, corpus[0][1]), (None, None), *[(900 + k, t) for k, t in enumerate(TEXTS)]]
