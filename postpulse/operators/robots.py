@@ -87,14 +87,43 @@ def robots_verdicts(rows: DataFrame, agent: str) -> DataFrame:
 
 
 def audit_status(
-    live_allowed: Column, live_present: Column, archived: Column, archived_disallow: Column
+    live_allowed: Column,
+    live_present: Column,
+    archived: Column,
+    archived_disallow: Column,
+    archived_refused: Column,
 ) -> Column:
-    """The audit's ladder: a live ban, an archived one, never served, unverified, fine."""
+    """The audit's ladder: a live ban, an archived one, never served, no archive, no live file, fine.
+
+    ``archived_refused`` counts captures that answered with another status than
+    200: the archive was there and found no file either.
+    """
     return (
-        F.when(live_present & ~live_allowed, "STOP-LIVE")
-        .when(archived_disallow > 0, "STOP-ARCHIVE")
-        .when(~live_present & (archived == 0), "OK-NEVER-SERVED")
-        .when(archived == 0, "UNVERIFIED")
+        F.when(live_present & ~live_allowed, "STOP-LIVE-DISALLOWS")
+        .when(archived_disallow > 0, "STOP-ARCHIVE-DISALLOWS")
+        .when((archived == 0) & (archived_refused > 0), "OK-NEVER-SERVED")
+        .when(archived == 0, "UNVERIFIED-NO-ARCHIVE")
         .when(~live_present, "OK-NO-LIVE-FILE")
         .otherwise("OK")
     )
+
+
+def audit(live: DataFrame, evidence: DataFrame, agent: str) -> DataFrame:
+    """provider, path, status, copies, disallowing and refused of each audited provider.
+
+    ``live`` has provider, path, http_status and robots (null: none served);
+    ``evidence`` has provider, kind and body, as ``sources.evidence`` gathers it.
+    """
+    paths = live.select("provider", "path")
+    copies = evidence.where("kind = 'copy'").join(paths, "provider").withColumnRenamed("body", "robots")
+    judged = robots_verdicts(copies.select("provider", "path", "robots"), agent)
+    by_copy = judged.groupBy("provider").agg(
+        F.count("*").alias("copies"), F.count_if(~F.col("allowed")).alias("disallowing")
+    )
+    refused = evidence.groupBy("provider").agg(F.count_if(F.col("kind") == "refused").alias("refused"))
+    now = robots_verdicts(live.select("provider", "path", "http_status", "robots"), agent)
+    counts = ["copies", "disallowing", "refused"]
+    rows = now.join(by_copy, "provider", "left").join(refused, "provider", "left").fillna(0, counts)
+    present = (F.col("http_status") == 200) & F.col("robots").isNotNull()
+    status = audit_status(F.col("allowed"), present, *map(F.col, counts))
+    return rows.select("provider", "path", status.alias("status"), *counts)

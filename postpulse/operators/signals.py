@@ -76,6 +76,13 @@ def company_signal(
         F.max("posted_at").alias("newest_posting_at"),
         F.struct(F.lit(0).alias("nothing"), *more).alias("more"),
     )
+    return labelled(counts, as_of, keys, ("more.*",)).drop("nothing")
+
+
+def labelled(
+    counts: DataFrame, as_of: str, keys: tuple[str, ...] = KEYS, more: tuple[str, ...] = ()
+) -> DataFrame:
+    """Counts of boards (as ``company_signal`` makes them) with baseline, ratio and label."""
     baseline = F.col("opened_prior") / F.lit(2.0)
     ratio = round_half_up(F.when(F.col("opened_prior") > 0, F.col("opened_30d") / baseline), 2)
     label = signal_label(
@@ -97,8 +104,8 @@ def company_signal(
         ratio.alias("ramp_ratio"),
         "oldest_posting_at",
         "newest_posting_at",
-        "more.*",
-    ).drop("nothing")
+        *more,
+    )
 
 
 def new_functions(

@@ -30,7 +30,7 @@ def sql_of(name: str) -> str:
 
 
 def _load() -> None:
-    from postpulse.plans import boards, classify, documents, issues, readings, rosters, scalars  # noqa: F401
+    from postpulse.plans import boards, classify, crawl, documents, issues, readings, rosters, scalars  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -14,12 +14,14 @@ import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from postpulse.operators.roster import probe_status
 from postpulse.sources.vendors import VENDORS
 
+#: Why a board was not asked when time had run out.
+DEADLINE = "deadline"
 REPLY = "source string, company string, http int, body string, reason string"
 
 # Addresses of the vendors' public board documents.
@@ -62,16 +64,22 @@ def read_boards(
     timeout: float = 30.0,
     endpoints: dict[str, str] = ENDPOINTS,
     unit: float = 1.0,
+    until: float | None = None,
 ) -> DataFrame:
     """Replies for (source, company) pairs; write them down before using them twice.
 
-    Boards of unknown sources and boards without a name are left out.
+    Boards of unknown sources and boards without a name are left out.  ``until``
+    is a deadline in seconds since 1970: no request starts behind it, and the
+    boards that were not asked come back with the reason ``deadline``.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for source, company in zip(frame["source"], frame["company"], strict=True):
+                if until is not None and time.time() >= until:
+                    rows.append((source, company, None, None, DEADLINE))
+                    continue
                 started = time.monotonic()
                 url = endpoints[source].format(urllib.parse.quote(company, safe=""))
                 rows.append((source, company, *fetch(url, timeout, unit)))
@@ -85,6 +93,25 @@ def read_boards(
     return known.repartition(workers).mapInPandas(run, REPLY)
 
 
+def with_progress(replies: DataFrame) -> tuple[DataFrame, Observation]:
+    """``replies``, and an observation of how much of the plan an action on them ran."""
+    seen = Observation("boards")
+    asked = F.coalesce("reason", F.lit("")) != DEADLINE
+    watched = replies.observe(
+        seen,
+        F.count("*").alias("units_planned"),
+        F.count_if(asked).alias("units_completed"),
+        F.count_if(asked & F.col("body").isNull()).alias("units_failed"),
+    )
+    return watched, seen
+
+
+def run_stats(seen: Observation) -> dict[str, int | bool]:
+    """Planned, completed and failed units of a finished action, and whether all were completed."""
+    found = seen.get
+    return {**found, "complete": found["units_completed"] >= found["units_planned"]}
+
+
 def probed(replies: DataFrame) -> DataFrame:
     """Replies with the number of jobs listed and the verdict on the board."""
     path = F.when(F.lit(False), F.lit(None).cast("string"))

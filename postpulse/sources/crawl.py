@@ -122,106 +122,112 @@ def size_of(url: str) -> int:
 
 
 def index_range(
-    read: Callable[[int, int], bytes], size: int, prefix: str, probe: int = 1 << 16, scan: int = 1 << 20
+    read: Callable[[int, int], bytes], size: int, prefix: str, probe: int = 1 << 16
 ) -> list[str]:
     """Lines of a sorted text whose key starts with ``prefix``, and the line before them.
 
-    ``read`` gives the bytes from a place to another (exclusive).  A binary
-    search reads ``probe`` bytes a step, then ``scan`` bytes at a time until
-    the keys have passed the prefix.
+    ``read`` gives the bytes from a place to another (exclusive).
     """
+    from postpulse.sources.crawl_index import SortedText, after_prefix
+
+    text = SortedText(read, size, probe)
+    start, end = text.span(prefix, after_prefix(prefix))
+    return [x.decode() for x in text.lines(start, end) if x] if end > start else []
 
-    def first_line(at: int) -> tuple[int, bytes] | None:
-        """Place and text of the first line that begins at ``at`` or later."""
-        width = probe
-        while at < size:
-            part = read(at, min(size, at + width))
-            skip = 0 if at == 0 else part.find(b"\n") + 1
-            if at and not skip:
-                at += len(part)
-                continue
-            stop = part.find(b"\n", skip)
-            if stop >= 0 or at + len(part) >= size:
-                line = part[skip:] if stop < 0 else part[skip:stop]
-                return (at + skip, line) if line else None
-            width *= 2
-        return None
-
-    wanted = prefix.encode()
-    low, high = 0, size
-    while high - low > probe:
-        middle = (low + high) // 2
-        found = first_line(middle)
-        if found is None or found[1] >= wanted:
-            high = middle
-        else:
-            low = found[0]
-    out, before, rest, at = [], None, b"", low
-    while at < size:
-        part = rest + read(at, min(size, at + scan))
-        at = min(size, at + scan)
-        lines = part.split(b"\n")
-        rest = b"" if at >= size else lines.pop()
-        for line in filter(None, lines):
-            if line.startswith(wanted):
-                out.append(line)
-            elif line < wanted:
-                before = line
-            else:
-                at = size
-                break
-    return [x.decode() for x in ([before] if before is not None else []) + out]
+
+def page_count(api: str, crawl: str, host: str) -> tuple[int, str | None]:
+    """(pages that a crawl's index has for a host, None) or (0, why it could not be had)."""
+    query = urllib.parse.urlencode({"url": f"{host}/*", "output": "json", "showNumPages": "true"})
+    try:
+        body = fetch_range(f"{api.format(crawl=crawl)}?{query}")
+        return int(json.loads(body or b"{}").get("pages") or 0), None
+    except (OSError, ValueError, AttributeError) as error:
+        return 0, f"{type(error).__name__}: {error}"
 
 
 def index_pages(
     spark: SparkSession, crawls: list[str], hosts: list[str], api: str, workers: int = 4
 ) -> DataFrame:
-    """crawl, host and page of every page that a crawl index has for each host.
+    """crawl, host, page and error of every page that a crawl index has for each host.
 
     ``api`` is the address with ``{crawl}`` in it.  Page counts are asked where
-    tasks run; a host whose count fails has none, so that it cannot end a sweep.
+    tasks run; a host whose count fails is one row with a null page and the
+    reason in ``error``, so that it cannot end a sweep and is not lost from it.
     """
     pairs = [(c, h) for c in crawls for h in hosts]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            counts = []
-            for crawl, host in zip(frame["crawl"], frame["host"], strict=True):
-                query = urllib.parse.urlencode(
-                    {"url": f"{host}/*", "output": "json", "showNumPages": "true"}
-                )
-                try:
-                    body = fetch_range(f"{api.format(crawl=crawl)}?{query}")
-                    counts.append(int(json.loads(body or b"{}").get("pages") or 0))
-                except (OSError, ValueError):
-                    counts.append(0)
-            yield frame.assign(pages=counts)
+            found = [page_count(api, c, h) for c, h in zip(frame["crawl"], frame["host"], strict=True)]
+            yield frame.assign(pages=[f[0] for f in found], error=[f[1] for f in found])
 
     asked = spark.createDataFrame(pairs, "crawl string, host string").repartition(workers)
-    counted = asked.mapInPandas(run, "crawl string, host string, pages long")
-    numbers = F.sequence(F.lit(0).cast("long"), F.col("pages") - 1)
-    return counted.where("pages > 0").select("crawl", "host", F.explode(numbers).alias("page"))
+    counted = asked.mapInPandas(run, "crawl string, host string, pages long, error string")
+    numbers = F.when(F.col("pages") > 0, F.sequence(F.lit(0).cast("long"), F.col("pages") - 1))
+    rows = counted.where("pages > 0 OR error IS NOT NULL")
+    return rows.select("crawl", "host", F.explode_outer(numbers).alias("page"), "error")
 
 
-def page_urls(pages: DataFrame, api: str) -> DataFrame:
-    """``pages`` with one row for each URL that they list; lines that do not parse are dropped."""
+def page_urls(pages: DataFrame, api: str, failures: str = "rows") -> DataFrame:
+    """``pages`` (crawl, host, page, error) with one row for each URL that they list.
+
+    A page that cannot be read, and a row that came with an error, is one row
+    with a null URL and the reason in ``error``; with ``failures="raise"`` it
+    ends the job instead.  Lines that do not parse are dropped.
+    """
+    columns = ["crawl", "host", "page", "url", "error"]
+
+    def asked(crawl: str, host: str, page: int) -> Iterator[str]:
+        query = urllib.parse.urlencode({"url": f"{host}/*", "output": "json", "fl": "url", "page": page})
+        body = fetch_range(f"{api.format(crawl=crawl)}?{query}") or b""
+        for line in body.decode("utf-8", "replace").splitlines():
+            try:
+                yield str(json.loads(line)["url"])
+            except (ValueError, KeyError, TypeError):
+                continue
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for crawl, host, page in frame[["crawl", "host", "page"]].itertuples(index=False):
-                query = urllib.parse.urlencode(
-                    {"url": f"{host}/*", "output": "json", "fl": "url", "page": page}
-                )
+            for crawl, host, page, error in frame[["crawl", "host", "page", "error"]].itertuples(index=False):
+                if pd.isna(page):
+                    rows.append((crawl, host, None, None, error))
+                    continue
                 try:
-                    body = fetch_range(f"{api.format(crawl=crawl)}?{query}") or b""
-                except OSError:
-                    body = b""
-                for line in body.decode("utf-8", "replace").splitlines():
-                    try:
-                        rows.append((crawl, host, page, str(json.loads(line)["url"])))
-                    except (ValueError, KeyError, TypeError):
-                        continue
-            yield pd.DataFrame(rows, columns=["crawl", "host", "page", "url"])
-
-    return pages.mapInPandas(run, "crawl string, host string, page long, url string")
+                    rows += [(crawl, host, page, url, None) for url in asked(crawl, host, int(page))]
+                except OSError as failed:
+                    if failures == "raise":
+                        raise
+                    rows.append((crawl, host, page, None, f"{type(failed).__name__}: {failed}"))
+            found = pd.DataFrame(rows, columns=columns)
+            yield found.astype({"page": "Int64"})
+
+    return pages.mapInPandas(run, "crawl string, host string, page long, url string, error string")
+
+
+def archived_payloads(found: DataFrame, base: str) -> DataFrame:
+    """``found`` (filename, offset, length) with headers, body and error of each archived record.
+
+    Each record is one ranged read below ``base``, where tasks run.  What
+    cannot be read or does not parse has the reason in ``error``.
+    """
+    from postpulse.sources import stores
+
+    def one(filename: str, offset: str, length: str) -> tuple[str | None, str | None, str | None]:
+        try:
+            start = int(offset)
+            content = stores.read(stores.below(base, filename), start, start + int(length))
+        except (OSError, TypeError, ValueError) as error:
+            return None, None, f"{type(error).__name__}: {error}"
+        headers, body = record_parts(content)
+        return headers, body, None if body is not None else "not an archived record"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [one(*r) for r in frame[["filename", "offset", "length"]].itertuples(index=False)]
+            names = ("headers", "body", "error")
+            yield frame.assign(**{n: [r[k] for r in rows] for k, n in enumerate(names)})
+
+    kept = found.drop("headers", "body", "error")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    return kept.mapInPandas(run, f"{schema}, headers string, body string, error string")

@@ -67,11 +67,13 @@ def signal_stream(
 ) -> DataStreamWriter:
     """A writer of the signals of each micro-batch's boards, as soon as they are read.
 
-    A file of the stream holds whole boards, so no state crosses batches.
+    A file of the stream holds whole boards, so no state crosses batches; for
+    boards that come in pieces there is ``streaming.live``.  Every batch has a
+    folder of its number, so a batch that is run again replaces what it wrote.
     """
 
-    def write(batch: DataFrame, _: int) -> None:
-        board_signals(batch, as_of).write.mode("append").parquet(table_path)
+    def write(batch: DataFrame, number: int) -> None:
+        board_signals(batch, as_of).write.mode("overwrite").parquet(f"{table_path}/batch={number}")
 
     return (
         stream.writeStream.foreachBatch(write)

@@ -174,11 +174,13 @@ def test_generator_is_mulberry32():
 
 
 def test_audit_ladder(spark):
-    rows = [(False, True, 0, 0), (True, True, 2, 1), (True, False, 0, 0), (True, True, 0, 0), (True, False, 2, 0), (True, True, 2, 0)]
-    frame = spark.createDataFrame(rows, "allowed boolean, present boolean, archived long, banned long")
-    status = robots.audit_status(*map(F.col, ("allowed", "present", "archived", "banned")))
-    found = [r.s for r in frame.select(status.alias("s")).collect()]
-    assert found == ["STOP-LIVE", "STOP-ARCHIVE", "OK-NEVER-SERVED", "UNVERIFIED", "OK-NO-LIVE-FILE", "OK"]
+    rows = [(False, True, 0, 0, 1), (True, True, 2, 1, 0), (True, False, 0, 0, 2), (True, True, 0, 0, 0), (True, False, 2, 0, 0), (True, True, 2, 0, 1)]
+    names = ("allowed", "present", "archived", "banned", "refused")
+    frame = spark.createDataFrame(rows, "allowed boolean, present boolean, archived long, banned long, refused long")
+    found = [r.s for r in frame.select(robots.audit_status(*map(F.col, names)).alias("s")).collect()]
+    assert found == [
+        "STOP-LIVE-DISALLOWS", "STOP-ARCHIVE-DISALLOWS", "OK-NEVER-SERVED", "UNVERIFIED-NO-ARCHIVE", "OK-NO-LIVE-FILE", "OK"
+    ]
 
 
 def test_places_are_those_of_the_whole_order(spark, monkeypatch):

@@ -206,7 +206,7 @@ def test_range_search_reads_little_and_finds_all(probe):
 
     for prefix in ("com,host0000", "com,host0123", "com,host0299", "com,host01", "com,zzz", "com,aaa"):
         asked.clear()
-        found = crawl.index_range(read, len(text), prefix, probe=probe, scan=256)
+        found = crawl.index_range(read, len(text), prefix, probe=probe)
         wanted = [k for k in keys if k.startswith(prefix)]
         before = [k for k in keys if k < prefix][-1:]
         assert found == before + wanted
