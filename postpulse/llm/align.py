@@ -68,8 +68,8 @@ class Aligner:
                 found.append((none, none))
                 continue
             a, asked = self._a.encode_ordinary(f" {text}"), f" {text}".encode()
-            same = b"".join([a_bytes[k] for k in a]) == asked
-            if same and b"".join([b_bytes[k] for k in b]) == asked:
+            same = b"".join(map(a_bytes.__getitem__, a)) == asked
+            if same and b"".join(map(b_bytes.__getitem__, b)) == asked:
                 found.append((np.array(a, dtype=np.uint32), np.array(b, dtype=np.uint32)))
             else:
                 found.append((none, none))
@@ -136,32 +136,37 @@ def segment_sums(values: np.ndarray, limits: np.ndarray) -> np.ndarray:
     return running[1:] - running[:-1]
 
 
-def groups_texts(found: Alignment, a_texts: list[list[str]], b_texts: list[list[str]]) -> list[str]:
-    """``a1,a2|b1;a3|b2,b3`` of each document; the tables hold each id with ``,``, ``|`` or ``;``, nothing."""
+@dataclass(frozen=True)
+class Numbers:
+    """Every id as text: of A before ``,`` and ``|``, of B before ``,``, ``;`` and nothing."""
+
+    a_size: int
+    b_size: int
+    texts: list[str]
+
+    @staticmethod
+    def of(a_size: int, b_size: int) -> Numbers:
+        sides = ((a_size, (",", "|")), (b_size, (",", ";", "")))
+        return Numbers(a_size, b_size, [f"{k}{end}" for size, ends in sides for end in ends for k in range(size)])
+
+
+def groups_texts(found: Alignment, numbers: Numbers) -> list[str]:
+    """``a1,a2|b1;a3|b2,b3`` of each document: ids of both sides, group by group."""
     n_groups = int(found.group_bounds[-1])
     b_before = bounds(np.bincount(found.group_b, minlength=n_groups))
     a_before = bounds(np.bincount(found.group_a, minlength=n_groups))
-    parts = np.empty(len(found.a) + len(found.b), dtype=object)
-    last_a = np.zeros(len(found.a), dtype=np.int64)
-    last_b = np.zeros(len(found.b), dtype=np.int64)
-    last_a[a_before[1:] - 1] = 1
-    last_b[b_before[1:] - 1] = 1
-    last_b[found.b_bounds[1:][found.b_bounds[1:] > found.b_bounds[:-1]] - 1] = 2
-    parts[np.arange(len(found.a)) + b_before[found.group_a]] = [
-        a_texts[k][x] for k, x in zip(last_a.tolist(), found.a.tolist(), strict=True)
-    ]
-    parts[np.arange(len(found.b)) + a_before[found.group_b + 1]] = [
-        b_texts[k][x] for k, x in zip(last_b.tolist(), found.b.tolist(), strict=True)
-    ]
+    a_codes, b_codes = found.a.copy(), found.b + 2 * numbers.a_size
+    a_codes[a_before[1:] - 1] += numbers.a_size
+    b_codes[b_before[1:] - 1] += numbers.b_size
+    b_codes[found.b_bounds[1:][found.b_bounds[1:] > found.b_bounds[:-1]] - 1] += numbers.b_size
+    codes = np.empty(len(a_codes) + len(b_codes), dtype=np.int64)
+    codes[np.arange(len(a_codes)) + b_before[found.group_a]] = a_codes
+    codes[np.arange(len(b_codes)) + a_before[found.group_b + 1]] = b_codes
     limits = (found.a_bounds + found.b_bounds).tolist()
-    every = parts.tolist()
+    every = list(map(numbers.texts.__getitem__, codes.tolist()))
     return ["".join(every[s:e]) for s, e in zip(limits, limits[1:], strict=False)]
 
 
-def number_texts(size: int, ends: tuple[str, ...]) -> list[list[str]]:
-    return [[f"{k}{end}" for k in range(size)] for end in ends]
-
-
 def slices(sizes: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of neighbours whose sizes add up to ``most`` at most, or of one larger item."""
     start, held = 0, 0
@@ -204,8 +209,7 @@ def tokenized(df: DataFrame, tokenizers: Tokenizers, id_col: str, text_col: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = tokenizers.loaded()
-        a_texts = number_texts(len(both.a_bytes), (",", "|"))
-        b_texts = number_texts(len(both.b_bytes), (",", ";", ""))
+        numbers = Numbers.of(len(both.a_bytes), len(both.b_bytes))
         for batch in batches:
             lengths = pc.binary_length(batch.column(1)).fill_null(0).to_numpy()
             for start, end in slices(lengths):
@@ -215,7 +219,7 @@ def tokenized(df: DataFrame, tokenizers: Tokenizers, id_col: str, text_col: str)
                 found = _aligned(both, a, b)
                 digests = [
                     hashlib.sha256(x.encode()).hexdigest() if x else ""
-                    for x in groups_texts(found, a_texts, b_texts)
+                    for x in groups_texts(found, numbers)
                 ]
                 limits = (found.a_bounds, found.b_bounds, found.group_bounds, found.link_bounds)
                 yield pa.RecordBatch.from_arrays(
