@@ -16,11 +16,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postpulse.llm.common import map_batches, materialized, picked
+from postpulse.llm.common import map_batches, materialized, picked, slices, text_bytes
 from postpulse.llm.tokens import byte_table, check_ranks, default_tokenizer, ranked_encoder
 
 #: Bytes of text that numpy takes at a time, one longer text at least.
@@ -167,18 +166,6 @@ def groups_texts(found: Alignment, numbers: Numbers) -> list[str]:
     return ["".join(every[s:e]) for s, e in zip(limits, limits[1:], strict=False)]
 
 
-def slices(sizes: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbours whose sizes add up to ``most`` at most, or of one larger item."""
-    start, held = 0, 0
-    for k, size in enumerate(sizes.tolist()):
-        if k > start and held + size > most:
-            yield start, k
-            start, held = k, 0
-        held += size
-    if start < len(sizes):
-        yield start, len(sizes)
-
-
 def ids_column(ids: list[np.ndarray], dtype: str) -> pa.Array:
     return pa.array([x.astype(dtype).tobytes() for x in ids], type=pa.binary())
 
@@ -211,8 +198,7 @@ def tokenized(df: DataFrame, tokenizers: Tokenizers, id_col: str, text_col: str)
         both = tokenizers.loaded()
         numbers = Numbers.of(len(both.a_bytes), len(both.b_bytes))
         for batch in batches:
-            lengths = pc.binary_length(batch.column(1)).fill_null(0).to_numpy()
-            for start, end in slices(lengths):
+            for start, end in slices(text_bytes(batch), SLICE_BYTES):
                 part = batch.slice(start, end - start)
                 ids = both.encode(part.column(1).to_pylist())
                 a, b = ([x[k] for x in ids] for k in (0, 1))
@@ -256,7 +242,7 @@ def stored_slices(both: Aligner, batch: pa.RecordBatch, a: int, b: int) -> Itera
         for k, table in ((a, both.a_bytes), (b, both.b_bytes))
     ]
     sizes = np.array([int(both.a_lengths[x].sum()) for x in sides[0]], dtype=np.int64)
-    for start, end in slices(sizes):
+    for start, end in slices(sizes, SLICE_BYTES):
         yield start, end, _aligned(both, sides[0][start:end], sides[1][start:end])
 
 

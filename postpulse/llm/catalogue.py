@@ -75,7 +75,7 @@ def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("vec_id"),
         "n_links",
         "component_id",
-        (F.col("id") == F.col("component_id")).alias("kept"),
+        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
     )
 
 
@@ -138,18 +138,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 #: All pairs, which is fine for a few hundred vectors and too slow for many.
 OP10_SQL = """
-WITH RECURSIVE usable AS (
-  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+WITH RECURSIVE numbered AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings),
+usable AS (
+  SELECT r, embedding::DOUBLE[] AS v FROM numbered
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
-  ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
-reach AS (SELECT vec_id, vec_id AS other FROM embeddings
-  UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other)
-SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links, c.component_id,
-  e.vec_id = c.component_id AS kept
-FROM embeddings e JOIN (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY 1) c USING (vec_id)"""
-
+links AS (SELECT a.r AS a, b.r AS b FROM usable a JOIN usable b
+  ON a.r <> b.r AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+reach AS (SELECT r, r AS other FROM numbered
+  UNION SELECT reach.r, l.b FROM reach JOIN links l ON l.a = reach.other)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.r) AS n_links, c.component_id,
+  e.vec_id IS NOT DISTINCT FROM c.component_id AS kept
+FROM numbered e JOIN (SELECT reach.r, min(n.vec_id) AS component_id
+  FROM reach JOIN numbered n ON n.r = reach.other GROUP BY 1) c USING (r)"""
 
 OP11_SQL = """
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,

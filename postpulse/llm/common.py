@@ -12,7 +12,9 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,17 +32,43 @@ def picked(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[source].alias(name) for name, source in columns.items()])
 
 
+#: Bytes of texts that a worker turns into Python objects at a time, one longer text at least.
+SLICE_BYTES = 4 << 20
+
+
+def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours whose sizes add up to ``most`` at most, or of one larger item."""
+    start, held = 0, 0
+    for k, size in enumerate(sizes.tolist()):
+        if k > start and held + size > most:
+            yield start, k
+            start, held = k, 0
+        held += size
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def text_bytes(batch: pa.RecordBatch) -> np.ndarray:
+    """Bytes of each row's strings and binary values."""
+    sizes = np.zeros(batch.num_rows, dtype=np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    return sizes
+
+
 def map_batches(
     df: DataFrame,
     work: Callable[[pa.RecordBatch], pa.RecordBatch | None],
     schema: str | T.StructType,
 ) -> DataFrame:
-    """``work`` over each Arrow batch; it sees whole rows and no partition state."""
+    """``work`` over each Arrow batch, cut into slices of bounded size; it sees whole rows and no partition state."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := work(batch)) is not None:
-                yield out
+            for start, end in slices(text_bytes(batch), SLICE_BYTES):
+                if (out := work(batch.slice(start, end - start))) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postpulse.llm.common import materialized, picked
-from postpulse.llm.vectors import lengths, matrix, one_each, sample_rows, usable
+from postpulse.llm.vectors import lengths, matrix, sample_rows, usable
 
 #: Vectors that the splits are fitted on at most; every vector is indexed.
 FIT_ROWS = 10_000
@@ -235,10 +235,20 @@ def _ranked(
 
 
 def _best(
-    ids: np.ndarray, rows: np.ndarray, q: np.ndarray, p: np.ndarray, mask: np.ndarray, k: int
+    ids: np.ndarray,
+    numbers: np.ndarray,
+    rows: np.ndarray,
+    asking: np.ndarray,
+    p: np.ndarray,
+    mask: np.ndarray,
+    k: int,
 ) -> Iterator[tuple[np.ndarray, ...]]:
-    """``_ranked`` for many queries; one with few candidates multiplies only those."""
-    mask = mask & (q[:, None] != ids[None, :])
+    """``_ranked`` for many queries (by place); one with few candidates multiplies only those.
+
+    ``numbers`` are the rows', ``asking`` the queries' own: no row is its own neighbour.
+    """
+    mask = mask & (asking[:, None] != numbers[None, :])
+    q = np.arange(len(asking))
     few = mask.mean(axis=1) < DENSE
     if not few.all():
         yield _ranked(ids, rows, q[~few], p[~few], mask[~few], k)
@@ -249,7 +259,7 @@ def _best(
             yield _ranked(ids[own], rows[own], q[n : n + 1], p[n : n + 1], every, k)
 
 
-_POSTING = "key long, probe boolean, id long, vector binary, marks binary"
+_POSTING = "key long, probe boolean, id long, number long, vector binary, marks binary"
 
 
 def _cells(values: np.ndarray) -> pa.Array:
@@ -262,10 +272,14 @@ def _cells(values: np.ndarray) -> pa.Array:
     )
 
 
-def _postings(keys, probe: bool, ids, vectors: np.ndarray, marks: np.ndarray) -> pa.RecordBatch:
+def _postings(
+    keys, probe: bool, ids, numbers, vectors: np.ndarray, marks: np.ndarray
+) -> pa.RecordBatch:
     sides = pa.array(np.full(len(ids), probe))
-    columns = [pa.array(keys), sides, pa.array(ids), _cells(vectors), _cells(marks)]
-    return pa.RecordBatch.from_arrays(columns, names=["key", "probe", "id", "vector", "marks"])
+    columns = [pa.array(keys), sides, pa.array(ids), pa.array(numbers), _cells(vectors), _cells(marks)]
+    return pa.RecordBatch.from_arrays(
+        columns, names=["key", "probe", "id", "number", "vector", "marks"]
+    )
 
 
 def neighbours(
@@ -283,13 +297,16 @@ def neighbours(
     ``is_query`` is a condition on column ``id``.  Vectors that are null or
     zero or hold null or non-finite components take no part, nor do null ids.
     Neighbours have the query's length; each length has a forest of its own.
-    Of rows that share an id the one with the smallest vector takes part.  A
-    query without any other row, or an empty table, gives no rows.
+    Every row takes part, also where rows share an id: each of them asks for
+    itself and may be the others' neighbour.  Equal scores go by the smaller
+    id.  A query without any other row, or an empty table, gives no rows.
     """
     rows = picked(df, id=id_col, embedding=vector_col)
     rows = rows.where(F.col("id").isNotNull() & usable())
-    rows = materialized(rows.withColumn("id", F.col("id").cast("long")), "vectors")
-    rows, _ = one_each(rows)
+    numbered = rows.withColumns(
+        {"id": F.col("id").cast("long"), "number": F.monotonically_increasing_id()}
+    )
+    rows = materialized(numbered, "vectors")
     found = [
         _of_length(rows.where(F.size("embedding") == width), is_query, k, trees, depth, recall, width)
         for width, _ in lengths(rows)
@@ -344,7 +361,7 @@ def _of_length(
     recall: float,
     width: int,
 ) -> DataFrame:
-    """``neighbours`` among ``rows`` (columns id, embedding), all vectors of length ``width``."""
+    """``neighbours`` among ``rows`` (columns id, embedding, number), all vectors of length ``width``."""
     squares = F.aggregate(
         "embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")
     )
@@ -361,18 +378,20 @@ def _of_length(
             if not batch.num_rows:
                 continue
             points, ids = matrix(batch.column(1), width), batch.column(0).to_numpy()
+            numbers = batch.column(2).to_numpy()
             own = forest.leaves(points)
-            # Rows spread over a full leaf's blocks by a mixed id.
-            mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            # Rows spread over a full leaf's blocks by a mixed number.
+            mixed = (numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             block = mixed % count[own[:, 0]].astype(np.uint64)
             keys = first[own[:, 0]] + block.astype(np.int64)
-            yield _postings(keys, False, ids, points, own.astype(np.uint16))
+            yield _postings(keys, False, ids, numbers, points, own.astype(np.uint16))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 64):
                 part = batch.slice(low, 64)
                 points, ids = matrix(part.column(1), width), part.column(0).to_numpy()
+                numbers = part.column(2).to_numpy()
                 seen = np.zeros((len(ids), trees * leaves), dtype=bool)
                 keys: list[np.ndarray] = []
                 for n, offsets in enumerate(forest.offsets(points)):
@@ -390,6 +409,7 @@ def _of_length(
                             to,
                             True,
                             np.repeat(ids[n : n + 1], len(to)),
+                            np.repeat(numbers[n : n + 1], len(to)),
                             np.repeat(points[n : n + 1], len(to), axis=0),
                             np.repeat(marks[n : n + 1], len(to), axis=0),
                         )
@@ -402,9 +422,9 @@ def _of_length(
             return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
 
         def stored(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-            vectors = cells(part.column(3), np.float64).reshape(-1, width)
-            marks = cells(part.column(4), np.uint16).reshape(-1, trees)
-            return part.column(2).to_numpy(), vectors, marks
+            vectors = cells(part.column(4), np.float64).reshape(-1, width)
+            marks = cells(part.column(5), np.uint16).reshape(-1, trees)
+            return part.column(2).to_numpy(), part.column(3).to_numpy(), vectors, marks
 
         for batch in batches:
             if not batch.num_rows:
@@ -422,26 +442,26 @@ def _of_length(
                     continue
                 if ready is None:
                     ready = [np.concatenate(x) for x in zip(*held, strict=True)]
-                ids, vectors, own = ready
+                ids, numbers, vectors, own = ready
                 for at in range(low, high, 256):
                     part = batch.slice(at, min(256, high - at))
-                    queries = part.column(2).to_numpy()
-                    points = cells(part.column(3), np.float64).reshape(-1, width)
-                    packed = cells(part.column(4), np.uint8).reshape(len(queries), -1)
+                    queries, asking = part.column(2).to_numpy(), part.column(3).to_numpy()
+                    points = cells(part.column(4), np.float64).reshape(-1, width)
+                    packed = cells(part.column(5), np.uint8).reshape(len(queries), -1)
                     seen = np.unpackbits(packed, axis=1, bitorder="little", count=trees * leaves)
                     mask = candidates(seen.view(bool).reshape(-1, trees, leaves), own)
-                    for query, other, score in _best(ids, vectors, queries, points, mask, k):
+                    for n, other, score in _best(ids, numbers, vectors, asking, points, mask, k):
+                        columns = (asking[n], queries[n], other, score)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(query), pa.array(other), pa.array(score)],
-                            names=["query_id", "id", "score"],
+                            [pa.array(c) for c in columns], names=["number", "query_id", "id", "score"]
                         )
 
     postings = rows.mapInArrow(store, _POSTING).union(rows.where(is_query).mapInArrow(ask, _POSTING))
     met = (
         postings.repartition("key")
         .sortWithinPartitions("key", "probe")
-        .mapInArrow(meet, "query_id long, id long, score double")
+        .mapInArrow(meet, "number long, query_id long, id long, score double")
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    order = Window.partitionBy("number").orderBy(F.desc("score"), "id")
     ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "id", "score")

@@ -171,13 +171,23 @@ class FileReader:
                 yield doc, content[first * ID_BYTES : (first + count) * ID_BYTES]
 
 
+#: Spark's estimates above this mostly stand for an unknown size, so they are checked by counting.
+UNKNOWN_BYTES = 1 << 50
+
+
 def _file_count(df: DataFrame, file_bytes: int) -> int | None:
-    """Files that the input's size asks for, where shuffle partitions are fewer."""
+    """Files that the input's size asks for, where shuffle partitions are fewer.
+
+    ``df`` has the columns doc_id and text.  An input whose size Spark does not
+    know (or puts above ``UNKNOWN_BYTES``) is counted once.
+    """
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= UNKNOWN_BYTES:
+        own = F.coalesce(F.octet_length("text"), F.lit(0)) + 16
+        size = int(df.agg(F.sum(own.cast("long"))).first()[0] or 0)
     wanted = -(-size // file_bytes)
     usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # An input of unknown size counts as endless: then the setting decides.
-    return wanted if usual < wanted <= 1_000_000 else None
+    return wanted if usual < wanted else None
 
 
 def write_ids(

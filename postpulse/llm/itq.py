@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from postpulse.llm.common import materialized, picked
 from postpulse.llm.graph import components, joined_up
-from postpulse.llm.vectors import lengths, matrix, one_each, sample_rows, usable
+from postpulse.llm.vectors import lengths, matrix, sample_rows, usable
 
 #: Vectors that the rotations are learned from at most.
 FIT_ROWS = 10_000
@@ -312,48 +312,52 @@ def near_duplicates(
 ) -> DataFrame:
     """id, n_links and component_id of every row.
 
-    Vectors that are null or zero or hold null or non-finite components link
-    with nothing, others with vectors of their own length; each length has an
-    index of its own.  Equal vectors collapse to one class first (its smallest
-    id, its size), so copies are counted, never paired.  Rows that share an id
-    are one item, of the smallest of their usable vectors, and get its figures.
-    A null id keeps its row, unlinked; an empty table gives no rows.
+    Every row is a vector of its own, whether or not rows share an id or have
+    none.  Vectors that are null or zero or hold null or non-finite components
+    link with nothing, others with vectors of their own length; each length has
+    an index of its own.  Equal vectors collapse to one class first (its
+    smallest id, its size), so copies are counted, never paired.
+    ``component_id`` is the smallest id that a row's links reach (null where
+    none of them has one).  An empty table gives no rows.
     """
     spark = df.sparkSession
     rows = materialized(picked(df, id=id_col, embedding=vector_col), "vectors")
-    able, reused = one_each(rows.where(F.col("id").isNotNull() & usable()))
-    classes = able.groupBy("embedding").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    classes = materialized(classes, "classes")
+    able = rows.where(usable())
+    classes = able.groupBy("embedding").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    # Classes have numbers of their own, as an id may stand at several of them.
+    numbered = classes.withColumn("id", F.monotonically_increasing_id())
+    classes = materialized(numbered, "classes")
     most = plausible_bits(cosine, N_CODES * CODE_BITS)
     found = spark.createDataFrame([], "a long, b long, n long")
     for width, _ in lengths(classes):
         own = classes.where(F.size("embedding") == width)
-        codes = learn(sample_rows(own, FIT_ROWS, width))
+        codes = learn(sample_rows(own, FIT_ROWS, width, by="embedding"))
         members = _members(own.select("id", "embedding"), codes, most)
         found = found.union(materialized(_links(members, own, codes, most, cosine), "links"))
     degrees = (
         found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
     )
     linked = components(found.where("b is not null").select("a", "b"))
+    ids = classes.select(F.col("id").alias("node"), "least")
+    reached = (
+        linked.join(ids, "node").groupBy("component").agg(F.min("least").alias("component_id"))
+    )
     facts = (
         classes.join(degrees.toDF("d_id", "others"), F.col("id") == F.col("d_id"), "left")
         .join(linked, F.col("id") == F.col("node"), "left")
+        .join(reached, "component", "left")
         .select(
             F.col("embedding").alias("vector"),
             (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-            F.coalesce("component", "id").alias("component_id"),
+            F.when(F.col("component").isNull(), F.col("least"))
+            .otherwise(F.col("component_id"))
+            .alias("component_id"),
         )
     )
     items = able.join(facts, F.col("embedding") == F.col("vector")).select(
         "id", "n_links", "component_id"
     )
-    fine = F.coalesce(F.col("id").isNotNull() & usable(), F.lit(False))
-    others = rows.where(~fine)
-    if reused:
-        own = items.withColumnRenamed("id", "of")
-        return rows.join(own, F.col("id") == F.col("of"), "left").select(
-            "id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")
-        )
+    others = rows.where(~F.coalesce(usable(), F.lit(False)))
     return items.union(
         others.select("id", F.lit(0).cast("long"), F.col("id").alias("component_id"))
     )

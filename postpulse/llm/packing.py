@@ -101,7 +101,8 @@ def pieces(
                 start.append(s)
                 length.append(n)
                 check.append(zlib.crc32(part))
-                content.append(part)
+                if with_ids:
+                    content.append(part)
         columns = [
             batch.column(0).take(pa.array(owner, type=pa.int64())),
             pa.array(number, type=pa.int32()),

@@ -197,7 +197,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def _field_spans(
     text: str, runs: list[tuple[int, int, int]], labels: tuple[str, ...]
 ) -> list[tuple[int, int, str]]:
-    """Spans of the field's runs without the punctuation around them."""
+    """Spans of the field's runs without the punctuation around them; cards whose check digit fails go."""
     if not runs:
         return []
     places = [m.span() for m in _WORD.finditer(text)]
@@ -208,7 +208,8 @@ def _field_spans(
             stop -= 1
         while stop > start and text[start] in crf.EDGES:
             start += 1
-        if stop > start:
+        # What shapes cannot tell: a card's number has a check digit.
+        if stop > start and (labels[label] != "card" or luhn(_digits(text[start:stop]))):
             out.append((start, stop, f"field_{labels[label]}"))
     return out
 

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postpulse.llm.common import map_batches, materialized, picked
@@ -240,17 +240,24 @@ def labelled_texts(
 ) -> DataFrame:
     """text and toxic of a bounded sample of labelled documents, the same in every run.
 
-    Per class the ids with the smallest hashes are taken, their texts whole.
+    Per class the rows of the ids with the smallest hashes are taken, their
+    texts whole, ``MAX_TOXIC`` and ``MAX_OTHER`` rows at most, however many
+    share an id.
     """
     marks = labels.select(F.col("doc_id").alias("of"), "toxic").where("toxic in (0, 1)")
-    marks = marks.groupBy("of").agg(F.max("toxic").alias("toxic"))
+    marks = marks.groupBy("of").agg(F.max("toxic").cast("int").alias("toxic"))
     marks = marks.withColumn("h", F.xxhash64("of"))
     chosen = (
         marks.where("toxic = 1").orderBy("h", "of").limit(MAX_TOXIC)
     ).union(marks.where("toxic = 0").orderBy("h", "of").limit(MAX_OTHER))
     rows = picked(docs, doc_id=id_col, text=text_col)
     rows = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("of"))
-    return rows.select("text", F.col("toxic").cast("int").alias("toxic"))
+    order = Window.partitionBy("toxic").orderBy("h", "of", F.xxhash64("text"), "text")
+    ranked = rows.withColumn("n", F.row_number().over(order))
+    # The first bound is one number, so Spark cuts every task's rows before they are shuffled.
+    ranked = ranked.where(F.col("n") <= max(MAX_TOXIC, MAX_OTHER))
+    most = F.when(F.col("toxic") == 1, MAX_TOXIC).otherwise(MAX_OTHER)
+    return ranked.where(F.col("n") <= most).select("text", "toxic")
 
 
 def _peculiar(texts: DataFrame, n_toxic: int, n_other: int) -> list[str]:

@@ -7,8 +7,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postpulse.llm.common import materialized
-
 
 def usable(column: str = "embedding") -> F.Column:
     """Holds for vectors without null or non-finite components that are not all zero."""
@@ -30,16 +28,9 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(flat, dtype=np.float64).reshape(-1, width)
 
 
-def sample_rows(df: DataFrame, most: int, width: int) -> np.ndarray:
-    """At most ``most`` vectors (columns id, embedding) with the smallest id hashes."""
-    kept = df.orderBy(F.xxhash64("id"), "id").limit(most).select("embedding").toArrow()
+def sample_rows(df: DataFrame, most: int, width: int, by: str = "id") -> np.ndarray:
+    """At most ``most`` vectors (column embedding) whose ``by`` have the smallest hashes."""
+    kept = df.orderBy(F.xxhash64(by), by, "embedding").limit(most).select("embedding").toArrow()
     if not kept.num_rows:
         return np.zeros((0, width))
     return matrix(kept["embedding"].combine_chunks(), width)
-
-
-def one_each(rows: DataFrame) -> tuple[DataFrame, bool]:
-    """Of rows (id, embedding) that share an id the smallest vector, and whether any do."""
-    if rows.groupBy("id").count().where("count > 1").isEmpty():
-        return rows, False
-    return materialized(rows.groupBy("id").agg(F.min("embedding").alias("embedding")), "items"), True

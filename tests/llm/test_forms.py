@@ -175,10 +175,9 @@ def test_alignment(spark, corpus, frequent):
     assert Counter(map(tuple, found.collect())) == Counter(brute_alignment(rows))
 
 
-def test_alignment_over_slices(spark, corpus, monkeypatch):
-    monkeypatch.setattr(align.slices, "__defaults__", (500,))
+def test_alignment_over_slices(corpus):
     texts = [t for _, t in corpus]
-    cut = list(align.slices(align.np.array([len(t or "") for t in texts])))
+    cut = list(align.slices(align.np.array([len(t or "") for t in texts]), 500))
     assert len(cut) > 20 and [s for s, _ in cut[1:]] == [e for _, e in cut[:-1]]
     both = align.Tokenizers.default().loaded()
     whole = align._aligned(both, *zip(*both.encode(texts), strict=True))

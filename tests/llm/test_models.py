@@ -435,3 +435,23 @@ def test_copies_are_taken_row_by_row(spark):
     counts, given = Counter(tuple(r) for r in found.collect()), Counter(rows)
     assert all(n <= 3 * given[r] for r, n in counts.items())
     assert mixing.copies(frame.limit(0)).count() == 0
+
+
+def test_labelled_rows_are_bounded(spark, monkeypatch):
+    """One id with thousands of rows teaches no more rows than the bound."""
+    monkeypatch.setattr(toxicity, "MAX_OTHER", 50)
+    monkeypatch.setattr(toxicity, "MAX_TOXIC", 20)
+    docs = spark.range(3_000).selectExpr("1L AS doc_id", "concat('word', id % 100) AS text").union(
+        spark.range(200).selectExpr("id + 2 AS doc_id", "'bad one' AS text")
+    )
+    labels = spark.range(1, 202).selectExpr("id AS doc_id", "CASE WHEN id > 150 THEN 1 ELSE 0 END AS toxic")
+    found = {r["toxic"]: r["count"] for r in toxicity.labelled_texts(docs, labels).groupBy("toxic").count().collect()}
+    assert found == {0: 50, 1: 20}
+    again = [sorted(map(tuple, toxicity.labelled_texts(d, labels).collect())) for d in (docs, docs.repartition(7))]
+    assert again[0] == again[1]
+
+
+def test_cards_have_a_check_digit(spark):
+    texts = [(1, "card: 4111 1111 1111 1112 thanks"), (2, "card 4111.1111.1111.1111 thanks"), (3, "order 1234567890123456 sent")]
+    found = {r.doc_id: [s.kind for s in r.field_spans] for r in pii.find_personal_data(make(spark, texts)).collect()}
+    assert "field_card" not in found[1] + found[3] and "field_card" in found[2]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from postpulse.llm import forest, graph, itq, simhash
 from tests.llm.conftest import make
@@ -186,8 +187,6 @@ def test_codes_are_balanced_and_keep_near_vectors_near():
 
 
 def test_neighbours(spark):
-    from pyspark.sql import functions as F
-
     draw = np.random.default_rng(8)
     plain = [np.float32(v).tolist() for v in draw.normal(size=(1500, 12)) * draw.uniform(0.5, 2, (1500, 1))]
     plain[7] = plain[6]
@@ -208,8 +207,6 @@ def test_neighbours(spark):
 
 
 def test_fewer_candidates_than_wanted(spark):
-    from pyspark.sql import functions as F
-
     rows = [(k, [float(k), 1.0]) for k in range(4)]
     found = forest.neighbours(vectors(spark, rows), F.col("id") == 0, k=20).collect()
     assert sorted(r.id for r in found) == [1, 2, 3]
@@ -249,8 +246,6 @@ def test_links_of_two_vectors(spark):
 
 def test_neighbours_of_every_length(spark):
     """Every query has its full number of rows of its own length, with exact scores; nine tenths are the nearest."""
-    from pyspark.sql import functions as F
-
     rows = mixed_lengths()
     found = forest.neighbours(vectors(spark, enumerate(rows)), F.col("id") >= 0, k=5).collect()
     exact = [np.float32(v).astype(np.float64) for v in rows]
@@ -327,12 +322,10 @@ def test_blocks_hold_whole_leaves_or_parts_of_one(monkeypatch):
 
 
 def test_recall_through_spark(spark, monkeypatch):
-    """Several blocks, vectors without structure; ids that repeat take part once."""
-    from pyspark.sql import functions as F
-
+    """Several blocks, vectors without structure."""
     n = 9000
     plain = [np.float32(v).tolist() for v in np.random.default_rng(9).normal(size=(n, 32))]
-    rows = [*enumerate(plain), (300, plain[300]), (600, [9.0] * 32)]
+    rows = list(enumerate(plain))
     found = forest.neighbours(vectors(spark, rows), F.col("id") % 300 == 0).collect()
     x = np.array(plain, dtype=np.float64)
     hits = 0
@@ -379,13 +372,50 @@ def test_substrings_hold_bits_at_every_width(width):
             assert np.bincount(part.astype(int)).max() < 100
 
 
-def test_repeated_ids_are_one_item(spark):
-    one = np.random.default_rng(6).normal(size=16).tolist()
-    near = [one[0] + 0.01, *one[1:]]
-    rows = [(0, one), (1, near), (1, [9.0] * 16), (1, near), (2, None), (2, one), (None, one)]
-    least = min(near, [9.0] * 16)
-    linked = 1 if least == near else 0
+def test_every_row_of_a_repeated_id_links(spark):
+    draw = np.random.default_rng(6)
+    u, v = (draw.normal(size=16).tolist() for _ in range(2))
+    more = [1.0001 * x for x in u], [1.0001 * x for x in v]
+    rows = [(0, u), (0, v), (7, more[1]), (8, more[0])]
     found = itq.near_duplicates(vectors(spark, rows)).collect()
-    assert len(found) == len(rows)
-    by_id = {r.id: (r.n_links, r.component_id) for r in found if r.id is not None}
-    assert by_id == {0: (1 + linked, 0), 1: (2 * linked, 0 if linked else 1), 2: (1 + linked, 0)}
+    assert sorted(map(tuple, found)) == [(0, 1, 0), (0, 1, 0), (7, 1, 0), (8, 1, 0)]
+    rows = [(5, u), (5, u), (3, v), (5, more[1]), (None, more[0]), (None, [0.0] * 16), (9, [1.0] * 16), (None, [-1.0] * 16)]
+    found = itq.near_duplicates(vectors(spark, rows)).collect()
+    wanted = [(5, 2, 5), (5, 2, 5), (3, 1, 3), (5, 1, 3), (None, 2, 5), (None, 0, None), (9, 0, 9), (None, 0, None)]
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, wanted))
+
+
+def test_repeated_ids_agree_with_sql(spark, tmp_path):
+    import duckdb
+
+    from postpulse.llm import catalogue
+    from tests.compare import canonical
+
+    draw = np.random.default_rng(12)
+    centres = draw.normal(size=(12, 24))
+    points = centres[draw.integers(0, 12, 300)] + 0.06 * draw.normal(size=(300, 24))
+    rows = [(int(k) if k else None, p.tolist()) for k, p in zip(draw.integers(0, 90, 300), points, strict=True)]
+    rows += rows[:9] + [(4, None), (4, [0.0] * 24)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = catalogue.op10_embedding_links(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    answer = con.execute(catalogue.OP10_SQL)
+    columns = [c[0] for c in answer.description]
+    assert canonical(found.columns, [tuple(r) for r in found.collect()]) == canonical(columns, answer.fetchall())
+
+
+def test_every_row_of_a_repeated_id_is_a_candidate(spark):
+    draw = np.random.default_rng(3)
+    points = draw.normal(size=(60, 8))
+    ids = [k % 20 for k in range(60)]
+    rows = [(i, p.tolist()) for i, p in zip(ids, points, strict=True)]
+    frame = vectors(spark, rows)
+    found = forest.neighbours(frame, F.col("id") % 10 == 0, k=59).collect()
+    exact = np.asarray(frame.select("embedding").toPandas()["embedding"].tolist(), dtype=np.float64)
+    wanted = []
+    for q in range(60):
+        if ids[q] % 10 == 0:
+            order = sorted((-float(exact[q] @ exact[j]), ids[j]) for j in range(60) if j != q)
+            wanted += [(ids[q], n + 1, i) for n, (_, i) in enumerate(order)]
+    assert sorted((r.query_id, r["rank"], r.id) for r in found) == sorted(wanted)

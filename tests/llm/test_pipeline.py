@@ -53,7 +53,7 @@ def test_stages_take_effect(spark, sf_dir, stages):
 
 def test_every_operator_has_a_query(spark, sf_dir):
     names = list(queries())
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)]
 
 
 @pytest.mark.parametrize("name", list(queries()))

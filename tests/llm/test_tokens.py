@@ -54,7 +54,8 @@ def test_files_round_trip(spark, documents, corpus):
 
 def bytes_for(df, files: int) -> int:
     """``file_bytes`` that make an input ask for so many files."""
-    return -(-int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // files)
+    whole = df.selectExpr("sum(coalesce(octet_length(text), 0) + 16)").first()[0]
+    return -(-int(whole) // files)
 
 
 def test_wanted_documents_only(spark, documents, corpus, tmp_path):
@@ -110,9 +111,11 @@ def test_file_layout(frame_ids):
         list(frames.FileReader(bytes(broken)).documents())
 
 
-def test_larger_inputs_ask_for_more_files(documents):
+def test_larger_inputs_ask_for_more_files(documents, corpus):
     assert frames._file_count(documents, frames.FILE_BYTES) is None
     assert frames._file_count(documents, bytes_for(documents, 9)) == 9
+    whole = sum(16 + len((t or "").encode()) for _, t in corpus)
+    assert frames._file_count(documents, 100) == -(-whole // 100)
 
 
 def test_one_id_may_fill_many_files(spark, tmp_path):
