@@ -232,8 +232,8 @@ TOKEN_KEYS = (
 #: Fixed values: (family, keys) in order of precedence; keys match the padded normalised title.
 #: A key with a space has its punctuation folded, as titles have; others stay as they are.
 TITLE_FAMILIES = (
-    ("recruitment_ad", RECRUITMENT_PHRASES),
-    ("volunteer", VOLUNTEER_PHRASES),
+    ("suspect_recruitment_ad", RECRUITMENT_PHRASES),
+    ("volunteer_unpaid", VOLUNTEER_PHRASES),
     (
         "ai_gig_work",
         (

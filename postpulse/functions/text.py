@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -39,6 +40,14 @@ def normal_title(title: Column | str) -> Column:
     return F.trim(F.regexp_replace(text, "[^a-z0-9]+", " "))
 
 
+def quoted(part: Column | str) -> Column:
+    """A path's part percent-encoded: a space is %20, and ! ' ( ) ~ * stay."""
+    found = F.replace(F.url_encode(_col(part)), F.lit("+"), F.lit("%20"))
+    for char in "!'()~":
+        found = F.replace(found, F.lit(f"%{ord(char):02X}"), F.lit(char))
+    return found
+
+
 def padded_title(title: Column | str) -> Column:
     return F.concat(F.lit(" "), normal_title(title), F.lit(" "))
 
@@ -213,31 +222,53 @@ def verdict_of(tail: Column, place: Column) -> Column:
     )
 
 
-def leading_word(pattern: str) -> str:
-    """Letters that every match of a pattern begins with; the empty string if none are certain."""
-    depth = 0
-    for char in pattern.replace("\\\\", "").replace("\\(", "").replace("\\)", ""):
-        depth += (char in "([") - (char in ")]")
-        if char == "|" and not depth:
-            return ""
-    found = re.match(r"\\b([a-z]+)", pattern)
-    if not found:
+def leading_words(pattern: str) -> tuple[str, ...]:
+    """Words of letters and digits, one of which every match of a pattern starts with; none if that is not certain."""
+    start = re.match(r"\\b(?:\(\?:([^()]*)\)(\??))?", pattern)
+    if not start or "|" in re.sub(r"\([^()]*\)", "", pattern):
+        return ()
+    firsts = [start[1].split("|"), [pattern[start.end() :]] if start[2] else []] if start[1] else [[pattern[start.end() :]]]
+    found = []
+    for text in (t for part in firsts for t in part):
+        word = re.match(r"[a-z0-9]*", text)[0]
+        found.append(word[:-1] if text[len(word) : len(word) + 1] in ("?", "*", "{") else word)
+    return tuple(found) if all(found) else ()
+
+
+def word_trie(words: Iterable[str]) -> str:
+    """A regular expression for the longest of ``words`` at a place, branching letter by letter."""
+    branches: dict[str, list[str]] = {}
+    for word in sorted(set(words)):
+        branches.setdefault(word[:1], []).append(word[1:])
+    ends = "" in branches
+    rest = [f"{re.escape(first)}{word_trie(tails)}" for first, tails in branches.items() if first]
+    if not rest:
         return ""
-    optional = pattern[found.end() : found.end() + 1] in ("?", "*", "{")
-    return found[1][:-1] if optional else found[1]
+    inner = rest[0] if len(rest) == 1 and not ends else f"(?:{'|'.join(rest)})"
+    return f"{inner}?" if ends else inner
 
 
 def technologies(text: Column | str, context: Column | str | None = None) -> Column:
     """Labels of the technologies a text mentions, in list order.
 
-    Ambiguous ones count only if ``context`` (a title, say) is technical.
+    Ambiguous ones count only if ``context`` (a title, say) is technical.  One
+    pass over the text finds which patterns' first words occur; only those
+    patterns are tried.
     """
+    heads = {label: leading_words(pattern) for label, pattern, _ in lex.TECHNOLOGIES}
+    trie = rf"\b({word_trie(w for words in heads.values() for w in words)})"
+
     def plain(c: Column | str) -> Column:
         return ascii_words(F.regexp_replace(F.coalesce(_col(c), F.lit("")), lex.MARKUP, " "))
 
-    body = plain(text)
-    setting = body if context is None else plain(context)
-    sides = F.struct(body.alias("body"), F.lower(body).alias("low"), setting.alias("setting"))
+    def indexed(r: Column) -> Column:
+        low = F.lower(r["body"])
+        words = F.array_distinct(F.regexp_extract_all(low, F.lit(trie), F.lit(1)))
+        return F.struct(
+            r["body"].alias("body"),
+            r["setting"].alias("setting"),
+            F.concat(F.lit(" "), F.array_join(words, " ")).alias("words"),
+        )
 
     def found(r: Column) -> Column:
         technical = r["setting"].rlike(f"(?i){lex.TECH_CONTEXT}")
@@ -245,14 +276,18 @@ def technologies(text: Column | str, context: Column | str | None = None) -> Col
         for label, pattern, guarded in lex.TECHNOLOGIES:
             flag = "" if label in lex.CASE_SENSITIVE_TECHNOLOGIES else "(?i)"
             hit = r["body"].rlike(f"{flag}{pattern}")
-            # A plain search for the first word spares most patterns.
-            if word := leading_word(pattern):
-                hit = F.contains(r["low"], F.lit(word)) & hit
+            if heads[label]:
+                # A longer word at the same place starts with the one that is asked for.
+                occurs = [F.contains(r["words"], F.lit(f" {w}")) for w in heads[label]]
+                hit = reduce(lambda x, y: x | y, occurs) & hit
             labels.append(F.when(hit & technical if guarded else hit, F.lit(label)))
         return F.array_compact(F.array(*labels))
 
-    # An array of one: both texts are stripped once, however many patterns read them.
-    return F.get(F.transform(F.array(sides), found), F.lit(0))
+    body = plain(text)
+    setting = body if context is None else plain(context)
+    # Arrays of one: what stands in them is made once, however many patterns read it.
+    sides = F.array(F.struct(body.alias("body"), setting.alias("setting")))
+    return F.get(F.transform(F.transform(sides, indexed), found), F.lit(0))
 
 
 def token_from_url(

@@ -11,8 +11,8 @@ from postpulse.operators.ranking import with_place
 from postpulse.operators.staging import staged
 
 # Fixed values.
-NO_ROLE = ("recruitment_ad", "volunteer", "generic", "other", "non_english")
-JUNK = ("recruitment_ad", "volunteer")
+NO_ROLE = ("suspect_recruitment_ad", "volunteer_unpaid", "generic", "other", "non_english")
+JUNK = ("suspect_recruitment_ad", "volunteer_unpaid")
 SUPPORTS = (1, 2, 3, 5, 8, 10)
 CONFIDENCES = (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 PRIOR_SUPPORT, PRIOR_CONFIDENCE, JUNK_MOST = 5, 0.7, 0.10

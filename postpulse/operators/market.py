@@ -30,6 +30,18 @@ def run_stats(postings: DataFrame, as_of: str) -> DataFrame:
     )
 
 
+def recent_breakdown(postings: DataFrame, as_of: str, kinds: tuple[str, ...] = ("seniority", "workplace")) -> DataFrame:
+    """kind, value and postings: what the last 30 days opened, by seniority and by workplace.
+
+    The bound and the future are included, undated postings are not; an
+    unstated value is counted as null.
+    """
+    recent = postings.where(age_within(F.col("posted_at"), as_of, 30))
+    items = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in kinds])
+    each = recent.select(F.explode(items).alias("item"))
+    return each.groupBy("item.kind", "item.value").agg(F.count("*").alias("postings"))
+
+
 def market_technology(mentions: DataFrame, as_of: str) -> DataFrame:
     """Per technology: recent and prior openings, companies hiring, change against baseline.
 

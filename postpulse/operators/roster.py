@@ -154,6 +154,17 @@ def roster_difference(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     return joined.select("provider", "token", kind.alias("kind"))
 
 
+def cross_pairs(tokens: DataFrame, providers: tuple[str, ...]) -> DataFrame:
+    """source_provider, target_provider and token: each token at every provider but its own.
+
+    ``tokens`` has provider and token; each row becomes a few, without a join.
+    """
+    targets = F.array_remove(F.array(*[F.lit(p) for p in providers]), F.col("provider"))
+    return tokens.where(F.col("provider").isin(*providers)).select(
+        F.col("provider").alias("source_provider"), F.explode(targets).alias("target_provider"), "token"
+    )
+
+
 def cross_hits(probes: DataFrame) -> DataFrame:
     """Hit rate of tokens of one provider tried at another."""
     counts = probes.groupBy("source_provider", "target_provider").agg(

@@ -239,6 +239,54 @@ def _uniform(seed: int) -> Iterator[float]:
         yield (mixed ^ mixed >> _THIRD) / (mask + 1)
 
 
+_MASK = 0xFFFFFFFF
+
+
+def _times(a: Column, b: Column) -> Column:
+    """The low 32 bits of a product, in steps that fit 64 bits."""
+    high = F.shiftleft((a * F.shiftright(b, 16)).bitwiseAND(F.lit(0xFFFF)), 16)
+    return (a * b.bitwiseAND(F.lit(0xFFFF)) + high).bitwiseAND(F.lit(_MASK))
+
+
+def uniform_at(seed: int, number: Column) -> Column:
+    """The generator's number at any place from 0 on, without those before it.
+
+    Its state is the seed plus a multiple of the step, so a draw is a formula
+    of its place and rows may draw anywhere, in any order.
+    """
+    step = F.lit(_STEP).cast("long")
+    place = number.cast("long").bitwiseAND(F.lit(_MASK)) + 1
+    state = (F.lit(seed & _MASK).cast("long") + _times(place, step)).bitwiseAND(F.lit(_MASK))
+
+    def shifted(x: Column, by: int) -> Column:
+        return x.bitwiseXOR(F.shiftrightunsigned(x, by))
+
+    mixed = _times(shifted(state, _FIRST), state.bitwiseOR(F.lit(1).cast("long")))
+    more = _times(shifted(mixed, _SECOND), mixed.bitwiseOR(F.lit(_SET).cast("long")))
+    mixed = mixed.bitwiseXOR((mixed + more).bitwiseAND(F.lit(_MASK)))
+    return shifted(mixed, _THIRD) / F.lit(float(_MASK + 1))
+
+
+def counter_samples(rows: DataFrame, group: str, item: str, wanted: int, seed: int, least: int = 1) -> DataFrame:
+    """Of each group of distinct items a uniform sample: the ``wanted`` items with the least draws.
+
+    An item's draw is the generator's number at the place that its digest
+    names, so a sample depends on neither order nor partitions, and lists of
+    any length are cut before they are shuffled.  Groups with fewer than
+    ``least`` items give nothing; null groups and items are left out.
+    """
+    known = rows.where(F.col(group).isNotNull() & F.col(item).isNotNull()).select(group, item).distinct()
+    name = F.concat_ws("|", F.col(group).cast("string"), F.col(item).cast("string"))
+    place = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long")
+    drawn = known.withColumn("draw", uniform_at(seed, place))
+    order = Window.partitionBy(group).orderBy("draw", item)
+    sample = drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= wanted)
+    if least > 1:
+        large = known.groupBy(group).count().where(F.col("count") >= least).select(group)
+        sample = sample.join(large, group, "left_semi")
+    return sample.select(group, item, "draw")
+
+
 def seeded_samples(lists: dict[str, list], wanted: int, seed: int) -> dict[str, list]:
     """A Fisher-Yates sample of each list; one generator serves all, in order.
 

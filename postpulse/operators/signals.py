@@ -170,14 +170,6 @@ def technology_counts(
     return exploded.groupBy(*keys, "technology").agg(F.count("*").alias("count"))
 
 
-def as_arrays(ranked: DataFrame, name: str, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Ranked rows folded into one array of (name, count) for each board."""
-    items = F.array_sort(F.collect_list(F.struct("rank", "name", "count")))
-    folded = ranked.groupBy(*keys).agg(items.alias("items"))
-    pairs = F.transform("items", lambda i: F.struct(i["name"].alias("name"), i["count"].alias("count")))
-    return folded.select(*keys, pairs.alias(name))
-
-
 def signal_records(
     postings: DataFrame,
     as_of: str,
@@ -190,11 +182,15 @@ def signal_records(
 
     ``postings`` has title, department, team, description, workplace, seniority
     and salary_min besides.  Technologies are read in title, team and
-    department of the last 90 days, in descriptions only if asked.  Every array
-    is ranked in a window of its board and holds a few entries; boards without
-    any have an empty one.
+    department of the last 90 days, in descriptions only if asked.  Boards
+    without entries of a kind have an empty array.
+
+    Postings are read twice: for the counts of a board, and for the names of
+    all four kinds, which one partial aggregation counts and one window of a
+    board and kind ranks.
     """
-    recent = F.col("posted_at") > days_before(as_of, 90)
+    posted = F.col("posted_at")
+    recent = posted > days_before(as_of, 90)
     more = (
         F.count_if(recent & (F.col("seniority") == "executive")).alias("executive_openings_90d"),
         F.count_if(F.col("workplace") == "remote").alias("remote_postings"),
@@ -203,20 +199,66 @@ def signal_records(
     record = company_signal(postings, as_of, keys, more)
     where = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("title", "team", "department")])
     text = F.concat_ws(" ", where, F.coalesce("description", F.lit(""))) if use_description else where
-    named = technology_counts(postings, technologies(text, where), as_of, keys)
-    order = Window.partitionBy(*keys).orderBy(F.desc("count"), "name")
-    named = named.withColumnRenamed("technology", "name").withColumn("rank", F.row_number().over(order))
-    arrays = {
-        "new_functions": new_functions(postings, as_of, keys),
-        "top_departments": top_counts(postings, "department", top_departments, keys),
-        "top_titles": top_counts(postings, "title", TOP_TITLES, keys),
-        "tech_signals": named.where(F.col("rank") <= top_technologies),
+    named = F.coalesce(F.col("department"), F.lit("")) != ""
+    real = named & ~F.col("department").rlike(lex.PLACE_LIKE)
+
+    def one(kind: str, name: Column) -> Column:
+        return F.array(F.struct(F.lit(kind).alias("kind"), name.alias("name")))
+
+    def some(condition: Column, items: Column) -> Column:
+        return F.when(condition, items).otherwise(F.array().cast("array<struct<kind:string,name:string>>"))
+
+    labels = F.transform(
+        technologies(text, where), lambda t: F.struct(F.lit("tech_signals").alias("kind"), t.alias("name"))
+    )
+    items = F.concat(
+        some(named, one("top_departments", F.col("department"))),
+        some(F.coalesce("title", F.lit("")) != "", one("top_titles", F.col("title"))),
+        some(posted.isNotNull(), one("new_functions", F.when(real, F.col("department")))),
+        some(F.coalesce(recent, F.lit(False)), labels),
+    )
+    counts = (
+        postings.select(*keys, "posted_at", F.explode(items).alias("item"))
+        .groupBy(*keys, "item.kind", "item.name")
+        .agg(F.count("*").alias("count"), F.min("posted_at").alias("oldest"))
+    )
+    of_kind = Window.partitionBy(*keys, "kind")
+    cutoff = days_before(as_of, NEW_FUNCTION_DAYS)
+    facts = counts.withColumns(
+        {
+            "history": F.sum("count").over(of_kind),
+            "first": F.min("oldest").over(of_kind),
+            "names": F.count("name").over(of_kind),
+        }
+    )
+    is_new = (
+        (F.col("history") >= NEW_FUNCTION_HISTORY)
+        & (F.col("first") <= cutoff)
+        & (F.col("names") <= NEW_FUNCTION_DEPARTMENTS)
+        & F.col("name").isNotNull()
+        & (F.col("oldest") > cutoff)
+        & (F.col("count") >= NEW_FUNCTION_ROLES)
+    )
+    kept = facts.where((F.col("kind") != "new_functions") | is_new)
+    most = {
+        "new_functions": 5,
+        "top_departments": top_departments,
+        "top_titles": TOP_TITLES,
+        "tech_signals": top_technologies,
     }
-    for name, ranked in arrays.items():
-        record = record.join(as_arrays(ranked, name, keys), list(keys), "left")
-        empty = F.array().cast("array<struct<name:string,count:bigint>>")
-        record = record.withColumn(name, F.coalesce(name, empty))
-    return record
+    limit = F.create_map(*[F.lit(x) for pair in most.items() for x in pair])
+    ranked = kept.withColumn("rank", F.row_number().over(of_kind.orderBy(F.desc("count"), "name")))
+    ranked = ranked.where(F.col("rank") <= limit[F.col("kind")])
+    entries = F.array_sort(F.collect_list(F.struct("kind", "rank", "name", "count")))
+    folded = ranked.groupBy(*keys).agg(entries.alias("entries"))
+    empty = F.array().cast("array<struct<name:string,count:bigint>>")
+
+    def of(kind: str) -> Column:
+        own = F.filter("entries", lambda e: e["kind"] == kind)
+        return F.transform(own, lambda e: F.struct(e["name"].alias("name"), e["count"].alias("count")))
+
+    joined = record.join(folded, list(keys), "left")
+    return joined.select(*record.columns, *[F.coalesce(of(kind), empty).alias(kind) for kind in most])
 
 
 def delivered(records: DataFrame, signals: tuple[str, ...] = (), least_open: int = 0) -> DataFrame:

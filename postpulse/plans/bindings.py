@@ -147,12 +147,12 @@ ROLES = (
     ("Territory Manager", "generic", "manager", True, "senior"),
     ("Agent", "generic", "agent", True, "mid"),
     ("Junior Trainee", "generic", "trainee", True, "junior"),
-    ("Volunteer", "volunteer", "volunteer", True, "mid"),
-    ("Be Your Own Boss!", "recruitment_ad", "be your own boss", False, "mid"),
-    ("Work From Home Opportunity", "recruitment_ad", "work from home", False, "mid"),
-    ("Volunteer Programme", "volunteer", "volunteer", True, "mid"),
-    ("Unpaid Internship", "volunteer", "unpaid intern", False, "intern"),
-    ("Volunteer Services Manager", "volunteer", "volunteer", True, "senior"),
+    ("Volunteer", "volunteer_unpaid", "volunteer", True, "mid"),
+    ("Be Your Own Boss!", "suspect_recruitment_ad", "be your own boss", False, "mid"),
+    ("Work From Home Opportunity", "suspect_recruitment_ad", "work from home", False, "mid"),
+    ("Volunteer Programme", "volunteer_unpaid", "volunteer", True, "mid"),
+    ("Unpaid Internship", "volunteer_unpaid", "unpaid intern", False, "intern"),
+    ("Volunteer Services Manager", "volunteer_unpaid", "volunteer", True, "senior"),
     ("Zymurgist", "other", None, False, "mid"),
     ("Falconer", "other", None, False, "mid"),
     ("Beekeeper", "other", None, False, "mid"),

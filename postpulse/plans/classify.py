@@ -10,7 +10,7 @@ from postpulse.operators import census
 from postpulse.plans import bindings as b
 from postpulse.plans.catalogue import query
 
-ROLE = "family NOT IN ('recruitment_ad', 'volunteer', 'generic', 'other', 'non_english')"
+ROLE = "family NOT IN ('suspect_recruitment_ad', 'volunteer_unpaid', 'generic', 'other', 'non_english')"
 SPLIT = """board_split AS (
   SELECT board, CASE WHEN place < 8 THEN 'head' ELSE 'tail' END AS stratum,
     CASE WHEN place < 8 THEN 1.0::DOUBLE ELSE n_rest / n_taken::DOUBLE END AS weight
@@ -66,7 +66,7 @@ PRIOR = f"""prior AS (
     arg_min(family, (-n, family)) FILTER (WHERE {ROLE}) AS inferred_family,
     coalesce(sum(n) FILTER (WHERE {ROLE}), 0)::BIGINT AS support,
     max(n) FILTER (WHERE {ROLE}) / sum(n) FILTER (WHERE {ROLE}) AS confidence,
-    coalesce(sum(n) FILTER (WHERE family IN ('recruitment_ad', 'volunteer')), 0) / sum(n) AS junk_share
+    coalesce(sum(n) FILTER (WHERE family IN ('suspect_recruitment_ad', 'volunteer_unpaid')), 0) / sum(n) AS junk_share
   FROM (SELECT board, family, count(*) AS n FROM families GROUP BY 1, 2) GROUP BY 1)"""
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from postpulse.operators.robots import robots_verdicts
 from postpulse.plans import bindings as b
 from postpulse.plans.catalogue import query
-from postpulse.sources.vendors import all_postings
+from postpulse.sources.vendors import all_postings, by_source
 
 # Invented boards in each vendor's shape, for tests.
 BODIES = [
@@ -95,70 +95,121 @@ def robots_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robots_verdicts(rows, "botty/1.0").select("page_id", "allowed", "reason", "rule")
 
 
+#: The vendors in the order that customers are dealt to them.
+DEALT = ["greenhouse", "ashby", "lever", "workable", "breezy", "recruitee", "teamtailor"]
+
+
 def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as boards of three vendors, in the JSON that each of them serves."""
-    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    """Every customer's orders as a board of one of seven vendors, in the JSON that it serves."""
     key = F.col("o_orderkey")
+    paid = key % 3 == 0
     orders = b.table(spark, sf_dir, "orders").select(
-        F.concat(F.lit("b"), F.col("o_custkey") % 30).alias("company"),
-        (F.col("o_custkey") % 3).alias("vendor"),
+        F.concat(F.lit("b"), F.col("o_custkey")).alias("company"),
+        (F.col("o_custkey") % 7).alias("vendor"),
         key.alias("id"),
         b.pick(key % len(b.ROLES), [r[0] for r in b.ROLES]).alias("title"),
         F.concat(F.lit("City"), key % 25).alias("city"),
-        day.alias("day"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"),
         (F.unix_timestamp("o_orderdate") * 1000).alias("ms"),
         F.col("o_orderpriority").alias("dept"),
-        F.when(key % 3 == 0, "Pay $150,000 - $200,000").otherwise("<p>Fair &amp; square</p>").alias("text"),
+        F.when(paid, "Pay $150,000 - $200,000").otherwise("<p>Fair &amp; square</p>").alias("text"),
         b.pick(key % 3, ["Hybrid", None, "Remote"]).alias("kind"),
+        F.when(paid, "$150,000 - $200,000").alias("pay"),
+        F.when(key % 4 == 0, "Town").when(key % 4 == 1, "").alias("place"),
     )
     url = F.concat(F.lit("https://x.example/"), "id")
-    green = F.struct(
-        "id", "title", url.alias("absolute_url"), F.struct(F.col("city").alias("name")).alias("location"),
-        F.array(F.struct(F.col("dept").alias("name"))).alias("departments"),
-        F.col("day").alias("first_published"), F.col("text").alias("content"),
-    )
-    ash = F.struct(
-        F.concat(F.lit("a"), "id").alias("id"), "title", url.alias("jobUrl"), F.col("city").alias("location"),
-        F.col("kind").alias("workplaceType"), F.col("day").alias("publishedAt"),
-        F.col("dept").alias("department"), F.col("text").alias("descriptionHtml"),
-    )
-    lever = F.struct(
-        F.concat(F.lit("l"), "id").alias("id"), F.col("title").alias("text"), url.alias("hostedUrl"),
-        F.col("ms").alias("createdAt"), F.col("text").alias("description"),
-        F.struct(F.lit("").alias("location"), F.col("dept").alias("team")).alias("categories"),
-    )
-    boards = orders.groupBy("vendor", "company").agg(
-        *[F.collect_list(job).alias(name) for name, job in (("green", green), ("ash", ash), ("lever", lever))]
+
+    def named(mark: str):
+        return F.concat(F.lit(mark), "id").alias("id")
+
+    def struct(name: str, *fields) -> F.Column:
+        return F.struct(*fields).alias(name)
+
+    title, dept, city, text = (F.col(c) for c in ("title", "dept", "city", "text"))
+    oz = F.lit("Oz").alias("name"), F.lit("OZ")
+    jobs = {
+        "greenhouse": F.struct(
+            "id", "title", url.alias("absolute_url"), struct("location", city.alias("name")),
+            F.array(F.struct(dept.alias("name"))).alias("departments"),
+            F.col("day").alias("first_published"), text.alias("content"),
+        ),
+        "ashby": F.struct(
+            named("a"), "title", url.alias("jobUrl"), city.alias("location"), F.col("kind").alias("workplaceType"),
+            F.col("day").alias("publishedAt"), dept.alias("department"), text.alias("descriptionHtml"),
+        ),
+        "lever": F.struct(
+            named("l"), title.alias("text"), url.alias("hostedUrl"), F.col("ms").alias("createdAt"),
+            text.alias("description"), struct("categories", F.lit("").alias("location"), dept.alias("team")),
+        ),
+        "workable": F.struct(
+            F.concat(F.lit("w"), "id").alias("shortcode"), F.lit("unused").alias("id"), "title",
+            (F.col("kind") == "Remote").alias("telecommuting"), dept.alias("department"),
+            url.alias("shortlink"), F.col("day").alias("published_on"), F.lit("Oz").alias("country"),
+            city.alias("city"), F.lit(" ").alias("state"), text.alias("description"),
+        ),
+        "breezy": F.struct(
+            named("z"), title.alias("name"), url.alias("url"), F.col("day").alias("published_date"),
+            dept.alias("department"), F.col("pay").alias("salary"),
+            struct("location", F.col("place").alias("name"), city.alias("city"), struct("country", oz[0])),
+        ),
+        "recruitee": F.struct(
+            named("r"), "title", dept.alias("department"), F.col("day").alias("published_at"), city.alias("city"),
+            oz[1].alias("country_code"), url.alias("careers_url"), text.alias("description"),
+            F.when(
+                F.col("pay").isNotNull(),
+                F.struct(
+                    F.lit("149,999.5").alias("min"), F.lit("200 000").alias("max"),
+                    F.when(F.col("id") % 2 == 0, "year").otherwise("month").alias("period"),
+                    F.lit("EUR").alias("currency"),
+                ),
+            ).alias("salary"),
+        ),
+        "teamtailor": F.struct(
+            named("t"), "title", url.alias("url"), text.alias("content_html"),
+            struct(
+                "_jobposting", F.col("day").alias("datePosted"), dept.alias("department"),
+                F.array(
+                    F.struct(struct("address", city.alias("addressLocality"), oz[1].alias("addressCountry")))
+                ).alias("jobLocation"),
+            ),
+        ),
+    }
+    one = b.pick(F.col("vendor"), [None] * len(DEALT))
+    for n, name in enumerate(DEALT):
+        one = F.when(F.col("vendor") == n, F.to_json(jobs[name])).otherwise(one)
+    boards = orders.select("vendor", "company", one.alias("job")).groupBy("vendor", "company")
+    listed = boards.agg(F.concat(F.lit("["), F.array_join(F.collect_list("job"), ","), F.lit("]")).alias("jobs"))
+    listing = b.pick(F.col("vendor"), ["jobs", "jobs", None, "jobs", None, "offers", "items"])
+    wrapped = F.concat(F.lit('{"'), listing, F.lit('": '), "jobs", F.lit("}"))
+    return listed.select(
+        b.pick(F.col("vendor"), DEALT).alias("source"), "company", F.coalesce(wrapped, "jobs").alias("body")
     )
-    vendor = F.col("vendor")
-    jobs = F.when(vendor == 0, F.to_json("green")).otherwise(F.to_json("ash"))
-    body = F.when(vendor == 2, F.to_json("lever")).otherwise(F.concat(F.lit('{"jobs": '), jobs, F.lit("}")))
-    source = b.pick(vendor, ["greenhouse", "ashby", "lever"])
-    return boards.select(source.alias("source"), "company", body.alias("body"))
 
 
 @query(
     b.with_ctes(
         ("role_facts",),
         """
-SELECT source, company, CASE vendor WHEN 0 THEN '' WHEN 1 THEN 'a' ELSE 'l' END || o_orderkey AS job_id,
+SELECT source, company, ['', 'a', 'l', 'w', 'z', 'r', 't'][vendor + 1] || o_orderkey AS job_id,
   coalesce(stated, '') AS title, 'https://x.example/' || o_orderkey AS url,
-  CASE WHEN vendor < 2 THEN 'City' || (o_orderkey % 25) END AS location,
-  CASE WHEN vendor = 1 AND o_orderkey % 3 = 0 THEN 'hybrid' WHEN vendor = 1 AND o_orderkey % 3 = 2 THEN 'remote'
-    WHEN vendor = 0 AND stated = 'Work From Home Opportunity' THEN 'remote' ELSE 'onsite' END AS workplace,
-  CASE WHEN vendor < 2 THEN o_orderpriority END AS department,
+  CASE WHEN vendor < 2 THEN city WHEN vendor = 2 OR (vendor = 4 AND o_orderkey % 4 = 1) THEN NULL
+    WHEN vendor = 4 AND o_orderkey % 4 = 0 THEN 'Town' WHEN vendor IN (3, 4) THEN city || ', Oz'
+    ELSE city || ', OZ' END AS location,
+  CASE WHEN vendor = 1 AND o_orderkey % 3 = 0 THEN 'hybrid' WHEN vendor IN (1, 3) AND o_orderkey % 3 = 2 THEN 'remote'
+    WHEN vendor NOT IN (1, 2) AND stated = 'Work From Home Opportunity' THEN 'remote' ELSE 'onsite' END AS workplace,
+  CASE WHEN vendor <> 2 THEN o_orderpriority END AS department,
   CASE WHEN vendor = 2 THEN o_orderpriority END AS team,
-  CAST(o_orderdate AS DATE) AS posted, CASE WHEN o_orderkey % 3 = 0 THEN 150000::BIGINT END AS salary_min,
-  CASE WHEN o_orderkey % 3 = 0 THEN 200000::BIGINT END AS salary_max,
-  CASE WHEN o_orderkey % 3 = 0 THEN 'USD' END AS salary_currency, seniority,
-  CASE WHEN o_orderkey % 3 = 0 THEN 'Pay $150,000 - $200,000' ELSE 'Fair & square' END AS description
-FROM (SELECT *, o_custkey % 3 AS vendor, 'b' || (o_custkey % 30) AS company,
-    (['greenhouse', 'ashby', 'lever'])[o_custkey % 3 + 1] AS source FROM orders)
+  CAST(o_orderdate AS DATE) AS posted,
+  CASE WHEN paid THEN 150000::BIGINT END AS salary_min, CASE WHEN paid THEN 200000::BIGINT END AS salary_max,
+  CASE WHEN paid THEN CASE WHEN vendor = 5 THEN 'EUR' ELSE 'USD' END END AS salary_currency, seniority,
+  CASE WHEN vendor <> 4 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'Pay $150,000 - $200,000' ELSE 'Fair & square' END END AS description
+FROM (SELECT *, o_custkey % 7 AS vendor, o_orderkey % 3 = 0 AND (o_custkey % 7 <> 5 OR o_orderkey % 2 = 0) AS paid, 'b' || o_custkey AS company, 'City' || (o_orderkey % 25) AS city,
+    (['greenhouse', 'ashby', 'lever', 'workable', 'breezy', 'recruitee', 'teamtailor'])[o_custkey % 7 + 1] AS source FROM orders)
 JOIN role_facts ON role = o_orderkey % 54""",
     )
 )
 def vendor_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = all_postings(_bodies(spark, sf_dir))
+    rows = all_postings(by_source(_bodies(spark, sf_dir)))
     return rows.select(
         "source", "company", "job_id", "title", "url", "location", "workplace", "department", "team",
         F.col("posted_at").cast("date").alias("posted"), "salary_min", "salary_max", "salary_currency",

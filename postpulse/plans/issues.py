@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from postpulse.operators import diff, market, signals
 from postpulse.plans import bindings as b
 from postpulse.plans import catalogue
-from postpulse.plans.boards import SIGNALS, board_signals, signal_new_functions
+from postpulse.plans.boards import SIGNALS, board_signals, full_postings, signal_new_functions
 from postpulse.plans.catalogue import query
 
 NOW = f"TIMESTAMP '{b.AS_OF}'"
@@ -28,6 +28,22 @@ def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.run_stats(b.postings(spark, sf_dir), b.AS_OF)
 
 
+@query(
+    b.with_ctes(
+        ("postings", "role_facts"),
+        """
+SELECT 'seniority' AS kind, seniority AS value, count(*) AS postings FROM recent GROUP BY 2
+UNION ALL SELECT 'workplace', workplace, count(*) FROM recent GROUP BY 2""",
+        (
+            f"""recent AS (SELECT seniority, CASE WHEN pos % 4 = 1 THEN 'remote' ELSE 'onsite' END AS workplace
+  FROM postings JOIN role_facts ON role = pos % 54 WHERE posted_at >= {NOW} - INTERVAL 30 DAY)""",
+        ),
+    )
+)
+def recent_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return market.recent_breakdown(full_postings(spark, sf_dir), b.AS_OF)
+
+
 MARKET = f"""market AS (
   SELECT technology, d30, companies, prior60 / 2.0::DOUBLE AS baseline30,
     CASE WHEN prior60 > 0 THEN floor(d30 / (prior60 / 2.0::DOUBLE) * 100 + 0.5) / 100 END AS ratio

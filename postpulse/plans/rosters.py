@@ -203,6 +203,55 @@ def cross_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roster.cross_hits(pairs)
 
 
+PROVIDERS = ("p0", "p1", "p2")
+
+#: The generator in 32-bit arithmetic, at the place that an item's digest names; seed 7.
+_DRAWS = """
+WITH tokens AS (SELECT 'p' || (c_custkey % 3) AS provider, lower(c_name) AS token, min(c_custkey) AS k
+    FROM customer GROUP BY 1, 2),
+a AS (SELECT *, (7 + (('0x' || substr(md5(provider || '|' || token), 1, 8))::HUGEINT + 1) * 1831565813) % 4294967296 AS s
+  FROM tokens),
+b AS (SELECT *, (xor(s, s >> 15) * (s | 1)) % 4294967296 AS m FROM a),
+c AS (SELECT *, xor(m, (m + (xor(m, m >> 7) * (m | 61)) % 4294967296) % 4294967296) AS t FROM b),
+drawn AS (SELECT provider, token, k, xor(t, t >> 14)::DOUBLE / 4294967296 AS draw FROM c),
+sampled AS (SELECT * FROM drawn
+  QUALIFY row_number() OVER (PARTITION BY provider ORDER BY draw, token) <= 100)"""
+
+
+def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = b.table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("p"), F.col("c_custkey") % 3).alias("provider"), F.lower("c_name").alias("token")
+    )
+    return sampling.counter_samples(tokens, "provider", "token", 100, 7, least=20)
+
+
+@query(f"{_DRAWS} SELECT provider, token, draw FROM sampled")
+def token_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred tokens of each provider, drawn without an order."""
+    return _sampled(spark, sf_dir)
+
+
+@query(
+    f"""{_DRAWS}
+SELECT provider AS source_provider, target AS target_provider, count(*) AS tried,
+  count(*) FILTER (WHERE orders > 0) AS hits,
+  floor(count(*) FILTER (WHERE orders > 0) / count(*) * 10000 + 0.5) / 10000 AS hit_rate
+FROM (SELECT s.*, target, (SELECT count(*) FROM orders WHERE o_custkey = k
+    AND 'p' || (length(o_orderpriority) % 3) = target) AS orders
+  FROM sampled s, (VALUES ('p0'), ('p1'), ('p2')) t(target) WHERE target <> provider)
+GROUP BY 1, 2"""
+)
+def cross_probe_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled tokens tried at the other providers: those whose customers have orders there are live."""
+    pairs = roster.cross_pairs(_sampled(spark, sf_dir), PROVIDERS)
+    customers = b.table(spark, sf_dir, "customer").select("c_custkey", F.lower("c_name").alias("token"))
+    there = F.concat(F.lit("p"), F.length("o_orderpriority") % 3).alias("target_provider")
+    orders = b.table(spark, sf_dir, "orders").select("o_custkey", there).distinct()
+    live = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select("token", "target_provider")
+    found = pairs.join(live.withColumn("live", F.lit(True)), ["token", "target_provider"], "left")
+    return roster.cross_hits(found.withColumn("status", F.when(F.col("live"), "live").otherwise("dead")))
+
+
 # Strata for boards of orders: far smaller and flatter than job boards.
 STRATA = (("12+", 12, None), ("9-11", 9, 40), ("5-8", 5, 30), ("1-4", 1, 20))
 PLAN = """plan AS (

@@ -15,8 +15,8 @@ from postpulse.plans.catalogue import query
 
 _ROLES = ("roles",)
 # What the facts of a title say; staff for volunteers are no volunteers.
-_AD = "family = 'recruitment_ad'"
-_VOL = "(family = 'volunteer' AND stated <> 'Volunteer Services Manager')"
+_AD = "family = 'suspect_recruitment_ad'"
+_VOL = "(family = 'volunteer_unpaid' AND stated <> 'Volunteer Services Manager')"
 
 
 @query(

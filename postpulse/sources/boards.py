@@ -14,9 +14,10 @@ import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from postpulse.functions.text import quoted
 from postpulse.operators.roster import probe_status
 from postpulse.sources.vendors import VENDORS
 
@@ -38,6 +39,15 @@ ENDPOINTS = {
 ATTEMPTS, REFUSED_PAUSE, FAILED_PAUSE = 4, 1.5, 1.0
 
 
+def api_url(source: Column, company: Column, endpoints: dict[str, str] = ENDPOINTS) -> Column:
+    """The address of a board's document; null for unknown sources and boards without a name."""
+    found = F.when(F.lit(False), F.lit(None).cast("string"))
+    for name, address in endpoints.items():
+        before, after = address.split("{}")
+        found = found.when(source == name, F.concat(F.lit(before), quoted(company), F.lit(after)))
+    return F.when(F.coalesce(company, F.lit("")) != "", found)
+
+
 def fetch(url: str, timeout: float, unit: float = 1.0) -> tuple[int | None, str | None, str | None]:
     """(status, body, reason); refusals and failures are tried again, twice as late each time."""
     status = reason = None
@@ -81,7 +91,7 @@ def read_boards(
                     rows.append((source, company, None, None, DEADLINE))
                     continue
                 started = time.monotonic()
-                url = endpoints[source].format(urllib.parse.quote(company, safe=""))
+                url = endpoints[source].format(urllib.parse.quote(company, safe="!'()*"))
                 rows.append((source, company, *fetch(url, timeout, unit)))
                 time.sleep(max(0.0, pause - (time.monotonic() - started)))
             out = pd.DataFrame(rows, columns=["source", "company", "http", "body", "reason"])

@@ -52,6 +52,17 @@ def issues(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("basePath", path).json(path)
 
 
+def history_days(spark: SparkSession, path: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Readings of the days from ``since`` to ``until``, both included; other days' folders are not listed as input."""
+    rows = spark.read.schema(f"{HISTORY}, snapshot_date date").option("mode", "DROPMALFORMED").json(path)
+    day = F.col("snapshot_date")
+    if since is not None:
+        rows = rows.where(day >= F.lit(since).cast("date"))
+    if until is not None:
+        rows = rows.where(day <= F.lit(until).cast("date"))
+    return rows.where(F.col("p").isNotNull() & F.col("t").isNotNull())
+
+
 def latest_before(issues_: DataFrame, day: str) -> DataFrame:
     """One row: the latest issue date before ``day``, null if there is none."""
     return issues_.where(F.col("issue_date") < F.lit(day).cast("date")).agg(

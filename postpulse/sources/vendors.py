@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from postpulse.functions import lexicons as lex
 from postpulse.functions import text as t
+from postpulse.operators.staging import fresh_folder
 
 POSTING = (
     "source",
@@ -312,13 +313,31 @@ def all_postings(
 ) -> DataFrame:
     """Postings of the named vendors (none named: all); ``bodies`` has source, company and body.
 
-    Each branch filters on the source, so a partitioned input prunes.
+    Each branch filters on the source, so a table partitioned by it is read
+    once in all; ``by_source`` makes one of bodies that are still to be computed.
     """
     names = vendors or tuple(VENDORS)
     parts = [normalise(bodies.where(F.col("source") == n), n, feed) for n in names]
     return reduce(DataFrame.unionByName, parts)
 
 
+def board_url(source: Column, company: Column) -> Column:
+    """The public address of a board; null for unknown sources and boards without a name."""
+    found = F.when(F.lit(False), F.lit(None).cast("string"))
+    for name, vendor in VENDORS.items():
+        before, after = vendor.board_url.split("{}")
+        found = found.when(source == name, F.concat(F.lit(before), t.quoted(company), F.lit(after)))
+    return F.when(F.coalesce(company, F.lit("")) != "", found)
+
+
+def by_source(bodies: DataFrame) -> DataFrame:
+    """``bodies`` written down once, a folder for each source, in the shared folder."""
+    path = fresh_folder(bodies.sparkSession, "bodies")
+    bodies.write.partitionBy("source").parquet(path)
+    found = bodies.sparkSession.read.schema(bodies.schema).parquet(path)
+    return found.select(*bodies.columns)
+
+
 def unexpected_shapes(bodies: DataFrame, name: str) -> DataFrame:
     """Boards whose body has no array where the vendor puts its jobs."""
     vendor = VENDORS[name]

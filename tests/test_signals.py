@@ -69,3 +69,12 @@ def test_top_counts_break_ties_by_name(spark):
 def test_empty_board_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert signals.company_signal(empty, AS_OF).count() == 0
+
+
+def test_a_record_reads_postings_twice(spark, sf_dir):
+    from postpulse.plans import boards
+
+    frame = boards.full_postings(spark, sf_dir)
+    plan = signals.signal_records(frame, AS_OF)._jdf.queryExecution().executedPlan().toString()
+    own = frame._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 * own.count("FileScan")

@@ -6,6 +6,7 @@ import json
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from postpulse.functions.report import fixed, markdown_table
 from postpulse.plans.documents import BODIES
@@ -265,7 +266,8 @@ def test_index_pages_survive_a_host_that_fails(spark, index_server):
     pages = crawl.index_pages(spark, ["c1"], ["a.example", "b.example"], api, workers=2)
     found = crawl.page_urls(pages, api).orderBy("page").collect()
     assert [(r.host, r.page, r.url) for r in found] == [
-        ("a.example", 0, "https://a.example/t0"), ("a.example", 1, "https://a.example/t1")]
+        ("b.example", None, None), ("a.example", 0, "https://a.example/t0"), ("a.example", 1, "https://a.example/t1")]
+    assert found[0].error and not found[1].error
 
 
 def test_token_checkpoint_unites_harvests(spark, tmp_path):
@@ -317,3 +319,66 @@ def test_phrases():
 
     assert [count_word(k) for k in (0, 7, 9)] == ["zero", "seven", "9"]
     assert [list_phrase(x) for x in ([], ["a"], ["a", "b"], ["a", "b", "c"])] == ["", "a", "a and b", "a, b and c"]
+
+
+def test_addresses_of_boards(spark):
+    import urllib.parse
+
+    from postpulse.sources import boards
+
+    names = ["acme", "a b", "é/ü", "x!'()*~-_.", "a+b", "", None]
+    rows = [(v, n) for v in [*vendors.VENDORS, "unknown"] for n in names]
+    frame = spark.createDataFrame(rows, "source string, company string")
+    found = frame.select(
+        "source", "company", boards.api_url(F.col("source"), F.col("company")).alias("api"),
+        vendors.board_url(F.col("source"), F.col("company")).alias("url"),
+    )
+    for r in found.collect():
+        if r.source == "unknown" or not r.company:
+            assert r.api is None and r.url is None
+        else:
+            name = urllib.parse.quote(r.company, safe="!'()*")
+            assert r.api == boards.ENDPOINTS[r.source].format(name)
+            assert r.url == vendors.VENDORS[r.source].board_url.format(name)
+
+
+def test_a_range_of_days_reads_those_folders(spark, tmp_path):
+    for day in range(1, 6):
+        folder = tmp_path / f"snapshot_date=2026-01-0{day}"
+        folder.mkdir()
+        (folder / "x.json").write_text(f'{{"p": "a", "t": "t{day}", "j": {day}}}\n{{"p": "torn')
+    found = files.history_days(spark, str(tmp_path), "2026-01-02", "2026-01-04")
+    assert sorted(r.t for r in found.collect()) == ["t2", "t3", "t4"]
+    assert len(found.inputFiles()) == 5 and "PartitionFilters: [isnotnull(snapshot_date" in (
+        found._jdf.queryExecution().executedPlan().toString()
+    )
+    assert files.history_days(spark, str(tmp_path)).count() == 5
+
+
+def test_draws_at_any_place(spark):
+    from itertools import islice
+
+    from postpulse.operators import sampling
+
+    for seed in (7, 0, 0xFFFFFFFF, 20260903):
+        rows = spark.range(500).select("id", sampling.uniform_at(seed, F.col("id")).alias("u")).collect()
+        assert [r.u for r in sorted(rows)] == list(islice(sampling._uniform(seed), 500))
+    far = 4_000_000_000
+    one = spark.range(1).select(sampling.uniform_at(7, F.lit(far))).first()[0]
+    assert one == next(sampling._uniform(7 + far * sampling._STEP))
+
+
+def test_counter_samples(spark):
+    from postpulse.operators import roster, sampling
+
+    rows = [(f"p{k % 2}", f"t{k}") for k in range(400)] * 2 + [("small", "x"), (None, "y"), ("p0", None)]
+    frame = spark.createDataFrame(rows, "provider string, token string")
+    found = sampling.counter_samples(frame, "provider", "token", 30, 7, least=5)
+    kept = sorted((r.provider, r.token) for r in found.collect())
+    assert len(kept) == 60 == len(set(kept)) and {p for p, _ in kept} == {"p0", "p1"}
+    again = sampling.counter_samples(frame.repartition(9), "provider", "token", 30, 7, least=5)
+    assert kept == sorted((r.provider, r.token) for r in again.collect())
+    other = sampling.counter_samples(frame, "provider", "token", 30, 8, least=5)
+    assert kept != sorted((r.provider, r.token) for r in other.collect())
+    pairs = roster.cross_pairs(found, ("p0", "p1", "p2")).collect()
+    assert len(pairs) == 120 and all(r.source_provider != r.target_provider for r in pairs)

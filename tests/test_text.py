@@ -133,7 +133,7 @@ def test_wilson(spark):
 @pytest.mark.parametrize(
     ("title", "family"),
     [
-        ("Break free of the 9-5!", "recruitment_ad"),
+        ("Break free of the 9-5!", "suspect_recruitment_ad"),
         ("German Language Specialist (Freelance AI Trainer Project)", "ai_gig_work"),
         ("Group Fitness Instructor", "fitness_wellness"),
         ("Maintenance Engineer", "engineering_nonsoftware"),
@@ -184,10 +184,25 @@ def test_lexicon_sizes():
 def test_leading_words_begin_every_match():
     import re
 
-    assert text.leading_word(r"\breact(?:\.js)?\b") == "react"
-    assert text.leading_word(r"\bpower ?bi\b") == "power" and text.leading_word(r"\bllms?\b") == "llm"
-    assert text.leading_word(r"\bc#|\bc sharp\b") == "" and text.leading_word(r"\b(?:aws|gcp)\b") == ""
-    words = "python react.js c++ node.js nodejs power bi powerbi spring boot swiftui mongodb c# sap llms k8s vue.js"
+    from postpulse.functions import lexicons as lex
+
+    wanted = {
+        r"\breact(?:\.js)?\b": ("react",), r"\bpower ?bi\b": ("power",), r"\bllms?\b": ("llm",),
+        r"\bc#|\bc sharp\b": (), r"\b(?:aws|gcp)\b": ("aws", "gcp"), r"\b(?:apache )?spark\b": ("apache", "spark"),
+        r"(?:\.net\b|\bdotnet\b)": (), r"\b(?:k8s|large language model)s?\b": ("k8s", "large"),
+    }
+    assert {p: text.leading_words(p) for p in wanted} == wanted
+    sample = " react.js powerbi llms spark apache spark k8s ruby on rails go lang mongodb nodejs sveltekit c++ "
     for _, pattern, _ in lex.TECHNOLOGIES:
-        for found in re.finditer(pattern, words):
-            assert found[0].startswith(text.leading_word(pattern))
+        for found in re.finditer(pattern, sample):
+            assert not text.leading_words(pattern) or found[0].startswith(text.leading_words(pattern))
+
+
+def test_word_trie_takes_the_longest():
+    import re
+
+    words = ["java", "javascript", "go", "golang", "google", "c"]
+    trie = re.compile(rf"\b({text.word_trie(words)})")
+    for word in words:
+        assert trie.match(word)[0] == word and trie.match(f"{word}!")[0] == word
+    assert trie.findall("javas gol xgo cobol") == ["java", "go", "c"]
