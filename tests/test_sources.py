@@ -382,3 +382,36 @@ def test_counter_samples(spark):
     assert kept != sorted((r.provider, r.token) for r in other.collect())
     pairs = roster.cross_pairs(found, ("p0", "p1", "p2")).collect()
     assert len(pairs) == 120 and all(r.source_provider != r.target_provider for r in pairs)
+
+
+def test_feeds_and_artifacts(spark, tmp_path):
+    rows = spark.createDataFrame([("b", 'x "y", z', 2), ("a", None, 1), ("c", "line\nend", 3)], "p string, t string, j int")
+    sinks.feed(rows, str(tmp_path / "all"))
+    sinks.feed(rows, str(tmp_path / "two"), most=2)
+    assert spark.read.json(str(tmp_path / "all")).count() == 3 and spark.read.json(str(tmp_path / "two")).count() == 2
+    sinks.csv_artifact(rows, str(tmp_path / "csv"), ["t", "p"])
+    back = spark.read.option("header", True).option("multiLine", True).csv(str(tmp_path / "csv"))
+    assert back.columns == ["t", "p"] and sorted(r.p for r in back.collect()) == ["a", "b", "c"]
+    text = "".join(f.read_text() for f in (tmp_path / "csv").glob("part-*"))
+    assert text.startswith("t,p\n") and '"x \\"y\\", z",b' in text
+
+
+def test_issues_are_immutable(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1)], "c string, n int")
+    sinks.issue(rows, str(tmp_path), "2026-01-01")
+    with pytest.raises(Exception, match="(?i)exists"):
+        sinks.issue(rows, str(tmp_path), "2026-01-01")
+    sinks.issue(rows.withColumn("n", F.lit(2)), str(tmp_path), "2026-01-01", force=True)
+    sinks.issue(rows, str(tmp_path), "2026-01-02")
+    found = files.issues(spark, str(tmp_path), "c string, n int, issue_date date")
+    assert sorted((str(r.issue_date), r.n) for r in found.collect()) == [("2026-01-01", 2), ("2026-01-02", 1)]
+    assert str(files.latest_before(found, "2026-01-02").first().previous) == "2026-01-01"
+
+
+def test_the_market_list_has_one_order(spark):
+    from postpulse.operators import signals
+
+    rows = [("s", "b", 3), ("s", "a", 3), ("r", "a", 3), ("s", "z", 9), ("s", "q", None)]
+    frame = spark.createDataFrame(rows, "source string, company string, opened_30d int").repartition(3)
+    found = [(r.source, r.company) for r in signals.by_recent_openings(frame).collect()]
+    assert found == [("s", "z"), ("r", "a"), ("s", "a"), ("s", "b"), ("s", "q")]
