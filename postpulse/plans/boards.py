@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postpulse.functions.lexicons import LOCATION_NOISE
 from postpulse.functions.text import seniority
 from postpulse.operators import dedupe, fanout, signals
 from postpulse.operators.staging import staged
 from postpulse.plans import bindings as b
 from postpulse.plans.catalogue import query
 
-NOISE = ", ".join(f"'{w}'" for w in LOCATION_NOISE)
+# Words that are no place, stated again so that a wrong list shows.
+NOISE = """'remote', 'hybrid', 'onsite', 'on', 'site', 'usa', 'us', 'united', 'states', 'america', 'or',
+  'and', 'the', 'of', 'in', 'at', 'area', 'greater', 'metro', 'region', 'multiple', 'locations',
+  'location', 'various', 'flexible', 'anywhere', 'office', 'based'"""
 
 
 def norm_sql(text: str) -> str:
@@ -512,13 +514,21 @@ def signal_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-SELECT name, count(*) AS postings FROM (SELECT CASE o_orderkey % 5 WHEN 0 THEN 'Sales - 4711' WHEN 1 THEN '0815 - Ops'
-    WHEN 2 THEN 'Berlin, DE' WHEN 3 THEN 'Data' ELSE NULL END AS name FROM orders) WHERE name = 'Data' GROUP BY 1"""
+SELECT c_mktsegment || ' ' || o_orderstatus AS name, count(*) AS postings
+FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 5 = 3 GROUP BY 1"""
 )
 def department_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["Sales - 4711", "0815 - Ops", "Berlin, DE", "Data", None]
-    rows = b.table(spark, sf_dir, "orders").select(
-        b.pick(F.col("o_orderkey") % 5, names).alias("department")
+    """Market segments as departments; every fifth order each has a numbered one, a place or none."""
+    key, segment = F.col("o_orderkey"), F.col("c_mktsegment")
+    number = F.lpad((key % 10_000).cast("string"), 4, "0")
+    customers = b.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    orders = b.table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    department = (
+        F.when(key % 5 == 0, F.concat(segment, F.lit(" - "), number))
+        .when(key % 5 == 1, F.concat(number, F.lit(" - "), segment))
+        .when(key % 5 == 2, F.concat(F.initcap(segment), F.lit(", DE")))
+        .when(key % 5 == 3, F.concat_ws(" ", segment, "o_orderstatus"))
     )
+    rows = orders.select(department.alias("department"))
     real = signals.real_departments(rows)
     return real.groupBy(F.col("department").alias("name")).agg(F.count("*").alias("postings"))

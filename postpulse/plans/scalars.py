@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postpulse.functions import lexicons as lex
 from postpulse.functions import text
 from postpulse.operators import filters
 from postpulse.operators.census import classified
@@ -112,7 +111,9 @@ WORKPLACES = [
 def workplace(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _of_documents(spark, sf_dir, len(WORKPLACES))
     place, stated = (b.pick(F.col("place"), [w[k] for w in WORKPLACES]) for k in (0, 1))
-    return rows.select("doc_id", text.workplace(place, stated).alias("workplace"))
+    # Whole documents stand before the place: their words name no way of working.
+    label = F.concat_ws(" ; ", "text", place)
+    return rows.select("doc_id", text.workplace(label, stated).alias("workplace"))
 
 
 # What a text may end in, and the salary it states.
@@ -182,14 +183,22 @@ def stem_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# First parts of paths and hosts that name no board, stated again so that a wrong list shows.
+NO_BOARD = """'embed', 'api', 'v1', 'v0', 'jobs', 'job', 'static', 'assets', 'favicon.ico', 'robots.txt',
+  'sitemap.xml', 'error', '404', 'index.html', 'apply', 'search', 'postings', 'boards', 'company',
+  'companies', 'auth', 'login', 'signup', 'j', 'oauth', 'account', 'settings', 'terms', 'privacy',
+  'www', 'app', 'help', 'support', 'blog', 'status', 'mail', 'cdn', 'static1', 'docs',
+  'developer', 'developers', 'admin', 'dashboard', 'go', 'get', 'my'"""
+
+
 @query(
     """
 SELECT page_id, CASE WHEN token = '' OR length(token) > 100 OR token IN ("""
-    + ", ".join(f"'{t}'" for t in lex.NOT_A_TOKEN)
+    + NO_BOARD
     + """) OR NOT regexp_full_match(token, '[a-z0-9][a-z0-9._-]*') OR regexp_full_match(token, '\\d+')
   THEN NULL ELSE token END AS path_token,
   CASE WHEN sub = '' OR contains(sub, '.') OR sub IN ("""
-    + ", ".join(f"'{t}'" for t in lex.NOT_A_TOKEN)
+    + NO_BOARD
     + """) THEN NULL ELSE sub END AS host_token,
   array_to_string(list_reverse(string_split(host, '.')), ',') || ')/' AS surt
 FROM (SELECT page_id, host, lower(regexp_extract(url, '^https?://[^/?#]+/+([^/?#]*)', 1)) AS token,
