@@ -342,3 +342,28 @@ def test_stores(tmp_path):
     stores.remove(address)
     stores.remove(address)
     assert stores.size(address) == 0 and stores.whole(address) is None
+
+
+def test_counters_of_documents(spark, server):
+    from postpulse.operators.readings import counter_changes
+    from postpulse.sources import counters
+
+    paths = {"runs": "$.data.stats.totalRuns", "users": "$.data.stats.totalUsers", "stars": "$.data.stars"}
+    requests = spark.createDataFrame(
+        [("a", f"{server.address}/a"), ("b", f"{server.address}/b"), ("gone", f"{server.address}/gone"), ("none", None)],
+        "name string, url string",
+    )
+    readings = []
+    for day in (1, 2):
+        server.files |= {
+            "/a": json.dumps({"data": {"stats": {"totalRuns": 10 * day, "totalUsers": 3}}}).encode(), "/b": b"not json",
+        }
+        replies = counters.read_documents(requests, 2, unit=0.0)
+        replies = spark.createDataFrame(replies.collect(), replies.schema)
+        assert {r.name: r.http for r in replies.collect()} == {"a": 200, "b": 200, "gone": 404}
+        readings.append(counters.counters(replies, paths, F.lit(f"2026-01-0{day}")))
+    both = readings[0].union(readings[1])
+    named = both.select("read_at", F.concat_ws(".", "name", "counter").alias("name"), "value")
+    found = {(r.name, r.read_at): (r.value, r.change) for r in counter_changes(named).collect()}
+    assert found[("a.runs", "2026-01-02")] == (20.0, 10.0) and found[("a.users", "2026-01-02")] == (3.0, 0.0)
+    assert found[("a.stars", "2026-01-01")] == (0.0, None) and len(found) == 6
