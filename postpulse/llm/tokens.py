@@ -65,7 +65,7 @@ def cuttable(tokenizer: dict) -> bool:
 
 
 #: Bytes of a worker's memory that remembered chunks may take, and what each takes besides its characters.
-MEMO_BYTES, ENTRY_BYTES = 160 << 20, 240
+MEMO_BYTES, ENTRY_BYTES = 224 << 20, 240
 
 
 class ChunkEncoder:
