@@ -205,7 +205,8 @@ def write_ids(
     the smallest 64-bit integer), so the order of files and in files is that
     of ids.  Rows that share an id come in the order of their texts' hashes;
     ranges may part them, and even equal rows, so that no id is one task's
-    burden.  Null texts are empty, and an empty table gives no documents.
+    burden.  Null texts are empty, and an empty table gives no documents.  A text
+    of any length is encoded whole and is one frame.
 
     Each task streams one file.  It goes through Spark's text writer, whose
     commit protocol makes retried tasks harmless on any store: a row is a

@@ -18,7 +18,9 @@ def histogram(df: DataFrame, **options) -> DataFrame:
     """length and n_docs: how many documents encode to each number of tokens.
 
     Counts are added up before the shuffle, so what moves is bounded by the
-    distinct lengths of a task's documents.  Null texts have length 0.
+    distinct lengths of a task's documents.  Null texts have length 0, repeated
+    rows count each, texts of any length are taken whole, other columns are
+    ignored, and an empty table gives no rows.
     """
     counts = token_counts(df, **options)
     return counts.groupBy(F.col("n_tokens").alias("length")).agg(F.count("*").alias("n_docs"))
@@ -32,7 +34,9 @@ def cumulative(lengths: DataFrame) -> DataFrame:
     the corpus cut to the limit, and kept_share its part of all tokens;
     quantile is the share of documents that fit.  Between two lengths
     docs_over and tokens_over are those of the lower one, so any limit has an
-    exact answer (``at_limits``).  An empty histogram gives no rows.
+    exact answer (``at_limits``).  An empty histogram gives no rows; lengths
+    come once each and are not null, as ``histogram`` gives them, and other
+    columns are ignored.
 
     Sums run within blocks of ``BLOCK`` lengths and over the blocks' totals,
     which leaves one row for each block to the only global ordering.

@@ -153,7 +153,9 @@ def pack_documents(df: DataFrame, capacity: int = CAPACITY, **options) -> DataFr
     """One row for each piece of each document of ``df``, with its place.
 
     Null texts are empty: their one piece holds the end id alone.  Repeated
-    rows are packed each for itself; an empty table gives no rows.
+    rows are packed each for itself, other columns are ignored, an empty table
+    gives no rows.  A text of any length is encoded whole in one task, some
+    ten bytes of memory for each of its own, and then cut.
     """
     return pack(materialized(pieces(df, capacity, **options), "pieces"), capacity)
 

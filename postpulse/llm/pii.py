@@ -248,7 +248,11 @@ def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def mask(df: DataFrame, field: crf.Field | None = None, text_col: str = "text") -> DataFrame:
-    """``df`` with all spans found in its texts masked; null texts stay null."""
+    """``df`` with all spans found in its texts masked; null texts stay null.
+
+    Repeated rows, null ids and all other columns stay as they are, an empty
+    table gives an empty one, and texts of any length are taken whole.
+    """
     model = field or trained_field()
     place = df.columns.index(text_col)
     held: list[crf.Decoder] = []

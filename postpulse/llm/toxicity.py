@@ -389,7 +389,8 @@ def severity(
 def without_toxic(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that are not toxic, with all their columns, in one narrow pass.
 
-    Null and empty texts stay; rows are judged one by one, whatever their ids.
+    Null and empty texts stay; rows are judged one by one, whatever their ids,
+    by their whole texts.  An empty table gives an empty one.
     """
     place = df.columns.index(text_col)
     held: list[_Scorer] = []
