@@ -327,56 +327,43 @@ def surt_prefix(host: Column | str, subdomain: bool = False) -> Column:
 
 
 def without_suffixes(token: Column | str) -> Column:
-    """Letters and digits only, without trailing digits and corporate endings, repeatedly."""
-    bare = F.regexp_replace(F.lower(_col(token)), "[^a-z0-9]", "")
-
-    def once(text: Column) -> Column:
-        trimmed = F.regexp_replace(text, "[0-9]+$", "")
-        out = F.when(F.lit(False), trimmed)
-        for suffix in lex.TOKEN_SUFFIXES:
-            n = len(suffix)
-            long_enough = F.length(trimmed) > n + 2
-            cut = F.substring(trimmed, F.lit(1), F.length(trimmed) - n)
-            out = out.when(trimmed.endswith(suffix) & long_enough, cut)
-        return out.otherwise(trimmed)
+    """Letters and digits only, without trailing digits and corporate endings, repeatedly.
 
-    # Every step but the last removes a character; tokens have 100 at most.
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(bare)))
-    return F.aggregate(steps, bare, lambda text, _: once(text))
+    An ending goes only if three characters stay before it.  The endings are
+    read from the back, in one pass over the reversed token; possessive, as no
+    step is ever taken back.
+    """
+    bare = F.regexp_replace(F.lower(_col(token)), "[^a-z0-9]", "")
+    endings = "|".join(re.escape(suffix[::-1]) for suffix in lex.TOKEN_SUFFIXES)
+    return F.reverse(F.regexp_replace(F.reverse(bare), f"^(?:[0-9]++|(?:{endings})(?=.{{3}}))++", ""))
 
 
 def free_occurrence(token: Column, key: str, blockers) -> Column:
     """Whether ``key`` occurs outside every occurrence of a blocker that holds it."""
-    if not blockers:
+    if not any(key in b for b in blockers):
         return token.contains(key)
-    ends = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(token)))
-
-    def starts(word: str) -> Column:
-        return F.filter(ends, lambda i: F.substring(token, i, F.lit(len(word))) == word)
-
-    spans = F.concat(*[_spans(starts(b), len(b)) for b in blockers])
-    return F.exists(
-        starts(key),
-        lambda i: ~F.exists(spans, lambda s: (s["s"] <= i) & (i + len(key) <= s["e"])),
-    )
-
-
-def _spans(starts: Column, size: int) -> Column:
-    return F.transform(starts, lambda i: F.struct(i.alias("s"), (i + size).alias("e")))
+    barred = [
+        rf"(?!(?<=\Q{b[:i]}\E)\Q{b[i:]}\E)" for b in blockers for i in range(len(b)) if b.startswith(key, i)
+    ]
+    return token.rlike(rf"{''.join(barred)}\Q{key}\E")
 
 
 def classify_token(token: Column | str, keys=lex.TOKEN_KEYS) -> Column:
     """struct(family, key, mode) of the first industry key that fires; nulls if none."""
-    text = F.lower(_col(token))
-    stripped = without_suffixes(token)
     kind = "struct<family:string,key:string,mode:string>"
-    found = F.when(F.lit(False), F.lit(None).cast(kind))
-    for family, key, mode, blockers in keys:
-        hit = stripped.endswith(key) if mode == "end" else free_occurrence(text, key, blockers)
-        found = found.when(
-            hit, F.struct(F.lit(family).alias("family"), F.lit(key).alias("key"), F.lit(mode).alias("mode"))
-        )
-    return found.otherwise(F.lit(None).cast(kind))
+
+    def first(r: Column) -> Column:
+        found = F.when(F.lit(False), F.lit(None).cast(kind))
+        for family, key, mode, blockers in keys:
+            hit = r["stripped"].endswith(key) if mode == "end" else free_occurrence(r["low"], key, blockers)
+            found = found.when(
+                hit, F.struct(F.lit(family).alias("family"), F.lit(key).alias("key"), F.lit(mode).alias("mode"))
+            )
+        return found.otherwise(F.lit(None).cast(kind))
+
+    # An array of one: both texts are made once, however many keys read them.
+    sides = F.array(F.struct(F.lower(_col(token)).alias("low"), without_suffixes(token).alias("stripped")))
+    return F.get(F.transform(sides, first), F.lit(0))
 
 
 def title_needle(key: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,3 +208,39 @@ def test_word_trie_takes_the_longest():
     for word in words:
         assert trie.match(word)[0] == word and trie.match(f"{word}!")[0] == word
     assert trie.findall("javas gol xgo cobol") == ["java", "go", "c"]
+
+
+@pytest.mark.parametrize(
+    ("token", "stripped"),
+    [
+        ("Acme-Jobs_Inc 99", "acme"),
+        ("abus", "abus"),
+        ("ab1us", "ab"),
+        ("abcus", "abc"),
+        ("co", "co"),
+        ("x12", "x"),
+        ("12", ""),
+        ("abcjobsinc7llc", "abc"),
+        ("jobsinc", "jobs"),
+        ("incinc", "inc"),
+        ("", ""),
+        (None, None),
+    ],
+)
+def test_endings_go_while_three_characters_stay(spark, token, stripped):
+    assert value(spark, text.without_suffixes("t"), t=token) == stripped
+
+
+def _seconds(spark, column, token):
+    value(spark, column, t="warm")
+    start = time.monotonic()
+    found = value(spark, column, t=token)
+    return found, time.monotonic() - start
+
+
+def test_blocked_keys_take_one_pass(spark):
+    token = "career" * 2000 + "x"
+    found, seconds = _seconds(spark, text.classify_token("t"), token)
+    assert found is None and seconds < 5
+    found, seconds = _seconds(spark, text.classify_token("t"), token + "care")
+    assert found["key"] == "care" and seconds < 5
