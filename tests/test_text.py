@@ -244,3 +244,8 @@ def test_blocked_keys_take_one_pass(spark):
     assert found is None and seconds < 5
     found, seconds = _seconds(spark, text.classify_token("t"), token + "care")
     assert found["key"] == "care" and seconds < 5
+
+
+def test_many_endings_take_one_pass(spark):
+    found, seconds = _seconds(spark, text.without_suffixes("t"), "abc" + "jobs" * 3000)
+    assert found == "abc" and seconds < 5
