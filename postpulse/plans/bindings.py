@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postpulse.operators.census import classified
+from postpulse.operators.staging import dealt, tasks_for
 
 AS_OF = "1995-05-01"
 EARLIER = "1995-03-15"
@@ -59,13 +60,18 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as technology mentions: the part's name on the order's date."""
+    """Line items as technology mentions: the part's name on the order's date.
+
+    Large tables meet in as many tasks as the line items' size asks for.
+    """
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    tasks = tasks_for(lines)
+    lines, orders = dealt(lines, tasks, "l_orderkey"), dealt(orders, tasks, "o_orderkey")
     return (
-        lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .select(
             F.lit("lines").alias("source"),
             F.concat(F.lit("s"), "l_suppkey").alias("company"),

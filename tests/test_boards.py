@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from postpulse.operators import dedupe, diff, fanout, filters, ranking, robots, roster, sampling
@@ -249,3 +250,21 @@ def test_free_prices(spark):
 
     frame = spark.sql("SELECT map('x', named_struct('free', 1.0, 'flat', 2.0), 'y', named_struct('free', null, 'flat', 3.0)) AS e")
     assert frame.select(readings.free_prices(F.col("e")).alias("p")).first().p == {"x": 1, "y": 3}
+
+
+@pytest.mark.parametrize("name", ["signal_tech_counts"])
+def test_large_mentions_meet_in_sized_tasks(spark, sf_dir, monkeypatch, name):
+    from postpulse.operators import staging
+    from postpulse.plans import bindings, catalogue
+    from tests.compare import canonical, connection
+
+    monkeypatch.setattr(staging, "TASK_BYTES", 1 << 10)
+    wanted = staging.tasks_for(bindings.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey"))
+    assert wanted > 4
+    assert bindings.mentions(spark, sf_dir).rdd.getNumPartitions() == wanted
+    frame = catalogue.queries()[name](spark, sf_dir)
+    answer = connection(sf_dir).execute(catalogue.oracle_sql()[name])
+    columns = [c[0] for c in answer.description]
+    assert canonical(frame.columns, [tuple(r) for r in frame.collect()]) == canonical(columns, answer.fetchall())
+    monkeypatch.setattr(staging, "TASK_BYTES", 1 << 40)
+    assert staging.tasks_for(bindings.table(spark, sf_dir, "lineitem")) is None
