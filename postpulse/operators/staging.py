@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Estimated bytes (compressed, of the columns read) for a task; fewer tasks than this are left to
 #: Spark; and most tasks, for sizes that are not known.
-TASK_BYTES, LEAST_TASKS, MOST_TASKS = 2 << 20, 8, 20_000
+TASK_BYTES, LEAST_TASKS, MOST_TASKS = 2 << 20, 4, 20_000
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -69,9 +69,11 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     tasks = tasks_for(lines)
     lines, orders = dealt(lines, tasks, "l_orderkey"), dealt(orders, tasks, "o_orderkey")
+    ordered = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    if tasks_for(parts):
+        ordered, parts = dealt(ordered, tasks, "l_partkey"), dealt(parts, tasks, "p_partkey")
     return (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        ordered.join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .select(
             F.lit("lines").alias("source"),
             F.concat(F.lit("s"), "l_suppkey").alias("company"),

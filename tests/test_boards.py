@@ -252,7 +252,7 @@ def test_free_prices(spark):
     assert frame.select(readings.free_prices(F.col("e")).alias("p")).first().p == {"x": 1, "y": 3}
 
 
-@pytest.mark.parametrize("name", ["signal_tech_counts"])
+@pytest.mark.parametrize("name", ["signal_tech_counts", "market_top_lists"])
 def test_large_mentions_meet_in_sized_tasks(spark, sf_dir, monkeypatch, name):
     from postpulse.operators import staging
     from postpulse.plans import bindings, catalogue
@@ -268,3 +268,17 @@ def test_large_mentions_meet_in_sized_tasks(spark, sf_dir, monkeypatch, name):
     assert canonical(frame.columns, [tuple(r) for r in frame.collect()]) == canonical(columns, answer.fetchall())
     monkeypatch.setattr(staging, "TASK_BYTES", 1 << 40)
     assert staging.tasks_for(bindings.table(spark, sf_dir, "lineitem")) is None
+
+
+def test_large_parts_meet_in_sized_tasks(spark, sf_dir, monkeypatch):
+    from postpulse.operators import staging
+    from postpulse.plans import bindings
+    from tests.compare import canonical, connection
+
+    monkeypatch.setattr(staging, "TASK_BYTES", 1 << 8)
+    frame = bindings.mentions(spark, sf_dir)
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [l_partkey" in plan and "RepartitionByExpression [p_partkey" in plan
+    answer = connection(sf_dir).execute(bindings.with_ctes(("mentions",), "SELECT * FROM mentions"))
+    columns = [c[0] for c in answer.description]
+    assert canonical(frame.columns, [tuple(r) for r in frame.collect()]) == canonical(columns, answer.fetchall())
