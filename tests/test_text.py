@@ -249,3 +249,8 @@ def test_blocked_keys_take_one_pass(spark):
 def test_many_endings_take_one_pass(spark):
     found, seconds = _seconds(spark, text.without_suffixes("t"), "abc" + "jobs" * 3000)
     assert found == "abc" and seconds < 5
+
+
+def test_tokens_without_endings_take_one_pass(spark):
+    found, seconds = _seconds(spark, text.without_suffixes("t"), "acme" * 3000)
+    assert found == "acme" * 3000 and seconds < 5
